@@ -29,14 +29,21 @@ DUPLICATE_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 
 @dataclass(frozen=True)
 class Limits:
-    """Limits of the rules; a share above its limit fails the document."""
+    """Limits of the rules; a share above its limit fails the document.
+
+    An n-gram counts as the top one from top_count occurrences on, and shares of repeated lines from
+    few_lines lines on: below, one recurring heading would fail a short clean text.
+    """
 
     min_words: int = 10
     repeat_words_percent: int = 20
     window: int = 5
     top: dict[int, float] = field(default_factory=lambda: dict(TOP_LIMITS))
     duplicate: dict[int, float] = field(default_factory=lambda: dict(DUPLICATE_LIMITS))
+    top_count: int = 3
+    runs: float = 0.20
     duplicate_lines: float = 0.30
+    few_lines: int = 5
     duplicate_line_chars: float = 0.20
     symbols_per_word: float = 0.10
 
@@ -123,6 +130,9 @@ def measure(text: str | None, limits: Limits) -> tuple:
     if len(numbers) < n_words:  # else no word occurs twice, and so no n-gram does
         rolling = Rolling(ids)
         chars = np.fromiter((len(w) if w.isascii() else len(w.decode("utf-8", "surrogatepass")) for w in words), np.int64, n_words)
+        run_share = float(chars[1:][ids[1:] == ids[:-1]].sum() / word_chars)
+        if run_share > limits.runs:
+            reasons.append("words_repeated_at_once")
         found = {}
         for n in sorted({*limits.top, *limits.duplicate, limits.window}):
             hashes = rolling.windows(n)
@@ -143,7 +153,7 @@ def measure(text: str | None, limits: Limits) -> tuple:
                 start = starting[np.argmin(order[starting])]  # of equally frequent ones, the n-gram that comes first
                 share = float(chars[_inside(order[start : start + best], n, n_words)].sum() / word_chars)
                 top_share = max(top_share, share)
-                if share > limits.top[n]:
+                if share > limits.top[n] and best >= limits.top_count:
                     reasons.append(f"top_{n}_gram")
             if n in limits.duplicate:
                 later = repeated.copy()
@@ -155,9 +165,9 @@ def measure(text: str | None, limits: Limits) -> tuple:
 
     line_share = dup_lines / lines if lines else 0.0
     char_share = dup_line_chars / line_chars if line_chars else 0.0
-    if line_share > limits.duplicate_lines:
+    if line_share > limits.duplicate_lines and lines >= limits.few_lines:
         reasons.append("repeated_lines")
-    if char_share > limits.duplicate_line_chars:
+    if char_share > limits.duplicate_line_chars and lines >= limits.few_lines:
         reasons.append("repeated_line_characters")
     if n_symbols > limits.symbols_per_word * n_words:
         reasons.append("symbols")
