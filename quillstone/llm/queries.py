@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_encode
 from .common import table
+from .pii import pseudonymise
 from .repetition import repetition_quality
 from .sharding import minimax_shards
 from .simhash import simhash_components
@@ -24,6 +25,10 @@ def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(table(spark, sf_dir, "documents"), shards=8).drop("digest")
 
 
+def op5_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_found", "n_replaced")
+
+
 def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = repetition_quality(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -39,6 +44,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minimax_shards": op3_minimax_shards,
+    "op5_feistel_pii": op5_feistel_pii,
     "op7_repetition": op7_repetition,
     "op8_simhash": op8_simhash,
     "op9_bpe": op9_bpe,
