@@ -12,6 +12,7 @@ from .pii import pseudonymise
 from .repetition import repetition_quality
 from .sharding import minimax_shards
 from .simhash import simhash_components
+from .tagpath import extract_main_text
 
 
 def vocabulary() -> str:
@@ -42,12 +43,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), vocabulary(), keep_ids=False)
 
 
+def op10_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minimax_shards": op3_minimax_shards,
     "op5_feistel_pii": op5_feistel_pii,
     "op7_repetition": op7_repetition,
     "op8_simhash": op8_simhash,
     "op9_bpe": op9_bpe,
+    "op10_tag_paths": op10_tag_paths,
 }
 
 ORACLE: dict[str, str] = {}
