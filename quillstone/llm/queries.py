@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .common import table
+from .compressid import identify_language, train
 from .pii import pseudonymise
 from .repetition import repetition_quality
 from .sharding import minimax_shards
@@ -26,6 +28,13 @@ def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(table(spark, sf_dir, "documents"), shards=8).drop("digest")
 
 
+def op4_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 5 == 0
+    found = identify_language(docs, train(docs, where=~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), F.col("nearest").alias("lang_pred"), "score", "margin", (F.col("language") != "und").alias("accepted"))
+
+
 def op5_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_found", "n_replaced")
 
@@ -49,6 +58,7 @@ def op10_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minimax_shards": op3_minimax_shards,
+    "op4_compression_language": op4_compression_language,
     "op5_feistel_pii": op5_feistel_pii,
     "op7_repetition": op7_repetition,
     "op8_simhash": op8_simhash,
