@@ -15,6 +15,7 @@ from .repetition import repetition_quality
 from .sharding import minimax_shards
 from .simhash import simhash_components
 from .tagpath import extract_main_text
+from .urlmodel import Rule, filter_urls
 
 
 def vocabulary() -> str:
@@ -39,6 +40,20 @@ def op5_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_found", "n_replaced")
 
 
+#: The rules of the url filter's contract.
+URL_RULES = [
+    Rule("com/", "allow"),
+    Rule("example.com/en/", "block"),
+    Rule("www.example.com/en/", "allow"),
+    Rule("net/es/", "block"),
+    Rule("net/fr/", "block"),
+]
+
+
+def op6_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = repetition_quality(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -60,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minimax_shards": op3_minimax_shards,
     "op4_compression_language": op4_compression_language,
     "op5_feistel_pii": op5_feistel_pii,
+    "op6_url_models": op6_url_models,
     "op7_repetition": op7_repetition,
     "op8_simhash": op8_simhash,
     "op9_bpe": op9_bpe,
