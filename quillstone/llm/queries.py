@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .adscan import nearest_neighbours
 from .bpe import bpe_encode
 from .common import table
 from .compressid import identify_language, train
@@ -25,6 +26,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(table(spark, sf_dir, "documents"), shards=8).drop("digest")
 
@@ -72,6 +77,7 @@ def op10_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_adaptive_scan": op2_adaptive_scan,
     "op3_minimax_shards": op3_minimax_shards,
     "op4_compression_language": op4_compression_language,
     "op5_feistel_pii": op5_feistel_pii,
