@@ -11,6 +11,7 @@ from .adscan import nearest_neighbours
 from .bpe import bpe_encode
 from .common import table
 from .compressid import identify_language, train
+from .mixing import label_domains, mix
 from .pii import pseudonymise
 from .repetition import repetition_quality
 from .sharding import minimax_shards
@@ -26,6 +27,17 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The corpus mix: weights of the domains in tokens.
+MIX = {"clean": 0.85, "poor": 0.10, "toxic": 0.05}
+
+
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated, fitted = mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), MIX)
+    known = list(fitted.classifier.domains) if fitted else []
+    p = [(F.element_at("__p", known.index(d) + 1) if d in known else F.lit(0.0)).alias(f"p_{d}") for d in MIX]
+    return rated.select("doc_id", F.col("__tokens").alias("tokens"), *p, F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
+
+
 def op2_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -77,6 +89,7 @@ def op10_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_soft_mixing": op1_soft_mixing,
     "op2_adaptive_scan": op2_adaptive_scan,
     "op3_minimax_shards": op3_minimax_shards,
     "op4_compression_language": op4_compression_language,
