@@ -156,7 +156,11 @@ def fit_rates(posteriors: DataFrame, model: Classifier, targets: dict[str, float
         r = rate(F.col("p"), tuple(steps), most)
         rated = posteriors.select((r * F.col("tokens")).alias("rt"), "p")
         row = rated.agg(*[F.sum(F.col("rt") * F.element_at("p", d + 1)).alias(f"s{d}") for d in range(n)]).first()
-        reached = np.array([x or 0.0 for x in row])
+        now = np.array([x or 0.0 for x in row])
+        if np.abs(now - wanted).sum() > 0.999 * np.abs(reached - wanted).sum():
+            reached = now
+            break  # clipped rates cannot come nearer
+        reached = now
     return Mixture(model, tuple(wanted), tuple(before), tuple(reached), tuple(steps), most)
 
 

@@ -196,3 +196,15 @@ def repetition_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     picked = docs.select(F.col(id_col), F.col(text_col))
     return picked.mapInArrow(judged, f"`{id_col}` {kind}, {SCHEMA}")
+
+
+def keep_quality(docs: DataFrame, text_col: str = "text", limits: Limits | None = None) -> DataFrame:
+    """The rows of docs that pass, with all their columns; the same rules in one pass without a shuffle."""
+    limits = limits or Limits()
+    at, kept = docs.columns.index(text_col), SCHEMA.split(", ").index("kept boolean")
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([measure(text.as_py(), limits)[kept] for text in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(passed, docs.schema)

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settled
@@ -154,3 +154,17 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = connected_components(near_pairs(nodes, radius, block))
     found = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return hashed.join(found, "fp", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
+    """docs without near-duplicates: of each component the document with the least id stays, with all its columns.
+
+    Repeated rows stay once. Rows with a null id cannot be told apart by it and stay.
+    """
+    parts = simhash_components(docs, id_col, text_col, radius, shingle)
+    first = parts.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
+    kept = docs.join(first, F.col(id_col) == F.col("__id"), "left_semi")
+    again = Window.partitionBy(id_col).orderBy("__print")
+    kept = kept.withColumn("__print", F.xxhash64(F.col(text_col))).withColumn("__before", F.lag("__print").over(again))
+    kept = kept.where(F.col("__before").isNull() | (F.col("__before") != F.col("__print"))).select(*docs.columns)
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
