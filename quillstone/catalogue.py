@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import baseline
+from .functions import text
+from .operators import baseline, filters
 
-MODULES = [baseline.R]
+MODULES = [baseline.R, filters.R, text.R]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
