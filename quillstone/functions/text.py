@@ -73,8 +73,10 @@ def truncated(text: Column, most: int) -> Column:
 def _tenths(n: Column, unit: int) -> Column:
     """n / unit with one decimal, rounded as the binary quotient is: ties by its exact value, then to even."""
     whole, rest, half = F.floor(n / (unit // 10)), n % (unit // 10), unit // 20
-    scaled = ((n / float(unit)) * float(1 << 43)).cast("bigint").cast("decimal(20,0)") * F.lit(unit).cast("decimal(8,0)")
-    above = scaled - n.cast("decimal(20,0)") * F.lit(1 << 43).cast("decimal(14,0)")
+    quotient = n / float(unit)
+    fraction = ((quotient - F.floor(quotient)) * float(1 << 52)).cast("bigint").cast("decimal(20,0)")
+    remainder = (n - F.floor(quotient) * unit).cast("decimal(18,0)")
+    above = fraction * F.lit(unit).cast("decimal(8,0)") - remainder * F.lit(1 << 52).cast("decimal(17,0)")
     up = (rest > half) | ((rest == half) & ((above > 0) | ((above == 0) & (whole % 2 == 1))))
     tenths = whole + F.when(up, 1).otherwise(0)
     return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
