@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions import text
-from .operators import baseline, filters, stats
+from .operators import baseline, coverage, filters, stats
 
-MODULES = [baseline.R, filters.R, stats.R, text.R]
+MODULES = [baseline.R, coverage.R, filters.R, stats.R, text.R]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
