@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions import similarity, text
-from .operators import baseline, coverage, filters, joins, ordered, stats
+from .operators import baseline, coverage, extract, filters, joins, ordered, stats
 
-MODULES = [baseline.R, coverage.R, filters.R, joins.R, ordered.R, stats.R, similarity.R, text.R]
+MODULES = [baseline.R, coverage.R, extract.R, filters.R, joins.R, ordered.R, stats.R, similarity.R, text.R]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
