@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .functions import similarity, text
 from .operators import baseline, coverage, extract, filters, joins, ordered, stats
-from .sources import documents
+from .sources import containers, documents, stores
 
-MODULES = [baseline.R, coverage.R, extract.R, filters.R, joins.R, ordered.R, stats.R, documents.R, similarity.R, text.R]
+MODULES = [baseline.R, coverage.R, extract.R, filters.R, joins.R, ordered.R, stats.R, containers.R, documents.R, stores.R, similarity.R, text.R]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
