@@ -10,8 +10,9 @@ from .functions import similarity, templates, text
 from .operators import baseline, coverage, extract, filters, joins, ordered, stats, variants
 from .plans import scenario
 from .sources import containers, documents, stores
+from .streaming import stateful
 
-MODULES = [baseline.R, coverage.R, extract.R, filters.R, joins.R, ordered.R, stats.R, variants.R, scenario.R, containers.R, documents.R, stores.R, similarity.R, templates.R, text.R]
+MODULES = [baseline.R, coverage.R, extract.R, filters.R, joins.R, ordered.R, stats.R, variants.R, scenario.R, containers.R, documents.R, stores.R, stateful.R, similarity.R, templates.R, text.R]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -30,7 +30,7 @@ def _tag(block: Column, name: str) -> Column:
 def sitemap_urls(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, loc, lastmod, changefreq, priority) of each document: its `url` blocks, or, if it is no XML, its lines that start with http."""
     blocks = F.regexp_extract_all(text_col, F.lit(r"(?s)<url>.*?</url>"), F.lit(0))
-    lines = F.filter(F.transform(F.split(text_col, "\n"), F.trim), lambda x: x.startswith("http"))
+    lines = F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.trim(x)), lambda x: x.startswith("http"))
     plain = ~F.col(text_col).contains("<urlset") & ~F.col(text_col).contains("<sitemapindex")
     rows = documents.select(id_col, F.explode(F.when(plain, lines).otherwise(blocks)).alias("b"), plain.alias("plain"))
     loc = F.when(F.col("plain"), F.col("b")).otherwise(_tag(F.col("b"), "loc"))
