@@ -113,6 +113,40 @@ def minhash(data: bytes, hashes: int = MINHASHES) -> np.ndarray:
     return out
 
 
+def minhash_many(items: list[bytes], hashes: int = MINHASHES, most: int = 1 << 15) -> list[np.ndarray]:
+    """minhash of each item: a slice's distinct shingles are hashed once, then each item takes the minimum over its own.
+
+    A slice has at most `most` distinct shingles, so its table stays at most * hashes numbers; an item with more goes alone.
+    """
+    out: list[np.ndarray | None] = [None] * len(items)
+    codes = [np.unique(np.ascontiguousarray(byte_shingles(x)).view("<u4").ravel()) if len(x) >= SHINGLE else None for x in items]
+    seeds = _fnv_rows(np.arange(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8))
+    start = 0
+    while start < len(items):
+        end, size = start, 0
+        while end < len(items) and (end == start or size + (0 if codes[end] is None else len(codes[end])) <= 8 * most):
+            size += 0 if codes[end] is None else len(codes[end])
+            end += 1
+        part = [c for c in codes[start:end] if c is not None]
+        known = np.unique(np.concatenate(part)) if part else np.zeros(0, np.uint32)
+        if len(known) > most and end - start > 1:  # fewer items at once
+            end = start + (end - start) // 2
+            part = [c for c in codes[start:end] if c is not None]
+            known = np.unique(np.concatenate(part)) if part else np.zeros(0, np.uint32)
+        if len(known) <= most:
+            made = np.repeat(seeds[None, :], len(known), axis=0)
+            for b in range(SHINGLE):
+                made ^= (known >> np.uint32(8 * b) & np.uint32(255)).astype(np.uint64)[:, None]
+                made *= np.uint64(FNV64_PRIME)
+            for k in range(start, end):
+                out[k] = minhash(items[k], hashes) if codes[k] is None else made[np.searchsorted(known, codes[k])].min(axis=0)
+        else:
+            for k in range(start, end):
+                out[k] = minhash(items[k], hashes)
+        start = end
+    return out
+
+
 def _udf(function: Callable[[str | bytes], object], kind: T.DataType) -> Callable[[Column], Column]:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
@@ -176,7 +210,14 @@ def simhash_bytes(text: Column) -> Column:
 
 
 def minhash_signature(text: Column, hashes: int = MINHASHES) -> Column:
-    return _udf(lambda x: minhash(x.encode(), hashes).astype(np.int64).tolist(), T.ArrayType(T.LongType()))(text)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            known = [x.encode() for x in s if x is not None]
+            found = iter(minhash_many(known, hashes))
+            yield pd.Series([None if x is None else next(found).astype(np.int64) for x in s], dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, T.ArrayType(T.LongType()))(text)
 
 
 def html_paths(html: Column) -> Column:
