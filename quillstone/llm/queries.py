@@ -101,7 +101,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_tag_paths": op10_tag_paths,
 }
 
-ORACLE: dict[str, str] = {}
+#: The quality rules in SQL: words by place, their n-grams, and the places that repeated n-grams cover.
+_QUALITY_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+t AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
+g AS (SELECT doc_id, n, i, array_to_string(words[i:i + n - 1], ' ') AS gram FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM d, range(2, 11) r(n) WHERE len(words) >= n)),
+c AS (SELECT doc_id, n, i, gram, count(*) OVER (PARTITION BY doc_id, n, gram) AS k, min(i) OVER (PARTITION BY doc_id, n, gram) AS first FROM g QUALIFY k > 1),
+top AS (SELECT doc_id, n, gram, k FROM c WHERE n <= 4 QUALIFY row_number() OVER (PARTITION BY doc_id, n ORDER BY k DESC, first, i) = 1),
+marks AS (SELECT doc_id, n, 'later' AS kind, i FROM c WHERE n >= 5 AND i <> first UNION ALL SELECT doc_id, n, 'any', i FROM c WHERE n = 5
+ UNION ALL SELECT c.doc_id, c.n, 'top', i FROM c JOIN top USING (doc_id, n, gram) WHERE top.k >= 3),
+places AS (SELECT DISTINCT doc_id, n, kind, unnest(range(i, i + n)) AS i FROM marks),
+chars AS (SELECT doc_id, n, kind, count(*) AS words, sum(length(w)) AS chars FROM places JOIN t USING (doc_id, i) GROUP BY 1, 2, 3),
+limits AS (SELECT * FROM (VALUES ('top', 2, 0.20), ('top', 3, 0.18), ('top', 4, 0.16), ('later', 5, 0.15), ('later', 6, 0.14), ('later', 7, 0.13), ('later', 8, 0.12), ('later', 9, 0.11), ('later', 10, 0.10)) v(kind, n, most)),
+totals AS (SELECT doc_id, len(words) AS n_words, coalesce((SELECT sum(length(x)) FROM unnest(words) u(x)), 0) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
+shares AS (SELECT doc_id, bool_or(chars / word_chars > CAST(most AS DOUBLE)) AS over FROM chars JOIN totals USING (doc_id) JOIN limits USING (kind, n) GROUP BY 1),
+runs AS (SELECT doc_id, sum(length(w)) AS chars FROM (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM t) WHERE w = before GROUP BY 1),
+lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+line_sums AS (SELECT doc_id, count(*) AS lines, count(*) FILTER (k > 1) AS dups, sum(length(line)) AS chars, coalesce(sum(length(line)) FILTER (k > 1), 0) AS dup_chars FROM lines GROUP BY 1),
+base AS (SELECT totals.*, coalesce(dups, 0) AS n_dup_lines, coalesce(r.words, 0) AS n_repeat_words, coalesce(over, false) OR coalesce(runs.chars, 0) > 0.2::DOUBLE * word_chars OR n_symbols > 0.1::DOUBLE * n_words
+ OR coalesce(lines >= 5 AND (dups / lines > 0.3::DOUBLE OR dup_chars / line_sums.chars > 0.2::DOUBLE), false) AS rejected
+ FROM totals LEFT JOIN line_sums USING (doc_id) LEFT JOIN shares USING (doc_id) LEFT JOIN runs USING (doc_id) LEFT JOIN (SELECT * FROM chars WHERE kind = 'any') r USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+ n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR rejected) AS kept FROM base
+"""
+
+ORACLE: dict[str, str] = {"op7_repetition": _QUALITY_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
