@@ -4,8 +4,8 @@ Groups of rows that must stay together (equal texts) are put in the order of the
 is cut into contiguous shards so that the largest shard is as small as it can be. Binary search finds the
 smallest capacity for which filling shards greedily needs no more than the wanted number.
 
-The search never sees all groups. Digest prefixes divide the order into at most 2**BLOCK_BITS blocks, whose
-sums are the only rows the driver holds. Cutting blocks wherever bytes suffice bounds the capacity from
+The search never sees all groups. Digest prefixes divide the order into 65,536 blocks (2**20 from MANY_ROWS rows on),
+whose sums are what the driver holds, beside the groups of single blocks up to MOST_LOADED. Cutting blocks wherever bytes suffice bounds the capacity from
 below, cutting at block borders from above; only the few blocks in which a cut for a capacity between the
 two bounds can lie are then read group by group. Where the cuts go, each row compares its own digest
 with at most shards - 1 literals: no join, no shuffle.
@@ -28,24 +28,27 @@ from pyspark.sql import functions as F
 
 from .common import digest, settled
 
-BLOCK_BITS = 16
+#: Rows from which on blocks have five hex digits of the digest instead of four, and groups held at once.
+MANY_ROWS, MOST_LOADED = 1 << 32, 1 << 20
 
 
 class Order:
     """Block sums on the driver; the groups of single blocks, as (digest, size), fetched where they are needed."""
 
-    def __init__(self, blocks: list[tuple[int, int, int]], fetch: Callable[[list[int]], Iterator[tuple[int, str, int]]]):
-        """blocks: (block, size, largest group), ordered by block; fetch yields (block, digest, size) in order."""
+    def __init__(self, blocks: list[tuple[int, int, int, int]], fetch: Callable[[list[int]], Iterator[tuple[int, str, int]]]):
+        """blocks: (block, size, largest group, groups), ordered by block; fetch yields (block, digest, size) in order."""
         self.blocks, self._fetch, self._groups = blocks, fetch, {}
         self.starts = [0]
-        for _, size, _ in blocks:
+        for _, size, _, _ in blocks:
             self.starts.append(self.starts[-1] + size)
         self.total = self.starts[-1]
-        self.largest = max((x for _, _, x in blocks), default=0)
+        self.largest = max((x for _, _, x, _ in blocks), default=0)
 
     def load(self, places: list[int]) -> None:
         missing = [self.blocks[p][0] for p in places if p not in self._groups]
         if missing:
+            if sum(self.blocks[p][3] for p in self._groups) > MOST_LOADED:
+                self._groups.clear()
             where = {self.blocks[p][0]: p for p in places}
             for place in (where[b] for b in missing):
                 self._groups[place] = ([], [self.starts[place]])
@@ -108,10 +111,9 @@ class Order:
             # greedy loses less than a group at each cut, and no cut lies beyond k * high
             first, last = max(0, k * (low - self.largest)), min(self.total - 1, k * high)
             a, b = bisect_right(self.starts, first) - 1, bisect_right(self.starts, last) - 1
-            if b - a <= 64:
-                near.update(range(a, b + 1))
-        if self.total:
-            self.load(sorted(near))
+            near.update(range(a, b + 1))
+        if self.total and sum(self.blocks[p][3] for p in near) <= MOST_LOADED:
+            self.load(sorted(near))  # in one go; else block by block, as the search comes to them
         while low < high:
             middle = (low + high) // 2
             low, high = (low, middle) if self.fill(middle, shards) else (middle + 1, high)
@@ -141,9 +143,9 @@ def _shard(key: Column, cuts: list[str | None]) -> Column:
     return sum((F.when(key >= F.lit(c), 1).otherwise(0) for c in cuts if c is not None), F.lit(0)).cast("int")
 
 
-def _block(key: Column) -> Column:
-    """The digest's first bits; the null text has the block before all others."""
-    return F.when(key == "-", F.lit(-1)).otherwise(F.conv(F.substring(key, 1, BLOCK_BITS // 4), 16, 10).cast("int"))
+def _block(key: Column, digits: int) -> Column:
+    """The digest's first hex digits; the null text has the block before all others."""
+    return F.when(key == "-", F.lit(-1)).otherwise(F.conv(F.substring(key, 1, digits), 16, 10).cast("int"))
 
 
 def minimax_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,20 +164,21 @@ def minimax_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
         digest(F.col(text_col)).alias("digest"),
     )
     rows = settled(rows)
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).withColumn("block", _block(F.col("digest")))
+    digits = 4 if rows.count() < MANY_ROWS else 5
+    groups = rows.groupBy("digest").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).withColumn("block", _block(F.col("digest"), digits))
     groups = settled(groups)
-    blocks = settled(groups.groupBy("block").agg(F.sum("size").alias("size"), F.max("size").alias("largest"), F.sum("rows").alias("rows")))
+    blocks = settled(groups.groupBy("block").agg(F.sum("size").alias("size"), F.max("size").alias("largest"), F.sum("rows").alias("rows"), F.count("*").alias("groups")))
 
     def fetch(wanted: list[int]) -> Iterator[tuple[int, str, int]]:
         return ((r.block, r.digest, r.size) for r in groups.where(F.col("block").isin(wanted)).select("block", "digest", "size").orderBy("digest").toLocalIterator())
 
-    summed = sorted((r.block, r.size, r.largest, r.rows) for r in blocks.collect())
-    cuts = Order([(b, s, m) for b, s, m, _ in summed], fetch).cuts(shards)
+    summed = sorted((r.block, r["size"], r.largest, r.groups, r["rows"]) for r in blocks.collect())
+    cuts = Order([x[:4] for x in summed], fetch).cuts(shards)
 
     # A group for slots has about this many rows; there are at most twice as many groups as blocks.
-    target = max(1, sum(r for *_, r in summed) >> BLOCK_BITS, 256)
+    target = max(1, sum(r for *_, r in summed) >> 4 * digits, 256)
     salts = blocks.select("block", F.ceil(F.col("rows") / F.lit(target)).cast("int").alias("salts")).where("salts > 1")
-    placed = rows.withColumn("shard", _shard(F.col("digest"), cuts)).withColumn("block", _block(F.col("digest")))
+    placed = rows.withColumn("shard", _shard(F.col("digest"), cuts)).withColumn("block", _block(F.col("digest"), digits))
     placed = placed.join(F.broadcast(salts), "block", "left")
     placed = placed.withColumn("salt", F.pmod(F.xxhash64("id", F.lit("slot")), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
     keys = ["shard", "block", "salt"]

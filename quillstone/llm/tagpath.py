@@ -37,6 +37,7 @@ MARKS = frozenset(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations pager pagination widget widgets tags tagcloud skip hidden".split()
 )
+HEADS = frozenset({"header", "masthead"})
 CLOSED_BY = {
     "p": frozenset(BLOCK - {"html", "body"}),
     "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "tbody", "tfoot", "thead"}),
@@ -54,7 +55,7 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*>|<[a-zA-Z!?/][^>]*\Z",
     re.S | re.I,
 )
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_NAMED = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
@@ -74,8 +75,8 @@ class Block:
     linked: int
 
 
-def _named(more: str) -> tuple[str, bool]:
-    """An element's first class name, and whether its names, role or state leave it out."""
+def _named(more: str, inside: bool) -> tuple[str, bool]:
+    """An element's first class name, and whether its names, role or state leave it out; inside an article its header stays."""
     first, out = "", False
     for name, value in _NAMED.findall(more):
         name, value = name.lower(), value.strip("\"'").lower()
@@ -88,7 +89,7 @@ def _named(more: str) -> tuple[str, bool]:
         else:
             if name == "class" and value:
                 first = value.split()[0] if value.split() else ""
-            out |= any(w in MARKS for w in _WORDS.findall(value))
+            out |= any(w in MARKS and not (inside and w in HEADS) for w in _WORDS.findall(value))
     return first, out
 
 
@@ -168,7 +169,7 @@ def blocks(page: str) -> list[Block]:
             if tag in BLOCK:
                 flush()
             continue
-        first, out = _named(more) if more.strip(" /\n\t\r") else ("", False)
+        first, out = _named(more, _within(holder, ("article", "main"))) if more.strip(" /\n\t\r") else ("", False)
         out |= tag in LEFT_OUT or (tag == "header" and not _within(holder, ("article", "main")))
         out &= tag not in ("html", "body", "article", "main")
         if tag in BLOCK or out:

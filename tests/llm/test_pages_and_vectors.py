@@ -154,3 +154,8 @@ def test_neighbours_with_copies_ties_and_bad_vectors(spark):
     assert adscan.nearest_neighbours(few, F.col("vec_id") % 20 == 0).count() == 4
     assert adscan.nearest_neighbours(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert adscan.nearest_neighbours(vectors.where("vec_id = 180"), F.lit(True)).count() == 0
+
+
+def test_names_of_elements():
+    page = "<article><div class='post-header'><h1>Title</h1></div><p data-id='ad' data-class='menu'>Kept, all of it.</p><div class='ad'>x</div><div hidden>y</div></article>"
+    assert tagpath.main_text(page) == "Title\n\nKept, all of it."
