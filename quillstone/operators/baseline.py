@@ -62,10 +62,10 @@ def baseline_stats(samples: DataFrame, keys: list[str] | None = None) -> DataFra
 def scored(rows: DataFrame, baseline: DataFrame, keys: list[str] | None = None, time_multiple: float = TIME_MULTIPLE, length_multiple: float = LENGTH_MULTIPLE) -> DataFrame:
     """rows with skews, z-scores, anomaly types, reason, score and classification.
 
-    Without keys the baseline is one row, whose bound is proven, and is joined as such.
+    Without keys the baseline is one row, which becomes a scalar subquery: no join is planned.
     """
     base = baseline.select(*(keys or []), "avg_time_ns", "std_time_ns", "avg_length", "std_length", "statuses")
-    joined = rows.join(base, keys, "inner") if keys else rows.join(F.broadcast(base.withColumn("__one", F.lit(1))), F.lit(1) == F.col("__one")).drop("__one")
+    joined = rows.join(base, keys, "inner") if keys else rows.withColumn("__b", base.select(F.struct(*base.columns)).scalar()).select(*rows.columns, "__b.*")
     time, length = F.col("response_time_ns"), F.col("content_length")
     known = F.array_contains("statuses", F.col("status_code"))
     out = joined.withColumns(
@@ -111,8 +111,7 @@ c AS (SELECT *, coalesce(score0, 0) AS score, (a1 IS NOT NULL)::INT + (a2 IS NOT
 
 def _later(rows: DataFrame, samples: DataFrame) -> DataFrame:
     """The rows that arrive after the learning prefix: compared with its last row, which is one value."""
-    last = samples.agg(F.max(F.struct("ts", "seq")).alias("last"), F.lit(1).alias("__one"))
-    return rows.join(F.broadcast(last), F.lit(1) == F.col("__one")).where(F.struct("ts", "seq") > F.col("last")).drop("last", "__one")
+    return rows.where(F.struct("ts", "seq") > samples.agg(F.max(F.struct("ts", "seq"))).scalar())
 
 
 def analysed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
