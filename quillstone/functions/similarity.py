@@ -420,9 +420,7 @@ def html_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def structure_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's structure against the first page's: the baseline is one row."""
     h = simhash_html(spark, sf_dir)
-    first = h.agg(F.min_by("h", "page_id").alias("b"), F.lit(1).alias("__one"))
-    j = h.join(F.broadcast(first), F.lit(1) == F.col("__one"))
-    return j.select("page_id", hamming(F.col("h"), F.col("b")).alias("distance"), simhash_similarity(F.col("h"), F.col("b")).alias("similarity"))
+    return h.withColumn("b", h.agg(F.min_by("h", "page_id")).scalar()).select("page_id", hamming(F.col("h"), F.col("b")).alias("distance"), simhash_similarity(F.col("h"), F.col("b")).alias("similarity"))
 
 
 @R.query("simhash_bytes", f"""WITH g AS (SELECT page_id, substr(encode(url)::BLOB, 1, 1) AS z, i, hex(encode(url)) AS x FROM (SELECT page_id, url, unnest(range(0, greatest(octet_length(encode(url)) - 3, 1))) AS i FROM pages)),

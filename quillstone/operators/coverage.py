@@ -110,11 +110,10 @@ def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 def corpus_minimise(entries: DataFrame) -> DataFrame:
     """Entries that stay: those with edges, seeds, favoured ones, and the best (most edges, then hash), which becomes favoured."""
-    best = entries.agg(F.max_by("hash", F.struct("edges", F.lit(0))).alias("any"), F.max("edges").alias("most"), F.lit(1).alias("__one"))
-    top = entries.join(F.broadcast(best.select("most", "__one")), F.lit(1) == F.col("__one")).where("edges = most").agg(F.min("hash").alias("best"), F.lit(1).alias("__one"))
-    marked = entries.join(F.broadcast(top), F.lit(1) == F.col("__one"))
-    favored = F.col("favored") | (F.col("hash") == F.col("best"))
-    return marked.withColumn("favored", favored).where((F.col("edges") > 0) | F.col("is_seed") | F.col("favored")).drop("best", "__one")
+    per_count = entries.groupBy("edges").agg(F.min("hash").alias("hash"))
+    best = per_count.agg(F.max_by("hash", "edges")).scalar()
+    favored = F.col("favored") | (F.col("hash") == best)
+    return entries.withColumn("favored", favored).where((F.col("edges") > 0) | F.col("is_seed") | F.col("favored"))
 
 
 def corpus_stats(entries: DataFrame) -> DataFrame:

@@ -234,15 +234,14 @@ def status_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def params_times_payloads(urls: DataFrame, payloads: DataFrame, id_col: str, url_col: str) -> DataFrame:
     """(id, param, payload) for each parameter of each url and each row of a caller's list.
 
-    The list is a dimension whose size the caller states; it is gathered once into an array per url by an
-    equi-join on a constant, so that no nested-loop join is planned.
+    The list is a dimension whose size the caller states; it is gathered once, as a scalar subquery, so that no
+    nested-loop join is planned.
     """
     query = F.regexp_extract(url_col, r"\?([^#]*)", 1)
     named = urls.select(id_col, F.explode(F.filter(F.split(query, "&"), lambda x: x != "")).alias("pair"))
     params = named.select(id_col, F.split("pair", "=", 2)[0].alias("param"))
-    listed = payloads.agg(F.sort_array(F.collect_list("payload")).alias("payloads"), F.lit(1).alias("__one"))
-    joined = params.join(F.broadcast(listed), F.lit(1) == F.col("__one"))
-    return joined.select(id_col, "param", F.explode("payloads").alias("payload"))
+    listed = payloads.agg(F.sort_array(F.collect_list("payload"))).scalar()
+    return params.withColumn("payloads", listed).select(id_col, "param", F.explode("payloads").alias("payload"))
 
 
 @R.query("param_payload_product", """SELECT page_id, split_part(pair, '=', 1) AS param, payload FROM (SELECT page_id, unnest(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&')) AS pair FROM pages), (SELECT DISTINCT l_shipmode AS payload FROM (SELECT DISTINCT event_type AS l_shipmode FROM events)) WHERE pair <> ''""")

@@ -28,11 +28,9 @@ def pop_order(tasks: DataFrame) -> DataFrame:
 def weighted_pick(options: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, name): for each target in 0..1 the first option whose cumulative weight share reaches it; options are a dimension."""
     w = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = options.agg(F.sum("weight").alias("total"), F.lit(1).alias("__one"))
-    ranges = options.withColumn("upper", F.sum("weight").over(w)).join(F.broadcast(total), F.lit(1) == F.col("__one"))
-    ladder = ranges.agg(F.sort_array(F.collect_list(F.struct((F.col("upper") / F.col("total")).alias("u"), "name"))).alias("ladder"), F.lit(1).alias("__one"))
-    j = targets.join(F.broadcast(ladder), F.lit(1) == F.col("__one"))
-    return j.select("target", F.get(F.filter("ladder", lambda x: x["u"] >= F.col("target")), F.lit(0))["name"].alias("name"))
+    ranges = options.withColumns({"upper": F.sum("weight").over(w), "total": options.agg(F.sum("weight")).scalar()})
+    ladder = ranges.agg(F.sort_array(F.collect_list(F.struct((F.col("upper") / F.col("total")).alias("u"), "name")))).scalar()
+    return targets.withColumn("ladder", ladder).select("target", F.get(F.filter("ladder", lambda x: x["u"] >= F.col("target")), F.lit(0))["name"].alias("name"))
 
 
 def resident_after(log: DataFrame, capacity: int, keys: list[str] | None = None) -> DataFrame:

@@ -186,8 +186,8 @@ def integer_variants(values: DataFrame, value_col: str, reach: int = 35) -> Data
 
 def dictionary_variants(values: DataFrame, value_col: str, words: DataFrame) -> DataFrame:
     """(value, mode, variant): each entry of the caller's list in place of the value, behind and before it; the list is gathered once."""
-    listed = words.agg(F.sort_array(F.collect_list("word")).alias("__words"), F.lit(1).alias("__one"))
-    one = values.join(F.broadcast(listed), F.lit(1) == F.col("__one")).select(value_col, F.explode("__words").alias("w"))
+    listed = words.agg(F.sort_array(F.collect_list("word"))).scalar()
+    one = values.withColumn("__words", listed).select(value_col, F.explode("__words").alias("w"))
     v = F.col(value_col)
     forms = F.array(F.struct(F.lit("replace").alias("mode"), F.col("w").alias("x")), F.struct(F.lit("append").alias("mode"), F.concat(v, "w").alias("x")), F.struct(F.lit("prepend").alias("mode"), F.concat("w", v).alias("x")))
     return one.select(value_col, F.explode(forms).alias("f")).select(value_col, F.col("f.mode").alias("mode"), F.col("f.x").alias("variant"))

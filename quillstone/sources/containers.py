@@ -103,10 +103,9 @@ def sample_stats(rows: DataFrame, id_col: str, json_col: str = "doc") -> DataFra
 
 
 def daemon_status(containers_: DataFrame, images_: DataFrame, version: str, api_version: str) -> DataFrame:
-    """One row: versions, containers running and in all, images; the counts are joined as two one-row aggregates."""
-    c = containers_.agg(F.count_if(F.col("status") == "running").alias("running"), F.count("*").alias("total"), F.lit(1).alias("__one"))
-    i = images_.agg(F.count("*").alias("images"), F.lit(1).alias("__one"))
-    return c.join(F.broadcast(i), "__one").select(F.lit(True).alias("connected"), F.lit(version).alias("version"), F.lit(api_version).alias("api_version"), "running", "total", "images")
+    """One row: versions, containers running and in all, images; the images are counted in a scalar subquery."""
+    c = containers_.agg(F.count_if(F.col("status") == "running").alias("running"), F.count("*").alias("total"))
+    return c.withColumn("images", images_.agg(F.count("*")).scalar()).select(F.lit(True).alias("connected"), F.lit(version).alias("version"), F.lit(api_version).alias("api_version"), "running", "total", "images")
 
 
 # --- Queries over documents made from the tables ----------------------------------------------------------------
