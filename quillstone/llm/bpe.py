@@ -85,6 +85,7 @@ class MergeList:
 
 
 _NO = (1 << 62, -1)
+_SPACE = regex.compile(r"\s")
 
 
 class Transducer:
@@ -178,9 +179,17 @@ class Tokenizer:
                 yield self.added[part].to_bytes(4, "little")
             elif part:
                 get, missing = self.known.get, self.piece_ids
-                pieces = self.piece.findall(self.normalised(part))
-                for start in range(0, len(pieces), 8192):
-                    yield b"".join([get(p) or missing(p) for p in pieces[start : start + 8192]])
+                for segment in self.segments(part):
+                    yield b"".join([get(p) or missing(p) for p in self.piece.findall(self.normalised(segment))])
+
+    @staticmethod
+    def segments(text: str, most: int = 1 << 16) -> Iterator[str]:
+        """The text in segments that end before white space, which no piece and no composed character crosses; a segment is longer only where there is none."""
+        start = 0
+        while len(text) - start > most and (space := _SPACE.search(text, start + most)):
+            yield text[start : space.start()]
+            start = space.start()
+        yield text[start:]
 
     def encode(self, text: str) -> list[int]:
         return list(memoryview(b"".join(self.id_chunks(text))).cast("I"))
@@ -201,14 +210,16 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def _row(tok: Tokenizer, text: str | None) -> tuple[int, bytes, str, str]:
+def _row(tok: Tokenizer, text: str | None, keep_ids: bool = True) -> tuple[int, bytes, str, str]:
+    """(tokens, ids, hash of the ids, hash of the decoded text), made segment by segment; without keep_ids nothing grows with the text."""
     ids_hash, decoded_hash, count, chunks, names = hashlib.sha256(), hashlib.sha256(), 0, [], tok.names
     for chunk in tok.id_chunks(text or ""):
         ids_hash.update(chunk)
         numbers = memoryview(chunk).cast("I").tolist()
         decoded_hash.update(((" " if count and numbers else "") + " ".join([names[k] for k in numbers])).encode())
         count += len(numbers)
-        chunks.append(chunk)
+        if keep_ids:
+            chunks.append(chunk)
     return count, b"".join(chunks), ids_hash.hexdigest(), decoded_hash.hexdigest()
 
 
@@ -225,7 +236,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         tok = tokenizer(path)
         for batch in batches:
             for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-                rows = [_row(tok, text.as_py()) for text in part.column(1)]
+                rows = [_row(tok, text.as_py(), keep_ids) for text in part.column(1)]
                 arrays = [part.column(0), pa.array([r[0] for r in rows], pa.int64())]
                 names = [id_col, "n_tokens"]
                 if keep_ids:

@@ -322,3 +322,26 @@ def test_pipeline_against_brute_force(spark):
     tok = bpe.tokenizer(queries.vocabulary())
     private = {r.doc_id: r.text for r in pii.pseudonymise(alone).collect()}
     assert all(r.ids == tok.encode(private[r.doc_id]) for r in rows)
+
+
+def test_pipeline_stages_take_odd_and_empty_tables(spark):
+    import corpus_pipeline as C
+
+    odd = frame(spark, ODD)
+    odd = odd.unionByName(odd.limit(3)).unionByName(odd.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    for docs in (odd, odd.limit(0)):
+        for name, stage in C.STAGES:
+            out = stage(spark, docs, SF)
+            rows = out.count()
+            assert rows <= docs.count()
+            if name != "bpe":
+                assert out.columns == docs.columns
+
+
+def test_long_unbroken_and_long_spaced_texts(spark):
+    tok = bpe.tokenizer(queries.vocabulary())
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.vocabulary())
+    for text in ("ab" * 40_000, "word, und Wört's\n" * 20_000, "é " * 70_000 + "́x" * 10):
+        assert tok.encode(text) == library.encode(text, add_special_tokens=False).ids
