@@ -181,15 +181,15 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     rated = marked.withColumn("__rate", rate(F.col("__p"), fitted.steps, most))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor("__rate") + F.when(draw < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
-    # The added 0 is formally not deterministic, which keeps a filter on the copies above this projection: pushed
-    # below, it would spell out and evaluate the posterior once for each use.
-    return rated.withColumn("__copies", (copies + F.monotonically_increasing_id() % 1).cast("int")), fitted
+    return rated.withColumn("__copies", copies.cast("int")), fitted
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", total: float | None = None, most: float | None = None) -> DataFrame:
     """The mixed corpus: docs, each row as often as its copies say."""
     rated, _ = mix(docs, labelled, targets, id_col, text_col, total, most)
-    drawn = rated.where("__copies > 0")
+    # The added 0 is formally not deterministic, which keeps the filter on the copies above this projection: pushed
+    # below, it would spell out and evaluate the posterior once for each use.
+    drawn = rated.withColumn("__copies", (F.col("__copies") + F.monotonically_increasing_id() % 1).cast("int")).where("__copies > 0")
     if most is None or most > 1:
         drawn = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copy")
     return drawn.select(*docs.columns)
