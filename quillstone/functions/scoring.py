@@ -43,14 +43,15 @@ def multiple_text(m: Column) -> Column:
     return F.when(m >= 10, "10+").otherwise(F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string")))
 
 
-def anomaly_reason(types: Column, time_skew: Column, length_skew: Column, status: Column) -> Column:
+def anomaly_reason(types: Column, time_skew: Column, length_skew: Column) -> Column:
     """One phrase for each anomaly, joined by `; `."""
+    text = lambda what, multiple, how: F.concat(F.lit(f"response {what} "), multiple_text(multiple), F.lit(f"x {how} than baseline"))
     phrase = lambda t: (
-        F.when(t == "slow_response", F.concat(F.lit("response "), multiple_text(time_skew), F.lit("x slower than baseline")))
-        .when(t == "fast_response", F.concat(F.lit("response "), multiple_text(1 / time_skew), F.lit("x faster than baseline")))
-        .when(t == "long_response", F.concat(F.lit("response "), multiple_text(length_skew), F.lit("x longer than baseline")))
-        .when(t == "short_response", F.concat(F.lit("response "), multiple_text(1 / length_skew), F.lit("x shorter than baseline")))
-        .otherwise(F.concat(F.lit("unexpected status code "), status.cast("string")))
+        F.when(t == "slow_response", text("time", time_skew, "slower"))
+        .when(t == "fast_response", text("time", 1 / time_skew, "faster"))
+        .when(t == "long_response", text("length", length_skew, "larger"))
+        .when(t == "short_response", text("length", 1 / length_skew, "smaller"))
+        .otherwise(F.lit("unexpected status code"))
     )
     return F.array_join(F.transform(types, phrase), "; ")
 

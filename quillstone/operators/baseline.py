@@ -136,12 +136,12 @@ def analyzer_stats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query("anomaly_reasons", _BASE_SQL + """SELECT seq, concat_ws('; ',
-  CASE WHEN a1 = 'slow_response' THEN 'response ' || CASE WHEN ts_ >= 10 THEN '10+' ELSE CAST(CAST(floor(floor(ts_ * 10) / 10) AS BIGINT) AS VARCHAR) || '.' || CAST(CAST(floor(ts_ * 10) AS BIGINT) % 10 AS VARCHAR) END || 'x slower than baseline'
-       WHEN a1 = 'fast_response' THEN 'response ' || CASE WHEN 1 / ts_ >= 10 THEN '10+' ELSE CAST(CAST(floor(floor(1 / ts_ * 10) / 10) AS BIGINT) AS VARCHAR) || '.' || CAST(CAST(floor(1 / ts_ * 10) AS BIGINT) % 10 AS VARCHAR) END || 'x faster than baseline' END,
-  CASE WHEN a3 IS NOT NULL THEN 'unexpected status code ' || status_code END) AS reason FROM c WHERE n_types > 0""")
+  CASE WHEN a1 = 'slow_response' THEN 'response time ' || CASE WHEN ts_ >= 10 THEN '10+' ELSE CAST(CAST(floor(floor(ts_ * 10) / 10) AS BIGINT) AS VARCHAR) || '.' || CAST(CAST(floor(ts_ * 10) AS BIGINT) % 10 AS VARCHAR) END || 'x slower than baseline'
+       WHEN a1 = 'fast_response' THEN 'response time ' || CASE WHEN 1 / ts_ >= 10 THEN '10+' ELSE CAST(CAST(floor(floor(1 / ts_ * 10) / 10) AS BIGINT) AS VARCHAR) || '.' || CAST(CAST(floor(1 / ts_ * 10) AS BIGINT) % 10 AS VARCHAR) END || 'x faster than baseline' END,
+  CASE WHEN a3 IS NOT NULL THEN 'unexpected status code' END) AS reason FROM c WHERE n_types > 0""")
 def anomaly_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = analysed_events(spark, sf_dir).where(F.size("types") > 0)
-    return rows.select("seq", S.anomaly_reason(F.col("types"), F.col("time_skew"), F.col("length_skew"), F.col("status_code")).alias("reason"))
+    return rows.select("seq", S.anomaly_reason(F.col("types"), F.col("time_skew"), F.col("length_skew")).alias("reason"))
 
 
 @R.query("baseline_stats", f"""WITH {RESPONSES_SQL}, s AS (SELECT *, len(regexp_extract_all(body, '[\\p{{L}}\\p{{Nd}}]+')) AS words FROM responses ORDER BY ts, seq LIMIT 100),

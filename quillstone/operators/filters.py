@@ -21,27 +21,29 @@ R = Registry()
 HIDE_ERRORS = (404, 500, 502, 503, 504)
 SHOW_SUCCESS = (200, 201, 202, 204)
 SHOW_INTERESTING = (200, 201, 301, 302, 400, 401, 403, 405, 500)
-SENSITIVE_PATHS = ("/.git", "/.env", "/admin", "/backup", "/config", "/debug", "/phpinfo", "/server-status", "/swagger")
+SENSITIVE_PATHS = (".git", ".svn", ".env", "config", "backup", "admin", "debug", "test", "phpinfo")
 
 
 def status_filter(status: Column, show: tuple[int, ...] = (), hide: tuple[int, ...] = ()) -> Column:
     """A list of shown codes wins over one of hidden codes."""
     if show:
-        return F.when(~status.isin(*show), F.concat(F.lit("status code "), status.cast("string"), F.lit(" not in show list")))
-    return F.when(status.isin(*hide) if hide else F.lit(False), F.concat(F.lit("status code "), status.cast("string"), F.lit(" in hide list")))
+        return F.when(~status.isin(*show), "status code not in show list")
+    return F.when(status.isin(*hide) if hide else F.lit(False), "status code in hide list")
 
 
-def number_filter(value: Column, name: str, least: int = 0, most: int = 0, exact: tuple[int, ...] = ()) -> Column:
-    """Exact values first, then below the least, then above the most; both bounds are shown, 0 is no bound."""
-    reason = F.when(value.isin(*exact) if exact else F.lit(False), F.lit(f"{name} matches a hidden value"))
-    reason = reason.when((value < least) if least > 0 else F.lit(False), F.lit(f"{name} below {least}"))
-    return reason.when((value > most) if most > 0 else F.lit(False), F.lit(f"{name} above {most}"))
+def number_filter(value: Column, name: str, least: int = 0, most: int = 0, exact: tuple[int, ...] = (), show: tuple[int, ...] = ()) -> Column:
+    """Exact values first, then a list of shown ones, then below the least, then above the most; both bounds are shown, 0 is no bound."""
+    reason = F.when(value.isin(*exact) if exact else F.lit(False), F.lit(f"exact {name} match"))
+    if show:
+        return reason.when(~value.isin(*show), F.lit(f"{name} not in show list"))
+    reason = reason.when((value < least) if least > 0 else F.lit(False), F.lit(f"{name} below minimum"))
+    return reason.when((value > most) if most > 0 else F.lit(False), F.lit(f"{name} above maximum"))
 
 
 def regex_filter(text: Column, pattern: str, show: bool = False) -> Column:
     """Hides texts in which the pattern is found; with show, those in which it is not."""
     found = text.rlike(pattern)
-    return F.when(~found if show else found, F.lit("body does not match pattern" if show else "body matches pattern"))
+    return F.when(~found if show else found, F.lit("pattern not matched" if show else "pattern matched"))
 
 
 def chain_any(filters: dict[str, Column]) -> Column:
@@ -75,9 +77,9 @@ def domain_allowed(url: Column, domains: list[str], exclude: list[str] | None =
 def url_type(url: Column, content_type: Column) -> Column:
     """api, js, static or page, by content type first and then by the url."""
     u = F.lower(url)
-    static = reduce(lambda a, s: a | u.endswith(s), (".css", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".woff", ".woff2", ".ttf"), F.lit(False))
+    static = reduce(lambda a, s: a | u.endswith(s), (".css", ".png", ".jpg", ".gif", ".svg", ".ico", ".woff", ".woff2"), F.lit(False))
     return (
-        F.when(content_type.contains("json"), "api")
+        F.when(content_type.contains("application/json"), "api")
         .when(content_type.contains("javascript"), "js")
         .when(u.contains("/api/") | u.contains("/v1/") | u.contains("/v2/") | u.contains("/graphql"), "api")
         .when(u.endswith(".js"), "js")
@@ -91,39 +93,83 @@ def searched(rows: DataFrame, term: str, columns: list[str]) -> DataFrame:
     return rows.where(reduce(lambda a, b: a | b, [F.lower(F.col(c)).contains(term.lower()) for c in columns]))
 
 
+def query_params(url: Column) -> Column:
+    """The url's parameters as an array of (name, value)."""
+    pairs = F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda x: x != "")
+    return F.transform(pairs, lambda x: F.struct(F.regexp_extract(x, "^[^=]*", 0).alias("name"), F.regexp_extract(x, "=(.*)$", 1).alias("value")))
+
+
 def findings(rows: DataFrame, rules: list[dict], id_col: str) -> DataFrame:
-    """One row for each rule that a row meets: (id, rule, severity, cwe).
+    """(id, rule, evidence, severity, cwe, cvss, confidence): what the rules find in each row's url, its parameters and its body.
 
-    A rule names a column and tokens; the small rule table is unrolled into literals, so one scan tests all rules.
+    A rule on parameters finds each whose name, in lower case, holds one of its tokens (or whose value starts with
+    `value_start`); one on a text finds it once, or with `each` once per token that it holds. The small rule table is
+    unrolled into literals, so one scan tests all rules.
     """
     made = []
     for rule in rules:
-        text = F.lower(F.col(rule["column"])) if rule.get("fold", True) else F.col(rule["column"])
-        hit = reduce(lambda a, b: a | b, [text.startswith(t) if rule.get("start") else text.contains(t) for t in rule["tokens"]])
-        made.append(F.when(hit, F.struct(F.lit(rule["rule"]).alias("rule"), F.lit(rule["severity"]).alias("severity"), F.lit(rule["cwe"]).alias("cwe"))))
-    met = rows.select(id_col, F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("f"))
-    return met.select(id_col, "f.rule", "f.severity", "f.cwe")
+        tokens = rule["tokens"]
+        if rule["on"] == "params":
+            found = F.transform(F.filter(query_params(F.col(rule["column"])), _either(tokens, rule.get("value_start"))), lambda p: p["name"])
+        else:
+            text = F.lower(F.col(rule["column"])) if rule.get("fold") else F.col(rule["column"])
+            held = F.filter(F.array(*[F.lit(t) for t in tokens]), _starting(text) if rule.get("start") else _holding(text))
+            found = held if rule.get("each") else F.slice(held, 1, 1)
+        made.append(F.transform(found, _finding(rule)))
+    met = rows.select(id_col, F.explode(F.flatten(F.array(*made))).alias("f"))
+    return met.select(id_col, "f.rule", "f.evidence", "f.severity", "f.cwe", "f.cvss", "f.confidence")
+
+
+def _either(tokens: tuple[str, ...], start: str | None):
+    def test(p: Column) -> Column:
+        named = reduce(lambda a, b: a | b, [F.lower(p["name"]).contains(t) for t in tokens])
+        return named | p["value"].startswith(start) if start else named
+
+    return test
+
+
+def _starting(text: Column):
+    return lambda t: text.startswith(t)
+
+
+def _holding(text: Column):
+    return lambda t: text.contains(t)
+
+
+def _finding(rule: dict):
+    def build(evidence: Column) -> Column:
+        fixed = [F.lit(rule[k]).alias(k) for k in ("rule", "severity", "cwe", "cvss", "confidence")]
+        return F.struct(evidence.alias("evidence"), *fixed)
+
+    return build
 
 
-#: The metadata rules: column, tokens, and what a hit means.
+#: The metadata rules, with what a hit means.
 RULES = [
-    {"rule": "plain_http", "column": "url", "tokens": ("http://",), "start": True, "severity": "medium", "cwe": "CWE-319"},
-    {"rule": "login_url", "column": "url", "tokens": ("login", "signin", "auth"), "severity": "info", "cwe": "CWE-287"},
-    {"rule": "url_parameter", "column": "url", "tokens": ("url=", "uri=", "redirect=", "ref=", "next=", "dest="), "severity": "medium", "cwe": "CWE-918"},
-    {"rule": "id_parameter", "column": "url", "tokens": ("id=", "user=", "account=", "page="), "severity": "low", "cwe": "CWE-639"},
-    {"rule": "command_parameter", "column": "url", "tokens": ("cmd=", "exec=", "command=", "run="), "severity": "high", "cwe": "CWE-78"},
-    {"rule": "sensitive_path", "column": "url", "tokens": SENSITIVE_PATHS, "severity": "medium", "cwe": "CWE-16"},
-    {"rule": "xml_body", "column": "html", "tokens": ("<?xml", "<!doctype"), "start": True, "severity": "low", "cwe": "CWE-611"},
-    {"rule": "serialized_body", "column": "html", "tokens": ("rO0AB", "aced0005", "O:8:", "__reduce__"), "fold": False, "severity": "high", "cwe": "CWE-502"},
+    {"rule": "ssrf", "on": "params", "column": "url", "tokens": ("url", "uri", "path", "src", "href"), "value_start": "http", "severity": "high", "cwe": "CWE-918", "cvss": 8.6, "confidence": 0.5},
+    {"rule": "idor", "on": "params", "column": "url", "tokens": ("id", "uid", "user", "account"), "severity": "high", "cwe": "CWE-639", "cvss": 7.5, "confidence": 0.4},
+    {"rule": "os_command", "on": "params", "column": "url", "tokens": ("cmd", "exec", "command", "run", "ping", "host"), "severity": "critical", "cwe": "CWE-78", "cvss": 9.8, "confidence": 0.6},
+    {"rule": "authentication", "on": "text", "column": "url", "fold": True, "tokens": ("login", "auth", "signin"), "severity": "high", "cwe": "CWE-287", "cvss": 7.5, "confidence": 0.5},
+    {"rule": "misconfiguration", "on": "text", "column": "url", "fold": True, "each": True, "tokens": SENSITIVE_PATHS, "severity": "medium", "cwe": "CWE-200", "cvss": 5.3, "confidence": 0.4},
+    {"rule": "cryptographic", "on": "text", "column": "url", "start": True, "tokens": ("http://",), "severity": "medium", "cwe": "CWE-319", "cvss": 5.9, "confidence": 1.0},
+    {"rule": "deserialization", "on": "text", "column": "html", "each": True, "tokens": ("rO0AB", "O:", "@type", "__class__"), "severity": "critical", "cwe": "CWE-502", "cvss": 8.1, "confidence": 0.5},
+    {"rule": "xxe", "on": "text", "column": "html", "tokens": ("<?xml", "<"), "severity": "high", "cwe": "CWE-611", "cvss": 7.5, "confidence": 0.5},
 ]
 
 
 def _rules_sql() -> str:
     parts = []
-    for rule in RULES:
-        text = f"lower({rule['column']})" if rule.get("fold", True) else rule["column"]
-        hit = " OR ".join(f"{'starts_with' if rule.get('start') else 'contains'}({text}, '{t}')" for t in rule["tokens"])
-        parts.append(f"SELECT page_id, '{rule['rule']}' AS rule, '{rule['severity']}' AS severity, '{rule['cwe']}' AS cwe FROM pages WHERE {hit}")
+    for r in RULES:
+        fixed = f"'{r['rule']}' AS rule, {{e}} AS evidence, '{r['severity']}' AS severity, '{r['cwe']}' AS cwe, {r['cvss']}::DOUBLE AS cvss, {r['confidence']}::DOUBLE AS confidence"
+        if r["on"] == "params":
+            hit = " OR ".join(f"contains(lower(n), '{t}')" for t in r["tokens"]) + (f" OR starts_with(v, '{r['value_start']}')" if r.get("value_start") else "")
+            parts.append(f"SELECT page_id, {fixed.format(e='n')} FROM (SELECT page_id, regexp_extract(x, '^[^=]*') AS n, regexp_extract(x, '=(.*)$', 1) AS v FROM (SELECT page_id, unnest(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&')) AS x FROM pages) WHERE x <> '') WHERE {hit}")
+        else:
+            text = f"lower({r['column']})" if r.get("fold") else r["column"]
+            test = "starts_with" if r.get("start") else "contains"
+            tokens = ", ".join(f"('{t}', {k})" for k, t in enumerate(r["tokens"]))
+            once = "" if r.get("each") else " QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY k) = 1"
+            parts.append(f"SELECT page_id, {fixed.format(e='t')} FROM (SELECT page_id, t, k FROM pages, (VALUES {tokens}) x(t, k) WHERE {test}({text}, t){once})")
     return " UNION ALL ".join(parts)
 
 
@@ -151,12 +197,12 @@ def filter_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("filter_words", "SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\\p{L}\\p{Nd}]+')) BETWEEN 50 AND 500")
 def filter_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).where(number_filter(word_count(F.col("text")), "words", least=50, most=500).isNull()).select("doc_id")
+    return docs(spark, sf_dir).where(number_filter(word_count(F.col("text")), "word count", least=50, most=500).isNull()).select("doc_id")
 
 
 @R.query("filter_lines", "SELECT doc_id FROM documents WHERE octet_length(encode(text)) = 0 OR length(text) - length(replace(text, chr(10), '')) + 1 <= 5")
 def filter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).where(number_filter(line_count(F.col("text")), "lines", most=5).isNull()).select("doc_id")
+    return docs(spark, sf_dir).where(number_filter(line_count(F.col("text")), "line count", most=5).isNull()).select("doc_id")
 
 
 @R.query("filter_regex", "SELECT page_id FROM pages WHERE NOT regexp_matches(html, '(?i)<footer>[^<]*example\\.org')")
@@ -177,8 +223,8 @@ def _chain() -> dict[str, Column]:
     }
 
 
-_CHAIN_SQL = """c AS (SELECT seq, CASE WHEN status_code IN (404, 500, 502, 503, 504) THEN 'status code ' || status_code || ' in hide list' END AS f1,
- CASE WHEN content_length < 8 THEN 'length below 8' END AS f2, CASE WHEN regexp_matches(body, '"k": 1') THEN 'body matches pattern' END AS f3 FROM responses)"""
+_CHAIN_SQL = """c AS (SELECT seq, CASE WHEN status_code IN (404, 500, 502, 503, 504) THEN 'status code in hide list' END AS f1,
+ CASE WHEN content_length < 8 THEN 'length below minimum' END AS f2, CASE WHEN regexp_matches(body, '"k": 1') THEN 'pattern matched' END AS f3 FROM responses)"""
 
 
 @R.query("filter_chain_any", f"WITH {RESPONSES_SQL}, {_CHAIN_SQL} SELECT CASE WHEN f1 IS NOT NULL THEN 'status' WHEN f2 IS NOT NULL THEN 'length' WHEN f3 IS NOT NULL THEN 'regex' END AS name, coalesce(f1, f2, f3) AS reason, count(*) AS n FROM c GROUP BY 1, 2")
@@ -199,8 +245,8 @@ def url_domain_allow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(
     "url_type_counts",
-    """SELECT CASE WHEN contains(ct, 'json') THEN 'api' WHEN contains(ct, 'javascript') THEN 'js' WHEN contains(u, '/api/') OR contains(u, '/v1/') OR contains(u, '/v2/') OR contains(u, '/graphql') THEN 'api'
- WHEN ends_with(u, '.js') THEN 'js' WHEN regexp_matches(u, '\\.(css|png|jpg|jpeg|gif|svg|ico|woff|woff2|ttf)$') THEN 'static' ELSE 'page' END AS url_type, count(*) AS n
+    """SELECT CASE WHEN contains(ct, 'application/json') THEN 'api' WHEN contains(ct, 'javascript') THEN 'js' WHEN contains(u, '/api/') OR contains(u, '/v1/') OR contains(u, '/v2/') OR contains(u, '/graphql') THEN 'api'
+ WHEN ends_with(u, '.js') THEN 'js' WHEN regexp_matches(u, '\\.(css|png|jpg|gif|svg|ico|woff|woff2)$') THEN 'static' ELSE 'page' END AS url_type, count(*) AS n
  FROM (SELECT lower(url || CASE page_id % 5 WHEN 0 THEN '/api/x' WHEN 1 THEN '.css' WHEN 2 THEN '.js' ELSE '' END) AS u, CASE WHEN page_id % 7 = 0 THEN 'application/json' ELSE 'text/html' END AS ct FROM pages) GROUP BY 1""",
 )
 def url_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,9 +261,9 @@ def metadata_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(pages(spark, sf_dir), RULES, "page_id")
 
 
-@R.query("misconfig_findings", f"SELECT severity, cwe, count(*) AS n FROM ({_rules_sql()}) WHERE rule IN ('plain_http', 'sensitive_path') GROUP BY 1, 2")
+@R.query("misconfig_findings", f"SELECT severity, cwe, count(*) AS n FROM ({_rules_sql()}) WHERE rule IN ('cryptographic', 'misconfiguration') GROUP BY 1, 2")
 def misconfig_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = [r for r in RULES if r["rule"] in ("plain_http", "sensitive_path")]  # as a checker list enables some of all
+    chosen = [r for r in RULES if r["rule"] in ("cryptographic", "misconfiguration")]  # as a checker list enables some of all
     return findings(pages(spark, sf_dir), chosen, "page_id").groupBy("severity", "cwe").agg(F.count("*").alias("n"))
 
 

@@ -86,7 +86,7 @@ def test_urls(spark):
     allowed = filters.domain_allowed(F.col("u"), ["example.com"], [r"\.pdf$", "/admin/"])
     assert values(spark, ["http://example.com/page", "http://sub.example.com/", "http://other.com/", "http://example.com/f.pdf", "http://example.com/admin/x", "http://notexample.com/"], "u string", allowed) == [True, True, False, False, False, False]
     kind = filters.url_type(F.col("u"), F.col("c"))
-    assert values(spark, [("/x", "application/json"), ("/x", "text/javascript"), ("/v1/data", ""), ("style.css", ""), ("/page", "text/html")], "u string, c string", kind) == ["api", "js", "api", "static", "page"]
+    assert values(spark, [("/x", "application/json; charset=utf-8"), ("/x", "text/javascript"), ("/v1/data", ""), ("style.css", ""), ("/page", "text/html")], "u string, c string", kind) == ["api", "js", "api", "static", "page"]
     base = "http://example.com/dir/"
     assert [extract.resolved(base, x) for x in ("/other", "file.html", "http://a/b", "#x", "javascript:1", "mailto:a", "../up", "", None)] == ["http://example.com/other", base + "file.html", "http://a/b", "", "", "", "http://example.com/up", "", ""]
 
