@@ -9,6 +9,10 @@ moves a document's rate by the inner product of its posterior with one small vec
 rate is a short expression over the posterior and no rates are stored or shuffled: each round is one sum
 over (tokens, posterior).
 
+A domain of weight 0 is unwanted: documents that belong to unwanted domains, more likely than not or by full
+evidence, have rate 0, and all others are fitted to the other domains' targets alone, so that unwanted tokens, however few, never
+lower the rate of wanted ones.
+
 The classifier is a naive Bayes model over indicator words: for each domain but the first, the words that its
 documents hold significantly more often than the others', at most WORDS of them, counted over a bounded sample of
 labelled rows. Their log ratios are short constants in the plan. Everything is DataFrame operations.
@@ -129,11 +133,34 @@ def rate(posterior: Column, steps: tuple[tuple[float, ...], ...], most: float |
     return found
 
 
+def shares(targets: dict[str, float], domains: tuple[str, ...]) -> np.ndarray:
+    """The weights of the domains, scaled to 1; equal ones where none is wanted."""
+    weights = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
+    return weights / weights.sum() if weights.sum() else np.full(len(domains), 1 / max(1, len(domains)))
+
+
+def unwanted(posterior: Column, targets: dict[str, float], model: Classifier) -> Column | None:
+    """Whether a document belongs to domains of weight 0; None where there is no such domain.
+
+    It does if that is more likely than not, or if its words hold all the evidence that counts (MOST_EVIDENCE), which
+    a scarce domain's prior would outweigh.
+    """
+    out = [d for d, w in enumerate(shares(targets, model.domains)) if not w]
+    if not out:
+        return None
+    likely = sum((F.element_at(posterior, d + 1) for d in out), F.lit(0.0)) > 0.5
+    proven = [F.ln(F.element_at(posterior, d + 1) / F.element_at(posterior, 1)) - model.priors[d] > MOST_EVIDENCE - 1e-6 for d in out if 0 not in out]
+    for x in proven:
+        likely = likely | x
+    return likely
+
+
 def fit_rates(posteriors: DataFrame, model: Classifier, targets: dict[str, float], total: float | None = None, most: float | None = None, rounds: int = 30, tolerance: float = 1e-6) -> Mixture:
     """The steps whose rates bring the expected totals of rows (tokens, p) to the targets.
 
     targets are weights; those of unknown domains are left out and the rest scaled to 1. total is the wanted number
     of tokens; if None, the largest one that no domain's own tokens fall short of, so that nothing needs repeating.
+    Domains of weight 0 take no part in the fit: rows are to come without the unwanted ones.
     """
     n = len(model.domains)
     sums = [F.sum(F.col("tokens") * F.element_at("p", d + 1)) for d in range(n)]
@@ -144,20 +171,21 @@ def fit_rates(posteriors: DataFrame, model: Classifier, targets: dict[str, float
     before, a = first[:n], np.zeros((n, n))
     for (d, e), x in zip(pairs, first[n:]):
         a[d, e] = a[e, d] = x
-    weights = np.array([max(0.0, targets.get(d, 0.0)) for d in model.domains])
-    weights = weights / weights.sum() if weights.sum() else np.full(n, 1 / max(1, n))
+    weights = shares(targets, model.domains)
+    asked = weights > 0
     if total is None:
         total = min((b / w for b, w in zip(before, weights) if w > 0), default=0.0)
-    wanted, inverse, steps, reached = weights * total, np.linalg.pinv(a), [], before
+    wanted, inverse, steps, reached = weights * total, np.linalg.pinv(a * np.outer(asked, asked)), [], before
+    missed = lambda reached: np.abs(reached - wanted)[asked].sum()
     for _ in range(rounds):
-        if not before.sum() or np.abs(reached - wanted).sum() <= tolerance * max(1.0, wanted.sum()):
+        if not before.sum() or missed(reached) <= tolerance * max(1.0, wanted.sum()):
             break
         steps.append(tuple(float(x) for x in inverse @ (reached - wanted)))
         r = rate(F.col("p"), tuple(steps), most)
         rated = posteriors.select((r * F.col("tokens")).alias("rt"), "p")
         row = rated.agg(*[F.sum(F.col("rt") * F.element_at("p", d + 1)).alias(f"s{d}") for d in range(n)]).first()
         now = np.array([x or 0.0 for x in row])
-        if np.abs(now - wanted).sum() > 0.999 * np.abs(reached - wanted).sum():
+        if missed(now) > 0.999 * missed(reached):
             reached = now
             break  # clipped rates cannot come nearer
         reached = now
@@ -169,7 +197,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
 
     A document's copies are its rate, rounded up or down by a hash of its id so that their expectation is the rate.
     A null or empty text has no tokens and the prior as posterior; repeated rows share posterior, rate and
-    rounding; docs may have any further columns. Without any labelled document every rate is 1. No rows give no rows.
+    rounding; docs may have any further columns. Documents of unwanted domains, those of weight 0, have rate 0. Without any labelled document every rate is 1. No rows give no rows.
     """
     model = train_classifier(docs, labelled, list(targets), id_col, text_col)
     if not model.domains:
@@ -177,8 +205,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
         return plain, None
     marked = with_posterior(docs, model, text_col)
     compact = settled(marked.select(F.col("__tokens").alias("tokens"), F.col("__p").alias("p")))
-    fitted = fit_rates(compact, model, targets, total, most)
-    rated = marked.withColumn("__rate", rate(F.col("__p"), fitted.steps, most))
+    refused = unwanted(F.col("p"), targets, model)
+    fitted = fit_rates(compact if refused is None else compact.where(~refused), model, targets, total, most)
+    refused, rates = unwanted(F.col("__p"), targets, model), rate(F.col("__p"), fitted.steps, most)
+    rated = marked.withColumn("__rate", rates if refused is None else F.when(refused, 0.0).otherwise(rates))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor("__rate") + F.when(draw < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
     return rated.withColumn("__copies", copies.cast("int")), fitted

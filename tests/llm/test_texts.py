@@ -276,6 +276,21 @@ def test_mixing_odd_inputs(spark):
     assert out.columns == docs.columns and out.count() <= len(ODD)
 
 
+def test_pipeline_mixing_drops_toxic_and_never_thins_clean(spark):
+    """With all toxic documents, with 1 % and with hardly any: the clean ones stay and the toxic ones go."""
+    import corpus_pipeline as C
+
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").select("doc_id", "toxic")
+    rows = [(r.doc_id, r.text, r.toxic) for r in spark.read.parquet(f"{sf}/documents.parquet").join(labels, "doc_id").orderBy("doc_id").collect()]
+    clean, toxic = [r for r in rows if not r[2]], [r for r in rows if r[2]]
+    for share, least in ((1.0, 0.8), (0.01, 0.5), (0.001, 0.0)):
+        some = toxic if share == 1.0 else toxic[: max(1, round(share * len(clean)))]
+        kept = {r.doc_id for r in C.mixing(spark, spark.createDataFrame(clean + some, "doc_id long, text string, toxic int"), sf).collect()}
+        assert sum(r[0] in kept for r in clean) >= 0.99 * len(clean)
+        assert sum(r[0] not in kept for r in some) >= least * len(some), share
+
+
 @pytest.mark.parametrize("name", ["quality", "simhash", "pii", "shards", "bpe", "language"])
 def test_empty_tables_give_no_rows(spark, name):
     docs = frame(spark, ODD).limit(0)
