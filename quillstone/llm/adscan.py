@@ -2,7 +2,8 @@
 
 Inner products become distances by one more component, sqrt(M**2 - |x|**2) for candidates (M: the largest norm) and
 0 for queries. Vectors are spread over lists by k-means centroids, fitted on a bounded sample; every row is indexed.
-Each query probes its nearest lists. Inside a list, vectors are rotated by a random orthogonal matrix and
+Each query probes its nearest lists: so many that, of the true neighbours of a bounded number of trial queries,
+found by comparing these with every row, the wanted share lies in the probed lists. Inside a list, vectors are rotated by a random orthogonal matrix and
 kept in column blocks; after each block a hypothesis test on the partial distance, which the rotation makes
 an estimate of the whole, abandons candidates that cannot be among the k nearest with high confidence. What
 survives is scored exactly, in double precision on the original vectors. (Gao and Long, "High-dimensional approximate
@@ -16,7 +17,7 @@ size. No vector leaves its list's block, and the driver holds the sample and one
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,9 @@ class Parameters:
     anchors: int = 2_048  # rows of the sample that give each query its first threshold
     rows_per_list: int = 512
     most_lists: int = 1_024
-    probes: int = 24
+    probes: int = 24  # at least; raised until the trial queries' recall is reached
+    trials: int = 128  # queries that are compared with every row to choose the probes
+    recall: float = 0.95  # of the trial queries; the margin above 0.9 is for the others and for the adaptive test
     column_block: int = 16
     epsilon: float = 2.1  # the test's confidence, as in the paper
     block: int = 8_192
@@ -131,6 +134,47 @@ def _placed(rows: DataFrame, index: Index) -> DataFrame:
     return rows.select("id", "vector").mapInArrow(place, "id long, list int, data binary")
 
 
+def probes_for_recall(placed: DataFrame, asking: DataFrame, index: Index) -> int:
+    """The least number of probes, but no fewer than the parameter, that reaches the recall on the trial queries.
+
+    Trial queries are rows of asking (id, vector), chosen by a hash; they meet every row of placed once.
+    """
+    p = index.parameters
+    if len(index.centroids) <= p.probes:
+        return p.probes
+    trials = asking.orderBy(F.xxhash64("id", F.lit("trial")), "id").limit(p.trials).select("id", "vector").toArrow()
+    if not len(trials):
+        return p.probes
+    names = trials.column(0).to_numpy()
+    q = np.array(trials.column(1).to_pylist(), np.float64)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k best rows of the partition for each trial query."""
+        best = [np.empty((len(q), 0)), np.empty((len(q), 0), np.int64), np.empty((len(q), 0), np.int32)]
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(-1, index.width)
+            for k in range(0, len(x), 4096):
+                ids, lists = (batch.column(c).to_numpy()[k : k + 4096] for c in (0, 1))
+                scores = np.where(names[:, None] == ids, -np.inf, q @ x[k : k + 4096].T)
+                best = [np.concatenate([b, np.broadcast_to(y, scores.shape)], axis=1) for b, y in zip(best, (scores, ids, lists))]
+                if best[0].shape[1] > p.k:
+                    top = np.argpartition(-best[0], p.k - 1, axis=1)[:, : p.k]
+                    best = [np.take_along_axis(b, top, axis=1) for b in best]
+        query = np.repeat(np.arange(len(q), dtype=np.int32), best[0].shape[1])
+        there = np.isfinite(best[0].ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(c[there]) for c in (query, *(b.ravel() for b in best))], names=["query", "score", "id", "list"])
+
+    found = placed.select("id", "list", "data").mapInArrow(scored, "query int, score double, id long, list int")
+    nearest = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("n") <= p.k)
+    true = nearest.select("query", "list").toArrow()  # trials * k rows at most
+    if not len(true):
+        return p.probes
+    away = (index.centroids**2).sum(axis=1) - 2 * index.lifted(q, True) @ index.centroids.T
+    places = np.argsort(np.argsort(away, axis=1, kind="stable"), axis=1)
+    needed = np.sort(places[true.column(0).to_numpy(), true.column(1).to_numpy()]) + 1
+    return max(p.probes, int(needed[int(np.ceil(p.recall * len(needed))) - 1]))
+
+
 def _routed(queries: DataFrame, index: Index) -> DataFrame:
     """(list, block, part, id, data, limit) for each query and each block of each list that it probes."""
     p, (blocks, parts) = index.parameters, index.blocks()
@@ -237,6 +281,8 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, id_col: str = "vec_i
     placed = settled(_placed(candidates, index))
     counts = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}
     index.counts = np.array([counts.get(k, 0) for k in range(len(index.centroids))])
+    asking = rows.where("asks")
+    index.parameters = replace(p, probes=probes_for_recall(placed, asking, index))
     blocks, parts = index.blocks()
 
     def looked_up(values: np.ndarray) -> Column:
@@ -246,7 +292,6 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, id_col: str = "vec_i
             return F.lit(1)
         return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in special.items() for x in pair]), F.col("list")), F.lit(1))
 
-    asking = rows.where("asks")
     distinct = asking.groupBy("vector").agg(F.min("id").alias("id"))
     routed = _routed(distinct, index)
     dealt = placed.withColumn("block", F.pmod(F.xxhash64("id"), looked_up(blocks)).cast("int"))

@@ -159,3 +159,18 @@ def test_neighbours_with_copies_ties_and_bad_vectors(spark):
 def test_names_of_elements():
     page = "<article><div class='post-header'><h1>Title</h1></div><p data-id='ad' data-class='menu'>Kept, all of it.</p><div class='ad'>x</div><div hidden>y</div></article>"
     assert tagpath.main_text(page) == "Title\n\nKept, all of it."
+
+
+def test_recall_holds_with_many_more_lists_than_probes(spark):
+    """Vectors without any cluster structure, 375 lists: 24 probes would find less than half of the neighbours."""
+    x = np.random.default_rng(3).normal(size=(6000, 64))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in adscan.nearest_neighbours(rows, F.col("vec_id") % 30 == 0, parameters=adscan.Parameters(rows_per_list=16)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for k in range(0, len(x), 30):
+        scores = x @ x[k]
+        scores[k] = -np.inf
+        hits += len(got[k] & set(np.argsort(-scores)[:20].tolist()))
+    assert hits >= 0.9 * 20 * len(got), hits / (20 * len(got))
