@@ -483,3 +483,27 @@ def length_ratio_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     s = length_similarity(F.length("html"), F.lit(3000))
     return pages(spark, sf_dir).select("page_id", ((F.length("html") != 3000) | (s < 0.9)).alias("differs"), s.alias("similarity"))
+
+
+# The same over whole documents and whole pages. Hashing these byte by byte is too slow in SQL.
+
+
+@R.query("word_ngrams_documents")
+def word_ngrams_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs(spark, sf_dir).select("doc_id", F.posexplode(word_ngrams(F.col("text"))).alias("k", "gram"))
+    return d.select("doc_id", (F.col("k") + 1).cast("bigint").alias("place"), "gram")
+
+
+@R.query("simhash_text_documents")
+def simhash_text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", simhash_text(F.col("text")).alias("h"))
+
+
+@R.query("content_fingerprint_html")
+def content_fingerprint_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", F.md5("html").alias("md5"), F.octet_length("html").alias("size"), fnv32(F.col("html")).alias("fnv32"))
+
+
+@R.query("simhash_bytes_html")
+def simhash_bytes_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", simhash_bytes(F.col("html")).alias("h"))

@@ -351,3 +351,36 @@ def test_event_time_stream_drops_late_rows(spark, tmp_path):
     out.awaitTermination()
     first = spark.table("late").orderBy("window").first()
     assert (first.n, first.success, first.sum_ns) == (2, 1, 12)
+
+
+def test_fingerprints_of_whole_documents_and_pages(spark, tmp_path):
+    """Against byte-by-byte hashing: long texts and pages, and the shortest ones."""
+    import hashlib
+    import random
+
+    from quillstone import catalogue
+
+    def fnv(data, start, prime, bits):
+        for b in data:
+            start = (start ^ b) * prime % (1 << bits)
+        return start
+
+    def vote(features, least):
+        hashes = [fnv(f, 14695981039346656037, 1099511628211, 64) for f in features]
+        h = sum(1 << b for b in range(64) if sum(1 if x >> b & 1 else -1 for x in hashes) >= least)
+        return h - (1 << 64) if h >> 63 else h
+
+    rng = random.Random(8)
+    made = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    texts = dict(enumerate([made(900), made(40), made(2)]))
+    htmls = {k: f"<html><body><p>{t}</p></body></html>" for k, t in texts.items()} | {9: "ab"}
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, "http://same.example/", h) for k, h in htmls.items()], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    run = lambda name: catalogue.queries()[name](spark, str(tmp_path)).collect()
+
+    grams = {k: [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or w for k, w in ((k, t.split()) for k, t in texts.items())}
+    assert {(r.doc_id, r.place): r.gram for r in run("word_ngrams_documents")} == {(k, i): g for k, gs in grams.items() for i, g in enumerate(gs, 1)}
+    assert {r.doc_id: r.h for r in run("simhash_text_documents")} == {k: vote([g.encode() for g in gs], 1) for k, gs in grams.items()}
+    data = {k: h.encode() for k, h in htmls.items()}
+    assert {r.page_id: (r.md5, r["size"], r.fnv32) for r in run("content_fingerprint_html")} == {k: (hashlib.md5(d).hexdigest(), len(d), fnv(d, 2166136261, 16777619, 32)) for k, d in data.items()}
+    assert {r.page_id: r.h for r in run("simhash_bytes_html")} == {k: vote([d[i : i + 4] for i in range(max(1, len(d) - 3))], 0) for k, d in data.items()}
