@@ -32,8 +32,10 @@ PATTERNS = {
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
 }
+#: A credential's name with its sign.
+CREDENTIAL_NAME = PATTERNS["credential"].partition("[=:]")[0] + "[=:]"
 #: A text without any of these holds no value.
-MAY_HOLD = r"[0-9@]|A[KS]IA|(?i:pass|secret|token|key)[^=:]{0,8}[=:]"
+MAY_HOLD = r"[0-9@]|A[KS]IA|" + CREDENTIAL_NAME
 #: Years of one Gregorian cycle: 146,097 days, the product of the two radices.
 FIRST_YEAR, DAYS_LEFT, DAYS_RIGHT = 1800, 189, 773
 

@@ -177,6 +177,14 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(pii.pseudonymise(row).select("doc_id", "text")).where("n_replaced = 1").count() == 2
 
 
+def test_padded_credentials_are_found(spark):
+    """Texts without a digit or an @, with any run of blanks before the sign."""
+    texts = ["secret" + " " * 12 + "= correcthorsebattery", "passphrase\t\t\t : hunterhunter", "access_key" + " " * 30 + "=abcdefghijkl", "password = hunterhunter", "a secret is no token of any key"]
+    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, texts)).collect()}
+    assert [got[k].n_replaced for k in range(len(texts))] == [1, 1, 1, 1, 0]
+    assert [got[k].text != t for k, t in enumerate(texts)] == [True] * 4 + [False]
+
+
 def test_permutations_are_bijective(spark):
     numbers = spark.range(0, 189 * 773).select(pii.feistel_number(F.col("id"), 189, 773, "k", "date").alias("x"))
     assert numbers.agg(F.count_distinct("x"), F.min("x"), F.max("x")).first()[:] == (189 * 773, 0, 189 * 773 - 1)
