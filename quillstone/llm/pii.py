@@ -7,24 +7,40 @@ values get equal pseudonyms in every document, whatever their separators, and di
 ones. Checksums are computed anew, so that a pseudonym passes the validation its original passed.
 What fails validation stays as it is, and so does all other text.
 
-Everything is SQL functions over one row at a time: no shuffle, no Python. Texts without a digit, an @ or
-a credential's prefix are passed through after one scan.
+Everything is SQL functions over one row at a time: no shuffle, no Python. Texts that hold none of the signs that
+every value has (MAY_HOLD) are passed through after one scan. No pattern repeats a group without a bound, so that
+the length of a text costs time in proportion and no stack; values of any length are permuted in pieces.
+
+A pseudonym can be undone by whoever has the key. It is the caller's, or the session's setting KEY_SETTING, or else a
+random one of the driver's process, with which values are linked within that process only. The key is part of the
+query plan, as a digest: keep event logs as safe as the key itself.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROUNDS = 8
+from .common import free_name
 
-#: The patterns of each kind of value, tried in this order.
+ROUNDS = 8
+KEY_SETTING = "spark.quillstone.pseudonym.secret"
+_OWN_KEY = secrets.token_hex(32)
+
+#: The names of credentials, and what they consist of.
+CREDENTIAL_NAME = r"(?i:password|passwd|passphrase|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]*[=:]"
+_SECRET = "[A-Za-z0-9+/_-]{8,}"
+#: The patterns of each kind of value, tried in this order. Behind a colon a credential is quoted, holds a
+#: digit or a change of case, or ends its line; else "the secret: everything changed" would be one.
 PATTERNS = {
-    "credential": r"(?i:password|passwd|passphrase|secret|token|api[_-]?key|access[_-]?key)[ \t]*[=:][ \t]*[\"']?[A-Za-z0-9+/_-]{8,}",
+    "credential": CREDENTIAL_NAME + rf"(?:(?<==)[ \t]*[\"']?{_SECRET}|[ \t]*(?:[\"']|(?=[A-Za-z+/_-]*[0-9]|[A-Za-z0-9+/_-]*[a-z][A-Z])){_SECRET}|[ \t]*{_SECRET}(?=[ \t]*+(?![^\r\n])))",
     "cloud_key": r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,10}",
+    "ip6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){1,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,4})?)(?![0-9A-Za-z:])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[./-][0-9]{2}[./-][0-9]{4})(?![0-9/-]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -32,10 +48,10 @@ PATTERNS = {
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
 }
-#: A credential's name with its sign.
-CREDENTIAL_NAME = PATTERNS["credential"].partition("[=:]")[0] + "[=:]"
-#: A text without any of these holds no value.
-MAY_HOLD = r"[0-9@]|A[KS]IA|" + CREDENTIAL_NAME
+#: A text without any of these holds no value: each pattern has one of them as a necessary part.
+MAY_HOLD = r"[0-9@]|A[KS]IA|[0-9A-Fa-f]:[0-9A-Fa-f]|" + CREDENTIAL_NAME
+#: Long values are permuted in pieces of so many characters.
+PIECE = 64
 #: Years of one Gregorian cycle: 146,097 days, the product of the two radices.
 FIRST_YEAR, DAYS_LEFT, DAYS_RIGHT = 1800, 189, 773
 
@@ -76,22 +92,35 @@ def feistel_digits(digits: Column, key: str, kind: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda acc: F.concat(acc["l"], acc["r"]))
 
 
-def feistel_letters(word: Column, key: str, kind: str) -> Column:
-    """A keyed permutation of the strings with the same kinds of characters in the same places (small and capital letters, digits)."""
+#: Characters are permuted within these, place by place; those in none of them stay.
+KINDS_OF_LETTERS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
+HEX_DIGITS = ("0123456789abcdef",)
+
+
+def feistel_letters(word: Column, key: str, kind: str, alphabets: tuple[str, ...] = KINDS_OF_LETTERS) -> Column:
+    """A keyed permutation of the strings with characters of the same alphabets in the same places.
+
+    Each piece of PIECE characters is a Feistel network of its own, whose rounds take one digest each.
+    """
 
     def shifted(c: Column, by: Column) -> Column:
-        def turn(first: str, size: int) -> Column:
-            return F.char(F.ascii(c) - ord(first) + 0 + by % size - F.when(F.ascii(c) - ord(first) + by % size >= size, size).otherwise(0) + ord(first))
+        out = c
+        for alphabet in alphabets:
+            place = F.instr(F.lit(alphabet), c)
+            out = F.when((c != "") & (place > 0), F.substring(F.lit(alphabet), (place - 1 + by) % len(alphabet) + 1, F.lit(1))).otherwise(out)
+        return out
 
-        return F.when(c.rlike("^[a-z]$"), turn("a", 26)).when(c.rlike("^[A-Z]$"), turn("A", 26)).when(c.rlike("^[0-9]$"), turn("0", 10)).otherwise(c)
+    def permuted(piece: Column, number: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            mark = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), number.cast("string"), i.cast("string"), acc["r"]), 256)
+            moved = _let(mark, lambda d: F.array_join(F.transform(F.split(acc["l"], ""), lambda c, k: shifted(c, F.conv(F.substring(d, 2 * k + 1, F.lit(2)), 16, 10).cast("int"))), ""))
+            return F.struct(acc["r"].alias("l"), moved.alias("r"))
 
-    def step(acc: Column, i: Column) -> Column:
-        moved = F.transform(F.split(acc["l"], ""), lambda c, k: shifted(c, _prf(key, kind, i * 65536 + k, acc["r"])))
-        return F.struct(acc["r"].alias("l"), F.array_join(moved, "").alias("r"))
+        half = F.floor(F.length(piece) / 2).cast("int")
+        start = F.struct(F.substring(piece, F.lit(1), half).alias("l"), F.substring(piece, half + 1, F.length(piece)).alias("r"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda acc: F.concat(acc["l"], acc["r"]))
 
-    half = F.floor(F.length(word) / 2).cast("int")
-    start = F.struct(F.substring(word, F.lit(1), half).alias("l"), F.substring(word, half + 1, F.length(word)).alias("r"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda acc: F.concat(acc["l"], acc["r"]))
+    return F.array_join(F.transform(F.regexp_extract_all(word, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), permuted), "")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -221,32 +250,32 @@ def _date(m: Column, key: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    at = F.instr(m, "@")
-    return F.concat(feistel_letters(F.substring(m, F.lit(1), at - 1), key, "email"), F.substring(m, at, F.length(m)))
+    """The mailbox and its domain are replaced, each on its own; the last label stays."""
+
+    def of(p: Column) -> Column:
+        domain = F.element_at(p, 2)
+        last = F.substring_index(domain, ".", -1)
+        labels = F.substring(domain, F.lit(1), F.length(domain) - F.length(last) - 1)
+        return F.concat(feistel_letters(F.element_at(p, 1), key, "email"), F.lit("@"), feistel_letters(labels, key, "domain"), F.lit("."), last)
+
+    return _let(F.split(m, "@"), of)
 
 
 def _credential(m: Column, key: str) -> Column:
     """The value behind the name and the sign is replaced; strings of hex digits stay such."""
-    name = F.regexp_extract(m, PATTERNS["credential"].split("[A-Za-z0-9+/_-]", 1)[0], 0)
+    name = F.regexp_extract(m, CREDENTIAL_NAME + r"[ \t]*[\"']?", 0)
 
     def of(value: Column) -> Column:
         hexed = value.rlike("^[0-9a-f]+$")
-        # sixteen hex digits become letters a to p, one alphabet, and come back
-        digits = F.translate(value, "fedcba9876543210", "ponmlkjihgfedcba")
-        return F.when(hexed, _hex_letters(digits, key)).otherwise(feistel_letters(value, key, "credential"))
+        return F.when(hexed, feistel_letters(value, key, "hex", HEX_DIGITS)).otherwise(feistel_letters(value, key, "credential"))
 
     return F.concat(name, _let(F.substring(m, F.length(name) + 1, F.length(m)), of))
 
 
-def _hex_letters(letters: Column, key: str) -> Column:
-    def step(acc: Column, i: Column) -> Column:
-        moved = F.transform(F.split(acc["l"], ""), lambda c, k: F.char(97 + (F.ascii(c) - 97 + _prf(key, "hex", i * 65536 + k, acc["r"])) % 16))
-        return F.struct(acc["r"].alias("l"), F.array_join(moved, "").alias("r"))
-
-    half = F.floor(F.length(letters) / 2).cast("int")
-    start = F.struct(F.substring(letters, F.lit(1), half).alias("l"), F.substring(letters, half + 1, F.length(letters)).alias("r"))
-    joined = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda acc: F.concat(acc["l"], acc["r"]))
-    return F.translate(joined, "abcdefghijklmnop", "0123456789abcdef")
+def _ip6(m: Column, key: str) -> Column:
+    """Capital digits stay capital where there are only such; a mixed address comes out in small ones."""
+    new = feistel_letters(F.lower(m), key, "ip6", HEX_DIGITS)
+    return F.when(m.rlike("[A-F]") & ~m.rlike("[a-f]"), F.upper(new)).otherwise(new)
 
 
 def _cloud_key(m: Column, key: str) -> Column:
@@ -257,6 +286,7 @@ KINDS: dict[str, Callable[[Column, str], Column]] = {
     "credential": _credential,
     "cloud_key": _cloud_key,
     "email": _email,
+    "ip6": _ip6,
     "iban": _iban,
     "date": _date,
     "ssn": _ssn,
@@ -279,27 +309,34 @@ def pseudonym(value: Column, key: str) -> Column:
     return chosen.otherwise(value)
 
 
-def pseudonymise(docs: DataFrame, key: str = "corpus", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key of the session's setting, or else the random one of this process."""
+    return spark.conf.get(KEY_SETTING, None) or _OWN_KEY
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text replaced, and n_found and n_replaced (long) behind its columns.
 
-    A null text stays null with counts of 0, an empty one empty; repeated rows are treated alike; all other
+    key: whoever has it can undo the pseudonyms; None takes session_key(). Dates from FIRST_YEAR on within one
+    Gregorian cycle of 400 years count, others stay. A null text stays null with counts of 0, an empty one empty; repeated rows are
+    treated alike; texts of any length are searched whole, from the left, and values do not overlap. All other
     columns stay as they are (a column of docs with the name of a count is replaced by it); an empty table
-    gives no rows. Whole texts are searched, from the left; values do not overlap.
+    gives no rows.
     """
     if not id_col or id_col not in docs.columns:
         raise ValueError(f"no column {id_col!r}")
+    key = hashlib.sha256((key or session_key(docs.sparkSession)).encode()).hexdigest()
     pattern, text = _any(KINDS), F.col(text_col)
-    may = text.rlike(MAY_HOLD)
-    found = F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    marked = docs.withColumn("__found", found)
-    marked = marked.withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", lambda m: pseudonym(m, key))))
-    pieces = F.split(text, pattern, -1)
-    joined = F.array_join(F.zip_with(pieces, F.col("__new"), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x))
+    found_at, new_at = free_name(docs, "found"), free_name(docs, "new")
+    found, new = F.col(found_at), F.col(new_at)
+    marked = docs.withColumn(found_at, F.when(text.rlike(MAY_HOLD), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+    marked = marked.withColumn(new_at, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key))))
+    joined = F.array_join(F.zip_with(F.split(text, pattern, -1), new, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+    changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
     return marked.withColumns(
         {
-            "n_found": F.when(F.col("__new").isNotNull(), F.size("__found")).otherwise(0).cast("long"),
-            "n_replaced": F.when(F.col("__new").isNotNull(), changed).otherwise(0).cast("long"),
-            text_col: F.when(F.col("__new").isNotNull(), joined).otherwise(text),
+            "n_found": F.when(new.isNotNull(), F.size(found)).otherwise(0).cast("long"),
+            "n_replaced": F.when(new.isNotNull(), changed).otherwise(0).cast("long"),
+            text_col: F.when(new.isNotNull(), joined).otherwise(text),
         }
-    ).drop("__found", "__new")
+    ).drop(found_at, new_at)
