@@ -4,7 +4,7 @@ Card, bank, phone and social-security numbers, addresses of hosts and of mailbox
 found by pattern, validated (checksums, calendar, ranges) and replaced by another value of the same
 format. Each format is permuted by a Feistel network whose round function is a keyed SHA-256, so equal
 values get equal pseudonyms in every document, whatever their separators, and different values different
-ones. Checksums are computed anew, so that a pseudonym passes the validation its original passed.
+ones. Checksums are computed anew and a card's network stays, so that a pseudonym passes the validation its original passed.
 What fails validation stays as it is, and so does all other text.
 
 Everything is SQL functions over one row at a time: no shuffle, no Python. Texts that hold none of the signs that
@@ -50,6 +50,8 @@ PATTERNS = {
 }
 #: A text without any of these holds no value: each pattern has one of them as a necessary part.
 MAY_HOLD = r"[0-9@]|A[KS]IA|[0-9A-Fa-f]:[0-9A-Fa-f]|" + CREDENTIAL_NAME
+#: Lengths and first digits of card numbers, by network. Of all digits that stand alone a tenth pass the checksum.
+CARD_NUMBER = "^(?:4[0-9]{12}(?:[0-9]{3}){0,2}|(?:5[1-5]|2[2-7]|35)[0-9]{14}|3[47][0-9]{13}|3(?:0[0-5]|[68][0-9])[0-9]{11}|6[0-9]{13,18})$"
 #: Long values are permuted in pieces of so many characters.
 PIECE = 64
 #: Years of one Gregorian cycle: 146,097 days, the product of the two radices.
@@ -166,12 +168,14 @@ def _mod97(text: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
+    """The first four digits, those of the network, stay."""
+
     def made(body: Column) -> Column:
         return F.concat(body, ((10 - _luhn(body, 0) % 10) % 10).cast("string"))
 
     def of(d: Column) -> Column:
-        body = F.substring(d, F.lit(1), F.length(d) - 1)
-        return F.when(_luhn(d, 1) % 10 == 0, _refilled(m, _let(feistel_digits(body, key, "card"), made), "[0-9]")).otherwise(m)
+        body = F.concat(F.substring(d, 1, 4), feistel_digits(F.substring(d, F.lit(5), F.length(d) - 5), key, "card"))
+        return F.when(d.rlike(CARD_NUMBER) & (_luhn(d, 1) % 10 == 0), _refilled(m, _let(body, made), "[0-9]")).otherwise(m)
 
     return _let(_digits(m), of)
 
