@@ -3,15 +3,20 @@
 Inner products become distances by one more component, sqrt(M**2 - |x|**2) for candidates (M: the largest norm) and
 0 for queries. Vectors are spread over lists by k-means centroids, fitted on a bounded sample; every row is indexed.
 Each query probes its nearest lists: so many that, of the true neighbours of a bounded number of trial queries,
-found by comparing these with every row, the wanted share lies in the probed lists. Inside a list, vectors are rotated by a random orthogonal matrix and
-kept in column blocks; after each block a hypothesis test on the partial distance, which the rotation makes
-an estimate of the whole, abandons candidates that cannot be among the k nearest with high confidence. What
-survives is scored exactly, in double precision on the original vectors. (Gao and Long, "High-dimensional approximate
-nearest neighbor search", 2023; Kuffo et al., "PDX", 2025.)
-
+found by comparing these with every row, the wanted share lies in the probed lists.
+
+Inside a list, vectors are rotated by a random orthogonal matrix and kept in column blocks; after each block a
+hypothesis test on the partial distance, which the rotation makes an estimate of the whole, abandons candidates that
+cannot be among the k nearest with high confidence. Many queries meet many candidates at once, block by block as matrix
+products; pairs that survive in small numbers go on one by one. What survives is scored exactly, in double
+precision on the original vectors. (Gao and Long, "High-dimensional approximate nearest neighbor search", 2023;
+Kuffo et al., "PDX", 2025.)
+
+Neighbouring lists share scan blocks of bounded size, long lists are split into several, and a query travels once to each
+block with lists that it probes. It first meets the block of its own list alone; the threshold found there decides
+which candidates of other blocks matter, and lists that cannot hold a nearer vector by the triangle inequality are left out.
 Of equal vectors only the k + 1 smallest ids can be in a result, so only they are scanned, and equal queries are
-answered once; both are exact. Long lists and many queries of one list are dealt out in blocks of bounded
-size. No vector leaves its list's block, and the driver holds the sample and one count per list.
+answered once; both are exact. The driver holds the sample and two numbers per list.
 """
 
 from __future__ import annotations
@@ -42,6 +47,7 @@ class Parameters:
     epsilon: float = 2.1  # the test's confidence, as in the paper
     block: int = 8_192
     seed: int = 7
+    exact: bool = False  # every list that can hold a neighbour is probed, and only certain losers are abandoned
 
 
 @dataclass
@@ -55,16 +61,31 @@ class Index:
     anchors: np.ndarray
     counts: np.ndarray
     parameters: Parameters
+    radii: np.ndarray | None = None  # the largest distance from a list's centroid to its rows
 
     def lifted(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         last = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.top**2 - (x * x).sum(axis=1), 0.0))
         return np.concatenate([x, last[:, None]], axis=1)
 
     def blocks(self) -> tuple[np.ndarray, np.ndarray]:
-        """Candidate blocks and query blocks of each list."""
+        """For each list its first scan block and the number of its blocks; short lists share one with their neighbours."""
         p = self.parameters
-        queries = self.counts * p.probes / 20
-        return np.maximum(1, -(-self.counts // p.block)).astype(int), np.maximum(1, np.ceil(queries / p.block)).astype(int)
+        middle = self.centroids - self.centroids.mean(axis=0)
+        along = middle @ np.linalg.svd(middle, full_matrices=False)[2][0]
+        first, number = np.zeros(len(self.counts), np.int64), np.maximum(1, -(-self.counts // p.block)).astype(np.int64)
+        block, filled = -1, p.block + 1
+        for k in np.argsort(along, kind="stable"):
+            if filled + self.counts[k] > p.block:
+                block, filled = block + 1, 0
+            first[k] = block
+            filled += self.counts[k]
+            block += number[k] - 1
+        return first, number
+
+    def away(self, lifted: np.ndarray) -> np.ndarray:
+        """Squared distances to the centroids."""
+        square = (lifted * lifted).sum(axis=1)[:, None] - 2 * lifted @ self.centroids.T + (self.centroids * self.centroids).sum(axis=1)
+        return np.maximum(square, 0.0)
 
 
 def usable(vector: Column, width: int | None = None) -> Column:
@@ -122,16 +143,18 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _placed(rows: DataFrame, index: Index) -> DataFrame:
-    """(id, list, data) for each candidate; data: the vector's bytes as doubles."""
+    """(id, list, data, away) for each candidate; data: the vector's bytes as doubles, away: its distance from the centroid."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1), index.width)
-            lists = _nearest(index.lifted(x), index.centroids) if len(x) else np.zeros(0, np.int64)
+            lifted = index.lifted(x)
+            lists = _nearest(lifted, index.centroids) if len(x) else np.zeros(0, np.int64)
+            away = np.sqrt(((lifted - index.centroids[lists]) ** 2).sum(axis=1))
             data = pa.array([v.tobytes() for v in x], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.int32()), data], names=["id", "list", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.int32()), data, pa.array(away, pa.float64())], names=["id", "list", "data", "away"])
 
-    return rows.select("id", "vector").mapInArrow(place, "id long, list int, data binary")
+    return rows.select("id", "vector").mapInArrow(place, "id long, list int, data binary, away double")
 
 
 def probes_for_recall(placed: DataFrame, asking: DataFrame, index: Index) -> int:
@@ -169,93 +192,185 @@ def probes_for_recall(placed: DataFrame, asking: DataFrame, index: Index) -> int
     true = nearest.select("query", "list").toArrow()  # trials * k rows at most
     if not len(true):
         return p.probes
-    away = (index.centroids**2).sum(axis=1) - 2 * index.lifted(q, True) @ index.centroids.T
+    away = index.away(index.lifted(q, True))
     places = np.argsort(np.argsort(away, axis=1, kind="stable"), axis=1)
     needed = np.sort(places[true.column(0).to_numpy(), true.column(1).to_numpy()]) + 1
     return max(p.probes, int(needed[int(np.ceil(p.recall * len(needed))) - 1]))
 
 
-def _routed(queries: DataFrame, index: Index) -> DataFrame:
-    """(list, block, part, id, data, limit) for each query and each block of each list that it probes."""
-    p, (blocks, parts) = index.parameters, index.blocks()
+_QUERY = "block int, part int, query long, data binary, limit double, reach double"
+
+
+def _batches(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            q = _matrix(batch.column(1), index.width)
-            for k in range(0, len(q), 1024):
-                yield pa.RecordBatch.from_pylist(list(_routes(ids[k : k + 1024], q[k : k + 1024], index, blocks, parts)), schema=schema)
 
-    schema = pa.schema([("list", pa.int32()), ("block", pa.int32()), ("part", pa.int32()), ("id", pa.int64()), ("data", pa.binary()), ("limit", pa.float64())])
-    return queries.select("id", "vector").mapInArrow(route, "list int, block int, part int, id long, data binary, limit double")
+def _part(ids: np.ndarray, parts: int | np.ndarray) -> np.ndarray:
+    return (ids.astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(16)).astype(np.int64) % parts
 
 
-def _routes(ids: np.ndarray, q: np.ndarray, index: Index, blocks: np.ndarray, parts: np.ndarray) -> Iterator[dict]:
+def _first_routes(queries: DataFrame, index: Index, parts: int) -> DataFrame:
+    """Each query with the block of its own list: the first threshold comes from the anchors, the reach covers its probes."""
     p = index.parameters
-    lifted = index.lifted(q, True)
-    away = (index.centroids**2).sum(axis=1) - 2 * lifted @ index.centroids.T
-    own = (lifted**2).sum(axis=1)
-    near = (index.anchors**2).sum(axis=1) - 2 * lifted @ index.anchors.T + own[:, None]
+    first, number = index.blocks()
     wanted = p.k + 1
-    limits = np.partition(near, wanted - 1, axis=1)[:, wanted - 1] if near.shape[1] >= wanted else np.full(len(q), np.inf)
-    for j, order in enumerate(np.argsort(away, axis=1, kind="stable")):
-        data, met = q[j].tobytes(), 0
-        for n, place in enumerate(order.tolist()):
-            if n >= p.probes and met >= 2 * wanted:
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                ids, q = part.column(0).to_numpy(), _matrix(part.column(1), index.width)
+                lifted = index.lifted(q, True)
+                away = index.away(lifted)
+                order = np.argsort(away, axis=1, kind="stable")
+                met = np.cumsum(index.counts[order], axis=1)
+                enough = np.minimum((met < 2 * wanted).sum(axis=1), len(index.counts) - 1)
+                last = np.maximum(enough, min(p.probes, len(index.counts)) - 1)
+                reach = np.take_along_axis(away, np.take_along_axis(order, last[:, None], axis=1), axis=1)[:, 0]
+                near = (index.anchors**2).sum(axis=1) - 2 * lifted @ index.anchors.T + (lifted**2).sum(axis=1)[:, None]
+                limits = np.partition(near, wanted - 1, axis=1)[:, wanted - 1] if near.shape[1] >= wanted else np.full(len(q), np.inf)
+                own = order[:, 0]
+                block = first[own] + _part(ids, number[own])
+                yield _batches({
+                    "block": pa.array(block, pa.int32()), "part": pa.array(_part(ids, parts), pa.int32()), "query": pa.array(ids), "data": pa.array([v.tobytes() for v in q], pa.binary()),
+                    "limit": pa.array(_slack(limits, index), pa.float64()), "reach": pa.array(np.full(len(q), np.inf) if p.exact else reach * (1 + 1e-9), pa.float64()),
+                })
+
+    return queries.select("id", "vector").mapInArrow(route, _QUERY)
+
+
+def _slack(limits: np.ndarray, index: Index) -> np.ndarray:
+    """Thresholds that rounding in partial distances cannot miss."""
+    return limits * (1 + 1e-9) + 1e-9 * index.top**2
+
+
+def _later_routes(met: DataFrame, index: Index, parts: int) -> DataFrame:
+    """Each query with every other block that holds a list within its reach and not farther than its threshold allows."""
+    first, number = index.blocks()
+    blocks = int((first + number).max())
+    holds = np.zeros((len(first), blocks), bool)
+    for k, (a, n) in enumerate(zip(first, number)):
+        holds[k, a : a + n] = True
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                ids, limit, reach = (part.column(c).to_numpy() for c in ("query", "limit", "reach"))
+                q = np.frombuffer(b"".join(part.column("data").to_pylist()), np.float64).reshape(-1, index.width)
+                away = index.away(index.lifted(q, True))
+                going = (away <= reach[:, None]) & (np.sqrt(away) - index.radii - 1e-6 * index.top <= np.sqrt(limit)[:, None])
+                to = going.astype(np.float32) @ holds.astype(np.float32) > 0
+                to[np.arange(len(ids)), part.column("block").to_numpy()] = False
+                j, block = np.nonzero(to)
+                rows = pa.array(j)
+                yield _batches({
+                    "block": pa.array(block, pa.int32()), "part": pa.array(_part(ids[j], parts), pa.int32()), "query": pa.array(ids[j]), "data": part.column("data").take(rows),
+                    "limit": pa.array(limit[j]), "reach": pa.array(reach[j]),
+                })
+
+    return met.mapInArrow(route, _QUERY)
+
+
+def adaptive_scan(q: np.ndarray, columns: list[np.ndarray], limits: np.ndarray, k: int, epsilon: float, allowed: np.ndarray | None = None, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """(query, candidate) places of the pairs that were not abandoned: with high confidence all of each query's k nearest within its limit.
+
+    allowed: for each query, which candidates it meets at all. An infinite epsilon abandons only what is certain to be farther.
+    """
+    edges = np.cumsum([0, *(c.shape[1] for c in columns)])
+    width, limits = edges[-1], limits.copy()
+    slack = 1e-9 * max(1e-300, max((float((c * c).sum(axis=1).max(initial=0)) for c in columns), default=0.0))
+    none = np.empty(0, np.int64)
+    met, places, sums = none, none, np.empty(0)
+    for start in range(0, len(columns[0]), chunk):
+        own = np.arange(start, min(start + chunk, len(columns[0])))
+        alive = np.ones((len(q), len(own)), bool) if allowed is None else allowed[:, start : start + chunk].copy()
+        partial, j, c = np.zeros(alive.shape), None, None
+        for column, done, upto in zip(columns, edges[:-1], edges[1:]):
+            mine = q[:, done:upto]
+            if j is None:  # matrix products over what is left of the chunk
+                x = column[own]
+                partial += (mine * mine).sum(axis=1)[:, None] - 2 * mine @ x.T + (x * x).sum(axis=1)
+            else:
+                apart = column[own[c]] - mine[j]
+                partial = partial + np.einsum("ij,ij->i", apart, apart)
+            bound = limits
+            if upto < width and np.isfinite(epsilon):
+                bound = np.minimum(limits, limits * upto / width * (1 + epsilon / np.sqrt(upto)) ** 2)
+            if j is None:
+                alive &= partial <= bound[:, None] + slack
+                share = alive.mean() if alive.size else 0.0
+                if share < 0.05 or upto == width:
+                    j, c = np.nonzero(alive)
+                    partial = partial[j, c]
+                elif (cols := alive.any(axis=0)).mean() < 0.5:
+                    own, alive, partial = own[cols], alive[:, cols], partial[:, cols]
+            else:
+                stay = partial <= bound[j] + slack
+                j, c, partial = j[stay], c[stay], partial[stay]
+            if j is not None and not len(j):
                 break
-            met += int(index.counts[place])
-            for block in range(blocks[place]):
-                # the slack covers rounding in the threshold's own computation
-                yield {"list": place, "block": block, "part": (int(ids[j]) * 0x9E3779B1 >> 16) % int(parts[place]), "id": int(ids[j]), "data": data, "limit": float(limits[j]) * (1 + 1e-9) + 1e-9}
-
-
-def adaptive_scan(q: np.ndarray, columns: list[np.ndarray], limit: float, k: int, epsilon: float, chunk: int = 1024) -> np.ndarray:
-    """Places of the candidates that were not abandoned, a superset (with high confidence) of the k nearest within limit."""
-    width = sum(c.shape[1] for c in columns)
-    total = len(columns[0])
-    best = np.empty(0)
-    kept = []
-    for start in range(0, total, chunk):
-        alive = np.arange(start, min(start + chunk, total))
-        partial, done = np.zeros(len(alive)), 0
-        for b, column in enumerate(columns):
-            part = column[alive] - q[done : done + column.shape[1]]
-            partial += np.einsum("ij,ij->i", part, part)
-            done += column.shape[1]
-            if done < width and np.isfinite(limit):
-                stay = partial <= limit * done / width * (1 + epsilon / np.sqrt(done)) ** 2
-                alive, partial = alive[stay], partial[stay]
-                if not len(alive):
-                    break
-        stay = partial <= limit
-        alive, partial = alive[stay], partial[stay]
-        kept.append(alive)
-        best = np.sort(np.concatenate([best, partial]))[:k]
-        if len(best) == k:
-            limit = min(limit, best[-1] * (1 + 1e-9) + 1e-12)
-    return np.concatenate(kept) if kept else np.empty(0, np.int64)
-
-
-def _scan_block(queries: pd.DataFrame, candidates: pd.DataFrame, index: Index) -> pd.DataFrame:
+        if j is None or not len(j):
+            continue
+        met, places, sums = np.concatenate([met, j]), np.concatenate([places, own[c]]), np.concatenate([sums, partial])
+        order = np.lexsort((sums, met))
+        met, places, sums = met[order], places[order], sums[order]
+        begins = np.searchsorted(met, np.arange(len(q)))
+        full = np.append(begins[1:], len(met)) - begins >= k
+        limits[full] = np.minimum(limits[full], sums[begins[full] + k - 1] * (1 + 1e-9) + slack)
+        stay = sums <= limits[met] + slack
+        met, places, sums = met[stay], places[stay], sums[stay]
+    return met, places
+
+
+def _scan_block(queries: pd.DataFrame, candidates: pd.DataFrame, index: Index, group: int = 256) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each group of queries: its rows, and (row, id, score, squared distance's threshold) of the k + 1 best of each among the candidates."""
     p = index.parameters
-    empty = pd.DataFrame({"query": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-    if not len(queries) or not len(candidates):
-        return empty
     x = np.frombuffer(b"".join(candidates["data"]), np.float64).reshape(-1, index.width)
-    ids = candidates["id"].to_numpy()
+    ids, lists = candidates["id"].to_numpy(), candidates["list"].to_numpy()
     rotated = index.lifted(x) @ index.rotation
     columns = [np.ascontiguousarray(rotated[:, k : k + p.column_block]) for k in range(0, rotated.shape[1], p.column_block)]
-    q = np.frombuffer(b"".join(queries["data"]), np.float64).reshape(-1, index.width)
-    turned = index.lifted(q, True) @ index.rotation
+    here, place = np.unique(lists, return_inverse=True)
+    for at in range(0, len(queries), group):
+        part = queries.iloc[at : at + group]
+        q = np.frombuffer(b"".join(part["data"]), np.float64).reshape(-1, index.width)
+        lifted = index.lifted(q, True)
+        limits, allowed = part["limit"].to_numpy(), None
+        if "reach" in part and not (near := index.away(lifted)[:, here] <= part["reach"].to_numpy()[:, None]).all():
+            allowed = near[:, place]
+        j, found = adaptive_scan(lifted @ index.rotation, columns, limits, p.k + 1, np.inf if p.exact else p.epsilon, allowed)
+        scores = np.einsum("ij,ij->i", x[found], q[j])
+        order = np.lexsort((ids[found], -scores, j))
+        j, found, scores = j[order], found[order], scores[order]
+        rank = np.arange(len(j)) - np.searchsorted(j, j)
+        j, found, scores, rank = (v[rank <= p.k] for v in (j, found, scores, rank))
+        # the distance that belongs to the last score: |q|**2 + M**2 - 2 q.x
+        last = rank == p.k
+        limits = limits.copy()
+        limits[j[last]] = np.minimum(limits[j[last]], _slack((q[j[last]] ** 2).sum(axis=1) + index.top**2 - 2 * scores[last], index))
+        yield part, j, ids[found], scores, limits
+
+
+def _first_scan(queries: pd.DataFrame, candidates: pd.DataFrame, index: Index) -> pd.DataFrame:
+    """Each query's row with the best of its own block, which it meets whole, and the threshold that they give."""
+    if not len(queries) or not len(candidates):
+        none = pd.Series([[]] * len(queries), index=queries.index, dtype=object)
+        return queries[["block", "query", "data", "limit", "reach"]].assign(ids=none, scores=none)
     out = []
-    for j, (name, limit) in enumerate(zip(queries["id"].to_numpy(), queries["limit"].to_numpy())):
-        places = adaptive_scan(turned[j], columns, limit, p.k + 1, p.epsilon)
-        if not len(places):
-            continue
-        scores = np.einsum("ij,j->i", x[places], q[j])
-        order = np.lexsort((ids[places], -scores))[: p.k + 1]
-        out.append(pd.DataFrame({"query": np.full(len(order), name), "id": ids[places][order], "score": scores[order]}))
-    return pd.concat(out, ignore_index=True) if out else empty
+    for part, j, ids, scores, limits in _scan_block(queries.drop(columns="reach"), candidates, index):
+        cuts = np.searchsorted(j, np.arange(1, len(part)))
+        rows = part[["block", "query", "data"]].assign(limit=limits, reach=queries["reach"].loc[part.index])
+        rows["ids"], rows["scores"] = [list(v) for v in np.split(ids, cuts)], [list(v) for v in np.split(scores, cuts)]
+        out.append(rows)
+    return pd.concat(out, ignore_index=True)
+
+
+def _later_scan(queries: pd.DataFrame, candidates: pd.DataFrame, index: Index) -> pd.DataFrame:
+    out = [pd.DataFrame({"query": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})]
+    if len(queries) and len(candidates):
+        for part, j, ids, scores, _ in _scan_block(queries, candidates, index):
+            out.append(pd.DataFrame({"query": part["query"].to_numpy()[j], "id": ids, "score": scores}))
+    return pd.concat(out, ignore_index=True)
 
 
 def nearest_neighbours(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", parameters: Parameters | None = None) -> DataFrame:
@@ -269,7 +384,7 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, id_col: str = "vec_i
     p = parameters or Parameters()
     named = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
     sound = named.where(F.col("id").isNotNull() & usable(F.col("vector")))
-    widths = sound.groupBy(F.size("vector").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
+    widths = sound.groupBy(F.size("vector").alias("w")).agg(F.count("*").alias("n"), F.count_if("asks").alias("asks")).orderBy(F.desc("n"), "w").limit(1).collect()
     rows = sound.where(F.size("vector") == (widths[0].w if widths else 0))
     index = fit(rows, p) if widths else None
     schema = f"query_id long, rank int, `{id_col}` long, score double"
@@ -279,25 +394,26 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, id_col: str = "vec_i
     first = Window.partitionBy("vector").orderBy("id")
     candidates = rows.select("id", "vector").withColumn("n", F.row_number().over(first)).where(F.col("n") <= p.k + 1)
     placed = settled(_placed(candidates, index))
-    counts = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    index.counts = np.array([counts.get(k, 0) for k in range(len(index.centroids))])
+    sizes = {r["list"]: r for r in placed.groupBy("list").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
+    index.counts = np.array([sizes[k].n if k in sizes else 0 for k in range(len(index.centroids))])
+    index.radii = np.array([sizes[k].radius if k in sizes else 0.0 for k in range(len(index.centroids))])
     asking = rows.where("asks")
-    index.parameters = replace(p, probes=probes_for_recall(placed, asking, index))
-    blocks, parts = index.blocks()
-
-    def looked_up(values: np.ndarray) -> Column:
-        """One number per list; lists of one block, nearly all, need no entry."""
-        special = {k: int(v) for k, v in enumerate(values.tolist()) if v > 1}
-        if not special:
-            return F.lit(1)
-        return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in special.items() for x in pair]), F.col("list")), F.lit(1))
-
+    index.parameters = replace(p, probes=len(index.centroids) if p.exact else probes_for_recall(placed, asking, index))
+    # a block meets about its share of the queries, times how many blocks a query goes to
+    starts, number = index.blocks()
+    share = min(1.0, index.parameters.probes / len(index.centroids) + p.block / max(1, index.counts.sum()))
+    parts = max(1, int(np.ceil(widths[0].asks * share / p.block)))
+
+    in_list = lambda values: F.element_at(F.lit(values.tolist()), F.col("list") + 1)
+    dealt = placed.select("id", "list", "data", (in_list(starts) + F.pmod(F.xxhash64("id"), in_list(number))).cast("int").alias("block"))
+    own, all_parts = dealt.withColumn("part", F.lit(0)), dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     distinct = asking.groupBy("vector").agg(F.min("id").alias("id"))
-    routed = _routed(distinct, index)
-    dealt = placed.withColumn("block", F.pmod(F.xxhash64("id"), looked_up(blocks)).cast("int"))
-    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), looked_up(parts) - 1)))
-    keys = ["list", "block", "part"]
-    found = routed.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(lambda q, c: _scan_block(q, c, index), "query long, id long, score double")
+    keys = ["block", "part"]
+    met = _first_routes(distinct, index, 1).groupBy(*keys).cogroup(own.groupBy(*keys))
+    met = settled(met.applyInPandas(lambda q, c: _first_scan(q, c, index), "block int, query long, data binary, limit double, reach double, ids array<long>, scores array<double>"))
+    later = _later_routes(met.select("block", "query", "data", "limit", "reach"), index, parts).groupBy(*keys).cogroup(all_parts.groupBy(*keys))
+    found = later.applyInPandas(lambda q, c: _later_scan(q, c, index), "query long, id long, score double")
+    found = found.unionByName(met.select("query", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query", F.col("x.ids").alias("id"), F.col("x.scores").alias("score")))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     top = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= p.k + 1)
     lists = top.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "id", "score"))).alias("near"))

@@ -1,8 +1,11 @@
 """Operators on pages and embeddings: main text, url filter, nearest neighbours."""
 
 import re
+import tempfile
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +177,56 @@ def test_recall_holds_with_many_more_lists_than_probes(spark):
         scores[k] = -np.inf
         hits += len(got[k] & set(np.argsort(-scores)[:20].tolist()))
     assert hits >= 0.9 * 20 * len(got), hits / (20 * len(got))
+
+
+def test_adaptive_scan_without_confidence_is_exact():
+    """An infinite epsilon keeps all of the k nearest, whatever the limits, the chunks and the candidates allowed."""
+    rng = np.random.default_rng(1)
+    x, q = rng.normal(size=(700, 33)), rng.normal(size=(40, 33))
+    columns = [np.ascontiguousarray(x[:, k : k + 8]) for k in range(0, 33, 8)]
+    apart = ((q[:, None] - x[None]) ** 2).sum(axis=2)
+    for allowed in (None, rng.random((40, 700)) < 0.3):
+        inside = apart if allowed is None else np.where(allowed, apart, np.inf)
+        for limits in (np.full(40, np.inf), np.sort(inside, axis=1)[:, 30], np.sort(inside, axis=1)[:, 3]):
+            j, c = adscan.adaptive_scan(q, columns, limits, 10, np.inf, allowed, chunk=128)
+            pairs = set(zip(j.tolist(), c.tolist()))
+            for k in range(40):
+                assert all((k, int(v)) in pairs for v in np.argsort(inside[k])[:10] if inside[k, v] <= limits[k])
+            assert allowed is None or allowed[j, c].all()
+
+
+@pytest.mark.parametrize("kind", ["gaussian", "lognormal", "clustered", "hot"])
+@pytest.mark.parametrize("rows_per_list", [512, 64])
+def test_recall_by_kind_of_data(spark, kind, rows_per_list):
+    """30,000 vectors, production parameters but for the lists; the hot kind has a third of all rows near one point."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(30_000, 64))
+    if kind == "lognormal":
+        x *= np.exp(rng.normal(size=(len(x), 1)))
+    elif kind == "clustered":
+        x = rng.normal(size=(300, 64))[rng.integers(0, 300, len(x))] * 4 + x
+    elif kind == "hot":
+        x[::3] = x[0] + 0.2 * x[::3]
+    folder = tempfile.mkdtemp(prefix="spark-vectors-")
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}), f"{folder}/v.parquet", row_group_size=4096)
+    rows = spark.read.parquet(f"{folder}/v.parquet")
+    got = adscan.nearest_neighbours(rows, F.col("vec_id") % 20 == 0, parameters=adscan.Parameters(rows_per_list=rows_per_list)).toPandas()
+    found = got.groupby("query_id")["vec_id"].apply(set)
+    hits, queries = 0, range(0, len(x), 100)
+    for k in queries:
+        scores = x @ x[k]
+        scores[k] = -np.inf
+        hits += len(found[k] & set(np.argpartition(-scores, 20)[:20].tolist()))
+    assert len(found) == len(x) // 20 and (got.groupby("query_id").size() == 20).all()
+    assert hits >= 0.9 * 20 * len(queries), hits / (20 * len(queries))
+
+
+def test_exact_search_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(1500, 24)), np.repeat(rng.normal(size=(3, 24)), 60, axis=0)])
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in adscan.nearest_neighbours(rows, F.col("vec_id") % 20 == 0, parameters=adscan.Parameters(rows_per_list=32, block=128, exact=True)).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, round(r.score, 9))
+    wanted = brute(np.arange(len(x)), x, np.arange(len(x)) % 20 == 0)
+    assert {q: [f[r] for r in sorted(f)] for q, f in got.items()} == {q: [(v, round(s, 9)) for v, s in w] for q, w in wanted.items()}
