@@ -35,7 +35,8 @@ def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated, fitted = mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), MIX)
     known = list(fitted.classifier.domains) if fitted else []
     p = [(F.element_at("__p", known.index(d) + 1) if d in known else F.lit(0.0)).alias(f"p_{d}") for d in MIX]
-    return rated.select("doc_id", F.col("__tokens").alias("tokens"), *p, F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
+    missed = F.lit(fitted.missed if fitted else 0.0).alias("missed")
+    return rated.select("doc_id", F.col("__tokens").alias("tokens"), *p, F.col("__rate").alias("rate"), F.col("__copies").alias("copies"), missed)
 
 
 def op2_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
