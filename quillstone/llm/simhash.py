@@ -19,10 +19,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import free_name, settled
 from .components import connected_components
 
 BITS = 64
@@ -156,15 +156,32 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return hashed.join(found, "fp", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: So many ids are broadcast at most (8 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 1 << 20
+
+
+def _ids(ids: DataFrame) -> tuple[DataFrame, int]:
+    """A settled table of ids with their number; broadcast where that is proven small."""
+    n = ids.count()
+    return (F.broadcast(ids) if n <= MOST_BROADCAST else ids), n
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
     """docs without near-duplicates: of each component the document with the least id stays, with all its columns.
 
-    Repeated rows stay once. Rows with a null id cannot be told apart by it and stay.
+    Repeated rows (id and text) stay once; an id stays with all its texts if one of them is the least of its component.
+    Rows with a null id cannot be told apart by it and stay. Only ids and fingerprints are shuffled, as long as no more
+    than MOST_BROADCAST ids go; beyond that, and for repeated ids, texts are, and copies combine before they move.
     """
-    parts = simhash_components(docs, id_col, text_col, radius, shingle)
-    first = parts.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
-    kept = docs.join(first, F.col(id_col) == F.col("__id"), "left_semi")
-    again = Window.partitionBy(id_col).orderBy("__print")
-    kept = kept.withColumn("__print", F.xxhash64(F.col(text_col))).withColumn("__before", F.lag("__print").over(again))
-    kept = kept.where(F.col("__before").isNull() | (F.col("__before") != F.col("__print"))).select(*docs.columns)
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    of_id, keep, n_at, print_at = (free_name(docs, name) for name in ("of_id", "keep", "n", "print"))
+    parts = simhash_components(docs, id_col, text_col, radius, shingle).where(F.col(id_col).isNotNull())
+    least = F.bool_or(F.col(id_col) == F.col("component_id")).alias(keep)
+    decided = settled(parts.groupBy(F.col(id_col).alias(of_id)).agg(least, F.count("*").alias(n_at)))
+    gone, _ = _ids(decided.where(~F.col(keep)).select(of_id))
+    repeated, n = _ids(decided.where(F.col(keep) & (F.col(n_at) > 1)).select(of_id))
+    same = F.col(id_col) == F.col(of_id)
+    kept = docs.join(gone, same, "left_anti")
+    if not n:
+        return kept
+    once = kept.join(repeated, same, "left_semi").withColumn(print_at, F.xxhash64(text_col)).dropDuplicates([id_col, print_at]).drop(print_at)
+    return kept.join(repeated, same, "left_anti").unionByName(once)

@@ -368,3 +368,20 @@ def test_long_unbroken_and_long_spaced_texts(spark):
     library = Tokenizer.from_file(queries.vocabulary())
     for text in ("ab" * 40_000, "word, und Wört's\n" * 20_000, "é " * 70_000 + "́x" * 10):
         assert tok.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_one_of_each_group_with_clashing_names_and_repeated_ids(spark, monkeypatch):
+    """Columns named like helpers stay; a repeated id with several texts stays if one is its group's least; both kinds of join agree."""
+    texts = ["alpha beta gamma delta epsilon zeta eta", "theta iota kappa lambda mu nu xi", "omicron pi rho sigma tau upsilon phi"]
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[1]), (2, texts[1]), (7, texts[0]), (9, texts[2]), (9, texts[2]), (None, texts[2]), (None, texts[2])] + [(11, texts[2])] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("__id", "__print", "id", "of_id", "keep", "n", "print", "fp", "component_id", "Node")})
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(simhash, "MOST_BROADCAST", most)
+        kept = simhash.keep_one_of_each(docs)
+        assert kept.columns == docs.columns and all(r["__id"] == "__id" and r["print"] == "print" for r in kept.collect())
+        assert sorted(((r.doc_id or 0), texts.index(r.text)) for r in kept.collect()) == [(0, 2), (0, 2), (2, 1), (5, 0), (5, 1), (9, 2)]
+
+
+def test_no_texts_are_shuffled_where_few_go(spark, documents):
+    plan = simhash.keep_one_of_each(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan.replace("BroadcastExchange", "")
