@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..registry import Registry
+from ..shared import settled
 from ..views import docs, pages, table
 from .scoring import tlsh_level, tlsh_similarity
 
@@ -45,20 +46,46 @@ def fnv1a(data: bytes, bits: int = 64) -> int:
     return h
 
 
-def fnv1a_many(items: list[bytes]) -> np.ndarray:
-    """FNV-1a 64 of many byte strings: one vector step per byte position, over the strings that reach it."""
-    lengths = np.fromiter(map(len, items), np.int64, len(items))
-    order = np.argsort(-lengths, kind="stable")
-    flat = np.frombuffer(b"".join(items), np.uint8).astype(np.uint64)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])[order] if len(items) else np.zeros(0, np.int64)
-    ordered = lengths[order]
-    h = np.full(len(items), FNV64_OFFSET, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(int(ordered[0]) if len(items) else 0):
-            n = int(np.searchsorted(-ordered, -k, side="left"))
-            h[:n] = (h[:n] ^ flat[starts[:n] + k]) * np.uint64(FNV64_PRIME)
-    out = np.empty_like(h)
-    out[order] = h
+#: Byte strings are hashed together in slices of so many bytes, and in step while at least so many reach a position.
+SLICE_BYTES, LEAST_TOGETHER = 1 << 23, 16
+
+
+def _slices(items: list[bytes], size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of items that hold no more bytes than size, or one item."""
+    start, held = 0, 0
+    for k, x in enumerate(items):
+        if k > start and held + len(x) > size:
+            yield start, k
+            start, held = k, 0
+        held += len(x)
+    if start < len(items):
+        yield start, len(items)
+
+
+def fnv1a_many(items: list[bytes], bits: int = 64) -> np.ndarray:
+    """FNV-1a of many byte strings: one vector step per byte position while enough strings reach it, then one string at a time."""
+    offset, prime = (FNV64_OFFSET, FNV64_PRIME) if bits == 64 else (FNV32_OFFSET, FNV32_PRIME)
+    mask = (1 << bits) - 1
+    out = np.empty(len(items), np.uint64)
+    for first, end in _slices(items):
+        part = items[first:end]
+        lengths = np.fromiter(map(len, part), np.int64, len(part))
+        order = np.argsort(-lengths, kind="stable")
+        flat = np.frombuffer(b"".join(part), np.uint8)
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])[order]
+        ordered = lengths[order]
+        h = np.full(len(part), offset, np.uint64)
+        together = int(ordered[LEAST_TOGETHER - 1]) if len(part) >= LEAST_TOGETHER else 0
+        with np.errstate(over="ignore"):
+            for k in range(together):
+                n = int(np.searchsorted(-ordered, -k, side="left"))
+                h[:n] = ((h[:n] ^ flat[starts[:n] + k]) * np.uint64(prime)) & np.uint64(mask)
+        for place in range(int(np.searchsorted(-ordered, -together, side="left"))):
+            value = int(h[place])
+            for byte in part[order[place]][together:]:
+                value = ((value ^ byte) * prime) & mask
+            h[place] = value
+        out[first + order] = h
     return out
 
 
@@ -97,6 +124,29 @@ def feature_simhash(features: list[bytes]) -> int:
     return bit_vote(fnv1a_many(features), False) if features else 0
 
 
+def feature_simhashes(lists: Iterator[list[bytes]], most: int = 1 << 17) -> list[int]:
+    """feature_simhash of each list; the features of some lists, up to `most`, are hashed together."""
+    out: list[int] = []
+    held: list[list[bytes]] = []
+
+    def flush() -> None:
+        hashes, at = fnv1a_many([f for features in held for f in features]), 0
+        for features in held:
+            out.append(bit_vote(hashes[at : at + len(features)], False) if features else 0)
+            at += len(features)
+        held.clear()
+
+    n = 0
+    for features in lists:
+        held.append(features)
+        n += len(features)
+        if n >= most:
+            flush()
+            n = 0
+    flush()
+    return out
+
+
 def minhash(data: bytes, hashes: int = MINHASHES) -> np.ndarray:
     """Per hash i the least FNV-1a 64 of (i as eight bytes, shingle), compared as unsigned."""
     rows = byte_shingles(data)
@@ -156,12 +206,25 @@ def _udf(function: Callable[[str | bytes], object], kind: T.DataType) -> Callabl
     return F.pandas_udf(run, kind)
 
 
+def _udf_many(function: Callable[[list], list], kind: T.DataType) -> Callable[[Column], Column]:
+    """A function of the values of a batch that are not null."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            known = [x for x in s if x is not None]
+            found = iter(function(known))
+            yield pd.Series([None if x is None else next(found) for x in s], dtype="Int64" if isinstance(kind, T.LongType) else object)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, kind)
+
+
 def fnv64(text: Column) -> Column:
-    return _udf(lambda x: int(np.uint64(fnv1a(x.encode())).astype(np.int64)), T.LongType())(text)
+    return _udf_many(lambda xs: fnv1a_many([x.encode() for x in xs]).astype(np.int64).tolist(), T.LongType())(text)
 
 
 def fnv32(text: Column) -> Column:
-    return _udf(lambda x: fnv1a(x.encode(), 32), T.LongType())(text)
+    return _udf_many(lambda xs: fnv1a_many([x.encode() for x in xs], 32).astype(np.int64).tolist(), T.LongType())(text)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -191,7 +254,7 @@ def word_ngrams(text: Column, n: int = 3) -> Column:
 
 
 def simhash_of(features: Column) -> Column:
-    return _udf(lambda x: feature_simhash([f.encode() for f in x]), T.LongType())(features)
+    return _udf_many(lambda xs: feature_simhashes([f.encode() for f in x] for x in xs), T.LongType())(features)
 
 
 def text_features(processed: str, n: int = 3) -> list[str]:
@@ -202,7 +265,7 @@ def text_features(processed: str, n: int = 3) -> list[str]:
 
 def simhash_text(text: Column, strip_html: bool = True) -> Column:
     """SimHash of the word trigrams of the preprocessed text."""
-    return _udf(lambda x: feature_simhash([f.encode() for f in text_features(x)]), T.LongType())(preprocessed(text, strip_html))
+    return _udf_many(lambda xs: feature_simhashes([f.encode() for f in text_features(x)] for x in xs), T.LongType())(preprocessed(text, strip_html))
 
 
 def simhash_bytes(text: Column) -> Column:
@@ -274,13 +337,33 @@ def lsh_candidates(probes: DataFrame, index: DataFrame, probe_id: str, index_id:
     return named.join(c_ids.select(F.col("id").alias("candidate"), F.col("s").alias("cs")), "cs").select("probe", "candidate")
 
 
+def covering_masks(most: int) -> list[int]:
+    """Masks of 64 bits, as signed numbers: two hashes at most `most` bits apart agree under at least one of them.
+
+    Up to 6 bits, position p has the vector 1 + p mod (2**(most + 1) - 1), and each nonzero vector v masks the positions whose
+    vector has an odd inner product with v: any `most` vectors are orthogonal to some v. Beyond, most + 1 blocks of bits.
+    """
+    if most <= 6:
+        size = 1 << most + 1
+        masks = [sum(1 << p for p in range(64) if ((1 + p % (size - 1)) & v).bit_count() % 2) for v in range(1, size)]
+    else:
+        masks = [sum(1 << p for p in range(64) if p * (most + 1) // 64 == k) for k in range(most + 1)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
 def hamming_pairs(hashes: DataFrame, most: int) -> DataFrame:
-    """(a, b, distance) for distinct hashes at most `most` bits apart: equal in one of most + 1 blocks of bits, then compared."""
-    blocks, width = most + 1, -(-64 // (most + 1))
-    part = [F.shiftrightunsigned("h", k * width).bitwiseAND(F.lit((1 << width) - 1)) for k in range(blocks)]
-    keyed = hashes.select("h", F.posexplode(F.array(*part)).alias("block", "part"))
-    j = keyed.alias("x").join(keyed.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.h") < F.col("y.h")) & (F.bit_count(F.col("x.h").bitwiseXOR(F.col("y.h"))) <= most))
-    return j.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct().withColumn("distance", hamming(F.col("a"), F.col("b")))
+    """(a, b, distance) for distinct hashes (h) at most `most` bits apart: equal under a covering mask, then compared.
+
+    A pair is made under the first mask alone on which it agrees, so none is made twice. The hashes are settled first.
+    """
+    masks = F.lit(covering_masks(most))
+    keyed = settled(hashes.where("h is not null").distinct()).select("h", F.posexplode(masks).alias("k", "mask"))
+    keyed = keyed.select("h", "k", F.col("h").bitwiseAND(F.col("mask")).alias("part"))
+    x, y = keyed.select(F.col("h").alias("a"), "k", "part"), keyed.select(F.col("h").alias("b"), "k", "part")
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    first = F.array_position(F.transform(masks, lambda m: apart.bitwiseAND(m) == 0), True) == F.col("k") + 1
+    close = x.join(y, ["k", "part"]).where((F.col("a") < F.col("b")) & (F.bit_count(apart) <= most))
+    return close.where(first).select("a", "b", F.bit_count(apart).alias("distance"))
 
 
 def bucket_pairs(hashes: DataFrame, least: float = 0.9) -> DataFrame:
@@ -297,17 +380,16 @@ _PERMUTATION = np.random.default_rng(1990).permutation(256).astype(np.uint8)
 _BUCKETS, _LEAST_BYTES = 128, 50
 
 
-def _pearson(salt: int, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    p = _PERMUTATION
+def _pearson(p: np.ndarray, salt: int, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return p[p[p[p[salt] ^ a] ^ b] ^ c]
 
 
-def tlsh(data: bytes) -> bytes | None:
+def tlsh(data: bytes, permutation: np.ndarray = _PERMUTATION) -> bytes | None:
     """A locality-sensitive digest of 35 bytes; null below 50 bytes or where too few buckets are filled.
 
     Built as published (Oliver et al., "TLSH", 2013): six triplets of each window of five bytes, hashed into buckets
-    whose counts are cut into quartiles. The byte permutation is generated, so digests compare with each
-    other but are not those of other programs.
+    whose counts are cut into quartiles. The byte permutation is generated, so digests compare with each other;
+    with the 256 bytes of another program's table as `permutation` they are made by that table.
     """
     if len(data) < _LEAST_BYTES:
         return None
@@ -315,10 +397,10 @@ def tlsh(data: bytes) -> bytes | None:
     w = [raw[4 - k : len(raw) - k] for k in range(5)]
     counts = np.zeros(256, np.int64)
     for salt, (i, j, k) in zip((2, 3, 5, 7, 11, 13), ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4), (0, 1, 4), (0, 3, 4))):
-        counts += np.bincount(_pearson(salt, w[i], w[j], w[k]), minlength=256)
-    check = 0
+        counts += np.bincount(_pearson(permutation, salt, w[i], w[j], w[k]), minlength=256)
+    check, p = 0, permutation.tolist()
     for a, b in zip(w[0].tolist(), w[1].tolist()):
-        check = int(_PERMUTATION[_PERMUTATION[_PERMUTATION[_PERMUTATION[0] ^ a] ^ b] ^ check])
+        check = p[p[p[p[0] ^ a] ^ b] ^ check]
     used = counts[:_BUCKETS]
     if (used > 0).sum() <= _BUCKETS // 2:
         return None
@@ -349,8 +431,8 @@ def tlsh_distance(a: bytes, b: bytes) -> int:
     return total + int(np.where(far == 3, 6, far).sum())
 
 
-def tlsh_digest(text: Column) -> Column:
-    return _udf(lambda x: tlsh(x.encode()), T.BinaryType())(text)
+def tlsh_digest(text: Column, permutation: np.ndarray = _PERMUTATION) -> Column:
+    return _udf(lambda x: tlsh(x.encode(), permutation), T.BinaryType())(text)
 
 
 def tlsh_distance_to(digest: Column, baseline: bytes | None) -> Column:
@@ -441,13 +523,12 @@ def lsh_candidates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items probe all documents."""
     index = docs(spark, sf_dir).select("doc_id", minhash_signature(F.col("text"), BANDS * ROWS).alias("sig"))
     probes = table(spark, sf_dir, "benchmark").select("item_id", minhash_signature(F.col("text"), BANDS * ROWS).alias("sig"))
-    return lsh_candidates(probes, index, "item_id", "doc_id").orderBy("probe", "candidate")
+    return lsh_candidates(probes, index, "item_id", "doc_id")
 
 
 @R.query("hamming_pairs")
 def hamming_pairs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = docs(spark, sf_dir).select(simhash_text(F.col("text")).alias("h")).distinct()
-    return hamming_pairs(h, 3)
+    return hamming_pairs(docs(spark, sf_dir).select(simhash_text(F.col("text")).alias("h")), 3)
 
 
 @R.query("simhash_bucket_join")
@@ -465,9 +546,9 @@ def similarity_cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tlsh_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's distance, similarity and level against the first document that has a digest."""
     d = docs(spark, sf_dir).select("doc_id", tlsh_digest(F.col("text")).alias("digest"))
-    first = d.where(F.col("digest").isNotNull()).orderBy("doc_id").limit(1).collect()  # one row
-    far = tlsh_distance_to(F.col("digest"), bytes(first[0].digest) if first else None)
-    out = d.withColumn("distance", far)
+    d = settled(d)
+    baseline = d.where(F.col("digest").isNotNull()).agg(F.min_by("digest", "doc_id")).first()[0]  # one value
+    out = d.withColumn("distance", tlsh_distance_to(F.col("digest"), bytes(baseline) if baseline else None))
     return out.select("doc_id", "distance", tlsh_similarity(F.col("distance")).alias("similarity"), F.when(F.col("distance").isNotNull(), tlsh_level(F.col("distance"))).alias("level"))
 
 

@@ -64,10 +64,20 @@ def history(hits: DataFrame, most: int = HISTORY) -> DataFrame:
 
 
 def hit_steps(edges: DataFrame) -> DataFrame:
-    """Each recording with its saturating count, and whether the edge is new or enters another bucket, in order (exec_id, seq)."""
-    edge = edge_index(F.col("from_block"), F.col("to_block"))
-    order = Window.partitionBy("edge").orderBy("exec_id", "seq")
-    counted = edges.withColumn("edge", edge).withColumn("n", F.least(F.row_number().over(order), F.lit(MOST_HITS)))
+    """Each recording with its saturating count, and whether the edge is new or enters another bucket, in order (exec_id, seq).
+
+    Equal recordings are counted first. Only the first MOST_HITS of an edge are ranked, which is cut before the shuffle; the
+    others are saturated. They meet by the whole recording, so that an edge with most rows is dealt out.
+    """
+    marked = edges.withColumn("edge", edge_index(F.col("from_block"), F.col("to_block")))
+    groups = marked.groupBy(*marked.columns).agg(F.count("*").alias("times"))
+    order = Window.partitionBy("edge").orderBy("exec_id", "seq", *[x for x in edges.columns if x not in ("exec_id", "seq")])
+    ranked = groups.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MOST_HITS)
+    ranked = ranked.withColumn("start", F.coalesce(F.sum("times").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    same = [F.col(f"g.{x}").eqNullSafe(F.col(f"r.{x}")) for x in marked.columns]
+    met = groups.alias("g").join(ranked.alias("r"), same, "left").select("g.*", F.coalesce("r.start", F.lit(MOST_HITS)).alias("start"))
+    counted = met.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    counted = counted.select(*marked.columns, F.least(F.col("start") + F.col("k"), F.lit(MOST_HITS)).cast("int").alias("n"))
     bucket = hit_bucket(F.col("n"))
     before = hit_bucket(F.least(F.col("n") - 1, F.lit(MOST_HITS)))
     return counted.withColumns({"bucket": bucket, "is_new": F.col("n") == 1, "crossed": (bucket != before) & (F.col("n") < MOST_HITS)})
@@ -86,9 +96,11 @@ def map_stats(covered: DataFrame) -> DataFrame:
 
 def map_hash(covered: DataFrame, size: int = MAP_SIZE) -> DataFrame:
     """SHA-256 of the whole bitmap, rebuilt as bytes from its sparse rows: at most `size` of them, a proven bound."""
-    slots = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)))
-    packed = covered.agg(F.map_from_entries(F.collect_list(F.struct(F.col("edge").cast("int").alias("k"), "hits"))).alias("m"))
-    return packed.select(F.sha2(F.unhex(F.array_join(F.transform(slots, lambda h: F.lpad(F.hex(h), 2, "0")), "")), 256).alias("hash"))
+    rows = covered.agg(F.array_sort(F.collect_list(F.struct(F.col("edge").cast("int").alias("k"), "hits"))).alias("m"))
+    before = lambda i: F.when(i == 0, -1).otherwise(F.element_at("m", F.greatest(i, F.lit(1)))["k"])
+    pieces = F.transform("m", lambda e, i: F.concat(F.repeat(F.lit("00"), e["k"] - before(i) - 1), F.lpad(F.hex(e["hits"]), 2, "0")))
+    rest = F.repeat(F.lit("00"), F.lit(size - 1) - F.coalesce(F.element_at("m", -1)["k"], F.lit(-1)))
+    return rows.select(F.sha2(F.unhex(F.concat(F.array_join(pieces, ""), F.when(F.size("m") > 0, rest).otherwise("00" * size))), 256).alias("hash"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

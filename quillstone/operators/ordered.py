@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import cpu_percent, memory_percent
 from ..registry import Registry
 from ..views import snapshots, table
+from .coverage import running_total
 from .joins import latest
 from .stats import ACCESS_SQL, access_log
 
@@ -36,9 +37,14 @@ def weighted_pick(options: DataFrame, targets: DataFrame) -> DataFrame:
 def resident_after(log: DataFrame, capacity: int, keys: list[str] | None = None) -> DataFrame:
     """What a cache of `capacity` bytes holds after a log of sets: the most recent keys whose running size fits.
 
-    Eviction takes the least recently set first, so residents are a prefix by recency; one window per cache.
+    Eviction takes the least recently set first, so residents are a prefix by recency. One window per cache; a single cache is
+    summed by ranges of recency, so that no task sorts all its keys.
     """
-    keys = keys or []
+    if not keys:
+        newest = latest(log, ["key"], ["ts", "seq"])
+        since = F.struct((-F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"), (-F.col("seq")).alias("s"))
+        summed = running_total(newest.withColumn("__since", since), "__since", "size").withColumnRenamed("total", "used")
+        return summed.where(F.col("used") <= capacity).drop("__since")
     newest = latest(log, [*keys, "key"], ["ts", "seq"])
     w = Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return newest.withColumn("used", F.sum("size").over(w)).where(F.col("used") <= capacity)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import Registry
+from ..shared import folded
 from ..views import RESPONSES_SQL, responses, table
 
 R = Registry()
@@ -190,10 +191,14 @@ def stability_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def truncating_mean(rows: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
     """(key, mean): the running integer mean avg += (x - avg) / n, replayed in order, division cut towards zero."""
-    ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__x"))))
-    step = lambda acc, r: F.struct((acc["n"] + 1).alias("n"), (acc["avg"] + F.call_function("div", r["__x"] - acc["avg"], acc["n"] + 1)).alias("avg"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("avg"))
-    return rows.groupBy(key).agg(ordered.alias("__rows")).select(key, F.aggregate("__rows", zero, step, lambda a: a["avg"]).alias("mean"))
+
+    def step(state: dict, row: dict) -> list[dict]:
+        n, avg = state.get("n", 0) + 1, state.get("avg", 0)
+        apart = int(row["x"]) - avg
+        state["n"], state["avg"] = n, avg + (apart // n if apart >= 0 else -(-apart // n))
+        return []
+
+    return folded(rows.select(key, *order, F.col(value).alias("x")), key, order, step, "mean long", lambda state: [{"mean": state["avg"]}])
 
 
 @R.query("running_latency_mean", f"""WITH RECURSIVE {RESPONSES_SQL}, r AS (SELECT target, response_time_ns AS x, row_number() OVER (PARTITION BY target ORDER BY ts, seq) AS n FROM responses),

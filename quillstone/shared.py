@@ -2,14 +2,54 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one is made only in local mode, where driver and executors are one process."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillstone-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, computed once into the session's checkpoint folder; a local one is made only where none is set."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstone-"))
+    """df, computed once into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def folded(rows: DataFrame, key: str, order: list[str], fold: Callable[[dict, dict], list[dict]], schema: str, finish: Callable[[dict], list[dict]] | None = None) -> DataFrame:
+    """A fold of (state, row) over each key's rows in order, and of its last state; the key comes first in the result.
+
+    Partitions sorted by key and order are read batch by batch, with the state of one key at a time: a key of any size
+    takes no more memory than a batch and its state. Its rows stay in one task, since each depends on the one before.
+    """
+    names = [key, *[c.split()[0] for c in schema.split(", ")]]
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                if state is None or not (row[key] == current or (pd.isna(row[key]) and pd.isna(current))):
+                    if state is not None and finish:
+                        out += [{key: current} | made for made in finish(state)]
+                    current, state = row[key], {}
+                out += [{key: current} | made for made in fold(state, row)]
+            yield pd.DataFrame(out, columns=names)
+        if state is not None and finish:
+            yield pd.DataFrame([{key: current} | made for made in finish(state)], columns=names)
+
+    dealt = rows.repartition(key).sortWithinPartitions(key, *order)
+    return dealt.mapInPandas(run, f"`{key}` {kind}, {schema}")

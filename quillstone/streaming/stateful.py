@@ -6,6 +6,7 @@ state per key with applyInPandasWithState; batches fold each key's rows in order
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..registry import Registry
+from ..shared import folded
 from ..views import responses, snapshots, table
 
 R = Registry()
@@ -42,9 +44,22 @@ def learn_then_score(most: int = MAX_SAMPLES) -> Fold:
 
 
 def pool_put(state: State, row: dict) -> list[dict]:
-    """The value pool of one key: equal values refresh their expiry, the oldest go beyond the limit; emits what each put did."""
+    """The value pool of one key: equal values refresh their expiry, the oldest go beyond the limit; emits what each row did.
+
+    A row's op is put where it has none; remove_value drops the first entry of its value, remove and clear drop all of the key.
+    """
     now, entries = row["t"], state.setdefault("entries", [])
     entries[:] = [e for e in entries if e[2] >= now]
+    op = row.get("op") or "put"
+    if op in ("remove", "clear"):
+        n = len(entries)
+        entries.clear()
+        return [{"seq": row["seq"], "action": "removed" if n else "absent", "size": 0}]
+    if op == "remove_value":
+        place = next((k for k, e in enumerate(entries) if e[0] == row["value"]), None)
+        if place is not None:
+            del entries[place]
+        return [{"seq": row["seq"], "action": "absent" if place is None else "removed", "size": len(entries)}]
     for e in entries:
         if e[0] == row["value"]:
             e[2] = now + POOL_TTL_S
@@ -94,16 +109,19 @@ def lru_cache(capacity: int) -> Fold:
         held: dict[str, list] = state.setdefault("held", {})  # in order of recency, oldest first
         key, now = str(row["key"]), row["t"]
         entry = held.pop(key, None)
+        state["used"] = state.get("used", 0) - (entry[0] if entry is not None else 0)
         if entry is not None and entry[1] < now:
             entry = None
         if row["op"] == "get":
             if entry is not None:
                 held[key] = entry
+                state["used"] += entry[0]
             return [{"seq": row["seq"], "result": "hit" if entry is not None else "miss", "evicted": 0}]
         held[key] = [int(row["size"]), now + row["ttl"]]
+        state["used"] += int(row["size"])
         evicted = 0
-        while sum(e[0] for e in held.values()) > capacity and len(held) > 1:
-            del held[next(iter(held))]
+        while state["used"] > capacity and len(held) > 1:
+            state["used"] -= held.pop(next(iter(held)))[0]
             evicted += 1
         return [{"seq": row["seq"], "result": "set", "evicted": evicted}]
 
@@ -111,16 +129,8 @@ def lru_cache(capacity: int) -> Fold:
 
 
 def in_batch(rows: DataFrame, key: str, order: list[str], fold: Fold, schema: str) -> DataFrame:
-    """The fold over each key's rows in order; the key comes first in the result. Memory: one key's rows."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        state: State = {}
-        value = group[key].iloc[0]
-        out = [{key: value} | made for row in group.sort_values(order).to_dict("records") for made in fold(state, row)]
-        return pd.DataFrame(out, columns=[key, *[c.split()[0] for c in schema.split(", ")]])
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandas(run, f"{key} {kind}, {schema}")
+    """The fold over each key's rows in order; the key comes first in the result. Memory: a batch and one key's state."""
+    return folded(rows, key, order, fold, schema)
 
 
 def in_stream(rows: DataFrame, key: str, order: list[str], fold: Fold, schema: str, idle_s: int = 0) -> DataFrame:
@@ -179,6 +189,36 @@ def learned_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("skew", F.round("skew", 6))
 
 
+def learn_profile(most: int = MAX_SAMPLES) -> Fold:
+    """The first `most` samples of a key make its baseline: mean time, length and words, and the bodies' hashes; later rows are compared with it."""
+
+    def fold(state: State, row: dict) -> list[dict]:
+        body = row["body"] or ""
+        n, words, hashed = state.get("n", 0), len(body.split()), hashlib.md5(body.encode()).hexdigest()
+        sums = state.setdefault("sums", [0, 0, 0])
+        known = state.setdefault("hashes", [])
+        if n < most:
+            state["n"] = n + 1
+            for k, x in enumerate((row["response_time_ns"], row["content_length"], words)):
+                sums[k] += int(x)
+            if hashed not in known:
+                known.append(hashed)
+            return []
+        time, length, count = (x // n for x in sums)
+        return [{"seq": row["seq"], "skew": row["response_time_ns"] / time if time > 0 else 0.0, "length_off": int(row["content_length"]) - length, "words_off": words - count, "known_body": hashed in known}]
+
+    return fold
+
+
+@R.query("learned_profiles", """WITH r AS (SELECT user_id AS target, event_id AS seq, CAST(round(value * 1e6) AS BIGINT) AS x, octet_length(encode(props)) AS l, len(list_filter(regexp_split_to_array(props, '\\s+'), lambda w: w <> '')) AS w, md5(props) AS h, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+b AS (SELECT target, sum(x) // count(*) AS x, sum(l) // count(*) AS l, sum(w) // count(*) AS w, list(DISTINCT h) AS hs FROM r WHERE rn <= 20 GROUP BY 1)
+SELECT r.target, r.seq, round(CASE WHEN b.x > 0 THEN r.x / b.x ELSE 0 END, 6) AS skew, CAST(r.l - b.l AS BIGINT) AS length_off, CAST(r.w - b.w AS BIGINT) AS words_off, list_contains(hs, h) AS known_body FROM r JOIN b USING (target) WHERE rn > 20""")
+def learned_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = responses(spark, sf_dir).select("target", "seq", "ts", "response_time_ns", "content_length", "body")
+    out = in_batch(r, "target", ["ts", "seq"], learn_profile(20), "seq long, skew double, length_off long, words_off long, known_body boolean")
+    return out.withColumn("skew", F.round("skew", 6))
+
+
 @R.query("stream_status_changes", "SELECT id, seq, from_status, to_status FROM (SELECT user_id AS id, event_id AS seq, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_status, event_type AS to_status FROM events) WHERE from_status <> to_status")
 def stream_status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_batch(snapshots(spark, sf_dir), "id", ["ts", "seq"], status_changes, "seq long, from_status string, to_status string")
@@ -203,6 +243,23 @@ def pool_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_batch(e, "event_type", ["ts", "seq"], pool_put, "seq long, action string, size int")
 
 
+#: The last thing that happened to a value before a row decides whether it is held: a put within its time, no removal since.
+_HELD_SQL = """WITH e AS (SELECT event_type AS key, event_id AS seq, ts, CAST(user_id AS VARCHAR) AS value, CASE WHEN event_id % 11 = 3 THEN 'remove_value' WHEN event_id % 211 = 7 THEN 'remove' ELSE 'put' END AS op FROM events WHERE user_id % 40 = 1),
+w AS (SELECT *, max(CASE WHEN op = 'remove' THEN struct_pack(ts := ts, seq := seq) END) OVER (PARTITION BY key ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS swept,
+ lag(struct_pack(ts := ts, seq := seq)) OVER (PARTITION BY key, value, op <> 'remove' ORDER BY ts, seq) AS before, lag(op) OVER (PARTITION BY key, value, op <> 'remove' ORDER BY ts, seq) AS before_op FROM e)
+SELECT key, seq, CASE WHEN op = 'put' THEN CASE WHEN held THEN 'refreshed' ELSE 'added' END ELSE CASE WHEN held THEN 'removed' ELSE 'absent' END END AS action
+FROM (SELECT *, coalesce(before_op = 'put' AND (swept IS NULL OR before > swept) AND before.ts + INTERVAL '1800 seconds' >= ts, false) AS held FROM w) WHERE op <> 'remove'"""
+
+
+@R.query("pool_removals", _HELD_SQL)
+def pool_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Puts and removals of single values, between removals of whole keys; the values are few, so that no pool meets its limit."""
+    op = F.when(F.col("event_id") % 11 == 3, "remove_value").when(F.col("event_id") % 211 == 7, "remove").otherwise("put")
+    e = _timed(table(spark, sf_dir, "events").where("user_id % 40 = 1").select(F.col("event_type").alias("key"), F.col("event_id").alias("seq"), "ts", F.col("user_id").cast("string").alias("value"), op.alias("op")))
+    done = in_batch(e, "key", ["ts", "seq"], pool_put, "seq long, action string, size int")
+    return done.join(e.where("op <> 'remove'").select("seq"), "seq", "left_semi").select("key", "seq", "action")
+
+
 @R.query("lru_replay")
 def lru_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache per event day; day-long keys bound each group."""
