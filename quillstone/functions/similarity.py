@@ -475,6 +475,40 @@ for _p in DROPPED:
 _PRE_SQL = "regexp_replace(lower(trim(regexp_replace(" + _PRE_SQL + ", '[\\t\\n\\f\\r ]+', ' ', 'g'))), '\\p{{Nd}}', '', 'g')"
 
 
+# --- Oracles over whole texts -----------------------------------------------------------------------------------
+
+_STEP = "((xor({h}, CAST('0x' || {b} AS HUGEINT)) * 1099511628211) % 18446744073709551616)"
+
+
+def _votes_sql(features: str, ties_set: bool) -> str:
+    """(id, h) from `features`, a query of (id, h unsigned): the majority of each bit, signed."""
+    sums = ", ".join(f"sum((h >> {b}) & 1) AS b{b}" for b in range(64))
+    bits = " + ".join(f"CASE WHEN 2 * b{b} {'>=' if ties_set else '>'} n THEN {1 << b}::HUGEINT ELSE 0 END" for b in range(64))
+    return f"SELECT id, {_SIGNED.format(h='s')} AS h FROM (SELECT id, ({bits}) AS s FROM (SELECT id, count(*) AS n, {sums} FROM ({features}) GROUP BY id))"
+
+
+def _byte_simhash_sql(source: str, key: str, text: str) -> str:
+    """byte_simhash of each text: bytes in rows, windows of four, each distinct window hashed once."""
+    four = "'" + hex(FNV64_OFFSET)[2:] + "'"
+    h = f"CAST('0x' || {four} AS HUGEINT)"
+    for k in range(4):
+        h = _STEP.format(h=h, b=f"substr(s, {2 * k + 1}, 2)")
+    return f"""WITH x AS (SELECT {key} AS id, hex(encode({text})) AS x FROM {source} WHERE {text} IS NOT NULL), l AS (SELECT id, regexp_extract_all(x, '..') AS b FROM x),
+y AS (SELECT id, unnest(b) AS b, generate_subscripts(b, 1) AS i FROM l),
+w AS (SELECT id, b || lead(b, 1) OVER o || lead(b, 2) OVER o || lead(b, 3) OVER o AS s FROM y WINDOW o AS (PARTITION BY id ORDER BY i)),
+k AS (SELECT s, CAST({h} AS UBIGINT) AS h FROM (SELECT DISTINCT s FROM w WHERE s IS NOT NULL)),
+short AS (SELECT id, CAST(list_reduce(list_prepend({FNV64_OFFSET}::HUGEINT, list_transform(b, lambda v: CAST('0x' || v AS HUGEINT))), lambda h, v: (xor(h, v) * 1099511628211) % 18446744073709551616) AS UBIGINT) AS h FROM l WHERE len(b) < 4),
+simhashes AS ({_votes_sql("SELECT id, h FROM w JOIN k USING (s) UNION ALL SELECT id, h FROM short", True)})"""
+
+
+def _text_simhash_sql(source: str, key: str, text: str) -> str:
+    """simhash_text of each text: trigrams of the preprocessed words, each distinct one hashed once."""
+    return f"""WITH p AS (SELECT {key} AS id, list_filter(regexp_split_to_array({_PRE_SQL.format(t=text)}, '\\s+'), lambda x: x <> '') AS w FROM {source} WHERE {text} IS NOT NULL),
+g AS (SELECT id, CASE WHEN len(w) < 3 THEN w[i] ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS s FROM (SELECT id, w, unnest(range(1, CAST(CASE WHEN len(w) < 3 THEN len(w) + 1 ELSE len(w) - 1 END AS BIGINT))) AS i FROM p)),
+k AS (SELECT s, CAST(list_reduce(list_prepend({FNV64_OFFSET}::HUGEINT, list_transform(regexp_extract_all(hex(encode(s)), '..'), lambda v: CAST('0x' || v AS HUGEINT))), lambda h, v: (xor(h, v) * 1099511628211) % 18446744073709551616) AS UBIGINT) AS h FROM (SELECT DISTINCT s FROM g)),
+simhashes AS ({_votes_sql("SELECT id, h FROM g JOIN k USING (s)", False)} UNION ALL SELECT id, 0 FROM p WHERE len(w) = 0)"""
+
+
 @R.query("preprocessed_texts", f"SELECT doc_id, md5({_PRE_SQL.format(t='text')}) AS digest FROM documents")
 def preprocessed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.md5(preprocessed(F.col("text"))).alias("digest"))
@@ -526,17 +560,19 @@ def lsh_candidates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_candidates(probes, index, "item_id", "doc_id")
 
 
-@R.query("hamming_pairs")
+@R.query("hamming_pairs", _text_simhash_sql("documents", "doc_id", "text") + """, d AS (SELECT DISTINCT h FROM simhashes)
+SELECT x.h AS a, y.h AS b, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) AS distance FROM d x JOIN d y ON x.h < y.h AND bit_count(xor(x.h, y.h)) <= 3""")
 def hamming_pairs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_pairs(docs(spark, sf_dir).select(simhash_text(F.col("text")).alias("h")), 3)
 
 
-@R.query("simhash_bucket_join")
+@R.query("simhash_bucket_join", _byte_simhash_sql("documents", "doc_id", "text") + """, d AS (SELECT DISTINCT h, CAST(h AS HUGEINT) + CASE WHEN h < 0 THEN 18446744073709551616::HUGEINT ELSE 0 END AS u FROM simhashes)
+SELECT x.h AS a, y.h AS b, 1 - bit_count(xor(x.h, y.h)) / 64 AS similarity FROM d x JOIN d y ON x.u // 16 = y.u // 16 AND x.h < y.h WHERE 1 - bit_count(xor(x.h, y.h)) / 64 >= 0.9""")
 def simhash_bucket_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bucket_pairs(docs(spark, sf_dir).select(simhash_bytes(F.col("text")).alias("h")).distinct())
 
 
-@R.query("similarity_cache_stats")
+@R.query("similarity_cache_stats", _byte_simhash_sql("documents", "doc_id", "text") + """ SELECT count(DISTINCT (CAST(h AS HUGEINT) + CASE WHEN h < 0 THEN 18446744073709551616::HUGEINT ELSE 0 END) // 16) AS buckets, count(*) AS items FROM simhashes""")
 def similarity_cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = docs(spark, sf_dir).select(simhash_bytes(F.col("text")).alias("h"))
     return h.agg(F.count_distinct(F.shiftrightunsigned("h", 4)).alias("buckets"), F.count("*").alias("items"))
@@ -566,25 +602,46 @@ def length_ratio_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", ((F.length("html") != 3000) | (s < 0.9)).alias("differs"), s.alias("similarity"))
 
 
-# The same over whole documents and whole pages. Hashing these byte by byte is too slow in SQL.
+# The same over whole documents and whole pages.
 
 
-@R.query("word_ngrams_documents")
+@R.query("word_ngrams_documents", """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, i AS place, CASE WHEN len(w) < 3 THEN w[i] ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS gram FROM (SELECT doc_id, w, unnest(range(1, CAST(CASE WHEN len(w) < 3 THEN len(w) + 1 ELSE len(w) - 1 END AS BIGINT))) AS i FROM w)""")
 def word_ngrams_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir).select("doc_id", F.posexplode(word_ngrams(F.col("text"))).alias("k", "gram"))
     return d.select("doc_id", (F.col("k") + 1).cast("bigint").alias("place"), "gram")
 
 
-@R.query("simhash_text_documents")
+@R.query("simhash_text_documents", _text_simhash_sql("documents", "doc_id", "text") + " SELECT id AS doc_id, h FROM simhashes")
 def simhash_text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", simhash_text(F.col("text")).alias("h"))
 
 
-@R.query("content_fingerprint_html")
+@R.query("content_fingerprint_html", "SELECT page_id, md5(html) AS md5, CAST(octet_length(encode(html)) AS INTEGER) AS size, CAST(list_reduce(list_prepend(2166136261::BIGINT, list_transform(regexp_extract_all(hex(encode(html)), '..'), lambda v: CAST('0x' || v AS BIGINT))), lambda h, v: (xor(h, v) * 16777619) % 4294967296) AS BIGINT) AS fnv32 FROM pages")
 def content_fingerprint_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", F.md5("html").alias("md5"), F.octet_length("html").alias("size"), fnv32(F.col("html")).alias("fnv32"))
 
 
-@R.query("simhash_bytes_html")
+@R.query("simhash_bytes_html", _byte_simhash_sql("pages", "page_id", "html") + " SELECT id AS page_id, h FROM simhashes")
 def simhash_bytes_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", simhash_bytes(F.col("html")).alias("h"))
+
+
+@R.query("hamming_distances", "SELECT event_id AS seq, CAST(bit_count(xor(event_id, user_id)) AS INTEGER) AS distance, (1 - bit_count(xor(event_id, user_id)) / 64) * 100 AS similarity FROM events")
+def hamming_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("event_id"), F.col("user_id")
+    return table(spark, sf_dir, "events").select(a.alias("seq"), hamming(a, b).alias("distance"), simhash_similarity(a, b).alias("similarity"))
+
+
+@R.query("jaccard_estimates", """SELECT event_id AS seq, CASE WHEN event_id % 9 = 0 THEN 0.0 ELSE len(list_filter(range(16), lambda k: (event_id * k) % 7 = (user_id * k) % 7)) / 16 END AS estimate FROM events""")
+def jaccard_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures of sixteen places; every ninth pair differs in length and so has none in common."""
+    made = lambda c: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.col(c) * k % 7)
+    shorter = F.when(F.col("event_id") % 9 == 0, F.slice(made("user_id"), 1, 15)).otherwise(made("user_id"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), jaccard_estimate(made("event_id"), shorter).alias("estimate"))
+
+
+@R.query("hamming_neighbours", "WITH d AS (SELECT DISTINCT c_custkey AS h FROM customer) SELECT x.h AS a, y.h AS b, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) AS distance FROM d x JOIN d y ON x.h < y.h AND bit_count(xor(x.h, y.h)) <= 1")
+def hamming_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys one bit apart: a table full of pairs."""
+    return hamming_pairs(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("h")), 1)

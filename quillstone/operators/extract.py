@@ -50,10 +50,14 @@ HEADERS = (
 DISCLOSING = ("Server", "X-Powered-By")
 #: Response patterns by type.
 PATTERNS = {
-    "sql_error": (r"(?i)sql\s*syntax", r"(?i)SQLSTATE\[", r"(?i)unclosed quotation"),
-    "reflected_script": (r"<script[^>]*>.*?</script>", r"javascript:"),
-    "sensitive_data": (r"(?i)password\s*[:=]", r"(?i)api[_-]?key\s*[:=]", r"(?i)access[_-]?token"),
-    "verbose_error": (r"(?i)stack\s*trace", r"(?i)fatal\s+error:"),
+    "sql_error": (r"(?i)sql\s*syntax", r"(?i)mysql.*error", r"(?i)postgresql.*error", r"(?i)sqlite.*error", r"(?i)oracle.*error", r"(?i)ORA-\d{5}", r"(?i)quoted string not properly terminated", r"(?i)unclosed quotation", r"(?i)SQLSTATE\[", r"(?i)Warning:.*mysql_", r"(?i)Warning:.*pg_", r"(?i)Microsoft SQL Server", r"(?i)ODBC.*Driver"),
+    "reflected_script": (r"<script[^>]*>.*?</script>", r"on\w+\s*=\s*['\"]*[^'\"]*['\"]", r"javascript:", r"<img[^>]+onerror\s*=", r"<svg[^>]+onload\s*="),
+    "command_output": (r"uid=\d+\(.*?\)\s+gid=\d+", r"root:.*:0:0:", r"\[boot loader\]", r"(?i)volume\s+serial\s+number", r"(?i)directory\s+of\s+"),
+    "file_content": (r"root:x:0:0:", r"\[fonts\]", r"\[extensions\]", r"(?i)warning:.*include\(", r"(?i)failed to open stream"),
+    "xml_entity": (r"root:.*:0:0:", r"(?i)external entity", r"(?i)entity.*not defined", r"SYSTEM.*file:"),
+    "metadata_service": (r"(?i)ami-[a-z0-9]+", r"(?i)instance-id", r"169\.254\.169\.254", r"(?i)internal\s+server"),
+    "sensitive_data": (r"(?i)password\s*[:=]", r"(?i)api[_-]?key\s*[:=]", r"(?i)secret[_-]?key\s*[:=]", r"(?i)private[_-]?key", r"(?i)access[_-]?token", r"(?i)aws[_-]?secret", r"-----BEGIN.*PRIVATE KEY-----", r"(?i)jdbc:.*://", r"(?i)mongodb://.*@"),
+    "verbose_error": (r"(?i)stack\s*trace", r"(?i)at\s+\w+\.\w+\(.*:\d+\)", r"(?i)exception\s+in\s+thread", r"(?i)traceback\s+\(most recent", r"(?i)Parse\s+error:", r"(?i)Fatal\s+error:", r"(?i)undefined\s+index"),
 }
 
 
@@ -276,11 +280,27 @@ def regex_pattern_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_matches(pages(spark, sf_dir), "page_id", "html", _SCAN)
 
 
-@R.query("response_findings", "SELECT type, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS type, unnest(regexp_extract_all(html, '{p}')) AS m FROM pages" for k, v in PATTERNS.items() for p in v) + ") GROUP BY 1")
+@R.query("response_findings", "SELECT type, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS type, unnest(regexp_extract_all(html, '{p.replace("'", "''")}')) AS m FROM pages" for k, v in PATTERNS.items() for p in v) + ") GROUP BY 1")
 def response_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_matches(pages(spark, sf_dir), "page_id", "html").groupBy("type").agg(F.count("*").alias("n"))
 
 
+#: A text with one place for each pattern of the registry, and its near misses.
+_ODD_TEXTS = (
+    "You have an error in your SQL syntax near x", "MySQL server error", "PostgreSQL query error", "SQLite disk error", "Oracle listener error ORA-00933", "quoted string not properly terminated", "Unclosed quotation mark SQLSTATE[42000]", "Warning: mysql_query() and Warning: pg_exec()", "Microsoft SQL Server ODBC 17 Driver",
+    "<a onclick = 'x()'>javascript:void <img src=x onerror =1> <svg/x onload=1>", "uid=0(root) gid=0", "root:x:0:0:root", "[boot loader] Volume Serial Number; Directory of C", "[fonts] [extensions] Warning: include(a) failed to open stream", "external entity, entity x not defined, SYSTEM file:", "ami-0abc instance-id 169.254.169.254 Internal  Server",
+    "password : a api_key= b secret-key: c private_key access-token aws_secret", "-----BEGIN RSA PRIVATE KEY----- jdbc:x://y mongodb://u:p@h", "Stack trace: at a.b(C.java:12) Exception in thread Traceback (most recent Parse error: Fatal error: Undefined index", "nothing here: uid= root: at a b ami",
+)
+
+
+@R.query("response_findings_by_pattern", "WITH t AS (SELECT event_id AS seq, list_extract([" + ", ".join("'" + t.replace("'", "''") + "'" for t in _ODD_TEXTS) + f"], CAST(event_id % {len(_ODD_TEXTS)} + 1 AS BIGINT)) AS body FROM events) SELECT type, pattern, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS type, '{q}' AS pattern, unnest(regexp_extract_all(body, '{q}')) AS m FROM t" for k, v in PATTERNS.items() for p in v for q in [p.replace("'", "''")]) + ") GROUP BY 1, 2")
+def response_findings_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pattern of the registry over texts that hold each of them."""
+    body = F.element_at(F.array(*[F.lit(t) for t in _ODD_TEXTS]), (F.col("event_id") % len(_ODD_TEXTS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), body.alias("body"))
+    return pattern_matches(rows, "seq", "body").groupBy("type", "pattern").agg(F.count("*").alias("n"))
+
+
 @R.query("header_audit", f"""WITH {RESPONSES_SQL}, h AS (SELECT * FROM (VALUES ('Strict-Transport-Security', 'medium'), ('X-Content-Type-Options', 'low'), ('X-XSS-Protection', 'low'), ('Content-Security-Policy', 'medium'), ('Referrer-Policy', 'low'), ('Permissions-Policy', 'low')) v(header, severity))
 SELECT header, 'missing' AS issue, severity, count(*) AS n FROM responses, h GROUP BY ALL UNION ALL SELECT 'X-Frame-Options', 'empty', 'medium', count(*) FILTER (seq % 3 = 0) FROM responses UNION ALL SELECT 'Server', 'disclosed', 'low', count(*) FILTER (seq % 2 = 1) FROM responses""")
 def header_audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +321,7 @@ def links_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links_and_forms(pages(spark, sf_dir), "page_id", "url", "html").where("kind = 'link'").groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@R.query("forms_extracted")
+@R.query("forms_extracted", "SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') || '/login' AS url, 'POST' AS method, 'user,note,s' AS inputs FROM pages")
 def forms_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with a login form put behind their html, so that there is something to find."""
     form = '<form action="/login" method="post"><input name="user"><textarea name="note"></textarea><select name="s"></select></form>'

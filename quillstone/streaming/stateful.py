@@ -231,7 +231,9 @@ def throttled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_batch(e, "user_id", ["ts", "seq"], throttle(6 * 3600), "seq long, allowed boolean")
 
 
-@R.query("limited_rows")
+@R.query("limited_rows", """WITH RECURSIVE e AS (SELECT event_type, event_id AS seq, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+w AS (SELECT event_type, seq, rn, t AS last, 4 AS tokens, true AS allowed FROM e WHERE rn = 1
+UNION ALL SELECT event_type, seq, rn, t, CAST(g - (g > 0)::INT AS INTEGER), g > 0 FROM (SELECT e.event_type, e.seq, e.rn, e.t, least(5, w.tokens + CAST(trunc(e.t - w.last) AS BIGINT)) AS g FROM w JOIN e ON e.event_type = w.event_type AND e.rn = w.rn + 1)) SELECT event_type, seq, allowed FROM w""")
 def limited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _timed(table(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("seq"), "ts"))
     return in_batch(e, "event_type", ["ts", "seq"], token_bucket(1, 5), "seq long, allowed boolean")
