@@ -7,6 +7,7 @@ joins, is column expressions. Hashes are stored as signed 64-bit numbers.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -501,6 +502,19 @@ short AS (SELECT id, CAST(list_reduce(list_prepend({FNV64_OFFSET}::HUGEINT, list
 simhashes AS ({_votes_sql("SELECT id, h FROM w JOIN k USING (s) UNION ALL SELECT id, h FROM short", True)})"""
 
 
+def _minhash_sql(source: str, key: str, text: str, name: str, hashes: int) -> str:
+    """CTEs that end in `name` (id, sig): per hash the least over the distinct windows of four bytes; shorter texts are one window."""
+    seeds = [fnv1a(i.to_bytes(8, "little")) for i in range(hashes)]
+    steps = lambda seed: functools.reduce(lambda h, k: _STEP.format(h=h, b=f"substr(s, {2 * k + 1}, 2)"), range(4), f"{seed}::HUGEINT")
+    folded_ = lambda seed: f"list_reduce(list_prepend({seed}::HUGEINT, list_transform(b, lambda v: CAST('0x' || v AS HUGEINT))), lambda h, v: (xor(h, v) * 1099511628211) % 18446744073709551616)"
+    signed = lambda x: _SIGNED.format(h=x)
+    return f"""{name}_l AS (SELECT {key} AS id, regexp_extract_all(hex(encode({text})), '..') AS b FROM {source} WHERE {text} IS NOT NULL), {name}_y AS (SELECT id, unnest(b) AS b, generate_subscripts(b, 1) AS i FROM {name}_l),
+{name}_w AS (SELECT DISTINCT id, s FROM (SELECT id, b || lead(b, 1) OVER o || lead(b, 2) OVER o || lead(b, 3) OVER o AS s FROM {name}_y WINDOW o AS (PARTITION BY id ORDER BY i)) WHERE s IS NOT NULL),
+{name}_k AS (SELECT s, {', '.join(f'{steps(seed)} AS h{i}' for i, seed in enumerate(seeds))} FROM (SELECT DISTINCT s FROM {name}_w)),
+{name}_m AS (SELECT id, {', '.join(f'min(h{i}) AS h{i}' for i in range(hashes))} FROM {name}_w JOIN {name}_k USING (s) GROUP BY id UNION ALL SELECT id, {', '.join(folded_(seed) for seed in seeds)} FROM {name}_l WHERE len(b) < 4),
+{name} AS (SELECT id, [{', '.join(signed(f'h{i}') for i in range(hashes))}] AS sig FROM {name}_m)"""
+
+
 def _text_simhash_sql(source: str, key: str, text: str) -> str:
     """simhash_text of each text: trigrams of the preprocessed words, each distinct one hashed once."""
     return f"""WITH p AS (SELECT {key} AS id, list_filter(regexp_split_to_array({_PRE_SQL.format(t=text)}, '\\s+'), lambda x: x <> '') AS w FROM {source} WHERE {text} IS NOT NULL),
@@ -547,12 +561,14 @@ def simhash_bytes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", simhash_bytes(F.col("url")).alias("h"))
 
 
-@R.query("minhash_signature")
+@R.query("minhash_signature", "WITH " + _minhash_sql("documents", "doc_id", "text", "d", MINHASHES) + " SELECT id AS doc_id, sig FROM d UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL")
 def minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", minhash_signature(F.col("text")).alias("sig"))
 
 
-@R.query("lsh_candidates")
+@R.query("lsh_candidates", f"""WITH {_minhash_sql("documents", "doc_id", "text", "d", BANDS * ROWS)}, {_minhash_sql("benchmark", "item_id", "text", "p", BANDS * ROWS)},
+db AS (SELECT id, k, sig[{ROWS} * k + 1:{ROWS} * k + {ROWS}] AS band FROM d, range({BANDS}) r(k)), pb AS (SELECT id, k, sig[{ROWS} * k + 1:{ROWS} * k + {ROWS}] AS band FROM p, range({BANDS}) r(k))
+SELECT DISTINCT pb.id AS probe, db.id AS candidate FROM pb JOIN db ON pb.k = db.k AND pb.band = db.band""")
 def lsh_candidates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items probe all documents."""
     index = docs(spark, sf_dir).select("doc_id", minhash_signature(F.col("text"), BANDS * ROWS).alias("sig"))

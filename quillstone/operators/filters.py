@@ -6,6 +6,7 @@ numbers come before those that read bodies, since a chain stops at the first rea
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,6 +89,11 @@ def url_type(url: Column, content_type: Column) -> Column:
     )
 
 
+def api_urls(rows: DataFrame, url_col: str, content_type: Column) -> DataFrame:
+    """The rows whose url is an API's, by url_type."""
+    return rows.where(url_type(F.col(url_col), content_type) == "api")
+
+
 def searched(rows: DataFrame, term: str, columns: list[str]) -> DataFrame:
     """Rows that hold the term in any of the columns, whatever its case."""
     return rows.where(reduce(lambda a, b: a | b, [F.lower(F.col(c)).contains(term.lower()) for c in columns]))
@@ -99,13 +105,15 @@ def query_params(url: Column) -> Column:
     return F.transform(pairs, lambda x: F.struct(F.regexp_extract(x, "^[^=]*", 0).alias("name"), F.regexp_extract(x, "=(.*)$", 1).alias("value")))
 
 
-def findings(rows: DataFrame, rules: list[dict], id_col: str) -> DataFrame:
+def findings(rows: DataFrame, rules: list[dict], id_col: str, enabled: list[str] | None = None, checkers: list[Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
     """(id, rule, evidence, severity, cwe, cvss, confidence): what the rules find in each row's url, its parameters and its body.
 
     A rule on parameters finds each whose name, in lower case, holds one of its tokens (or whose value starts with
     `value_start`); one on a text finds it once, or with `each` once per token that it holds. The small rule table is
-    unrolled into literals, so one scan tests all rules.
+    unrolled into literals, so one scan tests all rules. enabled: names of rules, an empty list or None for all. checkers:
+    further ones of the caller's, each from rows to such findings.
     """
+    rules = [r for r in rules if not enabled or r["rule"] in enabled]
     made = []
     for rule in rules:
         tokens = rule["tokens"]
@@ -117,7 +125,8 @@ def findings(rows: DataFrame, rules: list[dict], id_col: str) -> DataFrame:
             found = held if rule.get("each") else F.slice(held, 1, 1)
         made.append(F.transform(found, _finding(rule)))
     met = rows.select(id_col, F.explode(F.flatten(F.array(*made))).alias("f"))
-    return met.select(id_col, "f.rule", "f.evidence", "f.severity", "f.cwe", "f.cvss", "f.confidence")
+    found = met.select(id_col, "f.rule", "f.evidence", "f.severity", "f.cwe", "f.cvss", "f.confidence")
+    return reduce(lambda a, check: a.unionByName(check(rows)), checkers or [], found)
 
 
 def _either(tokens: tuple[str, ...], start: str | None):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import json
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -11,8 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import truncated
-from ..operators.stats import anomalies
+from ..operators.stats import ANOMALIES_SQL, anomalies
 from ..registry import Registry
+from ..shared import shared_folder
+from ..views import responses, table
 
 R = Registry()
 
@@ -117,6 +121,160 @@ class Reports:
         return {f"report_{moment:%Y%m%d_%H%M%S}.{ending}": generate(content) for ending, generate in first.items()}
 
 
+#: Report sections by format, each a column over (id, severity, type, description); callers may add their own.
+SECTIONS: dict[str, Callable[[], Column]] = {
+    "json": lambda: F.to_json(F.struct("id", "severity", "type", "description")),
+    "markdown": lambda: F.concat(F.lit("## "), F.col("id"), F.lit(" ("), "severity", F.lit(", "), "type", F.lit(")\n\n"), truncated(F.col("description"), 100)),
+    "html": lambda: F.concat(F.lit('<tr class="'), "severity", F.lit('"><td>'), F.col("id"), F.lit("</td><td>"), _escaped(F.col("type")), F.lit("</td><td>"), _escaped(F.col("description")), F.lit("</td></tr>")),
+}
+ENDINGS = {"json": "json", "html": "html", "markdown": "md"}
+
+
+def _escaped(text: Column) -> Column:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    return text
+
+
+def report_sections(rows: DataFrame, kind: str, formats: dict[str, Callable[[], Column]] | None = None) -> DataFrame:
+    """(id, section): one section for each anomaly, none left out, made by the executors."""
+    return rows.select("id", (SECTIONS | (formats or {}))[kind]().alias("section"))
+
+
+def write_reports(rows: DataFrame, folder: str, moment: datetime, formats: dict[str, Callable[[], Column]] | None = None, endings: dict[str, str] | None = None) -> list[str]:
+    """All formats as folders of text files in order of id, each file ending once; their paths.
+
+    Nothing is gathered: sections are dealt out by ranges of id, and part files are in that order.
+    """
+    made, known = {}, ENDINGS | (endings or {})
+    for kind in SECTIONS | (formats or {}):
+        made.setdefault(known.get(kind, kind), kind)
+    paths = []
+    for ending, kind in made.items():
+        path = f"{folder}/report_{moment:%Y%m%d_%H%M%S}.{ending}"
+        report_sections(rows, kind, formats).repartitionByRange("id").sortWithinPartitions("id").select(F.col("section").alias("value")).write.text(path)
+        paths.append(path)
+    return paths
+
+
+def stats(rows: DataFrame) -> DataFrame:
+    """What the read endpoint gives: all anomalies, and those of each severity."""
+    return rows.agg(F.count("*").alias("total"), *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
+
+
+def logs(rows: DataFrame, after: int = 0, most: int = 100) -> DataFrame:
+    """A page of a log: rows (id, ...) behind an id, in order."""
+    return rows.where(F.col("id") > after).orderBy("id").limit(most)
+
+
+# --- Queries: what is written is read again, from a folder of its own below the shared one ------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stores-{uuid.uuid4().hex}"
+
+
+@R.query("wordlist_values", """SELECT doc_id % 100 AS k, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1""")
+def wordlist_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list with comments, blank lines and blanks around its values, written and read."""
+    d = table(spark, sf_dir, "documents").where("lang is not null and source is not null")
+    lines = d.select(F.explode(F.array(F.concat(F.lit("  "), (F.col("doc_id") % 100).cast("string"), F.lit(" ")), F.lit("# a comment"), F.lit("   "))).alias("value"))
+    lines.write.text(path := _folder(spark))
+    return read_wordlist(spark, path).groupBy(F.col("value").cast("long").alias("k")).agg(F.count("*").alias("n"))
+
+
+_RECORDS_SQL = "SELECT 'https://h/' || user_id AS url, 'GET' AS method, CAST(CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS INTEGER) AS status_code, CAST(octet_length(encode(props)) AS INTEGER) AS size, count(*) AS n FROM events GROUP BY ALL"
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = responses(spark, sf_dir)
+    named = r.select(F.concat(F.lit("https://h/"), "target").alias("url"), F.lit("GET").alias("method"), F.col("status_code"), F.create_map(F.lit("A"), F.lit("b")).alias("headers"), F.encode("body", "UTF-8").alias("body"), "response_time_ns", F.lit(None).cast("string").alias("error"), F.col("ts").cast("timestamp"))
+    return named.withColumn("status_code", F.col("status_code").cast("int"))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("url", "method", "status_code", F.octet_length("body").alias("size")).agg(F.count("*").alias("n"))
+
+
+@R.query("recorded_responses", _RECORDS_SQL)
+def recorded_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _records(spark, sf_dir).write.json(path := _folder(spark))
+    return _counted(read_responses(spark, path, "json"))
+
+
+@R.query("streamed_responses", _RECORDS_SQL)
+def streamed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files read as a stream until none is left, and written as a table."""
+    folder = _folder(spark)
+    _records(spark, sf_dir).repartition(3).write.json(f"{folder}/in")
+    query = stream_responses(spark, f"{folder}/in", 1).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
+    query.awaitTermination()
+    return _counted(spark.read.parquet(f"{folder}/out"))
+
+
+@R.query("stored_corpus", "SELECT sha256(text) AS hash, doc_id FROM documents WHERE doc_id % 4 = 0 AND text IS NOT NULL")
+def stored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of two kinds, of which one is read back."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    kind = F.when(F.col("doc_id") % 4 == 0, "crashes").otherwise("queue")
+    write_corpus(d.select("doc_id", F.sha2("text", 256).alias("hash"), kind.alias("kind")), path := _folder(spark))
+    return read_corpus(spark, path, "crashes").select("hash", "doc_id")
+
+
+@R.query("cache_live_entries", """SELECT CAST(user_id AS VARCHAR) AS key, max(event_id) AS value FROM events WHERE event_id % 3 <> 0 GROUP BY 1""")
+def cache_live_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries stored in two appends, a third of them expired: the newest live one of each key."""
+    e = table(spark, sf_dir, "events")
+    moment = F.lit("2030-01-01").cast("timestamp_ntz")
+    expires = F.when(F.col("event_id") % 3 == 0, F.lit("2029-12-31").cast("timestamp_ntz")).when(F.col("event_id") % 3 == 1, moment)
+    entries = e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("created"), expires.alias("expires"), F.col("event_id").alias("value"))
+    path = _folder(spark)
+    for part in (0, 1):
+        cache_store(entries.where(F.col("created") % 2 == part), path)
+    return cache_live(spark, path, moment).select("key", "value")
+
+
+def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anomalies(spark, sf_dir).withColumn("description", F.concat(F.lit("<b> & 'x' "), F.repeat("type", 30)))
+
+
+_DESCRIBED_SQL = ANOMALIES_SQL + ", described AS (SELECT *, '<b> & ''x'' ' || repeat(type, 30) AS description FROM anomalies)"
+
+
+@R.query("report_markdown", f"WITH {_DESCRIBED_SQL} SELECT id, '## ' || id || ' (' || severity || ', ' || type || ')' || chr(10) || chr(10) || CASE WHEN length(description) > 100 THEN left(description, 100) || '...' ELSE description END AS section FROM described")
+def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report_sections(_described(spark, sf_dir), "markdown")
+
+
+@R.query("report_html", f"""WITH {_DESCRIBED_SQL} SELECT id, '<tr class="' || severity || '"><td>' || id || '</td><td>' || type || '</td><td>&lt;b&gt; &amp; &#x27;x&#x27; ' || repeat(type, 30) || '</td></tr>' AS section FROM described""")
+def report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report_sections(_described(spark, sf_dir), "html")
+
+
+@R.query("custom_report", "WITH " + ANOMALIES_SQL + " SELECT id, severity || ';' || type AS section FROM anomalies")
+def custom_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report_sections(anomalies(spark, sf_dir), "csv", {"csv": lambda: F.concat_ws(";", "severity", "type")})
+
+
+@R.query("written_reports", "WITH " + ANOMALIES_SQL + " SELECT ending, count(*) AS lines FROM anomalies, (VALUES ('csv'), ('html'), ('json')) e(ending) GROUP BY 1 UNION ALL SELECT 'md', 3 * count(*) FROM anomalies")
+def written_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every format once, written as text and counted by lines; a Markdown section has three."""
+    own = {"csv": lambda: F.concat_ws(";", "severity", "type"), "again": lambda: F.lit("x")}
+    paths = write_reports(_described(spark, sf_dir), _folder(spark), datetime(2024, 1, 31), own, {"again": "csv"})
+    read = [spark.read.text(p).groupBy(F.lit(p.rsplit(".", 1)[1]).alias("ending")).agg(F.count("*").alias("lines")) for p in paths]
+    return functools.reduce(DataFrame.unionByName, read)
+
+
+@R.query("read_endpoints", "WITH " + ANOMALIES_SQL + " SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in SEVERITIES) + " FROM anomalies")
+def read_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats(anomalies(spark, sf_dir))
+
+
+@R.query("log_page", "WITH " + ANOMALIES_SQL + " SELECT id, severity, type FROM anomalies WHERE id > 500 ORDER BY id LIMIT 50")
+def log_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs(anomalies(spark, sf_dir), 500, 50).select("id", "severity", "type")
+
+
 @R.query("report_json", """SELECT id, '{"id":' || id || ',"severity":"' || severity || '","type":"' || type || '"}' AS line FROM (SELECT o_orderkey AS id, CASE left(o_orderpriority, 1) WHEN '1' THEN 'critical' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' WHEN '4' THEN 'low' ELSE 'info' END AS severity, CASE o_orderstatus WHEN 'F' THEN 'status' WHEN 'O' THEN 'time' ELSE 'length' END AS type FROM orders)""")
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON sink's lines, made by the executors."""
