@@ -24,6 +24,7 @@ import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -88,6 +89,10 @@ _NO = (1 << 62, -1)
 _SPACE = regex.compile(r"\s")
 
 
+#: Characters of a segment, and pieces of a longer one that are encoded at a time.
+SEGMENT, PIECES = 1 << 16, 1 << 14
+
+
 class Transducer:
     """Symbols in, stable tokens out. Memory: one window of a few lookaheads, whatever the piece's length."""
 
@@ -134,6 +139,7 @@ class Tokenizer:
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.piece = regex.compile(split["pattern"]["Regex"])
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.first = sorted({c[0] for c in self.added})
         self.remember, self.known = remember, {}
         byte = {letter: b for b, letter in enumerate(letters)}
         self.bytes = [self._bytes(name, number, byte) for number, name in enumerate(self.names)]
@@ -173,17 +179,28 @@ class Tokenizer:
 
     def id_chunks(self, text: str) -> Iterator[bytes]:
         """The ids of a text, as chunks of little-endian unsigned 32-bit integers."""
-        parts = self.special.split(text) if self.special and "<" in text else [text]
-        for k, part in enumerate(parts):
-            if k % 2:
-                yield self.added[part].to_bytes(4, "little")
-            elif part:
-                get, missing = self.known.get, self.piece_ids
-                for segment in self.segments(part):
-                    yield b"".join([get(p) or missing(p) for p in self.piece.findall(self.normalised(segment))])
+        at = 0
+        if self.special and any(c in text for c in self.first):
+            for found in self.special.finditer(text):
+                yield from self._plain(text[at : found.start()])
+                yield self.added[found[0]].to_bytes(4, "little")
+                at = found.end()
+        yield from self._plain(text[at:] if at else text)
+
+    def _plain(self, part: str) -> Iterator[bytes]:
+        """The ids of a text without added tokens; of a long segment, the pieces are taken a bounded number at a time."""
+        get, missing = self.known.get, self.piece_ids
+        for segment in self.segments(part) if part else ():
+            text = self.normalised(segment)
+            if len(text) <= 2 * SEGMENT:
+                yield b"".join([get(p) or missing(p) for p in self.piece.findall(text)])
+            else:
+                pieces = (m[0] for m in self.piece.finditer(text))
+                while some := list(islice(pieces, PIECES)):
+                    yield b"".join([get(p) or missing(p) for p in some])
 
     @staticmethod
-    def segments(text: str, most: int = 1 << 16) -> Iterator[str]:
+    def segments(text: str, most: int = SEGMENT) -> Iterator[str]:
         """The text in segments that end before white space, which no piece and no composed character crosses; a segment is longer only where there is none."""
         start = 0
         while len(text) - start > most and (space := _SPACE.search(text, start + most)):
@@ -199,10 +216,22 @@ class Tokenizer:
         return " ".join(map(self.names.__getitem__, ids))
 
     def text(self, ids: Iterable[int]) -> str:
-        """The readable text: bytes through the state machine, a space where a word ends."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        table = self.bytes
-        return "".join([machine.decode(table[k]) for k in ids]) + machine.decode(b"", True)
+        """The readable text of all ids at once."""
+        machine = TextMachine(self)
+        return machine.feed(ids) + machine.end()
+
+
+class TextMachine:
+    """Ids to readable text, some at a time: a token's bytes go through a state machine that holds an unfinished character; a space where a word ends."""
+
+    def __init__(self, tok: Tokenizer):
+        self.table, self.machine = tok.bytes, codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: Iterable[int]) -> str:
+        return self.machine.decode(b"".join(map(self.table.__getitem__, ids)))
+
+    def end(self) -> str:
+        return self.machine.decode(b"", True)
 
 
 @lru_cache(maxsize=4)
@@ -210,21 +239,26 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def _row(tok: Tokenizer, text: str | None, keep_ids: bool = True) -> tuple[int, bytes, str, str]:
-    """(tokens, ids, hash of the ids, hash of the decoded text), made segment by segment; without keep_ids nothing grows with the text."""
-    ids_hash, decoded_hash, count, chunks, names = hashlib.sha256(), hashlib.sha256(), 0, [], tok.names
+def _row(tok: Tokenizer, text: str | None, keep_ids: bool = True) -> tuple[int, bytes, str, str, str]:
+    """(tokens, ids, hash of the ids, of the decoded text, of the readable text), made chunk by chunk; without keep_ids nothing grows with the text."""
+    ids_hash, decoded_hash, text_hash, count, chunks, names = hashlib.sha256(), hashlib.sha256(), hashlib.sha256(), 0, [], tok.names
+    machine = TextMachine(tok)
     for chunk in tok.id_chunks(text or ""):
         ids_hash.update(chunk)
         numbers = memoryview(chunk).cast("I").tolist()
         decoded_hash.update(((" " if count and numbers else "") + " ".join([names[k] for k in numbers])).encode())
+        text_hash.update(machine.feed(numbers).encode())
         count += len(numbers)
         if keep_ids:
             chunks.append(chunk)
-    return count, b"".join(chunks), ids_hash.hexdigest(), decoded_hash.hexdigest()
+    text_hash.update(machine.end().encode())
+    return count, b"".join(chunks), ids_hash.hexdigest(), decoded_hash.hexdigest(), text_hash.hexdigest()
 
 
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """One row for each row of docs: its id, n_tokens, ids (array of int; only with keep_ids), ids_sha256, decoded_sha256.
+    """One row for each row of docs: its id, n_tokens, ids (array of int; only with keep_ids), ids_sha256, decoded_sha256, text_sha256.
+
+    decoded_sha256 is of what the public library's decode returns, text_sha256 of the readable text that the byte machine makes.
 
     Null texts count as empty and give no tokens; repeated rows are encoded one by one; other columns
     are ignored; an empty table gives no rows. The vocabulary file must be at the same path everywhere.
@@ -244,10 +278,10 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     flat = pa.Array.from_buffers(pa.int32(), sum(r[0] for r in rows), [None, pa.py_buffer(b"".join(r[1] for r in rows))])
                     arrays.append(pa.ListArray.from_arrays(ends, flat))
                     names.append("ids")
-                arrays += [pa.array([r[k] for r in rows], pa.string()) for k in (2, 3)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*names, "ids_sha256", "decoded_sha256"])
+                arrays += [pa.array([r[k] for r in rows], pa.string()) for k in (2, 3, 4)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, "ids_sha256", "decoded_sha256", "text_sha256"])
 
-    schema = f"`{id_col}` {kind}, n_tokens long, {ids_type}ids_sha256 string, decoded_sha256 string"
+    schema = f"`{id_col}` {kind}, n_tokens long, {ids_type}ids_sha256 string, decoded_sha256 string, text_sha256 string"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(encoded, schema)
 
 

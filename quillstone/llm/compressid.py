@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
 _OTHER = re.compile(r"[\W\d_]+")
-#: At most so many languages are learned, the most frequent ones.
-MOST_LANGUAGES = 256
 
 
 @dataclass(frozen=True)
@@ -47,20 +45,19 @@ def letters(text: str) -> bytes:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", where: Column | None = None,
-          snippets: int = 1200, snippet_chars: int = 110, dictionary_bytes: int = 112 << 10, level: int = 7) -> Dictionaries:
+          snippets: int = 1200, snippet_chars: int = 110, dictionary_bytes: int = 112 << 10, level: int = 7, most_languages: int = 4096) -> Dictionaries:
     """Dictionaries from the rows with a language and a text; ties in the sample's order go by the text.
 
-    What reaches the driver is bounded by MOST_LANGUAGES * snippets windows of snippet_chars characters (in expectation).
+    What reaches the driver is bounded by most_languages * snippets windows of snippet_chars characters (in expectation).
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows if where is None else rows.where(where)
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not counts:
         return Dictionaries((), (), ())
     total = sum(r.n for r in counts)
-    chance = F.lit(0.0)
-    for r in counts:
-        chance = F.when(F.col(lang_col) == r.lang, snippets / r.n).otherwise(chance)
+    chances = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, snippets / r.n)])
+    chance = F.coalesce(F.element_at(chances, F.col(lang_col)), F.lit(0.0))
     draw = F.xxhash64(F.col(id_col), F.lit("language sample"))
     text = F.col(text_col)
     start = 1 + F.pmod(F.xxhash64(F.col(id_col), F.lit("place")), F.greatest(F.lit(1), F.length(text) - snippet_chars)).cast("int")
