@@ -321,6 +321,23 @@ def links_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links_and_forms(pages(spark, sf_dir), "page_id", "url", "html").where("kind = 'link'").groupBy("tag").agg(F.count("*").alias("n"))
 
 
+@R.query("links_resolved", """SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') || h AS url FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS h FROM pages)""")
+def links_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link of an anchor, against its page's url."""
+    return links_and_forms(pages(spark, sf_dir), "page_id", "url", "html").where("kind = 'link' and tag = 'a'").select("page_id", "url")
+
+
+@R.query("preset_rules", """SELECT event_id AS seq, name, CASE name WHEN 'csrf_token' THEN CASE WHEN event_id % 2 = 0 THEN 't' || user_id END WHEN 'session_id' THEN 's' || user_id WHEN 'access_token' THEN CASE WHEN event_id % 2 = 1 THEN 'a' || user_id END ELSE '/to/' || user_id END AS value
+FROM events, (VALUES ('csrf_token'), ('session_id'), ('access_token'), ('redirect')) n(name)""")
+def preset_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All presets over responses whose bodies are in turn a form and a JSON document."""
+    e = table(spark, sf_dir, "events")
+    user = F.col("user_id").cast("string")
+    body = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('<input name="csrf_token" value="t'), user, F.lit('">'))).otherwise(F.concat(F.lit('{"access_token": "a'), user, F.lit('"}')))
+    rows = e.select(F.col("event_id").alias("seq"), body.alias("body"), F.create_map(F.lit("location"), F.concat(F.lit("/to/"), user)).alias("headers"), F.create_map(F.lit("PHPSESSID"), F.concat(F.lit("s"), user)).alias("cookies"), F.lit(200).alias("status_code"), F.lit("").alias("content_type"))
+    return extracted(rows, list(PRESETS.values()), "seq").select("seq", "name", "value")
+
+
 @R.query("forms_extracted", "SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') || '/login' AS url, 'POST' AS method, 'user,note,s' AS inputs FROM pages")
 def forms_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with a login form put behind their html, so that there is something to find."""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import duration_ns
 from ..registry import Registry
+from ..shared import folded
 from ..views import table
 
 R = Registry()
@@ -143,6 +144,27 @@ def _check(check: dict, response: dict) -> bool:
     return found != bool(check.get("negate"))
 
 
+def extracted_value(rule: dict, response: dict) -> str | None:
+    """What a step's rule finds in a response: a match of a regex, a JSON path, a header whatever its case, or a cookie; None if nothing."""
+    kind, pattern, body = rule["type"], rule["pattern"], response["body"] or ""
+    if kind == "regex":
+        m = re.search(pattern, body)
+        return m.group(rule.get("group") or 0) if m else None
+    if kind == "header":
+        return next((v for k, v in sorted((response.get("headers") or {}).items()) if k.lower() == pattern.lower()), None)
+    if kind == "cookie":
+        return (response.get("cookies") or {}).get(pattern)
+    if kind != "jsonpath":
+        return None
+    try:
+        value = json.loads(body)
+        for part in pattern.removeprefix("$.").split("."):
+            value = value[int(part)] if isinstance(value, list) else value[part]
+    except (ValueError, KeyError, IndexError, TypeError):
+        return None
+    return value if isinstance(value, str) else None if value is None else json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+
+
 def walk(steps: list[dict], responses: dict[tuple[str, int], dict], variables: dict[str, str] | None = None, most: int = MOST_STEPS, on_step: Callable[[dict], None] | None = None) -> tuple[list[dict], bool, str]:
     """Walk one run: the steps taken, whether it succeeded, and the error.
 
@@ -169,8 +191,8 @@ def walk(steps: list[dict], responses: dict[tuple[str, int], dict], variables: d
                 break
         if response is not None:
             for rule in step.get("extract") or []:
-                if rule["type"] == "regex" and (m := re.search(rule["pattern"], response["body"] or "")):
-                    variables[rule["name"]] = m.group(rule.get("group") or 0)
+                if (value := extracted_value(rule, response)) is not None:
+                    variables[rule["name"]] = value
         result = {"step": step["name"], "order": len(taken), "success": ok, "retries": attempt, "status_code": response["status_code"] if response else None}
         taken.append(result)
         if on_step:
@@ -189,16 +211,24 @@ def walk(steps: list[dict], responses: dict[tuple[str, int], dict], variables: d
 
 
 def replay(recorded: DataFrame, steps: list[dict], variables: dict[str, str] | None = None, most: int = MOST_STEPS) -> DataFrame:
-    """(run_id, step, order, success, retries, status_code, run_success, error) for recorded rows (run_id, step_name, attempt, status_code, body)."""
+    """(run_id, step, order, success, retries, status_code, run_success, error) for recorded rows (run_id, step_name, attempt, status_code, body).
+
+    Rows may have headers and cookies (maps) as well. Runs are walked one after the other in sorted partitions; one run's
+    responses are held at a time.
+    """
 
-    def one(run: pd.DataFrame) -> pd.DataFrame:
-        by = {(r.step_name, int(r.attempt)): {"status_code": int(r.status_code), "body": r.body} for r in run.itertuples()}
-        taken, ok, error = walk(steps, by, variables, most)
-        out = pd.DataFrame(taken or [{"step": None, "order": 0, "success": False, "retries": 0, "status_code": None}])
-        return out.assign(run_id=run.run_id.iloc[0], run_success=ok, error=error)[["run_id", "step", "order", "success", "retries", "status_code", "run_success", "error"]]
+    def keep(state: dict, row: dict) -> list[dict]:
+        response = {"status_code": int(row["status_code"]), "body": row["body"]}
+        response |= {c: dict(row[c] or {}) for c in ("headers", "cookies") if c in row}
+        state.setdefault((row["step_name"], int(row["attempt"])), response)
+        return []
 
-    kind = recorded.schema["run_id"].dataType.simpleString()
-    return recorded.groupBy("run_id").applyInPandas(one, f"run_id {kind}, step string, order int, success boolean, retries int, status_code int, run_success boolean, error string")
+    def finish(state: dict) -> list[dict]:
+        taken, ok, error = walk(steps, state, variables, most)
+        rows = taken or [{"step": None, "order": 0, "success": False, "retries": 0, "status_code": None}]
+        return [r | {"run_success": ok, "error": error} for r in rows]
+
+    return folded(recorded, "run_id", ["step_name", "attempt"], keep, "step string, order int, success boolean, retries int, status_code int, run_success boolean, error string", finish)
 
 
 # --- Queries ----------------------------------------------------------------------------------------------------
@@ -245,3 +275,29 @@ def scenario_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("turn < 3")
     recorded = c.select(F.col("conv_id").alias("run_id"), F.col("turn").cast("string").alias("step_name"), F.lit(0).alias("attempt"), F.lit(200).alias("status_code"), F.col("text").alias("body"))
     return replay(recorded, STEPS).groupBy("run_id").agg(F.bool_and("run_success").alias("run_success"))
+
+
+#: Steps that go on what the first one extracted: a JSON path, a header and a cookie.
+EXTRACTING = [
+    {"name": "login", "extract": [{"name": "k", "type": "jsonpath", "pattern": "k"}, {"name": "kind", "type": "header", "pattern": "x-kind"}, {"name": "sid", "type": "cookie", "pattern": "sid"}, {"name": "none", "type": "cookie", "pattern": "absent"}]},
+    {"name": "second", "condition": "k == 7"},
+    {"name": "third", "condition": "kind == click"},
+    {"name": "fourth", "condition": "sid != 5"},
+    {"name": "fifth", "condition": "exists:none"},
+]
+
+
+@R.query("scenario_extraction", """SELECT event_id AS run_id, step, true AS run_success FROM events, (VALUES ('login'), ('second'), ('third'), ('fourth')) s(step)
+WHERE step = 'login' OR (step = 'second' AND props->>'$.k' = '7') OR (step = 'third' AND event_type = 'click') OR (step = 'fourth' AND user_id <> 5)""")
+def scenario_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run for each event, whose first response is the event and whose others are empty."""
+    e = table(spark, sf_dir, "events")
+    names = F.array(*[F.lit(s["name"]) for s in EXTRACTING])
+    first = F.col("step_name") == "login"
+    rows = e.select("event_id", "props", "event_type", "user_id", F.explode(names).alias("step_name"))
+    none = F.create_map().cast("map<string,string>")
+    recorded = rows.select(
+        F.col("event_id").alias("run_id"), "step_name", F.lit(0).alias("attempt"), F.lit(200).alias("status_code"), F.when(first, F.col("props")).otherwise("").alias("body"),
+        F.when(first, F.create_map(F.lit("X-Kind"), "event_type")).otherwise(none).alias("headers"), F.when(first, F.create_map(F.lit("sid"), F.col("user_id").cast("string"))).otherwise(none).alias("cookies"),
+    )
+    return replay(recorded, EXTRACTING).select("run_id", "step", "run_success")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import html_unescape
 from ..operators.filters import domain_allowed, url_host
+from ..plans.scenario import yaml_to_json
 from ..registry import Registry
 from ..shared import settled
 from ..views import pages, table
@@ -29,7 +33,7 @@ def _tag(block: Column, name: str) -> Column:
 
 def sitemap_urls(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, loc, lastmod, changefreq, priority) of each document: its `url` blocks, or, if it is no XML, its lines that start with http."""
-    blocks = F.regexp_extract_all(text_col, F.lit(r"(?s)<url>.*?</url>"), F.lit(0))
+    blocks = F.regexp_extract_all(text_col, F.lit(r"(?s)<url(?:\s[^>]*)?>.*?</url>"), F.lit(0))
     lines = F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.trim(x)), lambda x: x.startswith("http"))
     plain = ~F.col(text_col).contains("<urlset") & ~F.col(text_col).contains("<sitemapindex")
     rows = documents.select(id_col, F.explode(F.when(plain, lines).otherwise(blocks)).alias("b"), plain.alias("plain"))
@@ -40,17 +44,23 @@ def sitemap_urls(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def sitemap_children(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, child) of sitemap indexes: the documents that they name, to be joined with the stored ones, level by level."""
-    blocks = F.regexp_extract_all(text_col, F.lit(r"(?s)<sitemap>.*?</sitemap>"), F.lit(0))
+    blocks = F.regexp_extract_all(text_col, F.lit(r"(?s)<sitemap(?:\s[^>]*)?>.*?</sitemap>"), F.lit(0))
     return documents.select(id_col, F.explode(blocks).alias("b")).select(id_col, _tag(F.col("b"), "loc").alias("child"))
 
 
-def all_sitemap_urls(stored: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
-    """Distinct urls below the roots; stored: (url, text), roots: (url). Indexes are followed `depth` levels; the first in order of (level, url) is kept."""
-    level = roots.join(stored, "url").select("url", "text", F.lit(0).alias("level"))
-    found = level
-    for k in range(1, depth + 1):
-        names = sitemap_children(level, "url", "text").select(F.col("child").alias("url")).distinct()
-        level = names.join(stored, "url").select("url", "text", F.lit(k).alias("level"))
+def all_sitemap_urls(stored: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """Distinct urls below the roots; stored: (url, text), roots: (url). The first in order of (level, url) is kept.
+
+    Indexes are followed to their end, or `depth` levels; a document is read once, so that indexes that name each other end too.
+    """
+    found = settled(roots.distinct().join(stored, "url").select("url", "text", F.lit(0).alias("level")))
+    level, k = found, 0
+    while depth is None or k < depth:
+        k += 1
+        names = sitemap_children(level, "url", "text").select(F.col("child").alias("url")).where("url is not null").distinct()
+        level = settled(names.join(found.select("url"), "url", "left_anti").join(stored, "url").select("url", "text", F.lit(k).alias("level")))
+        if not level.take(1):
+            break
         found = found.unionByName(level)
     urls = sitemap_urls(found, "url", "text").join(found.select("url", "level").distinct(), "url")
     first = Window.partitionBy("loc").orderBy("level", "url")
@@ -73,11 +83,24 @@ def discovered(bases: DataFrame, responses: DataFrame, paths: tuple[str, ...], t
     return candidates.join(good.select("url").distinct(), "url", "left_semi")
 
 
-def api_endpoints(documents: DataFrame, id_col: str, text_col: str, url_col: str | None = None) -> DataFrame:
-    """One row per path and method of JSON specifications, versions 2 and 3; documents that do not parse give none.
+def json_of_yaml(text: Column) -> Column:
+    """JSON texts as they are, YAML texts as JSON, in Arrow batches; null for what is neither."""
+
+    def convert(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda x: None if x is None else x if x.lstrip()[:1] in ("{", "[") else yaml_to_json(x))
+
+    convert.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(convert, "string")(text)
+
+
+def api_endpoints(documents: DataFrame, id_col: str, text_col: str, url_col: str | None = None, yaml: bool = False) -> DataFrame:
+    """One row per path and method of JSON specifications (with yaml, of YAML ones as well), versions 2 and 3; documents that do not parse give none.
 
     The server is servers[0], else scheme, host and base path; a relative one is put behind the document's own origin.
     """
+    if yaml:
+        documents = documents.withColumn(text_col, json_of_yaml(F.col(text_col)))
     spec = documents.select(id_col, F.col(url_col).alias("__own") if url_col else F.lit("").alias("__own"), F.from_json(text_col, SPEC).alias("s")).where("s.paths is not null")
     old = F.concat(F.coalesce(F.get("s.schemes", F.lit(0)), F.lit("https")), F.lit("://"), F.coalesce("s.host", F.lit("")), F.coalesce("s.basePath", F.lit("")))
     server = F.coalesce(F.get("s.servers", F.lit(0))["url"], F.when(F.col("s.host").isNotNull(), old), F.col("s.basePath"), F.lit(""))
@@ -167,6 +190,29 @@ def openapi_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api_endpoints(_specs(spark, sf_dir), "page_id", "text").select("page_id", "url", "method", F.size("params").alias("params"))
 
 
+@R.query("yaml_endpoints", """SELECT page_id, 'https://y' || page_id || '.example.com/v1/things' AS url, 'GET' AS method, 'list things' AS summary, CAST(2 AS INTEGER) AS params FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'https://j/a', 'PUT', NULL, 0 FROM pages WHERE page_id % 4 = 1""")
+def yaml_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specifications in YAML and in JSON, and texts that are neither."""
+    k = F.col("page_id")
+    yaml = F.concat(F.lit("openapi: 3.0.0\nservers:\n  - url: https://y"), k, F.lit(".example.com/v1\npaths:\n  /things:\n    get:\n      summary: list things\n      parameters:\n        - {name: a, in: query}\n        - {name: b, in: query}\n"))
+    text = F.when(k % 2 == 0, yaml).when(k % 4 == 1, '{"swagger":"2.0","host":"j","paths":{"/a":{"put":{}}}}').otherwise("a: [b")
+    specs = pages(spark, sf_dir).select("page_id", text.alias("text"))
+    return api_endpoints(specs, "page_id", "text", yaml=True).select("page_id", "url", "method", "summary", F.size("params").alias("params"))
+
+
+@R.query("nested_sitemaps", "SELECT DISTINCT url AS loc FROM pages")
+def nested_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten sitemaps below a chain of seven indexes, the last of which names the first again; elements carry attributes."""
+    name = lambda k: F.concat(F.lit("https://x/"), k, F.lit(".xml"))
+    maps = _sitemaps(spark, sf_dir).select(name(F.col("map_id")).alias("url"), F.replace("text", F.lit("<url>"), F.lit('<url id="1">')).alias("text"))
+    every = maps.agg(F.array_join(F.collect_list(F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap>"))), "")).scalar()
+    k = spark.range(7).select((100 + F.col("id")).alias("k"))
+    below = F.when(F.col("k") < 106, F.concat(F.lit('<sitemap n="1"><loc>'), name(F.col("k") + 1), F.lit("</loc></sitemap>"))).otherwise(F.concat(F.lit("<sitemap><loc>https://x/100.xml</loc></sitemap>"), every))
+    chain = k.select(name(F.col("k")).alias("url"), F.concat(F.lit("<sitemapindex>"), below, F.lit("</sitemapindex>")).alias("text"))
+    roots = spark.createDataFrame([("https://x/100.xml",)], "url string")
+    return all_sitemap_urls(maps.unionByName(chain), roots).select("loc")
+
+
 @R.query("endpoint_results", "SELECT 'openapi' AS type, 'integer' AS param_type, count(*) AS n FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT 'openapi', 'string', count(*) FROM pages WHERE page_id % 3 = 1")
 def endpoint_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Endpoints as crawl results, with their parameters unnested."""
