@@ -95,18 +95,32 @@ def _smoothed(counts: np.ndarray) -> np.ndarray:
 
 
 def log_ratios(grams: list[tuple[str, int, int]]) -> np.ndarray:
-    """log P(accepted) - log P(rejected) of each symbol after each context, as a flat table."""
+    """log_ratio_table of counted grams (gram, accepted, rejected)."""
+    names = "".join(g for g, _, _ in grams).encode("ascii")
+    return log_ratio_table(np.frombuffer(names, np.uint8), np.array([g[1] for g in grams]), np.array([g[2] for g in grams]))
+
+
+def log_ratio_table(names: np.ndarray, accepted: np.ndarray, rejected: np.ndarray) -> np.ndarray:
+    """log P(accepted) - log P(rejected) of each symbol after each context, as a flat table; names: the grams' bytes, one behind the other."""
     shape = (len(ALPHABET),) * ORDER
     both = [np.zeros(shape), np.zeros(shape)]
-    if grams:
-        where = tuple(_codes("".join(g for g, _, _ in grams).encode("ascii")).reshape(-1, ORDER).T)
-        for counts, k in zip(both, (1, 2)):
-            np.add.at(counts, where, [g[k] for g in grams])
+    if len(names):
+        where = tuple(_LOOKUP[names].reshape(-1, ORDER).T)
+        for counts, k in zip(both, (accepted, rejected)):
+            np.add.at(counts, where, k)
     if not all(c.any() for c in both):
         return np.zeros(len(ALPHABET) ** ORDER, np.float32)
     return (np.log(_smoothed(both[0])) - np.log(_smoothed(both[1]))).astype(np.float32).ravel()
 
 
+def counted_table(grams: DataFrame) -> np.ndarray:
+    """log_ratio_table of rows (gram, accepted, rejected), brought to the driver as Arrow columns: 20 bytes a gram, len(ALPHABET) ** ORDER grams at most."""
+    found = grams.toArrow().combine_chunks()
+    parts = [found.column(0).chunk(k) for k in range(found.column(0).num_chunks)]
+    names = np.frombuffer("".join("".join(p.to_pylist()) for p in parts).encode("ascii"), np.uint8)
+    return log_ratio_table(names, found.column(1).to_numpy(), found.column(2).to_numpy())
+
+
 def mean_ratios(texts: list[str], table: np.ndarray) -> np.ndarray:
     """The mean log ratio over the characters of each spelled text; 0 for a text without any."""
     if not texts:
@@ -170,8 +184,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "verdict": verdict})
     decided = rows.where("rule is not null").withColumn("fold", F.pmod(F.xxhash64("spelled"), F.lit(5)))
-    grams = gram_counts(decided.where("fold <> 0")).collect()
-    table = log_ratios([(r.gram, r.accepted, r.rejected) for r in grams])
+    table = counted_table(gram_counts(decided.where("fold <> 0")))
     threshold = calibrated(scored(decided.where("fold = 0").select("verdict", "spelled"), table))
     judged = scored(rows, table)
     own = F.when(F.col("score") >= threshold, "allow").otherwise("block")
