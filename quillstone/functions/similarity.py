@@ -502,6 +502,18 @@ short AS (SELECT id, CAST(list_reduce(list_prepend({FNV64_OFFSET}::HUGEINT, list
 simhashes AS ({_votes_sql("SELECT id, h FROM w JOIN k USING (s) UNION ALL SELECT id, h FROM short", True)})"""
 
 
+def _html_simhash_sql() -> str:
+    """simhash of the paths of opened tags: tag by tag with the open ones as a list."""
+    void = ", ".join(f"'{t}'" for t in VOID_TAGS)
+    name = "lower(regexp_extract({t}, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1))"
+    return f"""WITH RECURSIVE t AS (SELECT page_id AS id, list_filter(regexp_extract_all(html, '</?[a-zA-Z][a-zA-Z0-9]*[^>]*>'), lambda x: {name.format(t='x')} NOT IN ({void})) AS tags FROM pages WHERE html IS NOT NULL),
+w AS (SELECT id, 0 AS i, []::VARCHAR[] AS path, NULL::VARCHAR AS s FROM t UNION ALL SELECT id, i + 1, CASE WHEN starts_with(tag, '</') THEN path[1:greatest(len(path) - 1, 0)] ELSE list_append(path, {name.format(t='tag')}) END,
+ CASE WHEN NOT starts_with(tag, '</') THEN array_to_string(list_append(path, {name.format(t='tag')}), '>') END FROM (SELECT w.id, i, path, tags[i + 1] AS tag FROM w JOIN t ON t.id = w.id WHERE i < len(tags))),
+g AS (SELECT id, s FROM w WHERE s IS NOT NULL),
+k AS (SELECT s, CAST(list_reduce(list_prepend({FNV64_OFFSET}::HUGEINT, list_transform(regexp_extract_all(hex(encode(s)), '..'), lambda v: CAST('0x' || v AS HUGEINT))), lambda h, v: (xor(h, v) * 1099511628211) % 18446744073709551616) AS UBIGINT) AS h FROM (SELECT DISTINCT s FROM g)),
+simhashes AS ({_votes_sql("SELECT id, h FROM g JOIN k USING (s)", False)} UNION ALL SELECT id, 0 FROM t WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.id = t.id))"""
+
+
 def _minhash_sql(source: str, key: str, text: str, name: str, hashes: int) -> str:
     """CTEs that end in `name` (id, sig): per hash the least over the distinct windows of four bytes; shorter texts are one window."""
     seeds = [fnv1a(i.to_bytes(8, "little")) for i in range(hashes)]
@@ -536,7 +548,7 @@ def simhash_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", simhash_text(F.col("text")).alias("h"))
 
 
-@R.query("simhash_html")
+@R.query("simhash_html", _html_simhash_sql() + " SELECT id AS page_id, h FROM simhashes UNION ALL SELECT page_id, NULL FROM pages WHERE html IS NULL")
 def simhash_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", simhash_of(html_paths(F.col("html"))).alias("h"))
 
@@ -546,13 +558,21 @@ def html_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", F.size(html_paths(F.col("html"))).alias("features"))
 
 
-@R.query("structure_comparison")
+@R.query("structure_comparison", _html_simhash_sql() + ", b AS (SELECT min_by(h, id) AS b FROM simhashes) SELECT id AS page_id, CAST(bit_count(xor(h, b)) AS INTEGER) AS distance, (1 - bit_count(xor(h, b)) / 64) * 100 AS similarity FROM simhashes, b")
 def structure_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's structure against the first page's: the baseline is one row."""
     h = simhash_html(spark, sf_dir)
     return h.withColumn("b", h.agg(F.min_by("h", "page_id")).scalar()).select("page_id", hamming(F.col("h"), F.col("b")).alias("distance"), simhash_similarity(F.col("h"), F.col("b")).alias("similarity"))
 
 
+@R.query("content_comparison", _text_simhash_sql("documents", "doc_id", "text") + ", b AS (SELECT min_by(h, id) AS b FROM simhashes) SELECT id AS doc_id, CAST(bit_count(xor(h, b)) AS INTEGER) AS distance, (1 - bit_count(xor(h, b)) / 64) * 100 AS similarity FROM simhashes, b")
+def content_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's content against the first document's."""
+    h = settled(docs(spark, sf_dir).where("text is not null").select("doc_id", simhash_text(F.col("text")).alias("h")))
+    h = h.withColumn("b", h.agg(F.min_by("h", "doc_id")).scalar())
+    return h.select("doc_id", hamming(F.col("h"), F.col("b")).alias("distance"), simhash_similarity(F.col("h"), F.col("b")).alias("similarity"))
+
+
 @R.query("simhash_bytes", f"""WITH g AS (SELECT page_id, substr(encode(url)::BLOB, 1, 1) AS z, i, hex(encode(url)) AS x FROM (SELECT page_id, url, unnest(range(0, greatest(octet_length(encode(url)) - 3, 1))) AS i FROM pages)),
 f AS (SELECT page_id, substr(x, CAST(2 * i + 1 AS BIGINT), 8) AS x FROM g), h AS (SELECT page_id, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS HUGEINT))), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS h FROM f),
 v AS (SELECT page_id, b, sum(CASE WHEN (h // (2::HUGEINT ** b)::HUGEINT) % 2 = 1 THEN 1 ELSE -1 END) AS v FROM h, range(64) r(b) GROUP BY 1, 2),

@@ -143,7 +143,7 @@ def corpus_stats(entries: DataFrame) -> DataFrame:
 
 def schedule(entries: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """k entries drawn with weight log2(edges + 1), without replacement: the largest keys u ** (1 / weight), u from a seeded hash."""
-    u = (F.pmod(F.xxhash64("hash", F.lit(seed)), F.lit((1 << 31) - 1)) + 0.5) / float((1 << 31) - 1)
+    u = (F.conv(F.substring(F.md5(F.concat("hash", F.lit(f"/{seed}"))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     weight = F.log2(F.col("edges") + 1.0)
     key = F.when(weight > 0, F.log(u) / weight).otherwise(F.lit(float("-inf")))
     return entries.withColumns({"weight": weight, "key": key}).orderBy(F.desc("key"), "hash").limit(k)
@@ -229,7 +229,8 @@ def scheduler_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.round(F.log2(F.col("edges") + 1.0), 6).alias("weight"))
 
 
-@R.query("scheduled_inputs")
+@R.query("scheduled_inputs", f"""WITH {CORPUS_SQL}, d AS (SELECT hash, min(doc_id) AS doc_id, any_value(edges) AS edges FROM corpus WHERE hash IS NOT NULL GROUP BY 1),
+k AS (SELECT *, CASE WHEN edges > 0 THEN ln((CAST('0x' || left(md5(hash || '/0'), 12) AS BIGINT) + 0.5::DOUBLE) / {1 << 48}) / log2(edges + 1.0::DOUBLE) ELSE '-inf'::DOUBLE END AS key FROM d) SELECT doc_id, edges, round(key, 6) AS key FROM k ORDER BY k.key DESC, hash LIMIT 50""")
 def scheduled_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(keep_first(corpus(spark, sf_dir), "hash", "doc_id"), 50).select("doc_id", "edges", F.round("key", 6).alias("key"))
 

@@ -239,7 +239,12 @@ def limited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_batch(e, "event_type", ["ts", "seq"], token_bucket(1, 5), "seq long, allowed boolean")
 
 
-@R.query("pool_actions")
+@R.query("pool_actions", f"""WITH RECURSIVE e AS (SELECT event_type, event_id AS seq, epoch_us(ts) / 1e6 AS t, CAST(user_id AS VARCHAR) AS value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+w AS (SELECT event_type, seq, rn, [{{'v': value, 'x': t + {POOL_TTL_S}}}] AS held, 'added' AS action FROM e WHERE rn = 1
+UNION ALL SELECT event_type, seq, rn, CASE WHEN len(made) > {POOL_PER_KEY} THEN made[2:] ELSE made END, CASE WHEN has THEN 'refreshed' WHEN len(made) > {POOL_PER_KEY} THEN 'replaced' ELSE 'added' END
+FROM (SELECT *, CASE WHEN has THEN list_transform(live, lambda x: {{'v': x.v, 'x': CASE WHEN x.v = value THEN t + {POOL_TTL_S} ELSE x.x END}}) ELSE list_append(live, {{'v': value, 'x': t + {POOL_TTL_S}}}) END AS made
+FROM (SELECT *, len(list_filter(live, lambda x: x.v = value)) > 0 AS has FROM (SELECT e.*, list_filter(w.held, lambda x: x.x >= e.t) AS live FROM w JOIN e ON e.event_type = w.event_type AND e.rn = w.rn + 1))))
+SELECT event_type, seq, action, CAST(len(held) AS INTEGER) AS size FROM w""")
 def pool_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _timed(table(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("seq"), "ts", F.col("user_id").cast("string").alias("value")))
     return in_batch(e, "event_type", ["ts", "seq"], pool_put, "seq long, action string, size int")
@@ -262,7 +267,13 @@ def pool_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.join(e.where("op <> 'remove'").select("seq"), "seq", "left_semi").select("key", "seq", "action")
 
 
-@R.query("lru_replay")
+@R.query("lru_replay", """WITH RECURSIVE e AS (SELECT day(ts) AS day, event_id AS seq, epoch_us(ts) / 1e6 AS t, event_type = 'purchase' AS puts, CAST(user_id AS VARCHAR) AS key, octet_length(encode(props)) AS size, row_number() OVER (PARTITION BY day(ts) ORDER BY ts, event_id) AS rn FROM events),
+w AS (SELECT day, NULL::BIGINT AS seq, 0::BIGINT AS rn, []::STRUCT(k VARCHAR, s BIGINT, x DOUBLE)[] AS held, NULL::VARCHAR AS result, 0 AS evicted FROM (SELECT DISTINCT day FROM e)
+UNION ALL SELECT day, seq, rn, made[gone + 1:], CASE WHEN puts THEN 'set' WHEN len(own) > 0 THEN 'hit' ELSE 'miss' END, CAST(gone AS INTEGER)
+FROM (SELECT *, CASE WHEN puts THEN coalesce(list_filter(range(0, len(made)), lambda n: list_sum(list_transform(made[n + 1:], lambda x: x.s)) <= 120)[1], len(made) - 1) ELSE 0 END AS gone
+FROM (SELECT *, CASE WHEN puts THEN list_append(rest, {'k': key, 's': CAST(size AS BIGINT), 'x': t + 7200.0}) ELSE list_concat(rest, own) END AS made
+FROM (SELECT e.*, list_filter(w.held, lambda x: x.k <> e.key) AS rest, list_filter(w.held, lambda x: x.k = e.key AND x.x >= e.t) AS own FROM w JOIN e ON e.day = w.day AND e.rn = w.rn + 1))))
+SELECT CAST(day AS INTEGER) AS day, seq, result, evicted FROM w WHERE seq IS NOT NULL""")
 def lru_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache per event day; day-long keys bound each group."""
     e = _timed(table(spark, sf_dir, "events"))
