@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import duration_ns
 from ..registry import Registry
-from ..shared import folded
+from ..shared import folded, shared_folder
 from ..views import table
 
 R = Registry()
@@ -45,9 +46,9 @@ def yaml_to_json(text: str) -> str | None:
         return None
 
 
-def read_scenarios(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """(path, scenario) of a YAML or JSON file, or of those in a folder; strict leaves out documents with unknown keys."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.{yaml,yml,json}").select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+def read_scenarios(spark: SparkSession, path: str, strict: bool = False, names: str = "*.{yaml,yml,json}") -> DataFrame:
+    """(path, scenario) of a YAML or JSON file, or of those in a folder whose names fit; strict leaves out documents with unknown keys."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=names).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
     def convert(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
@@ -301,3 +302,17 @@ def scenario_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(first, F.create_map(F.lit("X-Kind"), "event_type")).otherwise(none).alias("headers"), F.when(first, F.create_map(F.lit("sid"), F.col("user_id").cast("string"))).otherwise(none).alias("cookies"),
     )
     return replay(recorded, EXTRACTING).select("run_id", "step", "run_success")
+
+
+@R.query("scenario_files", """SELECT n_nationkey AS id, 's' || n_nationkey AS name, CAST(2 AS INTEGER) AS steps FROM nation WHERE n_nationkey % 5 <> 4""")
+def scenario_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenarios written as files in YAML and JSON and read strictly from their folder: those with an unknown key are left out."""
+    k = F.col("n_nationkey")
+    yaml = F.concat(F.lit("name: s"), k, F.lit("\nsteps:\n  - name: a\n    request: {url: 'https://x/'}\n  - name: b\n"))
+    json_ = F.concat(F.lit('{"name":"s'), k, F.lit('","steps":[{"name":"a"},{"name":"b"}]}'))
+    text = F.when(k % 5 == 4, F.concat(yaml, F.lit("surplus: 1\n"))).when(k % 2 == 0, yaml).otherwise(json_)
+    folder = f"{shared_folder(spark)}/scenarios-{uuid.uuid4().hex}"
+    files = table(spark, sf_dir, "nation").select(k.cast("string").alias("n"), text.alias("value"))
+    files.repartition(25, "n").write.partitionBy("n").text(folder)
+    read = read_scenarios(spark, f"{folder}/*/*.txt", strict=True, names="*")
+    return read.select(F.regexp_extract("path", "n=([0-9]+)", 1).cast("int").alias("id"), F.col("scenario.name").alias("name"), F.size("scenario.steps").alias("steps"))

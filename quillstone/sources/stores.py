@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import truncated
+from ..operators.ordered import resident_after
 from ..operators.stats import ANOMALIES_SQL, anomalies
 from ..registry import Registry
 from ..shared import shared_folder
+from ..streaming.stateful import pruned_periodically
 from ..views import responses, table
 
 R = Registry()
@@ -69,6 +71,13 @@ def cache_live(spark: SparkSession, path: str, moment: Column) -> DataFrame:
     return rows.groupBy("key").agg(F.max(F.struct("created", *rest)).alias("r")).select("key", "r.*")
 
 
+def cache_evicted(rows: DataFrame, capacity: int) -> DataFrame:
+    """What stays of a cache's entries (key, created, size) within `capacity` bytes: the oldest created go first."""
+    entries = rows.select(*rows.columns, F.col("created").alias("ts"), F.col("created").alias("seq"))
+    kept = resident_after(entries.withColumn("ts", F.timestamp_seconds("seq")), capacity)
+    return kept.select(*rows.columns)
+
+
 # --- Reports ----------------------------------------------------------------------------------------------------
 
 
@@ -234,6 +243,23 @@ def cache_live_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache_live(spark, path, moment).select("key", "value")
 
 
+@R.query("cache_evictions", """WITH l AS (SELECT CAST(user_id AS VARCHAR) AS key, max(event_id) AS created, CAST(arg_max(octet_length(encode(props)), event_id) AS BIGINT) AS size FROM events GROUP BY 1), u AS (SELECT *, sum(size) OVER (ORDER BY created DESC) AS used FROM l) SELECT key, created, size FROM u WHERE used <= 500""")
+def cache_evictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("created"), F.octet_length("props").cast("long").alias("size"))
+    return cache_evicted(e, 500)
+
+
+@R.query("pruned_batches", "SELECT count(*) AS entries, CAST(sum(event_id) AS BIGINT) AS total FROM events WHERE event_id % 3 <> 0")
+def pruned_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus that comes in as a stream of files, pruned batch by batch until none is left."""
+    folder = _folder(spark)
+    table(spark, sf_dir, "events").select("event_id").repartition(3).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("event_id long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    query = pruned_periodically(stream, f"{folder}/out", lambda batch: batch.where("event_id % 3 <> 0"), available=True)
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").agg(F.count("*").alias("entries"), F.sum("event_id").alias("total"))
+
+
 def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomalies(spark, sf_dir).withColumn("description", F.concat(F.lit("<b> & 'x' "), F.repeat("type", 30)))
 

@@ -166,13 +166,16 @@ def liveness(heartbeats: DataFrame, asof: str, timeout_s: int = 30) -> DataFrame
     return last.select("worker", (F.col("last") < F.expr(f"timestamp_ntz'{asof}' - interval {timeout_s} seconds")).alias("offline"))
 
 
-def pruned_periodically(stream: DataFrame, path: str, prune: Callable[[DataFrame], DataFrame], every: str = "10 minutes"):
-    """Start a query that, each time, writes what pruning leaves of the batch to a table of its own per batch."""
+def pruned_periodically(stream: DataFrame, path: str, prune: Callable[[DataFrame], DataFrame], every: str = "10 minutes", available: bool = False):
+    """Start a query that, each time, writes what pruning leaves of the batch to a table of its own per batch; with `available`, until none is left."""
 
     def write(batch: DataFrame, number: int) -> None:
         prune(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).trigger(processingTime=every)
+    writer = stream.writeStream.foreachBatch(write)
+    if available:
+        return writer.trigger(availableNow=True).start()
+    return writer.trigger(processingTime=every)
 
 
 # --- Queries: the batch forms -----------------------------------------------------------------------------------
