@@ -248,7 +248,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
         plain = docs.withColumns({at["tokens"]: F.size(words(F.col(text_col))).cast("long"), at["p"]: F.array().cast("array<double>"), at["rate"]: F.lit(1.0), at["copies"]: F.lit(1)})
         return plain, None
     marked = with_posterior(docs, model, text_col, at["tokens"], at["p"])
-    compact = marked.groupBy(F.col(at["p"]).alias("p")).agg(F.sum(at["tokens"]).alias("tokens"))
+    # settled, so that the filter on posteriors is not pushed below their computation, which it would repeat
+    compact = settled(marked.groupBy(F.col(at["p"]).alias("p")).agg(F.sum(at["tokens"]).alias("tokens")))
     refused = unwanted(F.col("p"), targets, model)
     fitted = fit_rates(compact if refused is None else compact.where(~refused), model, targets, total, most)
     if strict and fitted.missed > MISSED:
