@@ -112,7 +112,7 @@ def identify_language(docs: DataFrame, model: Dictionaries, id_col: str = "doc_i
 
     nearest is the language with the smallest code (ties: the alphabetically first); language is the same, or
     `und` where the margin, relative to the second smallest code, is below min_margin. Null texts and texts
-    without a letter are `und` in both, with score 0. Repeated rows are treated alike, other columns ignored; an
+    without a letter are `und` in both, with score 0; texts of any length are coded whole, chunk by chunk. Repeated rows are treated alike, other columns ignored; an
     empty table gives no rows. The model, a few hundred KB a language at most, goes along with the task.
     """
     kind = docs.schema[id_col].dataType.simpleString()

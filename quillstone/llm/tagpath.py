@@ -353,7 +353,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", html_col: str =
     """One row for each row of pages: id, url, text, n_chars (code points).
 
     Null html counts as empty; repeated rows are treated alike; other columns are ignored; an empty table
-    gives no rows. One page is held at a time; there is no shuffle.
+    gives no rows. Pages of any length are read whole, one at a time; elements nested deeper than DEEPEST belong to the
+    deepest one, as in browsers. There is no shuffle.
     """
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
 

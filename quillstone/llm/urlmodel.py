@@ -174,7 +174,8 @@ def calibrated(held_out: DataFrame) -> float:
 def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row for each row of pages: id, host, path, rule, verdict (allow or block), score, threshold.
 
-    A null url is judged as an empty one: no rule, score 0. Repeated rows are treated alike and count each in
+    A null url is judged as an empty one: no rule, score 0; urls of any length are scored whole, by the mean over
+    their characters, and a score at the threshold allows. Repeated rows are treated alike and count each in
     training; other columns are ignored; an empty table gives no rows. Where rules decide no url, or decide all
     alike, every score is 0 and the rest is allowed.
     """

@@ -62,3 +62,31 @@ def test_tokens_of_long_segments_and_added_tokens():
     library, tok = Tokenizer.from_file(queries.vocabulary()), bpe.tokenizer(queries.vocabulary())
     for text in ("中文字" * 60_000, "a!" * 120_000, "x<y" * 50_000 + "<|endoftext|>", ("é" * 70_000 + " ") * 3):
         assert tok.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_shards_alike_with_few_groups_loaded_and_with_many_blocks(spark, monkeypatch):
+    """The paths that large tables take, forced on a small one: finer blocks, and groups loaded block by block."""
+    import random
+
+    from quillstone.llm import sharding
+
+    rng = random.Random(6)
+    texts = [rng.choice(["", "y" * rng.randint(0, 90)]) for _ in range(120)] + ["big" * 400] + [None] * 3
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shown = lambda: sorted((r.doc_id, r["size"], r.shard) for r in sharding.minimax_shards(rows, 4).collect())
+    wanted = shown()
+    monkeypatch.setattr(sharding, "MOST_LOADED", 0)
+    assert shown() == wanted
+    monkeypatch.setattr(sharding, "MANY_ROWS", 1)
+    assert [x[:2] for x in shown()] == [x[:2] for x in wanted]
+
+
+def test_a_page_and_a_url_of_any_length(spark):
+    from quillstone.llm import tagpath, urlmodel
+
+    text = "word, " * 200_000
+    page = f"<html><body><nav><a>x</a></nav><article><p>{text}</p></article></body></html>"
+    rows = spark.createDataFrame([(1, "https://a.example.org/" + "x" * 300_000, page), (2, "https://a.example.org/", "<p>" * 50_000)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in tagpath.extract_main_text(rows).collect()}
+    assert got[1].text == text.strip() and got[2].text == ""
+    assert {r.page_id: len(r.path) for r in urlmodel.filter_urls(rows, queries.URL_RULES).collect()} == {1: 300_001, 2: 1}
