@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import hit_bucket
 from ..registry import Registry
+from ..shared import settled
 from ..views import EXECUTIONS_SQL, docs, executions, table
 
 R = Registry()
@@ -66,18 +67,29 @@ def history(hits: DataFrame, most: int = HISTORY) -> DataFrame:
 def hit_steps(edges: DataFrame) -> DataFrame:
     """Each recording with its saturating count, and whether the edge is new or enters another bucket, in order (exec_id, seq).
 
-    Equal recordings are counted first. Only the first MOST_HITS of an edge are ranked, which is cut before the shuffle; the
-    others are saturated. They meet by the whole recording, so that an edge with most rows is dealt out.
+    Only the first MOST_HITS recordings of an edge are ranked, which is cut before the shuffle, so that an edge with most rows
+    is no more work than others. What comes behind an edge's last ranked one is saturated and not shuffled: the
+    last ones, at most one for each of MAP_SIZE edges, are broadcast. Rows that equal the last one in every column are counted.
     """
+    columns = [x for x in edges.columns if x not in ("exec_id", "seq")]
     marked = edges.withColumn("edge", edge_index(F.col("from_block"), F.col("to_block")))
-    groups = marked.groupBy(*marked.columns).agg(F.count("*").alias("times"))
-    order = Window.partitionBy("edge").orderBy("exec_id", "seq", *[x for x in edges.columns if x not in ("exec_id", "seq")])
-    ranked = groups.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MOST_HITS)
-    ranked = ranked.withColumn("start", F.coalesce(F.sum("times").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    same = [F.col(f"g.{x}").eqNullSafe(F.col(f"r.{x}")) for x in marked.columns]
-    met = groups.alias("g").join(ranked.alias("r"), same, "left").select("g.*", F.coalesce("r.start", F.lit(MOST_HITS)).alias("start"))
-    counted = met.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    counted = counted.select(*marked.columns, F.least(F.col("start") + F.col("k"), F.lit(MOST_HITS)).cast("int").alias("n"))
+    place = F.struct("exec_id", "seq", *columns)
+    order = Window.partitionBy("edge").orderBy("exec_id", "seq", *columns)
+    ranked = marked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= MOST_HITS)
+    last = ranked.groupBy("edge").agg(F.max("n").alias("n"), F.max(place).alias("last")).where(F.col("n") == MOST_HITS).select("edge", "last")
+    last = settled(last)
+    if not last.take(1):  # no edge is saturated
+        return _stepped(ranked.select(*marked.columns, "n"))
+    last = F.broadcast(last)
+    behind = marked.join(last, "edge").where(place > F.col("last")).select(*marked.columns, F.lit(MOST_HITS).alias("n"))
+    all_equal = marked.join(last, "edge").where(place == F.col("last")).groupBy(*marked.columns).agg(F.count("*").alias("times"))
+    in_rank = ranked.join(last, "edge").where(place == F.col("last")).groupBy("edge").agg(F.count("*").alias("within"))
+    equal = all_equal.join(F.broadcast(in_rank), "edge").where("times > within")
+    equal = equal.withColumn("k", F.explode(F.sequence(F.col("within") + 1, F.col("times")))).select(*marked.columns, F.lit(MOST_HITS).alias("n"))
+    return _stepped(ranked.select(*marked.columns, "n").unionByName(behind).unionByName(equal))
+
+
+def _stepped(counted: DataFrame) -> DataFrame:
     bucket = hit_bucket(F.col("n"))
     before = hit_bucket(F.least(F.col("n") - 1, F.lit(MOST_HITS)))
     return counted.withColumns({"bucket": bucket, "is_new": F.col("n") == 1, "crossed": (bucket != before) & (F.col("n") < MOST_HITS)})
