@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: Bytes of text that one task holds while it folds copies, before it sends what it has.
-HELD_BYTES = 64 << 20
+#: Bytes of text that one task holds while it folds copies, before it sends what it has, and those that one task sorts.
+HELD_BYTES, SORTED_BYTES = 64 << 20, 128 << 20
 
 _UPPER, _MARKS = bytes(range(65, 91)), b"#$%&*|"
 
@@ -124,7 +124,8 @@ def masks(docs: DataFrame, filters: dict[str, Filter] | None = None, id_col: str
     copy = 1 << len(own)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.col(part_col).cast("string")).rdd
     spark = docs.sparkSession
-    parts = max(rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = max(rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SORTED_BYTES))
     # one shuffle carries both: what is decided goes along under a key of its own, spread by id
     routed = rows.mapPartitions(lambda own_rows: (((-1, row[1] or 0), row[1:]) if row[0] == "done" else row[1:] for row in folded(own_rows, own, copy)))
     dealt = routed.repartitionAndSortWithinPartitions(parts, lambda key: key[1] if key[0] < 0 else key[0])
