@@ -8,6 +8,7 @@ joins, is column expressions. Hashes are stored as signed 64-bit numbers.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..registry import Registry
-from ..shared import settled
+from ..shared import numbered, settled
 from ..views import docs, pages, table
 from .scoring import tlsh_level, tlsh_similarity
 
@@ -243,6 +244,31 @@ def preprocessed(text: Column, strip_html: bool = True) -> Column:
     return F.regexp_replace(F.lower(text), r"\p{Nd}", "")
 
 
+_TAG, _CSRF, _DIGITS = re.compile(r"<[^>]*>"), re.compile(DROPPED[-1].replace(r"\s", r"\t\n\f\r ")), re.compile(r"\d")
+#: The patterns that lie inside one run of these characters, each with its least length, and such runs.
+_INSIDE = [(re.compile(p.replace(r"\d", "[0-9]")), least) for p, least in zip(DROPPED[:-1], (10, 8, 32, 40, 64, 20))]
+_RUN = re.compile(r"[A-Za-z0-9_:-]{8,}")
+
+
+def _thinned(run: re.Match) -> str:
+    text = run[0]
+    for pattern, least in _INSIDE:
+        if len(text) >= least:
+            text = pattern.sub(" ", text)
+    return text
+
+
+def scanned(text: str, strip_html: bool = True) -> str:
+    """What `preprocessed` makes of a text, but for runs of white space, in one scan: only runs of eight or more characters that
+    the dropped patterns are made of, which prose hardly has, are searched for them."""
+    if strip_html and "<" in text:
+        text = _TAG.sub(" ", text)
+    text = _RUN.sub(_thinned, text)
+    if "csrf" in text:
+        text = _CSRF.sub(" ", text)
+    return _DIGITS.sub("", text.lower())
+
+
 def word_ngrams(text: Column, n: int = 3) -> Column:
     """n-grams of the words, joined by spaces; with fewer words the words themselves, and none of none."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
@@ -258,15 +284,15 @@ def simhash_of(features: Column) -> Column:
     return _udf_many(lambda xs: feature_simhashes([f.encode() for f in x] for x in xs), T.LongType())(features)
 
 
-def text_features(processed: str, n: int = 3) -> list[str]:
-    """The n-grams of word_ngrams, on one text."""
-    words = processed.split()
-    return words if len(words) < n else [" ".join(words[k : k + n]) for k in range(len(words) - n + 1)]
+def text_features(processed: str, n: int = 3) -> list[bytes]:
+    """The n-grams of word_ngrams, on one text, in UTF-8."""
+    words = [w.encode() for w in processed.split()]
+    return words if len(words) < n else list(map(b" ".join, zip(*(words[k:] for k in range(n)))))
 
 
 def simhash_text(text: Column, strip_html: bool = True) -> Column:
     """SimHash of the word trigrams of the preprocessed text."""
-    return _udf_many(lambda xs: feature_simhashes([f.encode() for f in text_features(x)] for x in xs), T.LongType())(preprocessed(text, strip_html))
+    return _udf_many(lambda xs: feature_simhashes(text_features(scanned(x, strip_html)) for x in xs), T.LongType())(text)
 
 
 def simhash_bytes(text: Column) -> Column:
@@ -322,20 +348,48 @@ def lsh_bands(signature: Column, bands: int = BANDS, rows: int = ROWS) -> Column
     return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice(signature, b * rows + 1, rows)))
 
 
-def lsh_candidates(probes: DataFrame, index: DataFrame, probe_id: str, index_id: str) -> DataFrame:
-    """Distinct pairs (probe, candidate) that share a band; both sides have an id and `sig`.
+#: Members of a bucket that are compared as one block at most.
+BLOCK = 4_096
+
+
+def in_cells(left: DataFrame, right: DataFrame, keys: list[str], own: str, other: str, block: int = BLOCK) -> DataFrame:
+    """left joined with right on keys, where a key has any number of rows on both sides.
+
+    Both sides of a key are cut into blocks, by a hash of their columns `own` and `other`, and each pair of blocks is a cell of its
+    own: a task meets block * block pairs of a key at a time. Keys with one block a side, nearly all, are not copied.
+    """
+    sizes = left.groupBy(*keys).agg(F.count("*").alias("__l")).join(right.groupBy(*keys).agg(F.count("*").alias("__r")), keys)
+    hot = settled(sizes.where((F.col("__l") > block) | (F.col("__r") > block)))
+    if not hot.take(1):
+        return left.join(right, keys)
+    blocks = lambda c: F.coalesce(F.ceil(F.col(c) / block), F.lit(1)).cast("long")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    x = left.join(hot, keys, "left").withColumns({"__i": F.pmod(F.xxhash64(own), blocks("__l")), "__j": numbers(blocks("__r"))}).drop("__l", "__r")
+    y = right.join(hot, keys, "left").withColumns({"__j": F.pmod(F.xxhash64(other), blocks("__r")), "__i": numbers(blocks("__l"))}).drop("__l", "__r")
+    return x.join(y, [*keys, "__i", "__j"]).drop("__i", "__j")
+
+
+def lsh_classes(rows: DataFrame, id_col: str) -> DataFrame:
+    """(cls, n, sig): rows with equal signatures are one class, named by its smallest id; null signatures are in none."""
+    return rows.where("sig is not null").groupBy("sig").agg(F.min(id_col).alias("cls"), F.count("*").alias("n")).select("cls", "n", "sig")
+
+
+def lsh_links(probes: DataFrame, index: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(probe, candidate, probes, candidates): distinct pairs of classes (cls, n, sig) that share a band, with the numbers of their members.
 
-    Equal signatures are one entry on either side while buckets are joined, and ids come back afterwards.
+    Members are never multiplied out: a pair of classes stands for probes * candidates pairs of rows.
     """
-    def reps(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        keyed = rows.select(F.col(name).alias("id"), F.xxhash64("sig").alias("s"), "sig")
-        return keyed.select("id", "s"), keyed.groupBy("s").agg(F.any_value("sig").alias("sig")).select("s", F.posexplode(lsh_bands(F.col("sig"))).alias("band", "h"))
+    banded = lambda rows, name, n: rows.select(F.col("cls").alias(name), F.col("n").alias(n), F.posexplode(lsh_bands(F.col("sig"))).alias("band", "h"))
+    met = in_cells(banded(probes, "probe", "probes"), banded(index, "candidate", "candidates"), ["band", "h"], "probe", "candidate", block)
+    return met.select("probe", "candidate", "probes", "candidates").distinct()
 
-    p_ids, p = reps(probes, probe_id)
-    c_ids, c = reps(index, index_id)
-    pairs = p.withColumnRenamed("s", "ps").join(c.withColumnRenamed("s", "cs"), ["band", "h"]).select("ps", "cs").distinct()
-    named = pairs.join(p_ids.select(F.col("id").alias("probe"), F.col("s").alias("ps")), "ps")
-    return named.join(c_ids.select(F.col("id").alias("candidate"), F.col("s").alias("cs")), "cs").select("probe", "candidate")
+
+def lsh_candidates(probes: DataFrame, index: DataFrame, probe_id: str, index_id: str) -> DataFrame:
+    """Distinct pairs (probe, candidate) of ids that share a band; both sides have an id and `sig`. Linked classes, multiplied out."""
+    linked = lsh_links(lsh_classes(probes, probe_id), lsh_classes(index, index_id)).select("probe", "candidate")
+    members = lambda rows, name, cls: rows.select(F.col(name), "sig").join(lsh_classes(rows, name).select("sig", F.col("cls").alias(cls)), "sig").drop("sig")
+    p, c = members(probes.withColumnRenamed(probe_id, "__p"), "__p", "probe"), members(index.withColumnRenamed(index_id, "__c"), "__c", "candidate")
+    return linked.join(p, "probe").join(c, "candidate").select(F.col("__p").alias("probe"), F.col("__c").alias("candidate"))
 
 
 def covering_masks(most: int) -> list[int]:
@@ -352,21 +406,45 @@ def covering_masks(most: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def hamming_pairs(hashes: DataFrame, most: int) -> DataFrame:
+def hamming_pairs(hashes: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
     """(a, b, distance) for distinct hashes (h) at most `most` bits apart: equal under a covering mask, then compared.
 
-    A pair is made under the first mask alone on which it agrees, so none is made twice. The hashes are settled first.
+    A pair is made under the first mask alone on which it agrees, so none is made twice. Hashes that share a bucket with more than
+    `block` others are compared in cells of bounded size. The hashes are settled first; rows with equal hashes are one.
     """
     masks = F.lit(covering_masks(most))
-    keyed = settled(hashes.where("h is not null").distinct()).select("h", F.posexplode(masks).alias("k", "mask"))
+    keyed = settled(hashes.where("h is not null").select("h").distinct()).select("h", F.posexplode(masks).alias("k", "mask"))
     keyed = keyed.select("h", "k", F.col("h").bitwiseAND(F.col("mask")).alias("part"))
     x, y = keyed.select(F.col("h").alias("a"), "k", "part"), keyed.select(F.col("h").alias("b"), "k", "part")
     apart = F.col("a").bitwiseXOR(F.col("b"))
     first = F.array_position(F.transform(masks, lambda m: apart.bitwiseAND(m) == 0), True) == F.col("k") + 1
-    close = x.join(y, ["k", "part"]).where((F.col("a") < F.col("b")) & (F.bit_count(apart) <= most))
+    close = in_cells(x, y, ["k", "part"], "a", "b", block).where((F.col("a") < F.col("b")) & (F.bit_count(apart) <= most))
     return close.where(first).select("a", "b", F.bit_count(apart).alias("distance"))
 
 
+def paired_with_previous(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """rows but the first, each with the columns of the row before it in order, as previous_...: numbered by ranges, joined by number."""
+    placed = numbered(rows, [order])
+    before = placed.select((F.col("number") + 1).alias("number"), *[F.col(c).alias(f"previous_{c}") for c in columns])
+    return placed.join(before, "number").drop("number")
+
+
+def hamming_links(rows: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
+    """rows (with h) and `same`, how many rows have the same hash, and `links`, how many others are at most `most` bits away.
+
+    Links are counted between distinct hashes and weighted by their rows, so that copies are never multiplied out: of a hash with
+    n rows every row has n - 1 links to them. A null hash has none of its own and no links.
+    """
+    rows = settled(rows)
+    sizes = settled(rows.where("h is not null").groupBy("h").agg(F.count("*").alias("same")))
+    pairs = hamming_pairs(sizes, most, block)
+    both = pairs.select(F.col("a").alias("h"), F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("h"), F.col("a").alias("o")))
+    near = both.join(sizes.select(F.col("h").alias("o"), "same"), "o").groupBy("h").agg(F.sum("same").alias("near"))
+    per_hash = sizes.join(near, "h", "left").select("h", "same", (F.col("same") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    joined = rows.join(per_hash, "h", "left")
+    return joined.withColumns({"same": F.coalesce("same", F.lit(0)), "links": F.coalesce("links", F.lit(0))})
+
+
 def bucket_pairs(hashes: DataFrame, least: float = 0.9) -> DataFrame:
     """Pairs of distinct hashes in one bucket, all but the lowest four bits, whose similarity is at least `least`."""
     keyed = hashes.select("h", F.shiftrightunsigned("h", 4).alias("bucket"))
@@ -602,6 +680,60 @@ def hamming_pairs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_pairs(docs(spark, sf_dir).select(simhash_text(F.col("text")).alias("h")), 3)
 
 
+@R.query("page_structure_links", _html_simhash_sql() + """, d AS (SELECT h, count(*) AS same FROM simhashes GROUP BY 1), l AS (SELECT x.h, any_value(x.same) AS same, sum(y.same) - 1 AS links FROM d x JOIN d y ON bit_count(xor(x.h, y.h)) <= 3 GROUP BY 1)
+SELECT id AS page_id, h, same, CAST(links AS BIGINT) AS links FROM simhashes JOIN l USING (h)""")
+def page_structure_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page with its structure's hash, as the class it belongs to, and how many other pages are within three bits."""
+    rows = pages(spark, sf_dir).where("html is not null").select("page_id", simhash_of(html_paths(F.col("html"))).alias("h"))
+    return hamming_links(rows, 3).select("page_id", "h", "same", "links")
+
+
+@R.query("document_links", _text_simhash_sql("documents", "doc_id", "text") + """, d AS (SELECT h, count(*) AS same FROM simhashes GROUP BY 1), l AS (SELECT x.h, any_value(x.same) AS same, sum(y.same) - 1 AS links FROM d x JOIN d y ON bit_count(xor(x.h, y.h)) <= 16 GROUP BY 1)
+SELECT id AS doc_id, h, same, CAST(links AS BIGINT) AS links FROM simhashes JOIN l USING (h)""")
+def document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the number of others whose texts' hashes are at most a quarter of all bits away."""
+    rows = docs(spark, sf_dir).where("text is not null").select("doc_id", simhash_text(F.col("text")).alias("h"))
+    return hamming_links(rows, 16).select("doc_id", "h", "same", "links")
+
+
+_LSH_SQL = f"""{_minhash_sql("documents", "doc_id", "text", "d", BANDS * ROWS)}, {_minhash_sql("benchmark", "item_id", "text", "p", BANDS * ROWS)},
+dc AS (SELECT sig, min(id) AS cls, count(*) AS n FROM d GROUP BY 1), pc AS (SELECT sig, min(id) AS cls, count(*) AS n FROM p GROUP BY 1),
+db AS (SELECT cls, n, k, sig[{ROWS} * k + 1:{ROWS} * k + {ROWS}] AS band FROM dc, range({BANDS}) r(k)), pb AS (SELECT cls, n, k, sig[{ROWS} * k + 1:{ROWS} * k + {ROWS}] AS band FROM pc, range({BANDS}) r(k))"""
+
+
+@R.query("lsh_class_links", f"WITH {_LSH_SQL} SELECT DISTINCT pb.cls AS probe, db.cls AS candidate, pb.n AS probes, db.n AS candidates FROM pb JOIN db USING (k, band)")
+def lsh_class_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which classes of documents the classes of benchmark items meet, with the numbers of their members."""
+    index = docs(spark, sf_dir).select("doc_id", minhash_signature(F.col("text"), BANDS * ROWS).alias("sig"))
+    probes = table(spark, sf_dir, "benchmark").select("item_id", minhash_signature(F.col("text"), BANDS * ROWS).alias("sig"))
+    return lsh_links(lsh_classes(probes, "item_id"), lsh_classes(index, "doc_id"))
+
+
+@R.query("lsh_document_links", f"WITH {_LSH_SQL}, l AS (SELECT cls, sum(n) - 1 AS links FROM (SELECT DISTINCT x.cls, y.cls AS o, y.n FROM db x JOIN db y USING (k, band)) GROUP BY 1) SELECT d.id AS doc_id, dc.cls, n AS same, CAST(links AS BIGINT) AS links FROM d JOIN dc USING (sig) JOIN l USING (cls)")
+def lsh_document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its class and the number of other documents that share a band with it."""
+    rows = settled(docs(spark, sf_dir).where("text is not null").select("doc_id", minhash_signature(F.col("text"), BANDS * ROWS).alias("sig")))
+    classes = settled(lsh_classes(rows, "doc_id"))
+    links = lsh_links(classes, classes).groupBy(F.col("probe").alias("cls")).agg((F.sum("candidates") - 1).alias("links"))
+    return rows.join(classes.withColumnRenamed("n", "same"), "sig").join(links, "cls").select("doc_id", "cls", "same", "links")
+
+
+@R.query("document_hamming", _text_simhash_sql("documents", "doc_id", "text") + ", o AS (SELECT id, h, lag(h) OVER (ORDER BY id) AS b FROM simhashes) SELECT id AS doc_id, CAST(bit_count(xor(h, b)) AS INTEGER) AS distance, (1 - bit_count(xor(h, b)) / 64) * 100 AS similarity FROM o WHERE b IS NOT NULL")
+def document_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance between each document's text hash and that of the document before it."""
+    d = docs(spark, sf_dir).where("text is not null").select("doc_id", simhash_text(F.col("text")).alias("h"))
+    d = paired_with_previous(d, "doc_id", ["h"])
+    return d.select("doc_id", hamming(F.col("h"), F.col("previous_h")).alias("distance"), simhash_similarity(F.col("h"), F.col("previous_h")).alias("similarity"))
+
+
+@R.query("document_jaccard", "WITH " + _minhash_sql("documents", "doc_id", "text", "d", BANDS * ROWS) + f", o AS (SELECT id, sig, lag(sig) OVER (ORDER BY id) AS b FROM d) SELECT id AS doc_id, len(list_filter(range({BANDS * ROWS}), lambda k: sig[k + 1] = b[k + 1])) / {BANDS * ROWS} AS estimate FROM o WHERE b IS NOT NULL")
+def document_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimated Jaccard similarity of each document's byte shingles with those of the document before it."""
+    d = docs(spark, sf_dir).where("text is not null").select("doc_id", minhash_signature(F.col("text"), BANDS * ROWS).alias("sig"))
+    d = paired_with_previous(d, "doc_id", ["sig"])
+    return d.select("doc_id", jaccard_estimate(F.col("sig"), F.col("previous_sig")).alias("estimate"))
+
+
 @R.query("simhash_bucket_join", _byte_simhash_sql("documents", "doc_id", "text") + """, d AS (SELECT DISTINCT h, CAST(h AS HUGEINT) + CASE WHEN h < 0 THEN 18446744073709551616::HUGEINT ELSE 0 END AS u FROM simhashes)
 SELECT x.h AS a, y.h AS b, 1 - bit_count(xor(x.h, y.h)) / 64 AS similarity FROM d x JOIN d y ON x.u // 16 = y.u // 16 AND x.h < y.h WHERE 1 - bit_count(xor(x.h, y.h)) / 64 >= 0.9""")
 def simhash_bucket_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import hit_bucket
 from ..registry import Registry
-from ..shared import settled
+from ..shared import chunk_of, running_total  # noqa: F401  running_total is found here too
 from ..views import EXECUTIONS_SQL, docs, executions, table
 
 R = Registry()
@@ -49,44 +49,36 @@ def novelty(hits: DataFrame) -> DataFrame:
     return hits.select("exec_id").distinct().join(news, "exec_id", "left").select("exec_id", F.coalesce("new_edges", F.lit(0)).alias("new_edges"))
 
 
-def running_total(rows: DataFrame, order: str, value: str, parts: int = 64) -> DataFrame:
-    """rows with `total`, the running sum of value in order: summed per range first, so that no single task sorts all rows."""
-    ranged = rows.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id())
-    sums = ranged.groupBy("__part").agg(F.sum(value).alias("__sum"))
-    before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = ranged.withColumn("__inside", F.sum(value).over(inside)).join(F.broadcast(before.select("__part", "__before")), "__part")
-    return joined.withColumn("total", F.col("__inside") + F.col("__before")).drop("__part", "__inside", "__before")
-
-
 def history(hits: DataFrame, most: int = HISTORY) -> DataFrame:
-    """The latest snapshots: (exec_id, new_edges, covered) of the last `most` executions."""
-    return running_total(novelty(hits), "exec_id", "new_edges").withColumnRenamed("total", "covered").orderBy(F.desc("exec_id")).limit(most)
+    """The latest snapshots: (exec_id, new_edges, covered) of the last `most` executions.
+
+    What the last one covers is the sum over all; those before it cover as much less as later ones add. So a top-k and one sum do,
+    and only `most` rows are put in order.
+    """
+    news = novelty(hits)
+    last = news.orderBy(F.desc("exec_id")).limit(most)
+    since = F.sum("new_edges").over(Window.orderBy(F.desc("exec_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = news.agg(F.sum("new_edges")).scalar()
+    return last.withColumn("covered", total - since + F.col("new_edges"))
 
 
-def hit_steps(edges: DataFrame) -> DataFrame:
+def hit_steps(edges: DataFrame, chunks: int = 64) -> DataFrame:
     """Each recording with its saturating count, and whether the edge is new or enters another bucket, in order (exec_id, seq).
 
-    Only the first MOST_HITS recordings of an edge are ranked, which is cut before the shuffle, so that an edge with most rows
-    is no more work than others. What comes behind an edge's last ranked one is saturated and not shuffled: the
-    last ones, at most one for each of MAP_SIZE edges, are broadcast. Rows that equal the last one in every column are counted.
+    Executions are cut into chunks of about equal size, at bounds that are found once. An edge's recordings are counted per
+    chunk, combined before the shuffle, and each recording is ranked inside its chunk, behind the count of those
+    before: an edge with most rows is ranked in many tasks. Rows that are equal in every column count each.
     """
     columns = [x for x in edges.columns if x not in ("exec_id", "seq")]
-    marked = edges.withColumn("edge", edge_index(F.col("from_block"), F.col("to_block")))
-    place = F.struct("exec_id", "seq", *columns)
-    order = Window.partitionBy("edge").orderBy("exec_id", "seq", *columns)
-    ranked = marked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= MOST_HITS)
-    last = ranked.groupBy("edge").agg(F.max("n").alias("n"), F.max(place).alias("last")).where(F.col("n") == MOST_HITS).select("edge", "last")
-    last = settled(last)
-    if not last.take(1):  # no edge is saturated
-        return _stepped(ranked.select(*marked.columns, "n"))
-    last = F.broadcast(last)
-    behind = marked.join(last, "edge").where(place > F.col("last")).select(*marked.columns, F.lit(MOST_HITS).alias("n"))
-    all_equal = marked.join(last, "edge").where(place == F.col("last")).groupBy(*marked.columns).agg(F.count("*").alias("times"))
-    in_rank = ranked.join(last, "edge").where(place == F.col("last")).groupBy("edge").agg(F.count("*").alias("within"))
-    equal = all_equal.join(F.broadcast(in_rank), "edge").where("times > within")
-    equal = equal.withColumn("k", F.explode(F.sequence(F.col("within") + 1, F.col("times")))).select(*marked.columns, F.lit(MOST_HITS).alias("n"))
-    return _stepped(ranked.select(*marked.columns, "n").unionByName(behind).unionByName(equal))
+    bounds = sorted(set(edges.approxQuantile("exec_id", [k / chunks for k in range(1, chunks)], 0.5 / chunks))) if chunks > 1 else []
+    marked = edges.withColumns({"edge": edge_index(F.col("from_block"), F.col("to_block")), "__chunk": chunk_of(F.col("exec_id"), [int(b) for b in bounds])})
+    per_chunk = marked.groupBy("edge", "__chunk").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy("edge").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_chunk.select("edge", "__chunk", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("edge", "__chunk").orderBy("exec_id", "seq", *columns)
+    ranked = marked.withColumn("__rank", F.row_number().over(inside)).join(before, ["edge", "__chunk"])
+    n = F.least(F.col("__rank") + F.col("__before"), F.lit(MOST_HITS)).cast("int")
+    return _stepped(ranked.select(*edges.columns, "edge", n.alias("n")))
 
 
 def _stepped(counted: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..registry import Registry
 from ..views import RESPONSES_SQL, pages, responses, table
+from .paths import is_plain, json_value
 
 R = Registry()
 
@@ -83,6 +84,8 @@ def found_value(rule: Rule, body: Column, headers: Column, cookies: Column, stat
         group = rule.group if scenario or rule.group else (1 if "(" in rule.pattern else 0)
         return F.when(body.rlike(rule.pattern), F.regexp_extract(body, rule.pattern, group))
     if rule.kind == "jsonpath":
+        if not is_plain(rule.pattern):
+            return json_value(body, rule.pattern)
         value = F.get_json_object(body, json_path(rule.pattern))
         return value if scenario else F.when(F.try_parse_json(body).isNotNull(), value)
     if rule.kind == "header":
@@ -161,7 +164,7 @@ def assertion(kind: str, target: str, expected: str, negate: bool = False, compa
         "contains": lambda: body.contains(expected),
         "not_contains": lambda: ~body.contains(expected),
         "regex": lambda: body.rlike(expected),
-        "jsonpath": lambda: F.get_json_object(body, json_path(target)) == expected,
+        "jsonpath": lambda: (F.get_json_object(body, json_path(target)) if is_plain(target) else json_value(body, target)) == expected,
         "header": lambda: header_value(F.col("headers"), target) == expected,
         "length": lambda: F.coalesce(compared, size == number) if compare_lengths else size == number,
         "time": lambda: F.col("response_time_ns") <= X.duration_ns(F.lit(expected)),

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import cpu_percent, memory_percent
 from ..registry import Registry
+from ..shared import TOGETHER, counted, numbered, running_total, up_to_border
 from ..views import snapshots, table
-from .coverage import running_total
 from .joins import latest
 from .stats import ACCESS_SQL, access_log
 
@@ -35,19 +35,21 @@ def weighted_pick(options: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def resident_after(log: DataFrame, capacity: int, keys: list[str] | None = None) -> DataFrame:
-    """What a cache of `capacity` bytes holds after a log of sets: the most recent keys whose running size fits.
+    """What a cache of `capacity` bytes holds after a log of sets: the most recent keys whose running size fits, with `used`.
 
-    Eviction takes the least recently set first, so residents are a prefix by recency. One window per cache; a single cache is
-    summed by ranges of recency, so that no task sorts all its keys.
+    Eviction takes the least recently set first, so residents are a prefix by recency; sizes are not negative. With keys there is one
+    window per cache. Of a single cache of many keys, sums by digits of recency find the border first, and only what is more
+    recent is dealt by ranges and summed up.
     """
-    if not keys:
-        newest = latest(log, ["key"], ["ts", "seq"])
-        since = F.struct((-F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"), (-F.col("seq")).alias("s"))
-        summed = running_total(newest.withColumn("__since", since), "__since", "size").withColumnRenamed("total", "used")
-        return summed.where(F.col("used") <= capacity).drop("__since")
-    newest = latest(log, [*keys, "key"], ["ts", "seq"])
-    w = Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return newest.withColumn("used", F.sum("size").over(w)).where(F.col("used") <= capacity)
+    if keys:
+        newest = latest(log, [*keys, "key"], ["ts", "seq"])
+        w = Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return newest.withColumn("used", F.sum("size").over(w)).where(F.col("used") <= capacity)
+    since = {"__since": -F.unix_micros(F.col("ts").cast("timestamp")), "__since_turn": F.bitwise_not(F.col("seq").cast("long"))}
+    newest, n = counted(latest(log, ["key"], ["ts", "seq"]).withColumns(since))
+    recent = newest if n <= TOGETHER else up_to_border(newest, ["__since", "__since_turn"], "size", capacity)
+    summed = running_total(recent, ["__since", "__since_turn"], "size").withColumnRenamed("total", "used")
+    return summed.where(F.col("used") <= capacity).drop("__since", "__since_turn")
 
 
 def as_of(entries: DataFrame, moment: str) -> DataFrame:
@@ -75,6 +77,15 @@ def task_pop_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select(place.cast("bigint").alias("place"), "seq")
 
 
+@R.query("task_order", "SELECT row_number() OVER (ORDER BY priority DESC, seq) AS place, seq, priority FROM (SELECT event_id AS seq, CASE event_type WHEN 'purchase' THEN 10 WHEN 'click' THEN 5 WHEN 'view' THEN 1 WHEN 'signup' THEN 0 ELSE -1 END AS priority FROM events) WHERE priority >= 0")
+def task_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole order in which tasks are taken, none left out."""
+    t = F.col("event_type")
+    priority = F.when(t == "purchase", 10).when(t == "click", 5).when(t == "view", 1).when(t == "signup", 0).otherwise(-1)
+    tasks = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), priority.alias("priority")).where("priority >= 0")
+    return numbered(tasks.withColumn("last", -F.col("priority")), ["last", "seq"]).select(F.col("number").alias("place"), "seq", "priority")
+
+
 @R.query("weighted_pick", """WITH o AS (SELECT event_type AS name, CAST(1 + length(event_type) AS BIGINT) AS weight FROM events GROUP BY 1), c AS (SELECT name, sum(weight) OVER (ORDER BY name) / (SELECT sum(weight) FROM o) AS u FROM o), t AS (SELECT DISTINCT (event_id % 100) / 100 AS target FROM events)
 SELECT target, min_by(name, u) AS name FROM t JOIN c ON u >= target GROUP BY 1""")
 def weighted_pick_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,11 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,6 +32,111 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that one task may sort, and ranges at most.
+TOGETHER, MOST_RANGES = 1 << 17, 4_096
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """df, settled, and its number of rows, which is observed on the way."""
+    seen = Observation()
+    kept = settled(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return kept, seen.get["n"]
+
+
+def running_total(rows: DataFrame, order: str | list[str], value: str, together: int = TOGETHER) -> DataFrame:
+    """rows with `total`, the running sum of value (null counts 0) in order, rows with equal order in any order.
+
+    Each task adds up its sorted rows batch by batch. More than `together` rows are dealt by ranges, which are kept with each row's
+    place before anything is counted, so that sums and rows belong to the same ranges and no single task sorts all
+    rows. The ranges' sums, at most MOST_RANGES numbers, are added up on the driver.
+    """
+    order = [order] if isinstance(order, str) else order
+    rows, n = counted(rows)
+    if n <= together:
+        return _summed(rows.coalesce(1).sortWithinPartitions(*order), value)
+    parts = min(MOST_RANGES, max(2, rows.sparkSession.sparkContext.defaultParallelism, -(-n // together)))
+    placed = settled(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id()))
+    part = F.shiftright("__place", 33).cast("int")
+    offset = _before({r.part: r.s or 0 for r in placed.groupBy(part.alias("part")).agg(F.sum(value).alias("s")).collect()})
+    return _summed(placed, value).withColumn("total", F.col("total") + F.get(F.array(*map(F.lit, offset)), part)).drop("__place")
+
+
+def _before(sizes: dict[int, float]) -> list[float]:
+    """For each range the sum of those before it."""
+    before, total = [], 0
+    for k in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(k, 0)
+    return before
+
+
+def _summed(sorted_rows: DataFrame, value: str) -> DataFrame:
+    """The running sum inside each partition, as it stands."""
+    kind = "double" if sorted_rows.schema[value].dataType.typeName() in ("double", "float") else "long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = 0
+        for batch in batches:
+            own = pc.fill_null(batch.column(value).cast(pa.float64() if kind == "double" else pa.int64()), 0).to_numpy(zero_copy_only=False)
+            total = own.cumsum() + carried
+            carried = total[-1] if len(total) else carried
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total)], names=[*batch.schema.names, "total"])
+
+    return sorted_rows.mapInArrow(run, T.StructType([*sorted_rows.schema.fields, T.StructField("total", T.DoubleType() if kind == "double" else T.LongType())]))
+
+
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows, settled, with `number` from 1 in order, whatever how many: dealt by ranges, each row placed in its range behind those before."""
+    parts = min(MOST_RANGES, max(2, rows.sparkSession.sparkContext.defaultParallelism))
+    placed = settled(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id()))
+    part = F.shiftright("__place", 33).cast("int")
+    sizes = {r.part: r.n for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    offset = F.get(F.array(*[F.lit(x).cast("long") for x in _before(sizes)]), part)
+    return placed.withColumn("number", offset + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__place")
+
+
+def up_to_border(rows: DataFrame, columns: list[str], value: str, limit: int, digit: int = 12) -> DataFrame:
+    """The rows, in order of columns (longs without nulls), up to where the running sum of value (not negative) exceeds limit.
+
+    Nothing is sorted. Each round sums value by the next digit of the rows at the border so far, at most 2**digit sums, and
+    goes on inside the digit where the limit is met. All rows whose key is the border's are kept.
+    """
+    prefix, kept, left = F.lit(True), F.lit(False), limit
+    for name in columns:
+        lo, hi = rows.where(prefix).agg(F.min(name), F.max(name)).first()
+        if lo is None:
+            return rows.where(kept)
+        first = lo
+        while lo < hi:
+            shift = max(0, (hi - lo).bit_length() - digit)
+            sums = rows.where(prefix & F.col(name).between(lo, hi)).groupBy(F.shiftright(name, shift).alias("d")).agg(F.sum(value).alias("s")).collect()
+            for r in sorted(sums, key=lambda r: r.d):
+                lo_d, hi_d = max(lo, r.d << shift), min(hi, ((r.d + 1) << shift) - 1)
+                if (r.s or 0) > left:
+                    break
+                left -= r.s or 0
+            else:
+                return rows.where(kept | (prefix & (F.col(name) <= hi)))
+            lo, hi = lo_d, hi_d
+        kept = kept | (prefix & F.col(name).between(first, lo) & (F.col(name) < lo))
+        prefix = prefix & (F.col(name) == lo)
+    return rows.where(kept | prefix)
+
+
+def chunk_of(x: Column, bounds: list) -> Column:
+    """How many of the sorted bounds are at most x, by halving them: a column expression of depth log2."""
+    if not bounds:
+        return F.lit(0)
+
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(x < F.lit(bounds[middle]), among(low, middle)).otherwise(among(middle + 1, high))
+
+    return among(0, len(bounds))
+
+
 def folded(rows: DataFrame, key: str, order: list[str], fold: Callable[[dict, dict], list[dict]], schema: str, finish: Callable[[dict], list[dict]] | None = None) -> DataFrame:
     """A fold of (state, row) over each key's rows in order, and of its last state; the key comes first in the result.
 

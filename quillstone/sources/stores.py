@@ -16,7 +16,7 @@ from ..functions.text import truncated
 from ..operators.ordered import resident_after
 from ..operators.stats import ANOMALIES_SQL, anomalies
 from ..registry import Registry
-from ..shared import shared_folder
+from ..shared import settled, shared_folder
 from ..streaming.stateful import pruned_periodically
 from ..views import responses, table
 
@@ -60,21 +60,63 @@ def read_corpus_files(spark: SparkSession, data_path: str, meta_path: str) -> Da
 
 
 def cache_store(entries: DataFrame, path: str) -> None:
-    """Cache entries with the file name of their key, its SHA-256."""
+    """Append cache entries with the file name of their key, its SHA-256."""
     entries.withColumn("file", F.concat(F.sha2("key", 256), F.lit(".cache"))).write.mode("append").parquet(path)
 
 
-def cache_live(spark: SparkSession, path: str, moment: Column) -> DataFrame:
-    """The newest entry of each key that has not expired at a moment."""
-    rows = spark.read.parquet(path).where(F.col("expires").isNull() | (F.col("expires") >= moment))
+def cache_delete(keys: DataFrame, path: str, moment: Column) -> None:
+    """Append a tombstone for each key: it hides every entry of the key that is not newer than `moment`."""
+    marked = keys.select("key").distinct().withColumns({"created": moment, "deleted": F.lit(True)})
+    cache_store(marked, path)
+
+
+def cache_newest(spark: SparkSession, path: str) -> DataFrame:
+    """The last thing written for each key, tombstones included: the newest by `created`, and of equal ones a tombstone.
+
+    One aggregate that combines before the shuffle. Parts with and without tombstones are read under one schema.
+    """
+    rows = spark.read.option("mergeSchema", True).parquet(path)
+    if "deleted" not in rows.columns:
+        rows = rows.withColumn("deleted", F.lit(False))
+    rows = rows.withColumn("deleted", F.coalesce("deleted", F.lit(False)))
+    rest = [c for c in rows.columns if c not in ("key", "created", "deleted")]
+    return rows.groupBy("key").agg(F.max(F.struct("created", "deleted", *rest)).alias("r")).select("key", "r.*")
+
+
+def cache_live(spark: SparkSession, path: str, moment: Column, versions: bool = False) -> DataFrame:
+    """What a read at `moment` finds: each key's newest entry, unless that has expired or was deleted; older ones are overwritten.
+
+    With `versions` a store keeps what was overwritten, and an older entry that has not expired stands in for a newer one that has.
+    """
+    alive = F.col("expires").isNull() | (F.col("expires") >= moment)
+    if not versions:
+        return cache_newest(spark, path).where(~F.col("deleted") & alive).drop("deleted")
+    rows = spark.read.parquet(path).where(alive)
     rest = [c for c in rows.columns if c not in ("key", "created")]
     return rows.groupBy("key").agg(F.max(F.struct("created", *rest)).alias("r")).select("key", "r.*")
 
 
+def cache_compact(spark: SparkSession, path: str, target: str, moment: Column, capacity: int | None = None) -> None:
+    """Write what is live at `moment`, within `capacity` bytes if given, to a new store; readers change over when it is complete."""
+    live = cache_live(spark, path, moment)
+    (live if capacity is None else cache_evicted(live, capacity)).write.mode("errorifexists").parquet(target)
+
+
+def cache_put(entries: DataFrame, path: str, moment: Column, capacity: int) -> None:
+    """Append entries (key, created, expires, size, ...), then tombstones for the oldest live ones beyond `capacity` bytes.
+
+    A tombstone carries its entry's own time, so that a later write of the key counts again.
+    """
+    cache_store(entries, path)
+    live = settled(cache_live(entries.sparkSession, path, moment))
+    gone = live.join(cache_evicted(live, capacity).select("key"), "key", "left_anti")
+    cache_store(gone.select("key", "created").withColumn("deleted", F.lit(True)), path)
+
+
 def cache_evicted(rows: DataFrame, capacity: int) -> DataFrame:
     """What stays of a cache's entries (key, created, size) within `capacity` bytes: the oldest created go first."""
-    entries = rows.select(*rows.columns, F.col("created").alias("ts"), F.col("created").alias("seq"))
-    kept = resident_after(entries.withColumn("ts", F.timestamp_seconds("seq")), capacity)
+    entries = rows.select(*rows.columns, F.timestamp_seconds("created").alias("ts"), F.xxhash64("key").alias("seq"))
+    kept = resident_after(entries, capacity)
     return kept.select(*rows.columns)
 
 
@@ -240,7 +282,54 @@ def cache_live_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
     for part in (0, 1):
         cache_store(entries.where(F.col("created") % 2 == part), path)
-    return cache_live(spark, path, moment).select("key", "value")
+    return cache_live(spark, path, moment, versions=True).select("key", "value")
+
+
+#: What is written, deleted and read: as a log per key, of which the last line decides.
+_STORE_SQL = """w AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS created, false AS deleted, event_id % 3 <> 0 AS alive, CAST(octet_length(encode(props)) AS BIGINT) AS size FROM events),
+d AS (SELECT CAST(user_id AS VARCHAR) AS key, (SELECT max(event_id) FROM events) // 2 AS created, true AS deleted, false AS alive, NULL::BIGINT AS size FROM events WHERE user_id % 5 = 0 GROUP BY 1),
+n AS (SELECT * FROM (SELECT * FROM w UNION ALL SELECT * FROM d) QUALIFY row_number() OVER (PARTITION BY key ORDER BY created DESC, deleted DESC) = 1), live AS (SELECT * FROM n WHERE NOT deleted AND alive)"""
+
+
+def _overwritten(spark: SparkSession, sf_dir: str, path: str) -> Column:
+    """Entries in two appends, a third of them expired at the moment that is returned, and every fifth key deleted half way."""
+    e = table(spark, sf_dir, "events")
+    moment = F.lit("2030-01-01").cast("timestamp_ntz")
+    expires = F.when(F.col("event_id") % 3 == 0, F.lit("2029-12-31").cast("timestamp_ntz")).when(F.col("event_id") % 3 == 1, moment)
+    entries = e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("created"), expires.alias("expires"), F.octet_length("props").cast("long").alias("size"))
+    for part in (0, 1):
+        cache_store(entries.where(F.col("created") % 2 == part), path)
+    half = e.agg(F.max("event_id")).first()[0] // 2  # one number
+    cache_delete(e.where("user_id % 5 = 0").select(F.col("user_id").cast("string").alias("key")), path, F.lit(half).cast("long"))
+    return moment
+
+
+@R.query("cache_overwrites", f"WITH {_STORE_SQL} SELECT key, created FROM live")
+def cache_overwrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key whose newest entry has expired or was deleted is a miss, whatever was stored before."""
+    path = _folder(spark)
+    return cache_live(spark, path, _overwritten(spark, sf_dir, path)).select("key", "created")
+
+
+@R.query("cache_compacted", f"WITH {_STORE_SQL}, u AS (SELECT *, sum(size) OVER (ORDER BY created DESC) AS used FROM live) SELECT key, created, size FROM u WHERE used <= 600")
+def cache_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store written anew within a capacity."""
+    path = _folder(spark)
+    cache_compact(spark, path, f"{path}-next", _overwritten(spark, sf_dir, path), 600)
+    return spark.read.parquet(f"{path}-next").select("key", "created", "size")
+
+
+@R.query("cache_puts", """WITH a AS (SELECT CAST(user_id AS VARCHAR) AS key, max(event_id) AS created, CAST(arg_max(octet_length(encode(props)), event_id) AS BIGINT) AS size FROM events WHERE event_id % 2 = 0 GROUP BY 1),
+b AS (SELECT key, created, size FROM (SELECT *, sum(size) OVER (ORDER BY created DESC) AS used FROM a) WHERE used <= 300), c AS (SELECT CAST(user_id AS VARCHAR) AS key, max(event_id) AS created, CAST(arg_max(octet_length(encode(props)), event_id) AS BIGINT) AS size FROM events WHERE event_id % 2 = 1 GROUP BY 1),
+n AS (SELECT * FROM (SELECT * FROM b UNION ALL SELECT * FROM c) QUALIFY row_number() OVER (PARTITION BY key ORDER BY created DESC) = 1) SELECT key, created, size FROM (SELECT *, sum(size) OVER (ORDER BY created DESC) AS used FROM n) WHERE used <= 300""")
+def cache_puts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of writes into a cache of 300 bytes: each evicts what is beyond it."""
+    e = table(spark, sf_dir, "events")
+    moment, path = F.lit("2030-01-01").cast("timestamp_ntz"), _folder(spark)
+    entries = e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("created"), F.lit(None).cast("timestamp_ntz").alias("expires"), F.octet_length("props").cast("long").alias("size"))
+    for part in (0, 1):
+        cache_put(entries.where(F.col("created") % 2 == part), path, moment, 300)
+    return cache_live(spark, path, moment).select("key", "created", "size")
 
 
 @R.query("cache_evictions", """WITH l AS (SELECT CAST(user_id AS VARCHAR) AS key, max(event_id) AS created, CAST(arg_max(octet_length(encode(props)), event_id) AS BIGINT) AS size FROM events GROUP BY 1), u AS (SELECT *, sum(size) OVER (ORDER BY created DESC) AS used FROM l) SELECT key, created, size FROM u WHERE used <= 500""")
