@@ -9,7 +9,9 @@ what they weigh; its blocks are the text. (After Wu et al., "Web news extraction
 Tags, roles and names of elements are features of the ratios, not decisions of their own: article and main
 elements weigh more; navigation, footers, asides, forms and what is named like adverts, notices or comments has its paths
 left out of the ratios and its blocks out of the region, but a form or a name that holds nearly all text of the page
-means nothing and is overruled. Lists of links are left out by their link share, whatever their names.
+means nothing and is overruled, and inside an article sections, paragraphs, headings and fieldsets may have names that are words of
+prose. Lists of links are left out by their link share, whatever their names. A link is an anchor with an address and
+ends where a block begins or ends. A page that has text outside navigation, footers and the like always gives some.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ MARKS = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar side rail menu nav navbar navigation "
     "navigator breadcrumb breadcrumbs topbar toolbar header masthead footer foot bottombar copyright legal comment comments commentlist disqus reply replies respond feedback "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
-    "related recommended recommendations pager pagination widget widgets tags tagcloud skip hidden".split()
+    "discussion discussions related recommended recommendations pager pagination widget widgets tags tagcloud skip hidden".split()
 )
 #: What names join to a mark without changing what it means.
 JOINED = frozenset(
@@ -49,6 +51,9 @@ JOINED = frozenset(
 )
 HEADS = frozenset({"header", "masthead", "head"})
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of an article's own text, and names that are no mark on them unless they are joined to another word.
+PROSE = frozenset("p section blockquote pre figure fieldset li dl dt dd table tr td th".split()) | HEADINGS
+PROSE_NAMES = frozenset("legal side related notice notices alert discussion discussions feedback copyright tags reply replies respond menu foot header banner hidden".split())
 #: Text-level elements, below which no region starts.
 LEAVES = frozenset("p li pre blockquote h1 h2 h3 h4 h5 h6 ul ol dl dt dd table tbody thead tfoot tr td th figure figcaption address".split())
 CLOSED_BY = {
@@ -73,6 +78,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMED = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ADDRESS = re.compile(r"""(?<![\w-])href\s*=""", re.I)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -100,8 +106,9 @@ def marked_name(name: str, inside: bool) -> bool:
     return bool(marks) and all(p in MARKS or p in JOINED or p.isdigit() for p in pieces) and not (inside and any(p in HEADS for p in pieces))
 
 
-def _named(tag: str, more: str, inside: bool) -> tuple[str, int]:
+def _named(tag: str, more: str, inside: bool, in_article: bool = False) -> tuple[str, int]:
     """An element's first class name, and its mark by names, role or state."""
+    prose = in_article and tag in PROSE
     first, mark = "", 0
     for name, value in _NAMED.findall(more):
         name, value = name.lower(), value.strip("\"'")
@@ -115,7 +122,7 @@ def _named(tag: str, more: str, inside: bool) -> tuple[str, int]:
             if name == "class" and value.split():
                 first = value.split()[0].lower()
             if not (name == "id" and tag in HEADINGS):
-                mark = max(mark, int(any(marked_name(x, inside) for x in value.split())))
+                mark = max(mark, int(any(marked_name(x, inside) and not (prose and x.lower() in PROSE_NAMES) for x in value.split())))
     return first, mark
 
 
@@ -125,11 +132,12 @@ def blocks(page: str) -> list[Block]:
     top = Element("", "", None, 0, 0)
     stack: list[tuple[str, Element]] = [("", top)]  # every open tag with its nearest block element
     pieces: list[str] = []
-    linked, in_link, controls, in_control = 0, 0, 0, 0
+    linked, in_link, controls, in_control = 0, False, 0, 0
     beyond: dict[str, int] = {}
 
     def flush() -> None:
-        nonlocal linked, controls
+        nonlocal linked, controls, in_link
+        in_link = False
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
@@ -141,7 +149,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal in_link, in_control
         if any(tag in BLOCK or el is not stack[upto - 1][1] for tag, el in stack[upto:]):
             flush()
-        in_link -= sum(tag == "a" for tag, _ in stack[upto:])
+        in_link = in_link and not any(tag == "a" for tag, _ in stack[upto:])
         in_control -= sum(tag in CONTROLS for tag, _ in stack[upto:])
         del stack[upto:]
 
@@ -199,10 +207,11 @@ def blocks(page: str) -> list[Block]:
                 flush()
             continue
         inside = _within(holder, ("article", "main"))
-        first, mark = _named(tag, more, inside) if more.strip(" /\n\t\r") else ("", 0)
+        in_article = inside and _within(holder, ("article",))
+        first, mark = _named(tag, more, inside, in_article) if more.strip(" /\n\t\r") else ("", 0)
         if tag in STRONG or (tag == "header" and not inside):
             mark = 2
-        elif tag in WEAK:
+        elif tag in WEAK and not (in_article and tag in PROSE):
             mark = max(mark, 1)
         if tag in ("html", "body", "main") or (tag == "article" and not inside):
             mark = 0
@@ -212,7 +221,8 @@ def blocks(page: str) -> list[Block]:
         elif tag in SPACED:
             pieces.append(" ")
         stack.append((tag, holder))
-        in_link += tag == "a"
+        if tag == "a":
+            in_link = bool(_ADDRESS.search(more))
         in_control += tag in CONTROLS
     if at < len(page):
         pieces.append(page[at:])
@@ -296,14 +306,13 @@ def fused_ratios(candidates: list[Block]) -> dict[str, float]:
 
 def content_blocks(page: str, share: float = 0.1) -> list[Block]:
     """The blocks of the main text."""
-    candidates = _left_in(blocks(page))
+    found = blocks(page)
+    candidates = _left_in(found) or [b for b in found if not any(e.mark == 2 for e in _holders(b.element))]
     if not candidates:
         return []
     best = fused_ratios(candidates)
     limit = share * max(best.values())
-    picked = [b for b in candidates if best[b.element.path] >= limit and best[b.element.path] > 0]
-    if not picked:
-        return []
+    picked = [b for b in candidates if best[b.element.path] >= limit]  # where all ratios are 0, as on a page of links, all of them
     region = _region(picked)
     own = [any(e is region for e in _holders(b.element)) for b in candidates]
     chosen = {id(b) for b in picked}

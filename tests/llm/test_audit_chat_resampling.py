@@ -22,7 +22,7 @@ ODD = [None, "", " \n\t", "one", "same text here", "same text here", "Ünïcode
 
 def plain_audit(rows, labels):
     """The audit as it is worded: every order applied to all documents, filter by filter."""
-    good, toxic = {d for d, q, _ in labels if q == 1}, {d for d, _, t in labels if t == 1}
+    good, toxic = {d for d, q, _ in labels if q == 1} - {None}, {d for d, _, t in labels if t == 1} - {None}
     least = {}
     for doc, text, _ in rows:
         if doc is not None:

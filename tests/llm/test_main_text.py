@@ -27,6 +27,38 @@ def test_pages_keep_their_text(page):
     assert tagpath.main_text(page) == TEXT
 
 
+SIX = [f"Paragraph {k} of the story, which goes on, with commas, and ends." for k in range(6)]
+STORY = "".join(f"<p>{x}</p>" for x in SIX)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><a name="top"><article>{STORY}</article></body>', f'<body><a id=top>Up<div>{STORY}</div></body>', f'<article><a href="/story">{STORY}</a></article>', f'<a href=x><article>{STORY}</article>', f"<article>{STORY.replace('<p>', '<p><a href=y>').replace('</p>', '</a></p>')}</article>",
+        f"<article>{STORY.replace('<p>Paragraph 2', '<section class=legal><p>Paragraph 2').replace('<p>Paragraph 4', '</section><p>Paragraph 4')}</article>", f"<article>{STORY.replace('<p>Paragraph 3', '<p class=side>Paragraph 3')}</article>",
+        f"<article>{STORY.replace('<p>Paragraph 1', '<fieldset><p>Paragraph 1').replace('<p>Paragraph 3', '</fieldset><p>Paragraph 3')}</article>", f"<article>{STORY.replace('<p>Paragraph 5', '<section class=discussion><p>Paragraph 5')}</section></article>",
+        f"<article>{STORY}<div class='discussion-thread'><p>Nice, text, I think.</p></div></article>", f"<article>{STORY}<section class='comments'><p>Nice, text, I think.</p></section></article>", f"<article>{STORY}<p class='advert'>Buy, now, this.</p></article>",
+    ],
+)
+def test_links_and_words_of_prose_cost_no_text(page):
+    """No anchor without an address, no link around an article, no section named by a word of prose empties a page or cuts it."""
+    assert tagpath.main_text(page).removeprefix("Up\n\n") == "\n\n".join(SIX)
+
+
+def test_headings_named_by_words_of_prose_stay():
+    page = f"<article>{STORY}<h2 class='related'>Related work</h2><p>Others wrote of it, before, at length.</p></article>"
+    assert tagpath.main_text(page) == "\n\n".join([*SIX, "Related work", "Others wrote of it, before, at length."])
+
+
+@pytest.mark.parametrize("page", ["<ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul>", "<form><a href=x>One</a> <p><a href=y>Two</a></form>", "<div class=ad><button>One Two</button></div>"])
+def test_a_page_with_text_outside_menus_is_never_empty(page):
+    assert tagpath.main_text(page).split() == ["One", "Two"]
+
+
+def test_a_page_of_menus_only_is_empty():
+    assert tagpath.main_text("<nav><a href=x>One</a></nav><footer>Two, three.</footer>") == ""
+
+
 def test_a_short_article_beside_longer_notices():
     page = "<body><nav><ul><li><a>x</a></li></ul></nav><div class='ad'>A longer advert, with marks, and words enough.</div><article><p>Of.</p></article><footer>&copy; someone, somewhere, and many more words of it.</footer></body>"
     assert tagpath.main_text(page) == "Of."
