@@ -13,7 +13,9 @@ precision on the original vectors. (Gao and Long, "High-dimensional approximate
 Kuffo et al., "PDX", 2025.)
 
 Neighbouring lists share scan blocks of bounded size, long lists are split into several, and a query travels once to each
-block with lists that it probes. It first meets the block of its own list alone; the threshold found there decides
+block with lists that it probes. Where many queries go to one block, as all do where norms differ much or vectors have a
+mean far from 0, they are counted first and dealt to several tasks, each with a copy of the block, so that copies grow with
+the queries and no task with either. A query first meets the block of its own list alone; the threshold found there decides
 which candidates of other blocks matter, and lists that cannot hold a nearer vector by the triangle inequality are left out.
 Of equal vectors only the k + 1 smallest ids can be in a result, so only they are scanned, and equal queries are
 answered once; both are exact. The driver holds the sample and two numbers per list.
@@ -46,6 +48,7 @@ class Parameters:
     column_block: int = 16
     epsilon: float = 2.1  # the test's confidence, as in the paper
     block: int = 8_192
+    asking: int = 2_048  # queries that meet a block in one task
     seed: int = 7
     exact: bool = False  # every list that can hold a neighbour is probed, and only certain losers are abandoned
 
@@ -198,7 +201,7 @@ def probes_for_recall(placed: DataFrame, asking: DataFrame, index: Index) -> int
     return max(p.probes, int(needed[int(np.ceil(p.recall * len(needed))) - 1]))
 
 
-_QUERY = "block int, part int, query long, data binary, limit double, reach double"
+_QUERY = "block int, query long, data binary, limit double, reach double"
 
 
 def _batches(columns: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -209,7 +212,7 @@ def _part(ids: np.ndarray, parts: int | np.ndarray) -> np.ndarray:
     return (ids.astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(16)).astype(np.int64) % parts
 
 
-def _first_routes(queries: DataFrame, index: Index, parts: int) -> DataFrame:
+def _first_routes(queries: DataFrame, index: Index) -> DataFrame:
     """Each query with the block of its own list: the first threshold comes from the anchors, the reach covers its probes."""
     p = index.parameters
     first, number = index.blocks()
@@ -232,7 +235,7 @@ def _first_routes(queries: DataFrame, index: Index, parts: int) -> DataFrame:
                 own = order[:, 0]
                 block = first[own] + _part(ids, number[own])
                 yield _batches({
-                    "block": pa.array(block, pa.int32()), "part": pa.array(_part(ids, parts), pa.int32()), "query": pa.array(ids), "data": pa.array([v.tobytes() for v in q], pa.binary()),
+                    "block": pa.array(block, pa.int32()), "query": pa.array(ids), "data": pa.array([v.tobytes() for v in q], pa.binary()),
                     "limit": pa.array(_slack(limits, index), pa.float64()), "reach": pa.array(np.full(len(q), np.inf) if p.exact else reach * (1 + 1e-9), pa.float64()),
                 })
 
@@ -244,8 +247,11 @@ def _slack(limits: np.ndarray, index: Index) -> np.ndarray:
     return limits * (1 + 1e-9) + 1e-9 * index.top**2
 
 
-def _later_routes(met: DataFrame, index: Index, parts: int) -> DataFrame:
-    """Each query with every other block that holds a list within its reach and not farther than its threshold allows."""
+def _later_routes(met: DataFrame, index: Index, counted: bool = False) -> DataFrame:
+    """Each query with every other block that holds a list within its reach and not farther than its threshold allows.
+
+    counted: only (block, n), how many queries of a batch go there.
+    """
     first, number = index.blocks()
     blocks = int((first + number).max())
     holds = np.zeros((len(first), blocks), bool)
@@ -262,14 +268,31 @@ def _later_routes(met: DataFrame, index: Index, parts: int) -> DataFrame:
                 going = (away <= reach[:, None]) & (np.sqrt(away) - index.radii - 1e-6 * index.top <= np.sqrt(limit)[:, None])
                 to = going.astype(np.float32) @ holds.astype(np.float32) > 0
                 to[np.arange(len(ids)), part.column("block").to_numpy()] = False
+                if counted:
+                    going = to.sum(axis=0)
+                    block = np.flatnonzero(going)
+                    yield _batches({"block": pa.array(block, pa.int32()), "n": pa.array(going[block], pa.int64())})
+                    continue
                 j, block = np.nonzero(to)
-                rows = pa.array(j)
                 yield _batches({
-                    "block": pa.array(block, pa.int32()), "part": pa.array(_part(ids[j], parts), pa.int32()), "query": pa.array(ids[j]), "data": part.column("data").take(rows),
-                    "limit": pa.array(limit[j]), "reach": pa.array(reach[j]),
+                    "block": pa.array(block, pa.int32()), "query": pa.array(ids[j]), "data": part.column("data").take(pa.array(j)), "limit": pa.array(limit[j]), "reach": pa.array(reach[j]),
                 })
 
-    return met.mapInArrow(route, _QUERY)
+    return met.mapInArrow(route, "block int, n long" if counted else _QUERY)
+
+
+def _dealt(queries: DataFrame, counts: DataFrame, candidates: DataFrame, index: Index) -> tuple[DataFrame, DataFrame]:
+    """Both with a `part`: a block's queries are dealt to as many parts as keep each to Parameters.asking, and its candidates go to all of them.
+
+    counts: (block, n) of the queries, summed by block: one number a block on the driver.
+    """
+    first, number = index.blocks()
+    parts = np.ones(int((first + number).max()), np.int64)
+    for r in counts.groupBy("block").agg(F.sum("n").alias("n")).collect():
+        parts[r.block] = -(-r.n // index.parameters.asking)
+    several = F.element_at(F.lit(parts.tolist()), F.col("block") + 1)
+    own = F.pmod(F.xxhash64("query", F.lit("part")), several).cast("int")
+    return queries.withColumn("part", own), candidates.withColumn("part", F.explode(F.sequence(F.lit(0), several.cast("int") - 1)))
 
 
 def adaptive_scan(q: np.ndarray, columns: list[np.ndarray], limits: np.ndarray, k: int, epsilon: float, allowed: np.ndarray | None = None, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
@@ -384,7 +407,7 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, id_col: str = "vec_i
     p = parameters or Parameters()
     named = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
     sound = named.where(F.col("id").isNotNull() & usable(F.col("vector")))
-    widths = sound.groupBy(F.size("vector").alias("w")).agg(F.count("*").alias("n"), F.count_if("asks").alias("asks")).orderBy(F.desc("n"), "w").limit(1).collect()
+    widths = sound.groupBy(F.size("vector").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
     rows = sound.where(F.size("vector") == (widths[0].w if widths else 0))
     index = fit(rows, p) if widths else None
     schema = f"query_id long, rank int, `{id_col}` long, score double"
@@ -399,19 +422,18 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, id_col: str = "vec_i
     index.radii = np.array([sizes[k].radius if k in sizes else 0.0 for k in range(len(index.centroids))])
     asking = rows.where("asks")
     index.parameters = replace(p, probes=len(index.centroids) if p.exact else probes_for_recall(placed, asking, index))
-    # a block meets about its share of the queries, times how many blocks a query goes to
     starts, number = index.blocks()
-    share = min(1.0, index.parameters.probes / len(index.centroids) + p.block / max(1, index.counts.sum()))
-    parts = max(1, int(np.ceil(widths[0].asks * share / p.block)))
-
     in_list = lambda values: F.element_at(F.lit(values.tolist()), F.col("list") + 1)
     dealt = placed.select("id", "list", "data", (in_list(starts) + F.pmod(F.xxhash64("id"), in_list(number))).cast("int").alias("block"))
-    own, all_parts = dealt.withColumn("part", F.lit(0)), dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     distinct = asking.groupBy("vector").agg(F.min("id").alias("id"))
     keys = ["block", "part"]
-    met = _first_routes(distinct, index, 1).groupBy(*keys).cogroup(own.groupBy(*keys))
+    routed = settled(_first_routes(distinct, index))
+    routed, own = _dealt(routed, routed.select("block", F.lit(1).alias("n")), dealt, index)
+    met = routed.groupBy(*keys).cogroup(own.groupBy(*keys))
     met = settled(met.applyInPandas(lambda q, c: _first_scan(q, c, index), "block int, query long, data binary, limit double, reach double, ids array<long>, scores array<double>"))
-    later = _later_routes(met.select("block", "query", "data", "limit", "reach"), index, parts).groupBy(*keys).cogroup(all_parts.groupBy(*keys))
+    going = met.select("block", "query", "data", "limit", "reach")
+    routed, own = _dealt(_later_routes(going, index), _later_routes(going, index, True), dealt, index)
+    later = routed.groupBy(*keys).cogroup(own.groupBy(*keys))
     found = later.applyInPandas(lambda q, c: _later_scan(q, c, index), "query long, id long, score double")
     found = found.unionByName(met.select("query", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query", F.col("x.ids").alias("id"), F.col("x.scores").alias("score")))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")

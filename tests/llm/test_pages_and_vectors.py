@@ -4,6 +4,7 @@ import re
 import tempfile
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -221,6 +222,32 @@ def test_recall_by_kind_of_data(spark, kind, rows_per_list):
     assert hits >= 0.9 * 20 * len(queries), hits / (20 * len(queries))
 
 
+@pytest.mark.parametrize("kind", ["lognormal", "shifted", "both"])
+def test_no_task_meets_all_queries(spark, kind, monkeypatch):
+    """Norms that differ much, a mean far from 0: all queries share a list, yet no group has more than its share of them."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(30_000, 16)) * (np.exp(rng.normal(size=(30_000, 1))) if kind != "shifted" else 1) + (5 if kind != "lognormal" else 0)
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<double>").repartition(4)
+    seen, deal = [], adscan._dealt
+
+    def watched(queries, counts, candidates, index):
+        q, c = deal(queries, counts, candidates, index)
+        seen.append((q.groupBy("block").count().agg(F.max("count")).first()[0], q.groupBy("block", "part").count().agg(F.max("count")).first()[0], c.groupBy("block", "part").count().agg(F.max("count")).first()[0], q.join(c, ["block", "part"], "left_anti").count()))
+        return q, c
+
+    monkeypatch.setattr(adscan, "_dealt", watched)
+    p = adscan.Parameters(asking=128, block=1_024)
+    got = adscan.nearest_neighbours(rows, F.col("vec_id") % 20 == 0, parameters=p).toPandas()
+    assert seen[0][0] > 400 and all(part <= 2 * p.asking and mine <= 1.3 * p.block and alone == 0 for _, part, mine, alone in seen)
+    found = got.groupby("query_id")["vec_id"].apply(set)
+    hits = 0
+    for k in range(0, len(x), 100):
+        scores = x @ x[k]
+        scores[k] = -np.inf
+        hits += len(found[k] & set(np.argpartition(-scores, 20)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 300, hits / 6_000
+
+
 def test_exact_search_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(size=(1500, 24)), np.repeat(rng.normal(size=(3, 24)), 60, axis=0)])
