@@ -12,8 +12,8 @@ every value has (MAY_HOLD) are passed through after one scan. No pattern repeats
 the length of a text costs time in proportion and no stack; values of any length are permuted in pieces.
 
 A pseudonym can be undone by whoever has the key. It is the caller's, or the session's setting KEY_SETTING, or else a
-random one of the driver's process, with which values are linked within that process only. The key is part of the
-query plan, as a digest: keep event logs as safe as the key itself.
+random one of the driver's process, with which values are linked within that process only. Its digest reaches the
+executors as the row of a scalar subquery, so that neither plans nor event logs show it.
 """
 
 from __future__ import annotations
@@ -58,12 +58,16 @@ PIECE = 64
 FIRST_YEAR, DAYS_LEFT, DAYS_RIGHT = 1800, 189, 773
 
 
-def _prf(key: str, kind: str, round_no: Column, half: Column) -> Column:
+def _key(key: Column | str) -> Column:
+    return F.lit(key) if isinstance(key, str) else key
+
+
+def _prf(key: Column | str, kind: str, round_no: Column, half: Column) -> Column:
     """48 keyed bits of a half, as a nonnegative number."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), round_no.cast("string"), half), 256), 1, 12), 16, 10).cast("long")
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", _key(key), F.lit(kind), round_no.cast("string"), half), 256), 1, 12), 16, 10).cast("long")
 
 
-def feistel_pair(x: Column, y: Column, left: int, right: int, key: str, kind: str) -> Column:
+def feistel_pair(x: Column, y: Column, left: int, right: int, key: Column | str, kind: str) -> Column:
     """struct(x, y): a keyed permutation of the pairs of x below left and y below right."""
 
     def step(acc: Column, i: Column) -> Column:
@@ -75,13 +79,13 @@ def feistel_pair(x: Column, y: Column, left: int, right: int, key: str, kind: st
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(x.cast("long").alias("x"), y.cast("long").alias("y")), step)
 
 
-def feistel_number(n: Column, left: int, right: int, key: str, kind: str) -> Column:
+def feistel_number(n: Column, left: int, right: int, key: Column | str, kind: str) -> Column:
     """A keyed permutation of the numbers below left * right."""
     pair = feistel_pair(F.floor(n / right), n % right, left, right, key, kind)
     return F.element_at(F.transform(F.array(pair), lambda p: p["x"] * right + p["y"]), 1)
 
 
-def feistel_digits(digits: Column, key: str, kind: str) -> Column:
+def feistel_digits(digits: Column, key: Column | str, kind: str) -> Column:
     """A keyed permutation of the digit strings of one length, up to 18."""
 
     def step(acc: Column, i: Column) -> Column:
@@ -99,7 +103,7 @@ KINDS_OF_LETTERS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
 HEX_DIGITS = ("0123456789abcdef",)
 
 
-def feistel_letters(word: Column, key: str, kind: str, alphabets: tuple[str, ...] = KINDS_OF_LETTERS) -> Column:
+def feistel_letters(word: Column, key: Column | str, kind: str, alphabets: tuple[str, ...] = KINDS_OF_LETTERS) -> Column:
     """A keyed permutation of the strings with characters of the same alphabets in the same places.
 
     Each piece of PIECE characters is a Feistel network of its own, whose rounds take one digest each.
@@ -114,7 +118,7 @@ def feistel_letters(word: Column, key: str, kind: str, alphabets: tuple[str, ...
 
     def permuted(piece: Column, number: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
-            mark = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), number.cast("string"), i.cast("string"), acc["r"]), 256)
+            mark = F.sha2(F.concat_ws("|", _key(key), F.lit(kind), number.cast("string"), i.cast("string"), acc["r"]), 256)
             moved = _let(mark, lambda d: F.array_join(F.transform(F.split(acc["l"], ""), lambda c, k: shifted(c, F.conv(F.substring(d, 2 * k + 1, F.lit(2)), 16, 10).cast("int"))), ""))
             return F.struct(acc["r"].alias("l"), moved.alias("r"))
 
@@ -167,7 +171,7 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), step)
 
 
-def _card(m: Column, key: str) -> Column:
+def _card(m: Column, key: Column) -> Column:
     """The first four digits, those of the network, stay."""
 
     def made(body: Column) -> Column:
@@ -180,7 +184,7 @@ def _card(m: Column, key: str) -> Column:
     return _let(_digits(m), of)
 
 
-def _iban(m: Column, key: str) -> Column:
+def _iban(m: Column, key: Column) -> Column:
     def of(d: Column) -> Column:
         country, account = F.substring(d, 1, 2), F.substring(d, F.lit(5), F.length(d))
 
@@ -194,7 +198,7 @@ def _iban(m: Column, key: str) -> Column:
     return _let(F.regexp_replace(m, " ", ""), of)
 
 
-def _phone(m: Column, key: str) -> Column:
+def _phone(m: Column, key: Column) -> Column:
     def of(d: Column) -> Column:
         kept = F.when(m.startswith("+1"), 2).when(m.startswith("+"), 3).otherwise(1)
         rest = F.substring(d, kept + 1, F.length(d))
@@ -203,7 +207,7 @@ def _phone(m: Column, key: str) -> Column:
     return _let(_digits(m), of)
 
 
-def _ip(m: Column, key: str) -> Column:
+def _ip(m: Column, key: Column) -> Column:
     def octets(n: Column) -> Column:
         return F.concat_ws(".", *[(F.floor(n / (1 << s)) % 256).cast("string") for s in (24, 16, 8, 0)])
 
@@ -214,7 +218,7 @@ def _ip(m: Column, key: str) -> Column:
     return _let(F.transform(F.split(m, r"\."), lambda x: x.cast("long")), of)
 
 
-def _ssn(m: Column, key: str) -> Column:
+def _ssn(m: Column, key: Column) -> Column:
     def shown(n: Column) -> Column:
         area, rest = F.floor(n / 989901) + 1, n % 989901
         area = area + F.when(area >= 666, 1).otherwise(0)
@@ -226,7 +230,7 @@ def _ssn(m: Column, key: str) -> Column:
     return F.when(valid, _let(feistel_number(number, 898, 989901, key, "ssn"), shown)).otherwise(m)
 
 
-def _date(m: Column, key: str) -> Column:
+def _date(m: Column, key: Column) -> Column:
     """Dates keep their order of fields and separators; where day and month could be either, the day is taken to come first."""
 
     def of(d: Column) -> Column:
@@ -253,7 +257,7 @@ def _date(m: Column, key: str) -> Column:
     return _let(_digits(m), of)
 
 
-def _email(m: Column, key: str) -> Column:
+def _email(m: Column, key: Column) -> Column:
     """The mailbox and its domain are replaced, each on its own; the last label stays."""
 
     def of(p: Column) -> Column:
@@ -265,7 +269,7 @@ def _email(m: Column, key: str) -> Column:
     return _let(F.split(m, "@"), of)
 
 
-def _credential(m: Column, key: str) -> Column:
+def _credential(m: Column, key: Column) -> Column:
     """The value behind the name and the sign is replaced; strings of hex digits stay such."""
     name = F.regexp_extract(m, CREDENTIAL_NAME + r"[ \t]*[\"']?", 0)
 
@@ -276,17 +280,17 @@ def _credential(m: Column, key: str) -> Column:
     return F.concat(name, _let(F.substring(m, F.length(name) + 1, F.length(m)), of))
 
 
-def _ip6(m: Column, key: str) -> Column:
+def _ip6(m: Column, key: Column) -> Column:
     """Capital digits stay capital where there are only such; a mixed address comes out in small ones."""
     new = feistel_letters(F.lower(m), key, "ip6", HEX_DIGITS)
     return F.when(m.rlike("[A-F]") & ~m.rlike("[a-f]"), F.upper(new)).otherwise(new)
 
 
-def _cloud_key(m: Column, key: str) -> Column:
+def _cloud_key(m: Column, key: Column) -> Column:
     return F.concat(F.substring(m, 1, 4), feistel_letters(F.substring(m, F.lit(5), F.length(m)), key, "cloud_key"))
 
 
-KINDS: dict[str, Callable[[Column, str], Column]] = {
+KINDS: dict[str, Callable[[Column, Column], Column]] = {
     "credential": _credential,
     "cloud_key": _cloud_key,
     "email": _email,
@@ -304,7 +308,7 @@ def _any(kinds: dict) -> str:
     return "|".join(f"(?:{PATTERNS[k]})" for k in kinds)
 
 
-def pseudonym(value: Column, key: str) -> Column:
+def pseudonym(value: Column, key: Column) -> Column:
     """The pseudonym of one found value; the value itself if it fails its kind's validation."""
     chosen = None
     for kind, make in KINDS.items():
@@ -318,29 +322,33 @@ def session_key(spark: SparkSession) -> str:
     return spark.conf.get(KEY_SETTING, None) or _OWN_KEY
 
 
-def pseudonymise(docs: DataFrame, key: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text replaced, and n_found and n_replaced (long) behind its columns.
+def _key_column(spark: SparkSession, key: str) -> Column:
+    """The key's digest as a column whose value no plan shows: a scalar subquery over one row."""
+    digest = hashlib.sha256(key.encode()).hexdigest()
+    return spark.createDataFrame([(digest,)], "k string").select("k").scalar()
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
+    """docs with the text replaced, and with counts n_found and n_replaced (long) behind its columns.
 
     key: whoever has it can undo the pseudonyms; None takes session_key(). Dates from FIRST_YEAR on within one
     Gregorian cycle of 400 years count, others stay. A null text stays null with counts of 0, an empty one empty; repeated rows are
     treated alike; texts of any length are searched whole, from the left, and values do not overlap. All other
-    columns stay as they are (a column of docs with the name of a count is replaced by it); an empty table
+    columns stay as they are (with counts, a column of docs that has the name of one is replaced by it); an empty table
     gives no rows.
     """
     if not id_col or id_col not in docs.columns:
         raise ValueError(f"no column {id_col!r}")
-    key = hashlib.sha256((key or session_key(docs.sparkSession)).encode()).hexdigest()
     pattern, text = _any(KINDS), F.col(text_col)
-    found_at, new_at = free_name(docs, "found"), free_name(docs, "new")
+    found_at, new_at, key_at = (free_name(docs, x) for x in ("found", "new", "key"))
     found, new = F.col(found_at), F.col(new_at)
-    marked = docs.withColumn(found_at, F.when(text.rlike(MAY_HOLD), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
-    marked = marked.withColumn(new_at, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key))))
+    marked = docs.withColumn(key_at, _key_column(docs.sparkSession, key or session_key(docs.sparkSession)))
+    marked = marked.withColumn(found_at, F.when(text.rlike(MAY_HOLD), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+    marked = marked.withColumn(new_at, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, F.col(key_at)))))
     joined = F.array_join(F.zip_with(F.split(text, pattern, -1), new, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
     changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
-    return marked.withColumns(
-        {
-            "n_found": F.when(new.isNotNull(), F.size(found)).otherwise(0).cast("long"),
-            "n_replaced": F.when(new.isNotNull(), changed).otherwise(0).cast("long"),
-            text_col: F.when(new.isNotNull(), joined).otherwise(text),
-        }
-    ).drop(found_at, new_at)
+    made = {text_col: F.when(new.isNotNull(), joined).otherwise(text)}
+    if counts:
+        made["n_found"] = F.when(new.isNotNull(), F.size(found)).otherwise(0).cast("long")
+        made["n_replaced"] = F.when(new.isNotNull(), changed).otherwise(0).cast("long")
+    return marked.withColumns(made).drop(found_at, new_at, key_at)

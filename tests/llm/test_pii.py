@@ -245,3 +245,15 @@ def test_columns_with_the_names_of_helpers_stay(spark):
     row = pii.pseudonymise(docs, KEY).first()
     assert (row["__found"], row.found, row.NEW, row["__new"], row.n_found, row.n_replaced) == ("a", "b", "c", "d", 1, 1)
     assert pii.pseudonymise(docs, KEY).columns == [*docs.columns, "n_replaced"]
+
+
+def test_no_plan_shows_the_key(spark, capsys):
+    """Neither the key nor its digest stands in a plan, before or after it ran; a frame without counts keeps columns of their names."""
+    docs = spark.createDataFrame([(1, "Write to jo@example.com by 2024-03-01.", 7, "y")], "doc_id long, text string, n_found int, key string")
+    made = pii.pseudonymise(docs, KEY, counts=False)
+    row = made.first()
+    assert row.text != docs.first().text and (row.n_found, row.key) == (7, "y") and made.columns == docs.columns
+    made.explain(True)
+    shown = capsys.readouterr().out + made._jdf.queryExecution().toString()
+    assert "ubquery" in shown and DIGEST not in shown and KEY not in shown
+    assert row.text == pii.pseudonymise(docs, KEY).first().text
