@@ -17,13 +17,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import views
 from ..registry import Registry
-from ..shared import numbered, settled
-from ..views import docs, pages, table
+from ..shared import numbered, settled, spread
+from ..views import table
 from .scoring import tlsh_level, tlsh_similarity
 
 R = Registry()
 
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(views.docs(spark, sf_dir))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(views.pages(spark, sf_dir))
+
+
+
 #: The offset and prime of FNV-1a, the patterns that are dropped before text features, void tags.
 FNV64_OFFSET, FNV64_PRIME, FNV32_OFFSET, FNV32_PRIME = 14695981039346656037, 1099511628211, 2166136261, 16777619
 DROPPED = (
@@ -379,13 +390,14 @@ def lsh_links(probes: DataFrame, index: DataFrame, block: int = BLOCK) -> DataFr
 
     Members are never multiplied out: a pair of classes stands for probes * candidates pairs of rows.
     """
-    banded = lambda rows, name, n: rows.select(F.col("cls").alias(name), F.col("n").alias(n), F.posexplode(lsh_bands(F.col("sig"))).alias("band", "h"))
+    banded = lambda rows, name, n: settled(rows).select(F.col("cls").alias(name), F.col("n").alias(n), F.posexplode(lsh_bands(F.col("sig"))).alias("band", "h"))
     met = in_cells(banded(probes, "probe", "probes"), banded(index, "candidate", "candidates"), ["band", "h"], "probe", "candidate", block)
     return met.select("probe", "candidate", "probes", "candidates").distinct()
 
 
 def lsh_candidates(probes: DataFrame, index: DataFrame, probe_id: str, index_id: str) -> DataFrame:
     """Distinct pairs (probe, candidate) of ids that share a band; both sides have an id and `sig`. Linked classes, multiplied out."""
+    probes, index = settled(probes.select(probe_id, "sig")), settled(index.select(index_id, "sig"))
     linked = lsh_links(lsh_classes(probes, probe_id), lsh_classes(index, index_id)).select("probe", "candidate")
     members = lambda rows, name, cls: rows.select(F.col(name), "sig").join(lsh_classes(rows, name).select("sig", F.col("cls").alias(cls)), "sig").drop("sig")
     p, c = members(probes.withColumnRenamed(probe_id, "__p"), "__p", "probe"), members(index.withColumnRenamed(index_id, "__c"), "__c", "candidate")
@@ -413,7 +425,8 @@ def hamming_pairs(hashes: DataFrame, most: int, block: int = BLOCK) -> DataFrame
     `block` others are compared in cells of bounded size. The hashes are settled first; rows with equal hashes are one.
     """
     masks = F.lit(covering_masks(most))
-    keyed = settled(hashes.where("h is not null").select("h").distinct()).select("h", F.posexplode(masks).alias("k", "mask"))
+    # nulls go after the hashes are made: a filter would be pushed below what deals out the rows, and hash them there once more
+    keyed = settled(hashes.select("h").distinct()).where("h is not null").select("h", F.posexplode(masks).alias("k", "mask"))
     keyed = keyed.select("h", "k", F.col("h").bitwiseAND(F.col("mask")).alias("part"))
     x, y = keyed.select(F.col("h").alias("a"), "k", "part"), keyed.select(F.col("h").alias("b"), "k", "part")
     apart = F.col("a").bitwiseXOR(F.col("b"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import Registry
+from ..shared import spread
 from ..views import docs, table
 
 R = Registry()
@@ -70,6 +71,21 @@ def truncated(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)
 
 
+def truncated_bytes(text: Column, most: int) -> Column:
+    """The text, or its first `most` bytes in UTF-8 and `...` if it has more; a character that is cut in two is left out."""
+    data = F.encode(text, "UTF-8")
+    bytes_at = lambda k: F.conv(F.hex(F.substring(data, F.lit(most + 1 - k), F.lit(1))), 16, 10).cast("int")
+    # bytes 0x80 to 0xBF go on a character: those at the cut, at most three, belong to one that begins before it
+    back = F.lit(0)
+    for k in (3, 2, 1, 0):
+        going = F.lit(True)
+        for j in range(k):
+            going = going & bytes_at(j).between(0x80, 0xBF)
+        back = F.when(going & ~bytes_at(k).between(0x80, 0xBF), k) if k == 3 else back.when(going & ~bytes_at(k).between(0x80, 0xBF), k)
+    kept = F.decode(F.substring(data, F.lit(1), F.lit(most) - back), "UTF-8")
+    return F.when(F.octet_length(data) > most, F.concat(kept, F.lit("..."))).otherwise(text)
+
+
 def _tenths(n: Column, unit: int) -> Column:
     """n / unit with one decimal, rounded as the binary quotient is: ties by its exact value, then to even."""
     whole, rest, half = F.floor(n / (unit // 10)), n % (unit // 10), unit // 20
@@ -154,7 +170,7 @@ _VALUES_SQL = """v AS (SELECT props AS s FROM events UNION ALL SELECT CAST(value
 
 
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, p = table(spark, sf_dir, "events"), table(spark, sf_dir, "pages")
+    e, p = spread(table(spark, sf_dir, "events")), spread(table(spark, sf_dir, "pages"))
     mail = F.concat(F.lit("user"), F.col("user_id"), F.lit("@mail.example.com"))
     pair = F.concat(F.lit("["), F.col("user_id"), F.lit(", "), F.col("event_id"), F.lit("]"))
     of_events = [F.col("props"), F.col("value").cast("string"), F.col("event_id").cast("string"), F.col("event_type"), F.md5(F.col("event_id").cast("string")), mail, pair, F.concat(F.lit("{broken"), F.col("user_id"))]
@@ -230,6 +246,13 @@ def truncated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", truncated(F.col("text"), 100).alias("shown"))
 
 
+@R.query("truncated_bytes", """WITH d AS (SELECT doc_id, text, hex(encode(text)) AS x FROM documents), c AS (SELECT *, list_filter([0, 1, 2, 3], lambda k: (CAST('0x' || substr(x, CAST(201 - 2 * k AS BIGINT), 2) AS INTEGER) & 192) <> 128)[1] AS back FROM d WHERE length(x) > 200)
+SELECT doc_id, decode(unhex(left(x, CAST(200 - 2 * back AS BIGINT)))) || '...' AS shown FROM c UNION ALL SELECT doc_id, text FROM d WHERE x IS NULL OR length(x) <= 200""")
+def truncated_bytes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents cut to a hundred bytes, as reports cut them."""
+    return docs(spark, sf_dir).select("doc_id", truncated_bytes(F.col("text"), 100).alias("shown"))
+
+
 @R.query("url_encoding", """SELECT page_id, replace(url_encode(url), '+', '%20') AS encoded, url AS decoded FROM pages""")
 def url_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", url_encode_rfc3986(F.col("url")).alias("encoded"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import hit_bucket
 from ..registry import Registry
-from ..shared import chunk_of, running_total  # noqa: F401  running_total is found here too
+from ..shared import TOGETHER, chunk_of, running_total  # noqa: F401  running_total is found here too
 from ..views import EXECUTIONS_SQL, docs, executions, table
 
 R = Registry()
@@ -62,22 +62,29 @@ def history(hits: DataFrame, most: int = HISTORY) -> DataFrame:
     return last.withColumn("covered", total - since + F.col("new_edges"))
 
 
-def hit_steps(edges: DataFrame, chunks: int = 64) -> DataFrame:
+def hit_steps(edges: DataFrame, chunks: int = 64, together: int = TOGETHER) -> DataFrame:
     """Each recording with its saturating count, and whether the edge is new or enters another bucket, in order (exec_id, seq).
 
-    Executions are cut into chunks of about equal size, at bounds that are found once. An edge's recordings are counted per
-    chunk, combined before the shuffle, and each recording is ranked inside its chunk, behind the count of those
-    before: an edge with most rows is ranked in many tasks. Rows that are equal in every column count each.
+    Recordings are counted per edge first, combined before the shuffle; edges with more than `together`, which one task should
+    not rank, come to the driver, MAP_SIZE numbers at most. Their executions are cut into chunks of about equal size, at
+    bounds that are found once; each recording is ranked inside its chunk, behind the counts of those before. All
+    others are one chunk. Rows that are equal in every column count each.
     """
     columns = [x for x in edges.columns if x not in ("exec_id", "seq")]
-    bounds = sorted(set(edges.approxQuantile("exec_id", [k / chunks for k in range(1, chunks)], 0.5 / chunks))) if chunks > 1 else []
-    marked = edges.withColumns({"edge": edge_index(F.col("from_block"), F.col("to_block")), "__chunk": chunk_of(F.col("exec_id"), [int(b) for b in bounds])})
-    per_chunk = marked.groupBy("edge", "__chunk").agg(F.count("*").alias("__n"))
+    marked = edges.withColumn("edge", edge_index(F.col("from_block"), F.col("to_block")))
+    hot = [r.edge for r in marked.groupBy("edge").agg(F.count("*").alias("n")).where(F.col("n") > together).collect()]
+    if not hot:
+        n = F.row_number().over(Window.partitionBy("edge").orderBy("exec_id", "seq", *columns))
+        return _stepped(marked.withColumn("n", F.least(n, F.lit(MOST_HITS)).cast("int")))
+    is_hot = F.col("edge").isin(hot)
+    bounds = sorted({int(b) for b in marked.where(is_hot).approxQuantile("exec_id", [k / chunks for k in range(1, chunks)], 0.5 / chunks)}) if chunks > 1 else []
+    marked = marked.withColumn("__chunk", F.when(is_hot, chunk_of(F.col("exec_id"), bounds)).otherwise(-1))
     earlier = Window.partitionBy("edge").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_chunk.select("edge", "__chunk", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    per_chunk = marked.where(is_hot).groupBy("edge", "__chunk").agg(F.count("*").alias("__n"))
+    before = per_chunk.select("edge", "__chunk", F.sum("__n").over(earlier).alias("__before"))
     inside = Window.partitionBy("edge", "__chunk").orderBy("exec_id", "seq", *columns)
-    ranked = marked.withColumn("__rank", F.row_number().over(inside)).join(before, ["edge", "__chunk"])
-    n = F.least(F.col("__rank") + F.col("__before"), F.lit(MOST_HITS)).cast("int")
+    ranked = marked.withColumn("__rank", F.row_number().over(inside)).join(before, ["edge", "__chunk"], "left")
+    n = F.least(F.col("__rank") + F.coalesce("__before", F.lit(0)), F.lit(MOST_HITS)).cast("int")
     return _stepped(ranked.select(*edges.columns, "edge", n.alias("n")))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..registry import Registry
+from ..shared import spread
 from ..views import RESPONSES_SQL, pages, responses, table
 from .paths import is_plain, json_value
 
@@ -60,6 +61,23 @@ PATTERNS = {
     "sensitive_data": (r"(?i)password\s*[:=]", r"(?i)api[_-]?key\s*[:=]", r"(?i)secret[_-]?key\s*[:=]", r"(?i)private[_-]?key", r"(?i)access[_-]?token", r"(?i)aws[_-]?secret", r"-----BEGIN.*PRIVATE KEY-----", r"(?i)jdbc:.*://", r"(?i)mongodb://.*@"),
     "verbose_error": (r"(?i)stack\s*trace", r"(?i)at\s+\w+\.\w+\(.*:\d+\)", r"(?i)exception\s+in\s+thread", r"(?i)traceback\s+\(most recent", r"(?i)Parse\s+error:", r"(?i)Fatal\s+error:", r"(?i)undefined\s+index"),
 }
+#: The names under which the findings of each type of pattern are reported.
+FINDING_TYPES = {
+    "sql_error": "A03_SQL_INJECTION",
+    "reflected_script": "A03_XSS",
+    "command_output": "A03_OS_COMMAND",
+    "file_content": "A01_BROKEN_ACCESS_CONTROL",
+    "xml_entity": "A05_XXE",
+    "metadata_service": "A10_SSRF",
+    "sensitive_data": "A02_SENSITIVE_DATA_EXPOSURE",
+    "verbose_error": "A05_VERBOSE_ERRORS",
+}
+
+
+def finding_type(kind: Column) -> Column:
+    """The reported name of a type of pattern; other types, such as callers' own, keep their names."""
+    named = F.create_map(*[F.lit(x) for pair in FINDING_TYPES.items() for x in pair])
+    return F.coalesce(F.try_element_at(named, kind), kind)
 
 
 def json_path(path: str) -> str:
@@ -233,7 +251,7 @@ def links_and_forms(rows: DataFrame, id_col: str, url_col: str, html_col: str) -
 
 def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses with headers and cookies made from their columns."""
-    r = responses(spark, sf_dir)
+    r = spread(responses(spark, sf_dir))
     odd = F.col("seq") % 2 == 1
     headers = F.map_concat(
         F.create_map(F.lit("Content-Type"), F.lit("application/json"), F.lit("X-Frame-Options"), F.when(F.col("seq") % 3 == 0, "").otherwise("DENY")),
@@ -304,6 +322,18 @@ def response_findings_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_matches(rows, "seq", "body").groupBy("type", "pattern").agg(F.count("*").alias("n"))
 
 
+_NAMED_SQL = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FINDING_TYPES.items()) + " END"
+
+
+@R.query("reported_findings", "WITH t AS (SELECT event_id AS seq, list_extract([" + ", ".join("'" + t.replace("'", "''") + "'" for t in _ODD_TEXTS) + f"], CAST(event_id % {len(_ODD_TEXTS)} + 1 AS BIGINT)) AS body FROM events) SELECT {_NAMED_SQL} AS type, count(*) AS findings, count(DISTINCT seq) AS responses FROM (" + " UNION ALL ".join(f"SELECT seq, '{k}' AS type, unnest(regexp_extract_all(body, '{q}')) AS m FROM t" for k, v in PATTERNS.items() for p in v for q in [p.replace("'", "''")]) + ") GROUP BY 1")
+def reported_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings under the names that stored reports carry, so that they can be joined with them."""
+    body = F.element_at(F.array(*[F.lit(t) for t in _ODD_TEXTS]), (F.col("event_id") % len(_ODD_TEXTS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), body.alias("body"))
+    found = pattern_matches(rows, "seq", "body").select(finding_type(F.col("type")).alias("type"), F.col("seq"))
+    return found.groupBy("type").agg(F.count("*").alias("findings"), F.count_distinct("seq").alias("responses"))
+
+
 @R.query("header_audit", f"""WITH {RESPONSES_SQL}, h AS (SELECT * FROM (VALUES ('Strict-Transport-Security', 'medium'), ('X-Content-Type-Options', 'low'), ('X-XSS-Protection', 'low'), ('Content-Security-Policy', 'medium'), ('Referrer-Policy', 'low'), ('Permissions-Policy', 'low')) v(header, severity))
 SELECT header, 'missing' AS issue, severity, count(*) AS n FROM responses, h GROUP BY ALL UNION ALL SELECT 'X-Frame-Options', 'empty', 'medium', count(*) FILTER (seq % 3 = 0) FROM responses UNION ALL SELECT 'Server', 'disclosed', 'low', count(*) FILTER (seq % 2 = 1) FROM responses""")
 def header_audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:

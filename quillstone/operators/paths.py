@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import let
 from ..registry import Registry
+from ..shared import spread
 from ..views import table
 
 R = Registry()
@@ -305,7 +306,7 @@ def _paths_sql() -> str:
 
 def nested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, body): a nested document for each event."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     body = F.lit(_DOCUMENT)
     for name, value in (("k", F.get_json_object("props", "$.k")), ("u", F.col("user_id").cast("string")), ("n", (F.col("event_id") % 10).cast("string")), ("t", F.col("event_type"))):
         body = F.replace(body, F.lit(f"%{name}%"), value)

@@ -32,6 +32,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a table that is dealt to all cores before costly work on its rows.
+SMALL = 16 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores if they come from so small a table (SMALL) that it is one split, whose rows one task would work through.
+
+    Files of any size beyond are read by as many tasks as they have splits, and stay where they are.
+    """
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else rows
+
+
 #: Rows that one task may sort, and ranges at most.
 TOGETHER, MOST_RANGES = 1 << 17, 4_096
 

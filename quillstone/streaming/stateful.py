@@ -1,7 +1,7 @@
 """Stateful streams, each with a batch form that gives the same rows: learning, value pool, limiter, throttle, liveness, snapshot changes.
 
 A processor is a plain function of (state, rows in order) so that batch and stream share it. Streams keep one
-state per key with applyInPandasWithState; batches fold each key's rows in order with applyInPandas.
+state per key with applyInPandasWithState; batches fold each key's rows in order, batch by batch, in sorted partitions.
 """
 
 from __future__ import annotations
@@ -270,6 +270,15 @@ def pool_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.join(e.where("op <> 'remove'").select("seq"), "seq", "left_semi").select("key", "seq", "action")
 
 
+@R.query("pool_removals_whole", _HELD_SQL.replace("event_type AS key", "user_id AS key").replace("CAST(user_id AS VARCHAR) AS value", "event_type AS value").replace(" WHERE user_id % 40 = 1", ""))
+def pool_removals_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all users, each with a pool of event types, which are fewer than its limit."""
+    op = F.when(F.col("event_id") % 11 == 3, "remove_value").when(F.col("event_id") % 211 == 7, "remove").otherwise("put")
+    e = _timed(table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("value"), op.alias("op")))
+    done = in_batch(e, "key", ["ts", "seq"], pool_put, "seq long, action string, size int")
+    return done.join(e.where("op <> 'remove'").select("seq"), "seq", "left_semi").select("key", "seq", "action")
+
+
 @R.query("lru_replay", """WITH RECURSIVE e AS (SELECT day(ts) AS day, event_id AS seq, epoch_us(ts) / 1e6 AS t, event_type = 'purchase' AS puts, CAST(user_id AS VARCHAR) AS key, octet_length(encode(props)) AS size, row_number() OVER (PARTITION BY day(ts) ORDER BY ts, event_id) AS rn FROM events),
 w AS (SELECT day, NULL::BIGINT AS seq, 0::BIGINT AS rn, []::STRUCT(k VARCHAR, s BIGINT, x DOUBLE)[] AS held, NULL::VARCHAR AS result, 0 AS evicted FROM (SELECT DISTINCT day FROM e)
 UNION ALL SELECT day, seq, rn, made[gone + 1:], CASE WHEN puts THEN 'set' WHEN len(own) > 0 THEN 'hit' ELSE 'miss' END, CAST(gone AS INTEGER)

@@ -98,7 +98,8 @@ def test_hit_steps_in_chunks(spark, chunks):
     w = Window.partitionBy("edge").orderBy("exec_id", "seq", "from_block", "to_block")
     wanted = rows.withColumn("edge", edge).withColumn("n", F.least(F.row_number().over(w), F.lit(255)))
     key = ["edge", "exec_id", "seq", "n"]
-    assert sorted(map(tuple, coverage.hit_steps(rows, chunks).select(*key).collect())) == sorted(map(tuple, wanted.select(*key).collect()))
+    assert sorted(map(tuple, coverage.hit_steps(rows, chunks).select(*key).collect())) == sorted(map(tuple, coverage.hit_steps(rows, chunks, 100).select(*key).collect()))
+    assert sorted(map(tuple, coverage.hit_steps(rows, chunks, 100).select(*key).collect())) == sorted(map(tuple, wanted.select(*key).collect()))
 
 
 # --- Links --------------------------------------------------------------------------------------------------------
