@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import spread
 from .adscan import nearest_neighbours
 from .audit import filter_audit
 from .bpe import bpe_encode
@@ -35,7 +36,7 @@ MIX = {"clean": 0.85, "poor": 0.10, "toxic": 0.05}
 
 
 def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated, fitted = mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), MIX)
+    rated, fitted = mix(spread(table(spark, sf_dir, "documents")), label_domains(table(spark, sf_dir, "labels")), MIX)
     known = list(fitted.classifier.domains) if fitted else []
     p = [(F.element_at("__p", known.index(d) + 1) if d in known else F.lit(0.0)).alias(f"p_{d}") for d in MIX]
     missed = F.lit(fitted.missed if fitted else 0.0).alias("missed")
@@ -51,14 +52,14 @@ def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     held_out = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 5 == 0
     found = identify_language(docs, train(docs, where=~held_out))
     return found.select("doc_id", held_out.alias("held_out"), F.col("nearest").alias("lang_pred"), "score", "margin", (F.col("language") != "und").alias("accepted"))
 
 
 def op5_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_found", "n_replaced")
+    return pseudonymise(spread(table(spark, sf_dir, "documents"))).select("doc_id", "text", "n_found", "n_replaced")
 
 
 #: The rules of the url filter's contract.
@@ -72,28 +73,28 @@ URL_RULES = [
 
 
 def op6_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return filter_urls(spread(table(spark, sf_dir, "pages")), URL_RULES)
 
 
 def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = repetition_quality(table(spark, sf_dir, "documents"))
+    judged = repetition_quality(spread(table(spark, sf_dir, "documents")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(table(spark, sf_dir, "documents"))
+    return simhash_components(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_encode(table(spark, sf_dir, "documents"), vocabulary(), keep_ids=False)
+    return bpe_encode(spread(table(spark, sf_dir, "documents")), vocabulary(), keep_ids=False)
 
 
 def op10_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_main_text(table(spark, sf_dir, "pages"))
+    return extract_main_text(spread(table(spark, sf_dir, "pages")))
 
 
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 #: The conversation that the contract adds: it says what would end a turn in another template.
@@ -108,7 +109,7 @@ def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=(10, 100))
+    return resampled(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), share=(10, 100))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
