@@ -24,6 +24,7 @@ import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import islice
 
 import pyarrow as pa
@@ -71,6 +72,8 @@ class MergeList:
 
     def merged(self, symbols: list[int]) -> tuple[list[int], list[int]]:
         """The tokens of one window and the number of symbols in each: lowest rank first, then leftmost."""
+        if len(symbols) > SHORT:
+            return self._merged_long(symbols)
         rule, tokens, widths = self.rules.get, list(symbols), [1] * len(symbols)
         found = [rule(pair, _NO) for pair in zip(tokens, tokens[1:])]
         while found and (best := min(found)) is not _NO:
@@ -85,12 +88,41 @@ class MergeList:
         return tokens, widths
 
 
+    def _merged_long(self, symbols: list[int]) -> tuple[list[int], list[int]]:
+        """The same with a heap of the pairs that merge and linked neighbours: time in proportion to n log n.
+
+        An entry counts only if its place still has the two tokens that it was made for.
+        """
+        rule, n = self.rules.get, len(symbols)
+        tokens, widths = list(symbols), [1] * n
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(found[0], k, found[1], a, b) for k, (a, b) in enumerate(zip(tokens, tokens[1:])) if (found := rule((a, b)))]
+        heapify(heap)
+        while heap:
+            _, k, made, a, b = heappop(heap)
+            j = after[k]
+            if tokens[k] != a or j >= n or tokens[j] != b:
+                continue
+            tokens[k], tokens[j] = made, -1
+            widths[k] += widths[j]
+            after[k] = nearest = after[j]
+            if nearest < n:
+                before[nearest] = k
+                if found := rule((made, tokens[nearest])):
+                    heappush(heap, (found[0], k, found[1], made, tokens[nearest]))
+            if (left := before[k]) >= 0 and (found := rule((tokens[left], made))):
+                heappush(heap, (found[0], left, found[1], tokens[left], made))
+        kept = [k for k in range(n) if tokens[k] >= 0]
+        return [tokens[k] for k in kept], [widths[k] for k in kept]
+
+
 _NO = (1 << 62, -1)
 _SPACE = regex.compile(r"\s")
 
 
-#: Characters of a segment, and pieces of a longer one that are encoded at a time.
-SEGMENT, PIECES = 1 << 16, 1 << 14
+#: Characters of a segment, and pieces of a longer one that are encoded at a time; characters from which on a piece's ids come in parts,
+#: and symbols up to which the pairs of a window are searched one by one.
+SEGMENT, PIECES, LONG, SHORT = 1 << 16, 1 << 14, 1 << 12, 48
 
 
 class Transducer:
@@ -177,6 +209,14 @@ class Tokenizer:
                 self.known[piece] = known
         return known
 
+    def piece_parts(self, piece: str) -> Iterator[bytes]:
+        """The ids of a long piece, PIECES at a time: neither its symbols nor its ids are ever held together."""
+        data = piece.encode("utf-8", "replace")
+        symbols = (self.inner[b] if k < len(data) - 1 else self.final[b] for k, b in enumerate(data))
+        tokens = self.transducer.tokens(symbols)
+        while some := list(islice(tokens, PIECES)):
+            yield struct.pack(f"<{len(some)}I", *some)
+
     def id_chunks(self, text: str) -> Iterator[bytes]:
         """The ids of a text, as chunks of little-endian unsigned 32-bit integers."""
         at = 0
@@ -197,7 +237,14 @@ class Tokenizer:
             else:
                 pieces = (m[0] for m in self.piece.finditer(text))
                 while some := list(islice(pieces, PIECES)):
-                    yield b"".join([get(p) or missing(p) for p in some])
+                    if max(map(len, some)) <= LONG:
+                        yield b"".join([get(p) or missing(p) for p in some])
+                        continue
+                    for piece in some:
+                        if len(piece) <= LONG:
+                            yield get(piece) or missing(piece)
+                        else:
+                            yield from self.piece_parts(piece)
 
     @staticmethod
     def segments(text: str, most: int = SEGMENT) -> Iterator[str]:

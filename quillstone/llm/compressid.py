@@ -65,8 +65,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         F.col(lang_col).alias("lang"), draw.alias("draw"), F.substring(text, start, F.lit(snippet_chars)).alias("window")
     )
     windows: dict[str, list] = {}
-    for r in picked.collect():
-        windows.setdefault(r.lang, []).append((r.draw, letters(r.window)))
+    for batch in picked.toArrow().to_batches():  # at most snippets of snippet_chars a language
+        for lang, draw_, window in zip(*(c.to_pylist() for c in batch.columns)):
+            windows.setdefault(lang, []).append((draw_, letters(window)))
     languages = tuple(sorted(windows))
     contents = tuple(b" ".join(w for _, w in sorted(windows[x]))[:dictionary_bytes] for x in languages)
     priors = {r.lang: -math.log2(r.n / total) for r in counts}

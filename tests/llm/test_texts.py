@@ -385,3 +385,36 @@ def test_one_of_each_group_with_clashing_names_and_repeated_ids(spark, monkeypat
 def test_no_texts_are_shuffled_where_few_go(spark, documents):
     plan = simhash.keep_one_of_each(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan.replace("BroadcastExchange", "")
+
+
+def test_long_windows_merge_like_short_ones(monkeypatch):
+    """A heap with linked neighbours against a search of all pairs, on words, repeats and random letters of several lengths."""
+    tok, rng = bpe.Tokenizer(queries.vocabulary()), random.Random(9)
+    pieces = ["a" * 700, "ab" * 500, "the" * 300, "internationalisation" * 40] + ["".join(rng.choice("abcdeinorst") for _ in range(rng.randint(1, 900))) for _ in range(60)]
+    for piece in pieces:
+        symbols = tok.symbols(piece)
+        monkeypatch.setattr(bpe, "SHORT", 0)
+        got = tok.merges.merged(symbols)
+        monkeypatch.setattr(bpe, "SHORT", 1 << 30)
+        assert got == tok.merges.merged(symbols)
+
+
+def test_a_piece_of_a_million_letters_takes_constant_memory():
+    """The ids equal the library's, come in parts, and hold no list of all symbols."""
+    import tracemalloc
+
+    from tokenizers import Tokenizer
+
+    tok, rng = bpe.Tokenizer(queries.vocabulary()), random.Random(10)
+    piece = "".join(rng.choice("abcdeinorst") for _ in range(150_000))
+    assert b"".join(tok.id_chunks(piece)) == np.array(Tokenizer.from_file(queries.vocabulary()).encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+    data = "".join(rng.choice("etaoin") for _ in range(300_000))
+    tracemalloc.start()
+    peaks = []
+    for n in (100_000, 300_000):
+        tracemalloc.reset_peak()
+        start = tracemalloc.get_traced_memory()[0]
+        assert sum(len(x) for x in tok.piece_parts(data[:n])) % 4 == 0
+        peaks.append(tracemalloc.get_traced_memory()[1] - start)
+    tracemalloc.stop()
+    assert peaks[1] < peaks[0] + 2 * 300_000  # the bytes of the piece itself, and no multiple of them
