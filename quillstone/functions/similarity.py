@@ -759,12 +759,36 @@ def similarity_cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.agg(F.count_distinct(F.shiftrightunsigned("h", 4)).alias("buckets"), F.count("*").alias("items"))
 
 
-@R.query("tlsh_baseline")
+def _tlsh_sql() -> str:
+    """(doc_id, distance) of every document from the first one that has a digest: triplets in rows, quartiles and codes in lists."""
+    p = "[" + ", ".join(map(str, _PERMUTATION.tolist())) + "]"
+    at = lambda x: f"t[CAST({x} AS INTEGER) + 1]"
+    pearson = lambda salt, a, b, c: at(f"xor({at(f'xor({at(f'xor({at(salt)}, {a})')}, {b})')}, {c})")
+    triples = "[" + ", ".join(pearson(salt, *(f"w{k}" for k in ks)) for salt, ks in zip((2, 3, 5, 7, 11, 13), ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4), (0, 1, 4), (0, 3, 4)))) + "]"
+    half = lambda a, b: at(f"xor({at(f'xor({at(0)}, {a})')}, {b})")
+    turn = lambda a, b, n: f"least(abs({a} - {b}), {n} - abs({a} - {b}))"
+    return f"""WITH p AS (SELECT {p} AS t), x AS (SELECT doc_id AS id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda v: CAST('0x' || v AS INTEGER)) AS d FROM documents WHERE octet_length(encode(text)) >= {_LEAST_BYTES}),
+y AS (SELECT id, unnest(d) AS w0, generate_subscripts(d, 1) AS i FROM x), w AS (SELECT id, w0, lag(w0, 1) OVER o AS w1, lag(w0, 2) OVER o AS w2, lag(w0, 3) OVER o AS w3, lag(w0, 4) OVER o AS w4 FROM y WINDOW o AS (PARTITION BY id ORDER BY i)),
+c AS (SELECT id, k, count(*) AS n FROM (SELECT id, unnest({triples}) AS k FROM w, p WHERE w4 IS NOT NULL) GROUP BY 1, 2),
+u AS (SELECT id, list(coalesce(n, 0) ORDER BY k) AS u FROM (SELECT x.id, r.k FROM x, range({_BUCKETS}) r(k)) LEFT JOIN c USING (id, k) GROUP BY 1),
+q AS (SELECT id, u, list_sort(u) AS s FROM u WHERE len(list_filter(u, lambda v: v > 0)) > {_BUCKETS // 2}),
+g AS (SELECT id, len(d) AS size, list_reduce(list_prepend(0, list_transform(range(4, len(d)), lambda i: {half('d[i + 1]', 'd[i]')})), lambda a, v: {at('xor(v, a)')}) AS chk,
+ list_transform(u, lambda v: (v > s[{_BUCKETS // 4}])::INT + (v > s[{_BUCKETS // 2}])::INT + (v > s[{3 * _BUCKETS // 4}])::INT) AS codes, s[{_BUCKETS // 4}] * 100 // greatest(s[{3 * _BUCKETS // 4}], 1) % 16 AS r1, s[{_BUCKETS // 2}] * 100 // greatest(s[{3 * _BUCKETS // 4}], 1) % 16 AS r2 FROM q JOIN x USING (id), p),
+h AS (SELECT * REPLACE (CAST(CASE WHEN size <= 656 THEN trunc(ln(size) / ln(1.5)) WHEN size <= 3199 THEN trunc(ln(size) / ln(1.3) - 8.72777) ELSE trunc(ln(size) / ln(1.1) - 62.5472) END AS INTEGER) % 256 AS size) FROM g),
+z AS (SELECT * FROM h ORDER BY id LIMIT 1),
+e AS (SELECT h.id, (h.chk <> z.chk)::INT + CASE WHEN {turn('h.size', 'z.size', 256)} <= 1 THEN {turn('h.size', 'z.size', 256)} ELSE 12 * {turn('h.size', 'z.size', 256)} END
+ + CASE WHEN {turn('h.r1', 'z.r1', 16)} <= 1 THEN {turn('h.r1', 'z.r1', 16)} ELSE 12 * ({turn('h.r1', 'z.r1', 16)} - 1) END + CASE WHEN {turn('h.r2', 'z.r2', 16)} <= 1 THEN {turn('h.r2', 'z.r2', 16)} ELSE 12 * ({turn('h.r2', 'z.r2', 16)} - 1) END
+ + list_sum(list_transform(list_zip(h.codes, z.codes), lambda v: CASE abs(v[1] - v[2]) WHEN 3 THEN 6 ELSE abs(v[1] - v[2]) END)) AS d FROM h, z)
+SELECT doc_id, CAST(d AS BIGINT) AS distance, greatest(0.0, (1 - d / 300.0::DOUBLE) * 100.0::DOUBLE) AS similarity,
+ CASE WHEN d <= 0 THEN 'identical' WHEN d <= 10 THEN 'nearly_same' WHEN d <= 30 THEN 'very_similar' WHEN d <= 100 THEN 'similar' WHEN d <= 200 THEN 'somewhat_similar' WHEN d > 200 THEN 'different' END AS level FROM documents LEFT JOIN e ON e.id = doc_id"""
+
+
+@R.query("tlsh_baseline", _tlsh_sql())
 def tlsh_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's distance, similarity and level against the first document that has a digest."""
     d = docs(spark, sf_dir).select("doc_id", tlsh_digest(F.col("text")).alias("digest"))
     d = settled(d)
-    baseline = d.where(F.col("digest").isNotNull()).agg(F.min_by("digest", "doc_id")).first()[0]  # one value
+    baseline = d.where(F.col("digest").isNotNull()).agg(F.min_by("digest", "doc_id")).first()[0]  # one digest of 35 bytes
     out = d.withColumn("distance", tlsh_distance_to(F.col("digest"), bytes(baseline) if baseline else None))
     return out.select("doc_id", "distance", tlsh_similarity(F.col("distance")).alias("similarity"), F.when(F.col("distance").isNotNull(), tlsh_level(F.col("distance"))).alias("level"))
 

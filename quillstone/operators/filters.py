@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import line_count, word_count
 from ..registry import Registry
+from ..shared import gathered
 from ..views import RESPONSES_SQL, docs, pages, responses, table
 
 R = Registry()
@@ -289,13 +290,12 @@ def status_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def params_times_payloads(urls: DataFrame, payloads: DataFrame, id_col: str, url_col: str) -> DataFrame:
     """(id, param, payload) for each parameter of each url and each row of a caller's list.
 
-    The list is a dimension whose size the caller states; it is gathered once, as a scalar subquery, so that no
-    nested-loop join is planned.
+    The list is a dimension, of checked size, and gathered once, as a scalar subquery, so that no nested-loop join is planned.
     """
     query = F.regexp_extract(url_col, r"\?([^#]*)", 1)
     named = urls.select(id_col, F.explode(F.filter(F.split(query, "&"), lambda x: x != "")).alias("pair"))
     params = named.select(id_col, F.split("pair", "=", 2)[0].alias("param"))
-    listed = payloads.agg(F.sort_array(F.collect_list("payload"))).scalar()
+    listed = gathered(payloads.where("payload is not null"), "payload")
     return params.withColumn("payloads", listed).select(id_col, "param", F.explode("payloads").alias("payload"))
 
 

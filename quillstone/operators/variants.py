@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import inferred_type
 from ..registry import Registry
+from ..shared import gathered
 from ..views import table
 
 R = Registry()
@@ -206,7 +207,7 @@ def json_fields(values: DataFrame, json_col: str, words: DataFrame) -> DataFrame
     """(json, key, variant): flat JSON objects with each field in turn replaced by each word of the caller's list."""
     fields = values.select(json_col, F.from_json(json_col, "map<string,string>").alias("m")).where(F.col("m").isNotNull())
     one = fields.select(json_col, "m", F.explode(F.map_keys("m")).alias("key"))
-    listed = words.agg(F.sort_array(F.collect_set("word"))).scalar()
+    listed = gathered(words.where("word is not null").distinct(), "word")
     each = one.withColumn("w", listed).select(json_col, "m", "key", F.explode("w").alias("w"))
     return each.select(json_col, "key", F.to_json(F.transform_values("m", lambda k, x: F.when(k == F.col("key"), F.col("w")).otherwise(x))).alias("variant"))
 
@@ -269,7 +270,7 @@ def integer_variants(values: DataFrame, value_col: str, reach: int = 35) -> Data
 
 def dictionary_variants(values: DataFrame, value_col: str, words: DataFrame) -> DataFrame:
     """(value, mode, variant): each entry of the caller's list in place of the value, behind and before it; the list is gathered once."""
-    listed = words.agg(F.sort_array(F.collect_list("word"))).scalar()
+    listed = gathered(words.where("word is not null"), "word")
     one = values.withColumn("__words", listed).select(value_col, F.explode("__words").alias("w"))
     v = F.col(value_col)
     forms = F.array(F.struct(F.lit("replace").alias("mode"), F.col("w").alias("x")), F.struct(F.lit("append").alias("mode"), F.concat(v, "w").alias("x")), F.struct(F.lit("prepend").alias("mode"), F.concat("w", v).alias("x")))

@@ -32,6 +32,20 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Values of a caller's list that are gathered at most.
+MOST_LISTED = 100_000
+
+
+def gathered(rows: DataFrame, column: str, most: int = MOST_LISTED) -> Column:
+    """All values of a caller's list as one sorted array, a scalar subquery; the query fails where there are more than `most`.
+
+    No more than one value beyond the bound is ever brought together.
+    """
+    listed = rows.select(F.col(column).alias("x")).limit(most + 1)
+    whole = F.sort_array(F.collect_list("x"))
+    return listed.agg(F.when(F.count(F.lit(1)) > most, F.raise_error(F.lit(f"the list {column!r} has more than {most} values")).cast("array<string>")).otherwise(whole.cast("array<string>"))).scalar()
+
+
 #: Bytes of a table that is dealt to all cores before costly work on its rows.
 SMALL = 16 << 20
 

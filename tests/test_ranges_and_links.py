@@ -83,6 +83,14 @@ def test_chunks_are_found_by_halving(spark):
     assert spark.range(1).select(shared.chunk_of(F.col("id"), [])).first()[0] == 0
 
 
+def test_lists_of_callers_are_checked(spark):
+    rows = spark.range(50).select(F.col("id").cast("string").alias("w"))
+    assert spark.range(1).select(shared.gathered(rows, "w", 50)).first()[0] == sorted(str(k) for k in range(50))
+    assert spark.range(1).select(shared.gathered(rows.limit(0), "w")).first()[0] == []
+    with pytest.raises(Exception, match="more than 49 values"):
+        spark.range(1).select(shared.gathered(rows, "w", 49)).collect()
+
+
 def test_history_is_the_end_of_the_running_total(spark):
     hits = spark.range(5_000).select((F.col("id") % 1_700).alias("exec_id"), F.pmod(F.xxhash64("id"), F.lit(900)).alias("edge"))
     w = Window.orderBy("exec_id")
