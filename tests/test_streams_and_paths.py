@@ -162,3 +162,34 @@ BODY = r"""{"a": {"b c": [1, 2.5, "x", null, true, {"d": []}]}, "q": "it's \"quo
 def test_paths(spark, path, wanted):
     got = spark.createDataFrame([(BODY,), ("no json",), (None,), ("",)], "body string").select(paths.json_value(F.col("body"), path)).collect()
     assert [r[0] for r in got] == [wanted, None, None, None]
+
+
+def test_placed_rewrites_against_bytes(spark):
+    """Every rewrite from its definition, on values with all byte values, short ones, integers, null and nothing."""
+    from quillstone.operators import placed, variants
+
+    values = [(1, bytes(range(0, 256, 17))), (2, b"a"), (3, b"-12"), (4, b""), (5, None), (6, "é€".encode()), (7, b"007")]
+    frame = spark.createDataFrame([(k, bytearray(v) if v is not None else None) for k, v in values], "id long, v binary")
+    got = {(r.id, r.mutator, r["size"], r.delta, r.place): bytes(r.variant) for r in placed.placed_variants(frame, "id", "v", delta=3).collect()}
+    wanted = {}
+    for k, v in values:
+        for at in range(len(v or b"")):
+            for w in placed.WIDTHS:
+                if at + w <= len(v):
+                    wanted[k, "byte_flip", w, 0, at] = variants.flip_bytes(v, at, w)
+                    wanted |= {(k, "add", w, d, at): variants.add_at(v, at, d, 8 * w) for d in (-3, -2, -1, 1, 2, 3)}
+            wanted |= {(k, "swap", w, 0, at): variants.swap_bytes(v, at, w) for w in placed.SWAPS if at + w <= len(v)}
+            wanted |= {(k, "delete", w, 0, at): variants.delete_at(v, at, w) for w in placed.DELETED if at + w <= len(v)}
+        if k in (3, 7):
+            wanted |= {(k, "text_add", 0, d, None): variants.add_to_text(v, d) for d in (-3, -2, -1, 1, 2, 3)}
+    assert {key: x for key, x in got.items() if key[1] not in ("random_byte", "insert", "clone")} == wanted
+    whole = dict(values)
+    for (k, mutator, size, _, at), x in got.items():
+        v = whole[k]
+        if mutator == "random_byte":
+            assert x[:at] == v[:at] and x[at + 1 :] == v[at + 1 :] and len(x) == len(v)
+        elif mutator == "insert":
+            assert x[:at] == v[:at] and x[at + size :] == v[at:]
+        elif mutator == "clone":
+            assert any(x == variants.clone_at(v, at, size, t) for t in range(len(v) + 1))
+    assert sum(key[1] == "random_byte" for key in got) == sum(len(v or b"") for _, v in values)
