@@ -27,7 +27,7 @@ class Place:
     def __init__(self, data: Column, k: Column):
         self.data, self.k, self.n = data, k, F.octet_length(data)
 
-    def fits(self, width: int) -> Column:
+    def fits(self, width: int | Column) -> Column:
         return self.k + width <= self.n
 
     def piece(self, start: Column, size: Column) -> Column:
@@ -62,22 +62,29 @@ def placed_variants(values: DataFrame, id_col: str, data_col: str, seed: int = 0
     data = F.col(data_col).cast("binary")
     rows = values.select(id_col, data.alias("__d")).where(F.octet_length("__d") > 0)
     rows = rows.select(id_col, "__d", F.explode(F.sequence(F.lit(0), F.octet_length("__d") - 1)).alias("place"))
-    p, none = Place(F.col("__d"), F.col("place")), F.lit(None).cast("binary")
-    made: list[tuple[str, int, int, Column]] = []
+    deltas = [d for d in range(-delta, delta + 1) if d]
+    kinds = [("byte_flip", w, 0) for w in WIDTHS] + [("add", w, d) for w in WIDTHS for d in deltas] + [("swap", w, 0) for w in SWAPS] + [("random_byte", 1, 0)]
+    kinds += [(m, w, 0) for m, sizes in (("delete", DELETED), ("insert", INSERTED), ("clone", CLONED)) for w in sizes]
+    listed = F.array(*[F.struct(F.lit(m).alias("mutator"), F.lit(w).alias("size"), F.lit(d).alias("delta")) for m, w, d in kinds])
+    rows = rows.withColumn("__kind", F.explode(listed)).select(id_col, "place", "__d", "__kind.*")
+    p = Place(F.col("__d"), F.col("place"))
+    fits = (F.col("mutator") == "insert") | p.fits(F.col("size"))
+    made: list[tuple[str, int, Column]] = []
     for width in WIDTHS:
-        made.append(("byte_flip", width, 0, F.when(p.fits(width), p.put(width, F.lit((1 << 8 * width) - 1) - p.number(width))).otherwise(none)))
-        made += [("add", width, d, F.when(p.fits(width), p.put(width, p.number(width) + d)).otherwise(none)) for d in range(-delta, delta + 1) if d]
+        made.append(("byte_flip", width, p.put(width, F.lit((1 << 8 * width) - 1) - p.number(width))))
+        made.append(("add", width, p.put(width, p.number(width) + F.col("delta"))))
     for size in SWAPS:
-        swapped = F.concat(*[p.piece(p.k + j, F.lit(1)) for j in reversed(range(size))])
-        made.append(("swap", size, 0, F.when(p.fits(size), p.replaced(size, swapped)).otherwise(none)))
-    made.append(("random_byte", 1, 0, p.replaced(1, F.unhex(F.substring(_drawn(seed, id_col, p.k, "byte"), 1, 2)))))
-    made += [("delete", size, 0, F.when(p.fits(size), p.replaced(size, F.unhex(F.lit("")))).otherwise(none)) for size in DELETED]
-    made += [("insert", size, 0, p.replaced(0, F.unhex(F.substring(_drawn(seed, id_col, p.k, "insert"), 1, 2 * size)))) for size in INSERTED]
+        made.append(("swap", size, p.replaced(size, F.concat(*[p.piece(p.k + j, F.lit(1)) for j in reversed(range(size))]))))
+    made.append(("random_byte", 1, p.replaced(1, F.unhex(F.substring(_drawn(seed, id_col, p.k, "byte"), 1, 2)))))
+    made += [("delete", size, p.replaced(size, F.unhex(F.lit("")))) for size in DELETED]
+    made += [("insert", size, p.replaced(0, F.unhex(F.substring(_drawn(seed, id_col, p.k, "insert"), 1, 2 * size)))) for size in INSERTED]
     to = F.pmod(F.conv(F.substring(_drawn(seed, id_col, p.k, "clone"), 1, 8), 16, 10).cast("long"), (p.n + 1).cast("long")).cast("int")
-    made += [("clone", size, 0, F.when(p.fits(size), F.concat(p.piece(F.lit(0), to), p.own(size), p.piece(to, p.n))).otherwise(none)) for size in CLONED]
-    forms = F.array(*[F.struct(F.lit(m).alias("mutator"), F.lit(s).alias("size"), F.lit(d).alias("delta"), v.alias("variant")) for m, s, d, v in made])
-    bytewise = rows.select(id_col, "place", F.explode(F.filter(forms, lambda f: f["variant"].isNotNull())).alias("f")).select(id_col, "f.mutator", "f.size", "f.delta", "place", "f.variant")
-    return bytewise.unionByName(text_added(values, id_col, data_col, [d for d in range(-delta, delta + 1) if d]))
+    made += [("clone", size, F.concat(p.piece(F.lit(0), to), p.own(size), p.piece(to, p.n))) for size in CLONED]
+    variant = F.lit(None).cast("binary")
+    for mutator, size, form in made:
+        variant = F.when((F.col("mutator") == mutator) & (F.col("size") == size), form).otherwise(variant)
+    bytewise = rows.where(fits).select(id_col, "mutator", "size", "delta", "place", variant.alias("variant"))
+    return bytewise.unionByName(text_added(values, id_col, data_col, deltas))
 
 
 def text_added(values: DataFrame, id_col: str, data_col: str, deltas: Iterable[int]) -> DataFrame:
