@@ -70,30 +70,28 @@ def cache_delete(keys: DataFrame, path: str, moment: Column) -> None:
     cache_store(marked, path)
 
 
-def cache_newest(spark: SparkSession, path: str) -> DataFrame:
-    """The last thing written for each key, tombstones included: the newest by `created`, and of equal ones a tombstone.
-
-    One aggregate that combines before the shuffle. Parts with and without tombstones are read under one schema.
-    """
+def cache_read(spark: SparkSession, path: str) -> DataFrame:
+    """Everything that was written, with `deleted`: parts with and without tombstones have one schema."""
     rows = spark.read.option("mergeSchema", True).parquet(path)
-    if "deleted" not in rows.columns:
-        rows = rows.withColumn("deleted", F.lit(False))
-    rows = rows.withColumn("deleted", F.coalesce("deleted", F.lit(False)))
-    rest = [c for c in rows.columns if c not in ("key", "created", "deleted")]
-    return rows.groupBy("key").agg(F.max(F.struct("created", "deleted", *rest)).alias("r")).select("key", "r.*")
+    return rows.withColumn("deleted", F.coalesce("deleted", F.lit(False)) if "deleted" in rows.columns else F.lit(False))
 
 
 def cache_live(spark: SparkSession, path: str, moment: Column, versions: bool = False) -> DataFrame:
-    """What a read at `moment` finds: each key's newest entry, unless that has expired or was deleted; older ones are overwritten.
+    """What a read at `moment` finds: each key's newest entry by `created`, unless that has expired or was deleted; older ones are overwritten.
 
-    With `versions` a store keeps what was overwritten, and an older entry that has not expired stands in for a newer one that has.
+    Of entries of one time a tombstone decides. With `versions` a store keeps what was overwritten, and an older entry that has
+    not expired, if it is newer than the key's last tombstone, stands in for a newer one that has. One aggregate that
+    combines before the shuffle.
     """
+    rows = cache_read(spark, path)
     alive = F.col("expires").isNull() | (F.col("expires") >= moment)
+    rest = [c for c in rows.columns if c not in ("key", "created", "deleted")]
     if not versions:
-        return cache_newest(spark, path).where(~F.col("deleted") & alive).drop("deleted")
-    rows = spark.read.parquet(path).where(alive)
-    rest = [c for c in rows.columns if c not in ("key", "created")]
-    return rows.groupBy("key").agg(F.max(F.struct("created", *rest)).alias("r")).select("key", "r.*")
+        newest = rows.groupBy("key").agg(F.max(F.struct("created", "deleted", *rest)).alias("r")).select("key", "r.*")
+        return newest.where(~F.col("deleted") & alive).drop("deleted")
+    last = F.max(F.when(~F.col("deleted") & alive, F.struct("created", *rest))).alias("r")
+    found = rows.groupBy("key").agg(last, F.max(F.when(F.col("deleted"), F.col("created"))).alias("gone"))
+    return found.where(F.col("r").isNotNull() & (F.col("gone").isNull() | (F.col("r.created") > F.col("gone")))).select("key", "r.*")
 
 
 def cache_compact(spark: SparkSession, path: str, target: str, moment: Column, capacity: int | None = None) -> None:

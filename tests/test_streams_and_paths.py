@@ -123,7 +123,7 @@ def test_overwritten_deleted_and_expired_entries(spark, tmp_path):
     stores.cache_store(spark.createDataFrame([("d", 6, None, 7, "written again")], schema), path)
     live = {r.key: r.value for r in stores.cache_live(spark, path, moment).collect()}
     assert live == {"b": "live", "d": "written again", "e": None}
-    assert {r.key: r.value for r in stores.cache_live(spark, path, moment, versions=True).collect()}["a"] == "old"
+    assert {r.key: r.value for r in stores.cache_live(spark, path, moment, versions=True).collect()} == {"a": "old", "b": "live", "d": "written again", "e": None}
     stores.cache_compact(spark, path, f"{path}-next", moment, capacity=12)
     assert {r.key for r in spark.read.parquet(f"{path}-next").collect()} == {"e", "d"}
     with pytest.raises(Exception, match="(?i)exist"):
