@@ -25,10 +25,11 @@ from ..views import table
 
 R = Registry()
 
-#: The counters of a sample, unsigned 64-bit but for the last two.
-COUNTERS = ("alloc", "total_alloc", "sys", "pause_total_ns", "heap_alloc", "heap_sys", "heap_idle", "heap_inuse", "heap_released", "heap_objects", "stack_inuse", "stack_sys")
-COUNTS = ("num_gc", "num_goroutine")
-SAMPLE = ", ".join([*[f"{c} decimal(20,0)" for c in COUNTERS], *[f"{c} long" for c in COUNTS], "timestamp timestamp"])
+#: The counters of a sample, in its order; all are unsigned numbers of 64 bits but for the narrow ones.
+COUNTERS = ("alloc", "total_alloc", "sys", "num_gc", "pause_total_ns", "heap_alloc", "heap_sys", "heap_idle", "heap_inuse", "heap_released", "heap_objects", "stack_inuse", "stack_sys", "num_goroutine")
+NARROW = ("num_gc", "num_goroutine")
+KINDS = {c: "long" if c in NARROW else "decimal(20,0)" for c in COUNTERS}
+SAMPLE = ", ".join([*[f"{c} {kind}" for c, kind in KINDS.items()], "timestamp timestamp"])
 QUICK = ("alloc", "sys", "num_gc", "num_goroutine", "heap_objects")
 
 
@@ -46,7 +47,7 @@ class SampleFile(InputPartition):
 
     def read(self) -> Iterator[pa.RecordBatch]:
         fs = pyarrow.fs.FileSystem.from_uri(self.folder)[0] if "://" in self.folder or self.folder.startswith("file:") else pyarrow.fs.LocalFileSystem()
-        kinds = pa.schema([*[(c, pa.decimal128(20, 0)) for c in COUNTERS], *[(c, pa.int64()) for c in COUNTS], ("timestamp", pa.timestamp("us", "UTC"))])
+        kinds = pa.schema([*[(c, pa.int64() if c in NARROW else pa.decimal128(20, 0)) for c in COUNTERS], ("timestamp", pa.timestamp("us", "UTC"))])
         with fs.open_input_file(self.path) as opened:
             for batch in pq.ParquetFile(opened).iter_batches(8_192):
                 held = {f.name: batch.column(f.name).cast(f.type) if f.name in batch.schema.names else pa.nulls(batch.num_rows, f.type) for f in kinds}
@@ -113,14 +114,14 @@ def quick_stats(samples: DataFrame) -> DataFrame:
 # --- Queries ----------------------------------------------------------------------------------------------------
 
 #: What each counter is made of in the recorded samples, in Spark and in DuckDB alike.
-_MADE = {c: f"event_id * {k + 1} + user_id" for k, c in enumerate(COUNTERS)} | {"num_gc": "event_id % 50", "num_goroutine": "user_id % 7 + 1"}
+_MADE = {c: f"event_id * {k + 1} + user_id" for k, c in enumerate(COUNTERS)} | {"num_gc": "event_id % 50", "num_goroutine": "user_id % 7 + 1"}  # in the order of the counters
 _SAMPLES_SQL = "SELECT " + ", ".join(f"CAST({made} AS BIGINT) AS {c}" for c, made in _MADE.items()) + ", ts AS sampled FROM events"
 
 
 def _recorded(spark: SparkSession, sf_dir: str) -> str:
     """Samples of every event, as files in order of time; their folder."""
     folder = f"{shared_folder(spark)}/samples-{uuid.uuid4().hex}"
-    rows = table(spark, sf_dir, "events").select(*[F.expr(f"cast({made} as decimal(20,0))" if c in COUNTERS else f"cast({made} as bigint)").alias(c) for c, made in _MADE.items()], F.col("ts").cast("timestamp").alias("timestamp"))
+    rows = table(spark, sf_dir, "events").select(*[F.expr(f"cast({made} as {KINDS[c]})").alias(c) for c, made in _MADE.items()], F.col("ts").cast("timestamp").alias("timestamp"))
     rows.repartitionByRange(5, "timestamp").write.parquet(f"{folder}/in")
     return folder
 

@@ -92,10 +92,10 @@ def test_expired_entries_stay_until_a_sweep():
 
 def test_samples_as_batch_and_stream(spark, tmp_path):
     samples.register(spark)
-    made = spark.range(100).select(*[(F.col("id") * 3).cast("decimal(20,0)").alias(c) for c in samples.COUNTERS if c != "stack_sys"], *[F.col("id").alias(c) for c in samples.COUNTS], F.timestamp_seconds("id").alias("timestamp"), F.lit("x").alias("other"))
+    made = spark.range(100).select(*[(F.col("id") * (1 if c in samples.NARROW else 3)).cast(kind).alias(c) for c, kind in samples.KINDS.items() if c != "stack_sys"], F.timestamp_seconds("id").alias("timestamp"), F.lit("x").alias("other"))
     made.repartitionByRange(4, "timestamp").write.parquet(f"{tmp_path}/in")
     batch = spark.read.format("memory_samples").load(f"{tmp_path}/in")
-    assert batch.columns == [*samples.COUNTERS, *samples.COUNTS, "timestamp"] and batch.rdd.getNumPartitions() == 4
+    assert batch.columns == [*samples.COUNTERS, "timestamp"] and batch.rdd.getNumPartitions() == 4
     assert batch.count() == 100 and batch.where("stack_sys is not null").count() == 0 and batch.agg(F.sum("alloc")).first()[0] == 14_850
     assert samples.quick_stats(batch).first().num_gc == 99
 
