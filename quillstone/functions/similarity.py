@@ -701,12 +701,12 @@ def page_structure_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_links(rows, 3).select("page_id", "h", "same", "links")
 
 
-@R.query("document_links", _text_simhash_sql("documents", "doc_id", "text") + """, d AS (SELECT h, count(*) AS same FROM simhashes GROUP BY 1), l AS (SELECT x.h, any_value(x.same) AS same, sum(y.same) - 1 AS links FROM d x JOIN d y ON bit_count(xor(x.h, y.h)) <= 16 GROUP BY 1)
+@R.query("document_links", _text_simhash_sql("documents", "doc_id", "text") + """, d AS (SELECT h, count(*) AS same FROM simhashes GROUP BY 1), l AS (SELECT x.h, any_value(x.same) AS same, sum(y.same) - 1 AS links FROM d x JOIN d y ON bit_count(xor(x.h, y.h)) <= 6 GROUP BY 1)
 SELECT id AS doc_id, h, same, CAST(links AS BIGINT) AS links FROM simhashes JOIN l USING (h)""")
 def document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with the number of others whose texts' hashes are at most a quarter of all bits away."""
+    """Each document with the number of others whose texts' hashes are at most six bits away: the most for which masks stay selective."""
     rows = docs(spark, sf_dir).where("text is not null").select("doc_id", simhash_text(F.col("text")).alias("h"))
-    return hamming_links(rows, 16).select("doc_id", "h", "same", "links")
+    return hamming_links(rows, 6).select("doc_id", "h", "same", "links")
 
 
 _LSH_SQL = f"""{_minhash_sql("documents", "doc_id", "text", "d", BANDS * ROWS)}, {_minhash_sql("benchmark", "item_id", "text", "p", BANDS * ROWS)},
