@@ -719,7 +719,7 @@ def lsh_class_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which classes of documents the classes of benchmark items meet, with the numbers of their members."""
     index = docs(spark, sf_dir).select("doc_id", minhash_signature(F.col("text"), BANDS * ROWS).alias("sig"))
     probes = table(spark, sf_dir, "benchmark").select("item_id", minhash_signature(F.col("text"), BANDS * ROWS).alias("sig"))
-    return lsh_links(lsh_classes(probes, "item_id"), lsh_classes(index, "doc_id"))
+    return lsh_links(lsh_classes(settled(probes), "item_id"), lsh_classes(settled(index), "doc_id"))
 
 
 @R.query("lsh_document_links", f"WITH {_LSH_SQL}, l AS (SELECT cls, sum(n) - 1 AS links FROM (SELECT DISTINCT x.cls, y.cls AS o, y.n FROM db x JOIN db y USING (k, band)) GROUP BY 1) SELECT d.id AS doc_id, dc.cls, n AS same, CAST(links AS BIGINT) AS links FROM d JOIN dc USING (sig) JOIN l USING (cls)")
