@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import let
 from ..registry import Registry
-from ..shared import spread
+from ..shared import dealt
 from ..views import table
 
 R = Registry()
@@ -235,7 +235,9 @@ def compiled(v: Column, steps: tuple[Step, ...]) -> Column:
 
 def value_at(document: Column, path: str) -> Column:
     """The value at a path of a variant as text: strings bare, null empty, anything else as JSON; null where there is none."""
-    shown = lambda v: F.when(F.is_variant_null(v), F.lit("")).when(v.isNotNull(), F.when(_is(v, "STRING"), _text(v)).otherwise(F.to_json(v)))
+    # a type is made for quoted values alone: that of an object or array lists all that is in it
+    bare = lambda v, j: F.when(j.startswith('"') & (F.schema_of_variant(v) == "STRING"), _text(v)).otherwise(j)
+    shown = lambda v: F.when(F.is_variant_null(v), F.lit("")).when(v.isNotNull(), let(F.to_json(v), lambda j: bare(v, j)))
     return let(compiled(document, parse_path(path)), shown)
 
 
@@ -304,9 +306,13 @@ def _paths_sql() -> str:
     return f"WITH e AS ({rows}) " + " UNION ALL ".join(f"SELECT seq, '{p.replace(chr(39), chr(39) * 2)}' AS path, {sql} AS value FROM e" for p, sql in PATHS.items())
 
 
+#: Bytes of events, with some sixty times their size in documents and paths, that one task works through.
+EVENTS_BYTES = 1 << 19
+
+
 def nested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, body): a nested document for each event."""
-    e = spread(table(spark, sf_dir, "events"))
+    e = dealt(table(spark, sf_dir, "events"), EVENTS_BYTES)
     body = F.lit(_DOCUMENT)
     for name, value in (("k", F.get_json_object("props", "$.k")), ("u", F.col("user_id").cast("string")), ("n", (F.col("event_id") % 10).cast("string")), ("t", F.col("event_type"))):
         body = F.replace(body, F.lit(f"%{name}%"), value)

@@ -59,6 +59,14 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else rows
 
 
+def dealt(rows: DataFrame, part: int, key: Column | None = None) -> DataFrame:
+    """rows of a table in tasks of about `part` bytes of it, over all cores at least: for costly work on short rows, of which one split
+    of a file, or one row group, holds many."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // part))
+    return rows.repartition(parts) if key is None else rows.repartition(parts, key)
+
+
 #: Rows that one task may sort, and ranges at most.
 TOGETHER, MOST_RANGES = 1 << 17, 4_096
 

@@ -193,3 +193,14 @@ def test_placed_rewrites_against_bytes(spark):
         elif mutator == "clone":
             assert any(x == variants.clone_at(v, at, size, t) for t in range(len(v) + 1))
     assert sum(key[1] == "random_byte" for key in got) == sum(len(v or b"") for _, v in values)
+
+
+def test_json_documents_are_dealt_by_size_not_by_splits(spark, monkeypatch):
+    """A table larger than what is spread over the cores still has tasks of bounded size, though it is one split."""
+    from quillstone import shared
+    from quillstone.operators import paths
+
+    assert shared.dealt(spark.range(1000), 800).rdd.getNumPartitions() == 10
+    monkeypatch.setattr(paths, "EVENTS_BYTES", 100_000)
+    made = paths.nested_documents(spark, "/root/testdata/sf0.1")
+    assert made.rdd.getNumPartitions() >= 20 and made.count() == 100_000
