@@ -179,7 +179,9 @@ class PoolProcessor(StatefulProcessor):
         held = {k[0]: [list(e) for e in zip(v[0], v[1])] for k, v in self.entries.iterator()} if self.entries.exists() else {}
         pool = Pool(*self.limits, held, self.total.get()[0] if self.total.exists() else 0)
         batch = pd.concat(list(rows)).sort_values(["t", "seq"])
-        out = [pool.step(row) for row in batch.to_dict("records")]
+        for start in range(0, len(batch), STEPS):
+            out = [pool.step(row) for row in batch[start : start + STEPS].to_dict("records")]
+            yield pd.DataFrame(out).assign(pool=key[0])[["pool", "seq", "action", "gone", "total"]]
         for k in pool.touched:
             if k in pool.entries:
                 values, expires = zip(*pool.entries[k])
@@ -187,14 +189,13 @@ class PoolProcessor(StatefulProcessor):
             elif self.entries.containsKey((k,)):
                 self.entries.removeKey((k,))
         self.total.update((pool.total,))
-        yield pd.DataFrame(out).assign(pool=key[0])[["pool", "seq", "action", "gone", "total"]]
 
     def close(self) -> None:
         pass
 
 
 def pool_stream(rows: DataFrame, per_key: int, most: int, ttl_s: float) -> DataFrame:
-    """pool_batch over a stream whose micro-batches come in order."""
+    """pool_batch over a stream whose micro-batches come in order; a task holds a pool's rows of one micro-batch (see written_in_order)."""
     kind = rows.schema["pool"].dataType.simpleString()
     return rows.groupBy("pool").transformWithStateInPandas(PoolProcessor(per_key, most, ttl_s), f"pool {kind}, {ACTIONS}", "append", "none")
 
@@ -217,6 +218,25 @@ def run_to_end(stream: DataFrame, folder: str, out: str = "out") -> None:
     query.awaitTermination()
 
 
+#: Rows of a micro-batch, about, and rows of a pool that are objects at a time.
+BATCH_ROWS, STEPS = 1 << 18, 4_096
+
+
+def written_in_order(rows: DataFrame, order: list[str], folder: str, most: int) -> None:
+    """rows as files of about `most` rows, by ranges of order, for a stream that reads one file at a time.
+
+    A stream takes files by their times of change, which are set in the order of the ranges: tasks end in any order.
+    """
+    rows.repartitionByRange(max(1, -(-rows.count() // most)), *order).write.parquet(folder)
+    sc = rows.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    files = sorted((f for f in store.listStatus(path) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
+    first = max((f.getModificationTime() for f in files), default=0) // 1000 * 1000 - 1000 * len(files)
+    for k, f in enumerate(files):
+        store.setTimes(f.getPath(), first + 1000 * k, -1)
+
+
 SILENCE_S, CLOCK = 6 * 3600, datetime(2024, 3, 1)
 
 
@@ -266,10 +286,10 @@ def capped_pool_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("capped_pool_stream", _POOL_SQL)
 def capped_pool_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same log as a stream of one file, its state a map by key."""
+    """The same log as a stream of files in order of time, its state a map by key."""
     folder, own = f"{shared_folder(spark)}/pools-{uuid.uuid4().hex}", state_session(spark)
     log = pool_log(spark, sf_dir)
-    log.write.parquet(f"{folder}/in")
-    stream = own.readStream.schema(log.schema).parquet(f"{folder}/in")
+    written_in_order(log, ["t", "seq"], f"{folder}/in", BATCH_ROWS)
+    stream = own.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     run_to_end(pool_stream(stream, PER_KEY, MOST, TTL_S), folder)
     return spark.read.parquet(f"{folder}/out")

@@ -204,3 +204,19 @@ def test_json_documents_are_dealt_by_size_not_by_splits(spark, monkeypatch):
     monkeypatch.setattr(paths, "EVENTS_BYTES", 100_000)
     made = paths.nested_documents(spark, "/root/testdata/sf0.1")
     assert made.rdd.getNumPartitions() >= 20 and made.count() == 100_000
+
+
+def test_pool_stream_takes_bounded_batches_in_order(spark, monkeypatch):
+    """A log of many batches gives what the whole log gives, and no micro-batch has all of it."""
+    import glob
+
+    from quillstone.shared import shared_folder
+
+    sf, base = "/root/testdata/sf0.01", shared_folder(spark).removeprefix("file:")
+    before = set(glob.glob(f"{base}/pools-*"))
+    monkeypatch.setattr(timers, "BATCH_ROWS", 2_000)
+    got = sorted(map(tuple, timers.capped_pool_stream(spark, sf).select("pool", "seq", "action", "gone", "total").collect()))
+    assert got == sorted(map(tuple, timers.capped_pool_actions(spark, sf).select("pool", "seq", "action", "gone", "total").collect()))
+    (made,) = set(glob.glob(f"{base}/pools-*")) - before
+    assert len(glob.glob(f"{made}/state/commits/[0-9]*")) >= 5
+    assert max(spark.read.parquet(f).count() for f in glob.glob(f"{made}/in/*.parquet")) < 4_000
