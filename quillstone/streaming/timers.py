@@ -39,21 +39,18 @@ class Liveness(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "t long")
+        self.waiting = handle.getListState("waiting", "t array<long>")  # an array for each batch, not a row for each heartbeat
         self.last = handle.getValueState("last", "t long, online boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = sorted({int(t) for part in rows for t in part["t"]})
-        self.waiting.appendList([(t,) for t in times])
-        due = set(self.handle.listTimers())
-        for t in (times[0], times[-1]):  # the first of them opens the processing, the last one ends it
-            if t not in due:
-                self.handle.registerTimer(t)
+        times = sorted(set().union(*(part["t"].tolist() for part in rows)))
+        self.waiting.appendValue((times,))
+        self.handle.registerTimer(times[0])  # each call is a round trip; what waits behind it gets its timer when this one is due
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        waiting = sorted({t for (t,) in self.waiting.get()}) if self.waiting.exists() else []
+        waiting = sorted({t for (times,) in self.waiting.get() for t in times}) if self.waiting.exists() else []
         last, online = self.last.get() if self.last.exists() else (None, False)
         out = []
         for t in [x for x in waiting if x <= now]:
@@ -67,7 +64,7 @@ class Liveness(StatefulProcessor):
         if online and not (left and left[0] <= last + self.timeout_ms) and last + self.timeout_ms <= now:
             out.append((key[0], last + self.timeout_ms, False))
             online = False
-        self.waiting.put([(t,) for t in left]) if left else self.waiting.clear()
+        self.waiting.put([(left,)]) if left else self.waiting.clear()
         if last is not None:
             self.last.update((last, online))
         due = set(self.handle.listTimers())
