@@ -1,18 +1,18 @@
 """Rewrites of byte strings at every place, as column expressions: flips, big-endian arithmetic, swaps, deletions, insertions, clones.
 
-Each value becomes a row per place, and each row the variants that fit there; nothing is random but what a hash of (seed, id,
+Each place of a value has an array of the variants that fit there; nothing is random but what a hash of (seed, id,
 place) draws, so a task that runs again makes the same rows. Everything is substring, hex and concat on binary columns: no Python.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import Registry
-from ..shared import spread
+from ..shared import dealt
 from ..views import table
 
 R = Registry()
@@ -44,7 +44,12 @@ class Place:
 
     def put(self, width: int, value: Column) -> Column:
         """The number in place, wrapped around."""
-        return self.replaced(width, F.unhex(F.lpad(F.hex(F.pmod(value, F.lit(1 << 8 * width))), 2 * width, "0")))
+        return self.replaced(width, digits(width, value))
+
+
+def digits(width: int, value: Column) -> Column:
+    """A number as width bytes, wrapped around."""
+    return F.unhex(F.lpad(F.hex(F.pmod(value, F.lit(1 << 8 * width))), 2 * width, "0"))
 
 
 def _drawn(seed: int, id_col: str, k: Column, what: str) -> Column:
@@ -52,48 +57,110 @@ def _drawn(seed: int, id_col: str, k: Column, what: str) -> Column:
     return F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(id_col).cast("string"), k.cast("string"), F.lit(what)))
 
 
+#: Rewrites that belong to a place.
+PLACED = ("byte_flip", "add", "swap", "random_byte", "delete", "insert", "clone")
+
+
+def rewrites_at(mutator: str, data: Column, k: Column, id_col: str, seed: int = 0, delta: int = DELTA) -> Column:
+    """A mutator's rewrites of a value that fit at place k: an array of (place, size, delta, variant) in order of size and delta."""
+    p, delta = Place(data, k), max(0, delta)
+
+    def row(size: int, d: Column, variant: Column) -> Column:
+        return F.struct(p.k.alias("place"), F.lit(size).alias("size"), d.cast("int").alias("delta"), variant.alias("variant"))
+
+    def fitting(forms: dict[int, Column]) -> Column:
+        return F.array_compact(F.array(*[F.when(p.fits(size), row(size, F.lit(0), form)) for size, form in forms.items()]))
+
+    def added(width: int) -> Column:
+        # the number in place and what stands before and behind it are bound once for all deltas
+        at = F.struct(p.number(width).alias("own"), p.piece(F.lit(0), p.k).alias("before"), p.piece(p.k + width, p.n).alias("behind"))
+        put = lambda at, x: F.concat(at["before"], digits(width, x), at["behind"])
+        around = lambda at: F.transform(F.sequence(at["own"] - delta, at["own"] + delta), lambda x, j: row(width, j - delta, put(at, x)))
+        return F.filter(F.flatten(F.transform(F.array(at), around)), lambda x: x["delta"] != 0)
+
+    drawn = lambda what: _drawn(seed, id_col, p.k, what)
+    if mutator == "byte_flip":
+        return fitting({w: p.put(w, F.lit((1 << 8 * w) - 1) - p.number(w)) for w in WIDTHS})
+    if mutator == "add":
+        return F.flatten(F.array_compact(F.array(*[F.when(p.fits(w), added(w)) for w in WIDTHS])))
+    if mutator == "swap":
+        return fitting({w: p.replaced(w, F.concat(*[p.piece(p.k + j, F.lit(1)) for j in reversed(range(w))])) for w in SWAPS})
+    if mutator == "random_byte":
+        return fitting({1: p.replaced(1, F.unhex(F.substring(drawn("byte"), 1, 2)))})
+    if mutator == "delete":
+        return fitting({w: p.replaced(w, F.unhex(F.lit(""))) for w in DELETED})
+    if mutator == "insert":
+        return F.array(*[row(w, F.lit(0), p.replaced(0, F.unhex(F.substring(drawn("insert"), 1, 2 * w)))) for w in INSERTED])
+    to = F.pmod(F.conv(F.substring(drawn("clone"), 1, 8), 16, 10).cast("long"), (p.n + 1).cast("long")).cast("int")
+    return fitting({w: F.concat(p.piece(F.lit(0), to), p.own(w), p.piece(to, p.n)) for w in CLONED})
+
+
+def text_rewrites(data: Column, deltas: Iterable[int]) -> Column:
+    """As rewrites_at, without a place: an integer in ASCII, of up to 37 digits, with each delta added; null for other values."""
+    text = data.cast("string")
+    number = F.when(text.rlike(r"^[+-]?[0-9]{1,37}$"), text.cast("decimal(38,0)"))
+
+    def row(d: Column) -> Column:
+        variant = F.encode((number + d).cast("decimal(38,0)").cast("string"), "UTF-8")
+        return F.struct(F.lit(None).cast("int").alias("place"), F.lit(0).alias("size"), d.alias("delta"), variant.alias("variant"))
+
+    return F.when(number.isNotNull(), F.transform(F.array(*map(F.lit, deltas)).cast("array<int>"), row))
+
+
 def placed_variants(values: DataFrame, id_col: str, data_col: str, seed: int = 0, delta: int = DELTA) -> DataFrame:
     """(id, mutator, size, delta, place, variant): every rewrite that fits at every place of every value.
 
     byte_flip, add (delta from -delta to delta without 0) and swap replace size bytes; random_byte replaces one; delete takes
     size bytes away; insert puts drawn ones in; clone copies size bytes from the place to a drawn one. Null and empty values have none
-    of them; text_add, for values that are integers in ASCII, has no place.
+    of them; text_add, for values that are integers in ASCII, has no place. No more than the rewrites of one place are made at a time.
     """
     data = F.col(data_col).cast("binary")
     rows = values.select(id_col, data.alias("__d")).where(F.octet_length("__d") > 0)
-    rows = rows.select(id_col, "__d", F.explode(F.sequence(F.lit(0), F.octet_length("__d") - 1)).alias("place"))
-    deltas = [d for d in range(-delta, delta + 1) if d]
-    kinds = [("byte_flip", w, 0) for w in WIDTHS] + [("add", w, d) for w in WIDTHS for d in deltas] + [("swap", w, 0) for w in SWAPS] + [("random_byte", 1, 0)]
-    kinds += [(m, w, 0) for m, sizes in (("delete", DELETED), ("insert", INSERTED), ("clone", CLONED)) for w in sizes]
-    listed = F.array(*[F.struct(F.lit(m).alias("mutator"), F.lit(w).alias("size"), F.lit(d).alias("delta")) for m, w, d in kinds])
-    rows = rows.withColumn("__kind", F.explode(listed)).select(id_col, "place", "__d", "__kind.*")
-    p = Place(F.col("__d"), F.col("place"))
-    fits = (F.col("mutator") == "insert") | p.fits(F.col("size"))
-    made: list[tuple[str, int, Column]] = []
-    for width in WIDTHS:
-        made.append(("byte_flip", width, p.put(width, F.lit((1 << 8 * width) - 1) - p.number(width))))
-        made.append(("add", width, p.put(width, p.number(width) + F.col("delta"))))
-    for size in SWAPS:
-        made.append(("swap", size, p.replaced(size, F.concat(*[p.piece(p.k + j, F.lit(1)) for j in reversed(range(size))]))))
-    made.append(("random_byte", 1, p.replaced(1, F.unhex(F.substring(_drawn(seed, id_col, p.k, "byte"), 1, 2)))))
-    made += [("delete", size, p.replaced(size, F.unhex(F.lit("")))) for size in DELETED]
-    made += [("insert", size, p.replaced(0, F.unhex(F.substring(_drawn(seed, id_col, p.k, "insert"), 1, 2 * size)))) for size in INSERTED]
-    to = F.pmod(F.conv(F.substring(_drawn(seed, id_col, p.k, "clone"), 1, 8), 16, 10).cast("long"), (p.n + 1).cast("long")).cast("int")
-    made += [("clone", size, F.concat(p.piece(F.lit(0), to), p.own(size), p.piece(to, p.n))) for size in CLONED]
-    variant = F.lit(None).cast("binary")
-    for mutator, size, form in made:
-        variant = F.when((F.col("mutator") == mutator) & (F.col("size") == size), form).otherwise(variant)
-    bytewise = rows.where(fits).select(id_col, "mutator", "size", "delta", "place", variant.alias("variant"))
-    return bytewise.unionByName(text_added(values, id_col, data_col, deltas))
+    rows = rows.select(id_col, "__d", F.explode(F.sequence(F.lit(0), F.octet_length("__d") - 1)).alias("__k"))
+    made = {m: rewrites_at(m, F.col("__d"), F.col("__k"), id_col, seed, delta) for m in PLACED}
+    listed = [F.struct(F.lit(m).alias("mutator"), x.alias("__made")) for m, x in made.items()]
+    rows = rows.select(id_col, F.inline(F.array(*listed)))
+    bytewise = rows.select(id_col, "mutator", F.inline("__made")).select(id_col, "mutator", "size", "delta", "place", "variant")
+    return bytewise.unionByName(text_added(values, id_col, data_col, [d for d in range(-delta, delta + 1) if d]))
 
 
 def text_added(values: DataFrame, id_col: str, data_col: str, deltas: Iterable[int]) -> DataFrame:
     """The values that are integers in ASCII, each with each delta added; numbers of up to 37 digits."""
-    text = F.col(data_col).cast("string")
-    number = F.when(text.rlike(r"^[+-]?[0-9]{1,37}$"), text.cast("decimal(38,0)"))
-    listed = values.select(id_col, number.alias("__n")).where("__n is not null").select(id_col, "__n", F.explode(F.array(*map(F.lit, deltas))).alias("delta"))
-    variant = F.encode((F.col("__n") + F.col("delta")).cast("decimal(38,0)").cast("string"), "UTF-8")
-    return listed.select(id_col, F.lit("text_add").alias("mutator"), F.lit(0).alias("size"), "delta", F.lit(None).cast("int").alias("place"), variant.alias("variant"))
+    listed = values.select(id_col, F.lit("text_add").alias("mutator"), F.inline(text_rewrites(F.col(data_col), deltas)))
+    return listed.select(id_col, "mutator", "size", "delta", "place", "variant")
+
+
+#: Bytes of a table whose values one task rewrites: a value of 18 bytes has some 4,000 rewrites.
+PART = 1 << 15
+
+
+def placed_digests(values: DataFrame, id_col: str, data_col: str, seed: int = 0, delta: int = DELTA) -> DataFrame:
+    """(id, mutator, n, digest): how many rewrites the values of an id have, and the MD5 of all, in hex, by place, size and delta.
+
+    Values are shuffled (dealt by the caller, or by id), their rewrites, thousands for each, are not: they are made, listed and
+    digested where the id's values are, one mutator at a time. An id with several values has their rewrites in one order.
+    """
+    values = values.select(id_col, F.col(data_col).cast("binary").alias("__d"))
+    owned = values.where(F.octet_length("__d") > 0).groupBy(id_col).agg(F.collect_list("__d").alias("__own"))
+    deltas = [d for d in range(-delta, delta + 1) if d]
+
+    def placed(mutator: str) -> Callable[[Column], Column]:
+        return lambda v: F.flatten(F.transform(F.sequence(F.lit(0), F.octet_length(v) - 1), lambda k: rewrites_at(mutator, v, k, id_col, seed, delta)))
+
+    def digested(made: Callable[[Column], Column]) -> Column:
+        # each array of one value binds what the next step uses more than once
+        listed = F.transform(F.array(F.flatten(F.array_compact(F.transform("__own", made)))), lambda x: F.when(F.size("__own") > 1, F.sort_array(x)).otherwise(x))
+        digest = lambda x: F.md5(F.array_join(F.transform(x, lambda r: F.hex(r["variant"])), ","))
+        return F.get(F.transform(listed, lambda x: F.struct(F.size(x).cast("long").alias("n"), digest(x).alias("digest"))), F.lit(0))
+
+    kinds = {m: digested(placed(m)) for m in PLACED} | {"text_add": digested(lambda v: text_rewrites(v, deltas))}
+    rows = owned.select(id_col, "__own", F.explode(F.array(*map(F.lit, kinds))).alias("mutator"))
+    made = F.lit(None).cast("struct<n:bigint,digest:string>")
+    for mutator, form in kinds.items():
+        made = F.when(F.col("mutator") == mutator, form).otherwise(made)
+    # the added 0 is formally not deterministic, so that the filter on n is not pushed below, where it would make the lists again
+    made = rows.select(id_col, "mutator", made.alias("__made")).select(id_col, "mutator", (F.col("__made.n") + F.monotonically_increasing_id() % 1).alias("n"), "__made.digest")
+    return made.where("n > 0")
 
 
 def _placed_sql() -> str:
@@ -123,9 +190,7 @@ SELECT id, mutator, count(*) AS n, md5(string_agg(v, ',' ORDER BY k, size, delta
 @R.query("placed_rewrites", _placed_sql())
 def placed_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rewrites of suppliers' names and of numbers, counted and digested by value and mutator."""
-    s = spread(table(spark, sf_dir, "supplier"))
+    s = table(spark, sf_dir, "supplier")
     key = F.col("s_suppkey").cast("long")
     values = s.select(key.alias("id"), F.col("s_name").alias("v")).unionByName(s.select((key + 1_000_000).alias("id"), (key * 7919).cast("string").alias("v")))
-    made = placed_variants(values, "id", "v")
-    listed = F.array_sort(F.collect_list(F.struct(F.coalesce("place", F.lit(0)).alias("p"), "size", "delta", F.hex("variant").alias("v"))))
-    return made.groupBy("id", "mutator").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(listed, lambda x: x["v"]), ",")).alias("digest"))
+    return placed_digests(dealt(values, PART, F.col("id")), "id", "v")

@@ -220,3 +220,24 @@ def test_pool_stream_takes_bounded_batches_in_order(spark, monkeypatch):
     (made,) = set(glob.glob(f"{base}/pools-*")) - before
     assert len(glob.glob(f"{made}/state/commits/[0-9]*")) >= 5
     assert max(spark.read.parquet(f).count() for f in glob.glob(f"{made}/in/*.parquet")) < 4_000
+
+
+def test_placed_digests_make_rewrites_where_the_values_are(spark):
+    """No rewrite is shuffled, and the digests are those of the listed rewrites, also where an id has several values or is null."""
+    import hashlib
+    from collections import defaultdict
+
+    from quillstone.operators import placed
+
+    values = [(1, b"Supplier"), (1, b"Supp"), (1, b"12"), (2, b""), (3, None), (4, b"-7"), (4, None), (None, b"ab"), (None, b"c"), (5, "é,".encode())]
+    frame = spark.createDataFrame([(k, bytearray(v) if v is not None else None) for k, v in values], "id long, v binary")
+    wanted = defaultdict(list)
+    for r in placed.placed_variants(frame, "id", "v", delta=3).collect():
+        wanted[r.id, r.mutator].append((r.place or 0, r["size"], r.delta, bytes(r.variant).hex().upper()))
+    made = placed.placed_digests(frame, "id", "v", delta=3)
+    assert made.columns == ["id", "mutator", "n", "digest"]
+    got = [((r.id, r.mutator), (r.n, r.digest)) for r in made.collect()]
+    assert len(got) == len(wanted) and dict(got) == {k: (len(x), hashlib.md5(",".join(v for *_, v in sorted(x)).encode()).hexdigest()) for k, x in wanted.items()}
+    plan = placed.placed_rewrites(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" in plan.split("Exchange")[0] and "Generate" not in plan.split("Exchange")[1]
+    assert placed.placed_variants(frame, "id", "v", delta=0).where("mutator in ('add', 'text_add')").count() == 0
