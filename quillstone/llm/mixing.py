@@ -164,7 +164,8 @@ def unwanted(posterior: Column, targets: dict[str, float], model: Classifier) ->
     """Whether a document belongs to domains of weight 0; None where there is no such domain.
 
     It does if that is more likely than not, or if its words hold all the evidence that counts (MOST_EVIDENCE), which
-    a scarce domain's prior would outweigh.
+    a scarce domain's prior would outweigh. With rates of at most 1 the first rule is the exact fit to all wanted and no
+    unwanted tokens: |S - T| is then linear in every rate, so that no steps bring the totals nearer.
     """
     out = [d for d, w in enumerate(shares(targets, model.domains)) if not w]
     if not out:

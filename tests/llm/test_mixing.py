@@ -40,6 +40,28 @@ def test_targets_are_reached_or_their_miss_is_proven(spark, sf):
                 assert gap > 0.9 * fitted.missed, (sf, targets, most, fitted.missed, gap)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_no_rates_bring_the_pipeline_nearer_to_its_targets(spark, sf):
+    """All clean tokens and no toxic ones: the rates reach the least |S - T| there is; a descent of |S - T|**2 drops the same documents, or thins all where nothing tells them apart."""
+    import corpus_pipeline as C
+
+    docs, labels = tables(spark, sf)
+    rows = mixing.mix(docs, labels, C.TARGETS, most=1.0)[0].select("__tokens", "__p", "__rate").collect()
+    t, p, r = (np.array(x, float) for x in zip(*rows))
+    wanted = np.array([(t * p[:, 0]).sum(), 0.0])
+    totals = lambda rates: (p * (t * rates)[:, None]).sum(axis=0)
+    gap = lambda rates: np.abs(totals(rates) - wanted).sum()
+    assert gap(r) == pytest.approx((t * p.min(axis=1)).sum(), rel=1e-9)
+    inverse, other = np.linalg.pinv((p * t[:, None]).T @ p), np.ones(len(t))
+    for _ in range(1_000):
+        other = np.clip(other - p @ (inverse @ (totals(other) - wanted)), 0, 1)
+    assert gap(r) <= gap(other) * (1 + 1e-9)
+    if len(np.unique(p.round(12), axis=0)) == 1:
+        assert (r == 1).all() and (other < 0.99).all()
+    else:
+        assert ((other < 0.5) == (r == 0)).all() and (r == 0).any()
+
+
 def test_strict_mixes_raise(spark):
     docs, labels = tables(spark, "sf0.001")
     with pytest.raises(mixing.InfeasibleMix):
