@@ -7,11 +7,14 @@ for it and leave the caller's settings alone.
 
 from __future__ import annotations
 
+import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -107,14 +110,22 @@ class Pool:
 
     A put of a full pool sweeps first and is refused if that made no room. A value that its key holds unexpired is refreshed. Beyond
     the limit per key the oldest entry goes; the total counts puts less what sweeps and removals took, as in the reference,
-    so that a replaced entry still counts.
+    so that a replaced entry still counts. No entry expires before `soonest`, so that a full pool looks through its entries only
+    where one of them can go, not at each refused put.
     """
 
     def __init__(self, per_key: int, most: int, ttl_s: float, entries: dict[str, list[list]] | None = None, total: int = 0):
         self.per_key, self.most, self.ttl_s = per_key, most, ttl_s
         self.entries, self.total, self.touched = entries or {}, total, set()
+        self.soonest = self._soonest()
+
+    def _soonest(self) -> float:
+        times = [e[1] for held in self.entries.values() for e in held]
+        return -math.inf if any(math.isnan(x) for x in times) else min(times, default=math.inf)
 
     def sweep(self, now: float) -> int:
+        if self.soonest >= now:
+            return 0
         gone = 0
         for key in list(self.entries):
             kept = [e for e in self.entries[key] if e[1] >= now]
@@ -126,6 +137,7 @@ class Pool:
                 else:
                     del self.entries[key]
         self.total -= gone
+        self.soonest = self._soonest()
         return gone
 
     def put(self, key: str, value: str, now: float) -> str:
@@ -139,18 +151,27 @@ class Pool:
             if e[0] == value and e[1] >= now:
                 e[1] = now + self.ttl_s
                 return "refreshed"
-        replaced = len(held) >= self.per_key
-        self.entries[key] = [*held[replaced:], [value, now + self.ttl_s]]
+        replaced, expiry = len(held) >= self.per_key, now + self.ttl_s
+        self.entries[key] = [*held[replaced:], [value, expiry]]
+        if not expiry >= self.soonest:
+            self.soonest = -math.inf if math.isnan(expiry) else expiry
         self.total += 1
         return "replaced" if replaced else "added"
 
+    def did(self, op: str, key: str, value: str, t: float) -> tuple[str, int, int]:
+        """Action, gone and total of one row."""
+        action = self.put(str(key), str(value), float(t)) if op == "put" else "swept"
+        gone = self.sweep(float(t)) if op == "sweep" else 0
+        return action, gone, self.total
+
     def step(self, row: dict) -> dict:
-        action = self.put(str(row["key"]), str(row["value"]), float(row["t"])) if row["op"] == "put" else "swept"
-        gone = self.sweep(float(row["t"])) if row["op"] == "sweep" else 0
-        return {"seq": int(row["seq"]), "action": action, "gone": gone, "total": self.total}
+        action, gone, total = self.did(row["op"], row["key"], row["value"], row["t"])
+        return {"seq": int(row["seq"]), "action": action, "gone": gone, "total": total}
 
 
 ACTIONS = "seq long, action string, gone int, total int"
+#: What a pool's rows have besides the pool.
+PACKED = ("key", "value", "op", "t", "seq")
 
 
 def pool_batch(rows: DataFrame, per_key: int, most: int, ttl_s: float) -> DataFrame:
@@ -175,10 +196,13 @@ class PoolProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = {k[0]: [list(e) for e in zip(v[0], v[1])] for k, v in self.entries.iterator()} if self.entries.exists() else {}
         pool = Pool(*self.limits, held, self.total.get()[0] if self.total.exists() else 0)
-        batch = pd.concat(list(rows)).sort_values(["t", "seq"])
-        for start in range(0, len(batch), STEPS):
-            out = [pool.step(row) for row in batch[start : start + STEPS].to_dict("records")]
-            yield pd.DataFrame(out).assign(pool=key[0])[["pool", "seq", "action", "gone", "total"]]
+        packs = pd.concat(list(rows))  # of packed()
+        batch = {c: np.concatenate(packs[c].tolist()) for c in PACKED}
+        order = np.lexsort((batch["seq"], batch["t"], ~np.isnan(batch["t"])))  # rows without a time first, as Spark sorts them
+        for start in range(0, len(order), STEPS):
+            part = {c: batch[c][order[start : start + STEPS]].tolist() for c in PACKED}
+            action, gone, total = zip(*[pool.did(*row) for row in zip(part["op"], part["key"], part["value"], part["t"])])
+            yield pd.DataFrame({"pool": [key[0]], "seq": [part["seq"]], "action": [list(action)], "gone": [list(gone)], "total": [list(total)]})
         for k in pool.touched:
             if k in pool.entries:
                 values, expires = zip(*pool.entries[k])
@@ -191,20 +215,48 @@ class PoolProcessor(StatefulProcessor):
         pass
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """rows (pool, key, value, op, t, seq), each Arrow batch as one row of arrays a pool.
+
+    Spark hands a stateful processor its rows as Python objects, one by one, which costs more than the pool does.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.Table.from_batches([batch]).group_by("pool", use_threads=False).aggregate([(c, "list") for c in PACKED])
+            yield from pa.table([made["pool"], *(made[f"{c}_list"] for c in PACKED)], names=["pool", *PACKED]).to_batches()
+
+    return rows.select("pool", *PACKED).mapInArrow(pack, ", ".join([f"pool {kinds['pool']}", *(f"{c} array<{kinds[c]}>" for c in PACKED)]))
+
+
+def packed_pool_stream(packs: DataFrame, per_key: int, most: int, ttl_s: float) -> DataFrame:
+    """pool_stream over packed rows; the results of STEPS rows leave the processor as one row, too.
+
+    Pools go by their names: pandas makes numbers with a null among them floats, and a null key unequal to itself.
+    """
+    lists = ", ".join(f"{name} array<{of}>" for name, of in (x.split() for x in ACTIONS.split(", ")))
+    named = packs.withColumn("pool", F.col("pool").cast("string"))
+    made = named.groupBy("pool").transformWithStateInPandas(PoolProcessor(per_key, most, ttl_s), f"pool string, {lists}", "append", "none")
+    return made.select(F.col("pool").cast(packs.schema["pool"].dataType).alias("pool"), F.inline(F.arrays_zip("seq", "action", "gone", "total")))
+
+
 def pool_stream(rows: DataFrame, per_key: int, most: int, ttl_s: float) -> DataFrame:
     """pool_batch over a stream whose micro-batches come in order; a task holds a pool's rows of one micro-batch (see written_in_order)."""
-    kind = rows.schema["pool"].dataType.simpleString()
-    return rows.groupBy("pool").transformWithStateInPandas(PoolProcessor(per_key, most, ttl_s), f"pool {kind}, {ACTIONS}", "append", "none")
+    return packed_pool_stream(packed(rows), per_key, most, ttl_s)
 
 
 # --- Queries ----------------------------------------------------------------------------------------------------
 
 
-def state_session(spark: SparkSession) -> SparkSession:
-    """A session like spark whose state stores are RocksDB's."""
+def state_session(spark: SparkSession, most: int | None = None) -> SparkSession:
+    """A session like spark whose state stores are RocksDB's; with at most `most` of them, where a stream has few keys: each micro-batch
+    runs a task, opens a store and writes it for each one, also where it has no rows."""
     own = spark.newSession()
     for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         own.conf.set(name, spark.conf.get(name))
+    if most is not None:
+        own.conf.set("spark.sql.shuffle.partitions", str(min(most, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return own
 
@@ -216,15 +268,15 @@ def run_to_end(stream: DataFrame, folder: str, out: str = "out") -> None:
 
 
 #: Rows of a micro-batch, about, and rows of a pool that are objects at a time.
-BATCH_ROWS, STEPS = 1 << 18, 4_096
+BATCH_ROWS, STEPS = 1 << 20, 4_096
 
 
-def written_in_order(rows: DataFrame, order: list[str], folder: str, most: int) -> None:
-    """rows as files of about `most` rows, by ranges of order, for a stream that reads one file at a time.
+def written_in_order(rows: DataFrame, order: list[str], folder: str, most: int, form: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+    """rows as files of about `most` rows, by ranges of order, for a stream that reads one file at a time; form is what each file's rows are written as.
 
     A stream takes files by their times of change, which are set in the order of the ranges: tasks end in any order.
     """
-    rows.repartitionByRange(max(1, -(-rows.count() // most)), *order).write.parquet(folder)
+    form(rows.repartitionByRange(max(1, -(-rows.count() // most)), *order)).write.parquet(folder)
     sc = rows.sparkSession.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(folder)
     store = path.getFileSystem(sc._jsc.hadoopConfiguration())
@@ -252,6 +304,8 @@ def liveness_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PER_KEY, MOST, TTL_S = 20, 60, 5 * 3600.0
+#: State stores of the log's four pools, which Spark's hash deals to one each.
+STORES = 4
 
 #: The pool's log in SQL: one step per row of a pool, the entries as one list in order of arrival.
 _POOL_SQL = f"""WITH RECURSIVE e AS (SELECT CAST(user_id % 4 AS BIGINT) AS pool, event_type AS key, CAST(event_id % 40 AS VARCHAR) AS value, CASE WHEN event_id % 97 = 5 THEN 'sweep' ELSE 'put' END AS op, epoch_us(ts) / 1e6 AS t, event_id AS seq, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) AS rn FROM events),
@@ -284,9 +338,9 @@ def capped_pool_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query("capped_pool_stream", _POOL_SQL)
 def capped_pool_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same log as a stream of files in order of time, its state a map by key."""
-    folder, own = f"{shared_folder(spark)}/pools-{uuid.uuid4().hex}", state_session(spark)
+    folder, own = f"{shared_folder(spark)}/pools-{uuid.uuid4().hex}", state_session(spark, STORES)
     log = pool_log(spark, sf_dir)
-    written_in_order(log, ["t", "seq"], f"{folder}/in", BATCH_ROWS)
-    stream = own.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    run_to_end(pool_stream(stream, PER_KEY, MOST, TTL_S), folder)
+    written_in_order(log, ["t", "seq"], f"{folder}/in", BATCH_ROWS, packed)
+    stream = own.readStream.schema(packed(log).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    run_to_end(packed_pool_stream(stream, PER_KEY, MOST, TTL_S), folder)
     return spark.read.parquet(f"{folder}/out")

@@ -241,3 +241,61 @@ def test_placed_digests_make_rewrites_where_the_values_are(spark):
     plan = placed.placed_rewrites(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Generate" in plan.split("Exchange")[0] and "Generate" not in plan.split("Exchange")[1]
     assert placed.placed_variants(frame, "id", "v", delta=0).where("mutator in ('add', 'text_add')").count() == 0
+
+
+def test_pool_stream_has_few_stores_and_hands_over_arrays(spark):
+    """However many partitions a session shuffles to, four pools have four stores, and a micro-batch is a few rows of arrays."""
+    import glob
+
+    from quillstone.shared import shared_folder
+
+    sf, base, before = "/root/testdata/sf0.01", shared_folder(spark).removeprefix("file:"), spark.conf.get("spark.sql.shuffle.partitions")
+    old = set(glob.glob(f"{base}/pools-*"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        got = sorted(map(tuple, timers.capped_pool_stream(spark, sf).select("pool", "seq", "action", "gone", "total").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == sorted(map(tuple, timers.capped_pool_actions(spark, sf).select("pool", "seq", "action", "gone", "total").collect()))
+    (made,) = set(glob.glob(f"{base}/pools-*")) - old
+    assert len(glob.glob(f"{made}/state/state/0/[0-9]*")) == 4
+    assert spark.read.parquet(f"{made}/in").count() <= 16
+
+
+def test_packed_pools_take_odd_rows(spark, tmp_path):
+    """Null pools, keys, values and operations, rows without a time, equal times, and one pool with most rows."""
+    rng = random.Random(3)
+    rows = [(rng.choice([7, 7, 7, 8, None]), rng.choice(["x", "y", None]), rng.choice(["a", "b", "", None]), rng.choice(["put"] * 9 + ["sweep", None]), None if k % 50 == 49 else float(k // 2), k) for k in range(600)]
+    schema = "pool long, key string, value string, op string, t double, seq long"
+    frame = spark.createDataFrame(rows, schema)
+    timers.written_in_order(frame, ["t", "seq"], f"{tmp_path}/in", 100)
+    own = timers.state_session(spark, 3)
+    stream = own.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    timers.run_to_end(timers.pool_stream(stream, 3, 9, 40.0), str(tmp_path))
+    batch = {tuple(r) for r in timers.pool_batch(frame, 3, 9, 40.0).collect()}
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == batch and len(batch) == 600
+    packs = timers.packed(frame)
+    assert sorted(map(repr, packs.select("pool", F.inline(F.arrays_zip(*timers.PACKED))).select(*frame.columns).collect())) == sorted(map(repr, frame.collect()))
+
+
+def test_full_pools_sweep_as_if_at_each_put():
+    """Looking only where an entry can have expired gives what a look at each put gives; a full pool of live entries is left alone."""
+
+    class Eager(timers.Pool):
+        def sweep(self, now):
+            self.soonest = float("-inf")
+            return super().sweep(now)
+
+    rng = random.Random(4)
+    for trial in range(200):
+        lazy, eager, t = timers.Pool(3, 6, 10.0), Eager(3, 6, 10.0), 0.0
+        for k in range(150):
+            t += rng.choice([0.0, 0.5, 3.0])
+            row = {"op": rng.choice(["put"] * 8 + ["sweep"]), "key": rng.choice("ab"), "value": rng.choice("uvwxyz"), "t": float("nan") if rng.random() < 0.02 else t, "seq": k}
+            assert lazy.step(row) == eager.step(row) and repr(lazy.entries) == repr(eager.entries)
+            if k == 75:
+                lazy = timers.Pool(3, 6, 10.0, lazy.entries, lazy.total)
+    full = timers.Pool(2, 2, 100.0)
+    assert [full.put("k", v, 0.0) for v in "ab"] == ["added", "added"]
+    full.entries = None  # nothing may be looked at
+    assert full.put("k", "c", 50.0) == "refused"
